@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -162,20 +162,24 @@ LANGUAGE_WORDS = {
 LANGUAGE_MIN_CHARS = 80
 
 
-def language_scores(c: Column) -> Column:
-    """Array of (hits, language): how many words of the whole text are function words of each language."""
-    words = F.split(normalise_label(c), " ")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``value`` is computed once per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def hits(listed: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*listed)))
 
-    return F.array(
-        *[F.struct(hits(ws).alias("hits"), F.lit(code).alias("language")) for code, ws in LANGUAGE_WORDS.items()]
-    )
+def detect_language(c: Column) -> Column:
+    """Language with most function words in the whole text; UNKNOWN for short texts and texts without any."""
 
+    def best(words: Column) -> Column:
+        scores = [
+            F.struct(F.size(F.filter(words, lambda w: w.isin(*listed))).alias("hits"), F.lit(code).alias("language"))
+            for code, listed in LANGUAGE_WORDS.items()
+        ]
+        return F.array_max(F.array(*scores))
 
-def detect_language(c: Column) -> Column:
-    """Language with most function words; UNKNOWN for short texts and texts without any."""
-    best = F.array_max(language_scores(c))
     short = F.length(normalise_text(c)) < LANGUAGE_MIN_CHARS
-    return F.when(short | (best["hits"] == 0), F.lit("UNKNOWN")).otherwise(best["language"])
+    found = once(
+        once(F.split(normalise_label(c), " "), best),
+        lambda b: F.when(b["hits"] > 0, b["language"]).otherwise(F.lit("UNKNOWN")),
+    )
+    return F.when(short, F.lit("UNKNOWN")).otherwise(found)

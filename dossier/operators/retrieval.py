@@ -21,7 +21,7 @@ from dossier.functions.text import (
 )
 from dossier.plans.containment import containing
 from dossier.plans.durable import durable
-from dossier.plans.sizing import checked_broadcast
+from dossier.plans.sizing import checked_broadcast, spread_small
 
 # Budgets of the two retrievals and of the whole-scope mode.
 QUESTION_PASSAGES, QUESTION_CHARS = 40, 60_000
@@ -129,20 +129,24 @@ def lexical_scores(
     queries: DataFrame,
     expansions: DataFrame | None = None,
     stop: Sequence[str] = TAXONOMY_STOP_WORDS,
+    excluded: DataFrame | None = None,
 ) -> DataFrame:
     """Every (query, passage) pair that shares a term, with score, matched terms and the passage's order keys.
 
     ``queries``: query_id, query_text. Passages are tokenised in place and joined to the terms of all queries;
     with a small set of terms that join needs no shuffle of the corpus and only matching pairs are shuffled.
+    ``excluded``: query_id, package_id of packages that a query must not find.
     """
-    asked = queries.select("query_id", tokens(F.col("query_text"), 3, stop).alias("_t"), normalise_label(F.col("query_text")).alias("_phrase"))
-    own = asked.select("query_id", "_phrase", F.explode("_t").alias("term"), F.array_max(_by_length(F.col("_t")))["term"].alias("_anchor"))
+    asked = queries.select(
+        "query_id", tokens(F.col("query_text"), 3, stop).alias("_t"), normalise_label(F.col("query_text")).alias("_phrase")
+    ).withColumn("_anchor", F.array_max(F.transform("_t", lambda t: F.struct(F.length(t).alias("n"), t.alias("term")))))
+    own = asked.select("query_id", "_phrase", "_anchor", F.explode("_t").alias("term"))
     own = own.select(
         "query_id",
         "term",
         F.lit(False).alias("expanded"),
         # A passage that contains the whole query contains this term, so the phrase is tested once per pair.
-        F.when(F.col("term") == F.col("_anchor"), F.col("_phrase")).alias("_phrase"),
+        F.when(F.col("term") == F.col("_anchor.term"), F.col("_phrase")).alias("_phrase"),
     )
     terms = own
     if expansions is not None:
@@ -166,7 +170,7 @@ def lexical_scores(
             "query_id", "term", F.lit(True).alias("expanded"), F.lit(None).cast("string").alias("_phrase")
         )
         terms = own.unionByName(added)
-    keys = ["passage_id", "document_id", "passage_order", "chars"]
+    keys = ["passage_id", "document_id", "passage_order", "chars"] + (["package_id"] if excluded is not None else [])
     spread = passages.withColumn("chars", F.length("passage_text").cast("long")).select(
         *keys,
         normalise_label(F.col("passage_text")).alias("_norm"),
@@ -179,6 +183,8 @@ def lexical_scores(
         "expanded",
         F.coalesce(F.contains(F.col("_norm"), F.col("_phrase")), F.lit(False)).alias("_whole"),
     )
+    if excluded is not None:
+        matched = matched.join(checked_broadcast(excluded.select("query_id", "package_id").distinct()), ["query_id", "package_id"], "left_anti")
     # The terms of one pair are bounded by the terms of the query.
     return matched.groupBy("query_id", *keys).agg(
         F.array_sort(F.collect_set(F.when(~F.col("expanded"), F.col("term")))).alias("matched_query_terms"),
@@ -191,10 +197,6 @@ def lexical_scores(
     )
 
 
-def _by_length(terms: Column) -> Column:
-    return F.transform(terms, lambda t: F.struct(F.length(t).alias("n"), t.alias("term")))
-
-
 def lexical_retrieve(
     passages: DataFrame,
     queries: DataFrame,
@@ -202,13 +204,14 @@ def lexical_retrieve(
     k: int = QUESTION_PASSAGES,
     max_chars: int = QUESTION_CHARS,
     stop: Sequence[str] = TAXONOMY_STOP_WORDS,
+    excluded: DataFrame | None = None,
 ) -> DataFrame:
     """The best passages of each query: rank at most ``k`` and whole passages within the character budget.
 
     ``passages``: document_id, passage_id, passage_order, passage_text and further columns. Ranks are cut per
     task before the shuffle, so a query that matches a large part of the corpus moves only ``k`` rows per task.
     """
-    scored = lexical_scores(passages, queries, expansions, stop)
+    scored = lexical_scores(passages, queries, expansions, stop, excluded)
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(
         F.col("rank") <= k
@@ -591,21 +594,24 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
         }
     )
 
-    texts = nodes.select(
-        "node_id", "node_kind", normalise_label(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("description", F.lit("")))).alias("_text")
+    text = normalise_label(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("description", F.lit(""))))
+    texts = nodes.select("node_id", "node_kind", text.alias("_text")).withColumn(
+        "_key", F.sha2(F.concat_ws("\u0001", "node_kind", "_text"), 256)
     )
     # Nodes of one kind with the same text share one result.
-    unique = texts.select("node_kind", "_text").distinct().withColumn("_words", tokens(F.col("_text")))
-    words = F.array_distinct(F.concat("_code_words", "_attribute_words"))
+    unique = spread_small(texts.select("_key", "node_kind", "_text").distinct()).withColumn("_words", tokens(F.col("_text")))
+    profiles = profiles.withColumn("_profile_words", F.array_distinct(F.concat("_code_words", "_attribute_words")))
+    shared = F.array_intersect("_words", "_profile_words")
+    # A pair meets once per shared word and is kept at the first of them, which needs no second shuffle.
     by_word = (
         unique.withColumn("_word", F.explode("_words"))
-        .join(checked_broadcast(profiles.withColumn("_word", F.explode(words))), "_word")
-        .drop("_word")
+        .join(checked_broadcast(profiles.withColumn("_word", F.explode("_profile_words"))), "_word")
+        .where(F.col("_word") == F.get(shared, F.lit(0)))
     )
     # The phrase may also occur inside longer words of the text, without any word in common.
-    by_phrase = containing(unique, "_text", profiles, "_phrase")
-    columns = ["node_kind", "_text", "_words", "_profile", "_phrase", "_attribute", "_class", "_code_words", "_attribute_words"]
-    pairs = by_word.select(*columns).unionByName(by_phrase.select(*columns)).dropDuplicates(["node_kind", "_text", "_profile"])
+    by_phrase = containing(unique, "_text", profiles, "_phrase").where(F.size(shared) == 0)
+    columns = ["_key", "node_kind", "_text", "_words", "_profile", "_phrase", "_class", "_code_words", "_attribute_words"]
+    pairs = by_word.select(*columns).unionByName(by_phrase.select(*columns))
 
     bonus = F.when(F.lit(False), F.lit(0))
     for kind, (letter, value) in TAXONOMY_BONUS.items():
@@ -619,7 +625,7 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
         + F.when((F.col("_phrase") != "") & F.contains("_text", F.col("_phrase")), 120).otherwise(0)
         + F.when(every & (F.size(F.array_except("_code_words", "_words")) == 0), 70).otherwise(0)
     )
-    scored = pairs.withColumn("score", score.cast("long")).where(F.col("score") > 0).select("node_kind", "_text", "_profile", "score")
+    scored = pairs.withColumn("score", score.cast("long")).where(F.col("score") > 0).select("_key", "_profile", "score")
 
     ranked = members.join(profiles.select("_phrase", "_attribute", "_class", "_profile"), ["_phrase", "_attribute", "_class"])
     # Rows that score by bonus alone are the same for all texts of a kind; only the first k per kind can be listed.
@@ -635,11 +641,11 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
     )
     keep = ["entity_path", "entity_name", "attribute_name", "code_value", "code"]
     static = _first_codes(rows.where(F.col("_class") != "").select("*", F.inline(bonuses)).select("node_kind", "score", *keep), ["node_kind"], k)
-    matched = scored.join(ranked, "_profile").select("node_kind", "_text", "score", *keep)
-    added = unique.select("node_kind", "_text").join(checked_broadcast(static.drop("rank")), "node_kind")
+    matched = scored.join(checked_broadcast(ranked), "_profile").select("_key", "score", *keep)
+    added = unique.select("_key", "node_kind").join(checked_broadcast(static.drop("rank")), "node_kind")
     # A row found both ways has its full score in ``matched`` and is kept with it.
-    short = _first_codes(matched.unionByName(added.select(*matched.columns)), ["node_kind", "_text"], k)
-    return texts.join(short, ["node_kind", "_text"]).select(
+    short = _first_codes(matched.unionByName(added.select(*matched.columns)), ["_key"], k)
+    return texts.join(short, "_key").select(
         "node_id", "rank", "score", *keep,
         content_id("taxonomy_candidate_", [F.col("entity_path"), F.col("attribute_name"), F.col("code_value"), F.col("code")], 20).alias("candidate_id"),
     )

@@ -36,3 +36,11 @@ def split_hot(
         return df, None
     hot = checked_broadcast(hot)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+
+
+def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread an input of few splits over all cores. Larger inputs have enough splits and are left alone."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
