@@ -517,7 +517,7 @@ def similar_case_violations(candidates: DataFrame, evidence: DataFrame, passages
     )
     rank_codes = violations(
         ("RANKS_NOT_UNIQUE", F.col("_n") != F.col("_d")),
-        ("RANKS_NOT_CONTIGUOUS", (F.col("_lo") != 1) | (F.col("_hi") != F.col("_n"))),
+        ("RANKS_NOT_CONTIGUOUS", (F.col("_lo") != 1) | (F.col("_hi") != F.col("_n")) | (F.col("_n") != F.col("_d"))),
     )
     bad_ranks = ranks.select("analysis_id", F.explode(rank_codes).alias("rule"), F.lit("").alias("key"))
     mine = candidates.join(own, ["analysis_id", "package_id"], "left_semi").select(

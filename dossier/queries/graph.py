@@ -83,7 +83,11 @@ def structural_passthrough(spark: SparkSession, d: str) -> DataFrame:
     return G.structural_passthrough(G.evidence_backed_nodes(B.nodes(spark, d), B.scopes(spark, d)), B.edges(spark, d))
 
 
-@query("SELECT edge_id FROM edges WHERE source_node_id IN (SELECT node_id FROM n) AND target_node_id IN (SELECT node_id FROM n)".replace("SELECT edge_id", "WITH n AS (SELECT node_id FROM nodes WHERE node_kind <> 'Claim') SELECT edge_id", 1), "nodes", "edges")
+@query(
+    """WITH n AS (SELECT node_id FROM nodes WHERE node_kind <> 'Claim')
+    SELECT edge_id FROM edges WHERE source_node_id IN (SELECT node_id FROM n) AND target_node_id IN (SELECT node_id FROM n)""",
+    "nodes", "edges",
+)
 def filtered_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.filter_edges(B.edges(spark, d), B.nodes(spark, d).where("node_kind <> 'Claim'")).select("edge_id")
 
@@ -114,8 +118,8 @@ def node_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT analysis_id, count(*) AS total_nodes, count(label) AS nodes_with_label FROM nodes LEFT JOIN (SELECT node_id, min(label) AS label FROM (
-        SELECT source_node_id AS node_id, source_label AS label FROM edges WHERE relationship <> 'SUPPORTS' UNION ALL SELECT target_node_id, target_label FROM edges WHERE relationship <> 'SUPPORTS') GROUP BY 1) USING (node_id) GROUP BY 1""".replace("analysis_id, count(*) AS total", "analysis_id, count(*) AS total"),
+    """SELECT analysis_id, count(*) AS total_nodes, count(l.label) AS nodes_with_label FROM nodes LEFT JOIN (SELECT node_id, min(label) AS label FROM (
+        SELECT source_node_id AS node_id, source_label AS label FROM edges WHERE relationship <> 'SUPPORTS' UNION ALL SELECT target_node_id, target_label FROM edges WHERE relationship <> 'SUPPORTS') GROUP BY 1) l USING (node_id) GROUP BY 1""",
     "nodes", "edges",
 )
 def label_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -245,7 +245,7 @@ _SIMILAR = f"""{_FOCUS},
     own AS (SELECT 'case_' || item_id AS analysis_id, 'src' || (item_id % 20) AS package_id FROM benchmark),
     scores AS (SELECT analysis_id, passage_id, document_id, package_id, passage_order, page_start, page_end, chars, norm, list(term ORDER BY term) AS found, sum(coalesce(w, 1)) AS term_weight,
         10 * count(*) + CASE WHEN contains(norm, any_value(phrase)) THEN 20 ELSE 0 END AS lexical_score
-        FROM spread JOIN terms USING (term) LEFT JOIN weights USING (analysis_id, term) ANTI JOIN own USING (analysis_id, package_id) GROUP BY ALL),
+        FROM spread JOIN terms USING (term) LEFT JOIN weights USING (analysis_id, term) ANTI JOIN own USING (analysis_id, package_id) GROUP BY analysis_id, passage_id, document_id, package_id, passage_order, page_start, page_end, chars, norm),
     hits AS (SELECT *, sum(chars) OVER (PARTITION BY analysis_id ORDER BY rank) AS cum FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS rank FROM scores
         QUALIFY rank <= 120) QUALIFY cum <= 180000),
     phrases AS (SELECT h.analysis_id, h.passage_id, sum(c.weight) AS concept_weight, list(DISTINCT c.label) AS labels FROM hits h JOIN concepts c ON h.analysis_id = c.analysis_id AND contains(h.norm, c.norm) GROUP BY 1, 2),
