@@ -292,7 +292,8 @@ def _order_per_group(events: DataFrame, links: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = f"analysis_id {kinds['analysis_id']}, node_id {kinds['node_id']}, sequence_position long, in_cycle boolean"
     nodes = events.select("analysis_id", *_PRIORITY)
-    return nodes.groupBy("analysis_id").cogroup(links.groupBy("analysis_id")).applyInPandas(order, schema)
+    ends = links.select(F.col("analysis_id").alias("_analysis"), "source_node_id", "target_node_id")
+    return nodes.groupBy("analysis_id").cogroup(ends.groupBy("_analysis")).applyInPandas(order, schema)
 
 
 def _order_hot(events: DataFrame, links: DataFrame, bound: int) -> DataFrame:
@@ -402,7 +403,7 @@ def _keys_in_task(nodes: DataFrame, links: DataFrame, prefix: int) -> DataFrame:
         )
 
     kind = nodes.schema["analysis_id"].dataType.simpleString()
-    group = ["analysis_id", "path"]
-    return nodes.groupBy(*group).cogroup(links.groupBy(*group)).applyInPandas(
+    ends = links.select(F.col("analysis_id").alias("_analysis"), F.col("path").alias("_path"), "source", "target")
+    return nodes.groupBy("analysis_id", "path").cogroup(ends.groupBy("_analysis", "_path")).applyInPandas(
         order, f"analysis_id {kind}, rank long, key array<long>, in_cycle boolean"
     )

@@ -6,7 +6,7 @@ phrases on that short prefix and the few candidates are verified.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.plans.sizing import checked_broadcast
@@ -29,22 +29,16 @@ def containing(
     lengths = [r[0] for r in needles.select(F.length("_prefix")).distinct().collect()]
     if not lengths:
         lengths = [prefix_chars]
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))),
-                        lambda i, size=size: F.substring(F.col(text), i, F.lit(size)),
-                    )
-                    for size in sorted(lengths)
-                ]
-            )
-        )
-    )
+    grams = F.array_distinct(F.concat(*[_grams(F.col(text), size) for size in sorted(lengths)]))
     spread = texts.withColumn("_prefix", F.explode(grams))
     return (
         spread.join(checked_broadcast(needles), "_prefix")
         .where(F.contains(F.col(text), F.col(phrase)))
         .drop("_prefix")
     )
+
+
+def _grams(c: Column, size: int) -> Column:
+    """Every part of ``size`` characters of a text."""
+    last = F.greatest(F.length(c) - size + 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(size)))
