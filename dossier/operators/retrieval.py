@@ -30,6 +30,8 @@ SCOPE_PASSAGES, SCOPE_CHARS = 80, 120_000
 GROUNDED_PASSAGES, GROUNDED_CHARS = 12, 24_000
 # Weights of a matched query term, a matched expansion term and the whole query found as one phrase.
 TERM_WEIGHT, EXPANSION_WEIGHT, PHRASE_WEIGHT = 10, 4, 20
+# A pair of query and passage takes about a sixteenth of the bytes of a passage in a shuffle.
+MANY_QUERIES = 16
 
 
 # --- scopes ---------------------------------------------------------------------------------------------
@@ -124,77 +126,73 @@ def query_terms(concepts: DataFrame, normalisations: DataFrame) -> DataFrame:
 # --- lexical retrieval ------------------------------------------------------------------------------------
 
 
-def lexical_scores(
-    passages: DataFrame,
-    queries: DataFrame,
-    expansions: DataFrame | None = None,
-    stop: Sequence[str] = TAXONOMY_STOP_WORDS,
-    excluded: DataFrame | None = None,
-) -> DataFrame:
-    """Every (query, passage) pair that shares a term, with score, matched terms and the passage's order keys.
-
-    ``queries``: query_id, query_text. Passages are tokenised in place and joined to the terms of all queries;
-    with a small set of terms that join needs no shuffle of the corpus and only matching pairs are shuffled.
-    ``excluded``: query_id, package_id of packages that a query must not find.
-    """
+def _query_terms(queries: DataFrame, expansions: DataFrame | None, stop: Sequence[str]) -> DataFrame:
+    """(query_id, term, expanded, phrase): the phrase of a query stands on its longest term only."""
     asked = queries.select(
         "query_id", tokens(F.col("query_text"), 3, stop).alias("_t"), normalise_label(F.col("query_text")).alias("_phrase")
     ).withColumn("_anchor", F.array_max(F.transform("_t", lambda t: F.struct(F.length(t).alias("n"), t.alias("term")))))
-    own = asked.select("query_id", "_phrase", "_anchor", F.explode("_t").alias("term"))
-    own = own.select(
+    own = asked.select("query_id", "_phrase", "_anchor", F.explode("_t").alias("term")).select(
         "query_id",
         "term",
         F.lit(False).alias("expanded"),
         # A passage that contains the whole query contains this term, so the phrase is tested once per pair.
         F.when(F.col("term") == F.col("_anchor.term"), F.col("_phrase")).alias("_phrase"),
     )
-    terms = own
-    if expansions is not None:
-        wide = expansions.select(
-            normalise_label(F.col("term")).alias("_from"), F.explode(tokens(F.col("expansion"), 3, stop)).alias("term")
-        ).distinct()
-        # An expansion is active when every word of the expanded expression occurs in the query.
-        needed = wide.select("_from", F.explode(tokens(F.col("_from"), 1, ())).alias("_word")).distinct()
-        sizes = needed.groupBy("_from").agg(F.count(F.lit(1)).alias("_need"))
-        words = asked.select("query_id", F.explode(F.array_distinct(F.split("_phrase", " "))).alias("_word"))
-        active = (
-            words.join(needed, "_word")
-            .groupBy("query_id", "_from")
-            .agg(F.count(F.lit(1)).alias("_have"))
-            .join(sizes, "_from")
-            .where(F.col("_have") == F.col("_need"))
-            .select("query_id", "_from")
-        )
-        added = active.join(wide, "_from").select("query_id", "term").distinct()
-        added = added.join(own.select("query_id", "term"), ["query_id", "term"], "left_anti").select(
-            "query_id", "term", F.lit(True).alias("expanded"), F.lit(None).cast("string").alias("_phrase")
-        )
-        terms = own.unionByName(added)
-    keys = ["passage_id", "document_id", "passage_order", "chars"] + (["package_id"] if excluded is not None else [])
-    spread = passages.withColumn("chars", F.length("passage_text").cast("long")).select(
-        *keys,
-        normalise_label(F.col("passage_text")).alias("_norm"),
-        F.explode(tokens(F.col("passage_text"), 3, stop)).alias("term"),
-    )
-    matched = spread.join(checked_broadcast(terms), "term").select(
-        "query_id",
-        *keys,
-        "term",
-        "expanded",
-        F.coalesce(F.contains(F.col("_norm"), F.col("_phrase")), F.lit(False)).alias("_whole"),
+    if expansions is None:
+        return own
+    wide = expansions.select(
+        normalise_label(F.col("term")).alias("_from"), F.explode(tokens(F.col("expansion"), 3, stop)).alias("term")
+    ).distinct()
+    # An expansion is active when every word of the expanded expression occurs in the query.
+    needed = wide.select("_from", F.explode(tokens(F.col("_from"), 1, ())).alias("_word")).distinct()
+    sizes = needed.groupBy("_from").agg(F.count(F.lit(1)).alias("_need"))
+    words = asked.select("query_id", F.explode(F.array_distinct(F.split("_phrase", " "))).alias("_word"))
+    active = (
+        words.join(needed, "_word")
+        .groupBy("query_id", "_from")
+        .agg(F.count(F.lit(1)).alias("_have"))
+        .join(sizes, "_from")
+        .where(F.col("_have") == F.col("_need"))
+        .select("query_id", "_from")
     )
+    added = active.join(wide, "_from").select("query_id", "term").distinct()
+    added = added.join(own.select("query_id", "term"), ["query_id", "term"], "left_anti").select(
+        "query_id", "term", F.lit(True).alias("expanded"), F.lit(None).cast("string").alias("_phrase")
+    )
+    return own.unionByName(added)
+
+
+def lexical_scores(
+    passages: DataFrame,
+    queries: DataFrame,
+    expansions: DataFrame | None = None,
+    stop: Sequence[str] = TAXONOMY_STOP_WORDS,
+    excluded: DataFrame | None = None,
+) -> DataFrame:
+    """Every (query, passage) pair that shares a term, with its score and the passage's order keys.
+
+    ``queries``: query_id, query_text. Passages are tokenised in place and meet the terms of all queries in a
+    broadcast join when the terms are few. A pair is then complete within one task. With many queries there
+    are more pairs than passages; passages are then partitioned by id first, so that the pairs are summed and
+    ranked without being shuffled themselves. ``excluded``: query_id, package_id of packages that a query
+    must not find.
+    """
+    terms = durable(_query_terms(queries, expansions, stop))
+    keys = ["passage_id", "document_id", "passage_order", "chars"]
+    text = passages.withColumn("chars", F.length("passage_text").cast("long")).select(
+        *keys, *(["package_id"] if excluded is not None else []), "passage_text"
+    )
+    if terms.select("query_id").distinct().count() > MANY_QUERIES:
+        text = text.repartition("passage_id")
+    spread = text.withColumns(
+        {"_norm": normalise_label(F.col("passage_text")), "term": F.explode(tokens(F.col("passage_text"), 3, stop))}
+    ).drop("passage_text")
+    matched = spread.join(checked_broadcast(terms), "term")
     if excluded is not None:
         matched = matched.join(checked_broadcast(excluded.select("query_id", "package_id").distinct()), ["query_id", "package_id"], "left_anti")
-    # The terms of one pair are bounded by the terms of the query.
-    return matched.groupBy("query_id", *keys).agg(
-        F.array_sort(F.collect_set(F.when(~F.col("expanded"), F.col("term")))).alias("matched_query_terms"),
-        F.array_sort(F.collect_set(F.when(F.col("expanded"), F.col("term")))).alias("matched_expansion_terms"),
-        (
-            TERM_WEIGHT * F.count_if(~F.col("expanded"))
-            + EXPANSION_WEIGHT * F.count_if(F.col("expanded"))
-            + F.when(F.bool_or("_whole"), PHRASE_WEIGHT).otherwise(0)
-        ).cast("long").alias("lexical_score"),
-    )
+    whole = F.coalesce(F.contains(F.col("_norm"), F.col("_phrase")), F.lit(False))
+    points = F.when(F.col("expanded"), EXPANSION_WEIGHT).otherwise(TERM_WEIGHT) + F.when(whole, PHRASE_WEIGHT).otherwise(0)
+    return matched.groupBy("query_id", *keys).agg(F.sum(points).cast("long").alias("lexical_score"))
 
 
 def lexical_retrieve(
@@ -210,6 +208,7 @@ def lexical_retrieve(
 
     ``passages``: document_id, passage_id, passage_order, passage_text and further columns. Ranks are cut per
     task before the shuffle, so a query that matches a large part of the corpus moves only ``k`` rows per task.
+    The matched terms are looked up for the selected passages only.
     """
     scored = lexical_scores(passages, queries, expansions, stop, excluded)
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
@@ -217,7 +216,23 @@ def lexical_retrieve(
         F.col("rank") <= k
     )
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("cumulative_chars", F.sum("chars").over(running)).where(F.col("cumulative_chars") <= max_chars)
+    kept = ranked.withColumn("cumulative_chars", F.sum("chars").over(running)).where(F.col("cumulative_chars") <= max_chars)
+    hits = durable(kept)
+    # Terms per query are bounded by the query and its active expansions.
+    listed = _query_terms(queries, expansions, stop).groupBy("query_id").agg(
+        F.collect_set(F.when(~F.col("expanded"), F.col("term"))).alias("_own"), F.collect_set(F.when(F.col("expanded"), F.col("term"))).alias("_wide")
+    )
+    found = (
+        passages.select("passage_id", "passage_text")
+        .join(checked_broadcast(hits), "passage_id")
+        .join(checked_broadcast(listed), "query_id")
+        .withColumn("_t", tokens(F.col("passage_text"), 3, stop))
+    )
+    return found.select(
+        *hits.columns,
+        F.array_sort(F.array_intersect("_own", "_t")).alias("matched_query_terms"),
+        F.array_sort(F.array_intersect("_wide", "_t")).alias("matched_expansion_terms"),
+    )
 
 
 def retrieval_summary(queries: DataFrame, scores: DataFrame, hits: DataFrame) -> DataFrame:
@@ -359,11 +374,11 @@ def role_matches(passages: DataFrame, terms: DataFrame) -> DataFrame:
         "package_id", "document_id", "passage_id", normalise_label(F.col("passage_text")).alias("_text")
     ).withColumn("_word", F.explode(F.array_distinct(F.split("_text", " "))))
     spaced = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
+    # Words are distinct per passage and terms distinct per role, so every match occurs once.
     return (
         words.join(checked_broadcast(wanted), "_word")
         .where(F.contains(spaced, F.concat(F.lit(" "), F.col("_norm"), F.lit(" "))))
         .select("query_id", "role", "term", "package_id", "document_id", "passage_id")
-        .distinct()
     )
 
 
@@ -371,25 +386,30 @@ def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:
     """Matching passages of packages in which every role of the query occurs.
 
     Returns query, package, document, passage, the number of matched roles, whether the passage alone has all
-    roles, and the matched terms as ``role=term`` strings.
+    roles, and the matched terms as ``role=term`` strings. Passages are partitioned by id, so their matches are
+    gathered without shuffling the matches; the matches of one passage are bounded by the terms of the query.
     """
-    matches = role_matches(passages, terms)
+    keys = ["query_id", "package_id", "document_id", "passage_id"]
+    matches = role_matches(passages.select("package_id", "document_id", "passage_id", "passage_text").repartition("passage_id"), terms)
+    per_passage = durable(
+        matches.groupBy(*keys).agg(
+            F.collect_set("role").alias("_roles"),
+            F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "role", "term"))), "; ").alias("matched_terms"),
+        )
+    )
     roles = terms.where(F.length(normalise_label(F.col("term"))) > 0).groupBy("query_id").agg(F.countDistinct("role").alias("roles"))
     complete = (
-        matches.groupBy("query_id", "package_id")
-        .agg(F.countDistinct("role").alias("_n"))
+        per_passage.select("query_id", "package_id", F.explode("_roles").alias("role"))
+        .distinct()
+        .groupBy("query_id", "package_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .join(roles, "query_id")
         .where(F.col("_n") == F.col("roles"))
         .select("query_id", "package_id", "roles")
     )
-    # The terms of one passage are bounded by the terms of the query.
-    per_passage = matches.groupBy("query_id", "package_id", "document_id", "passage_id").agg(
-        F.countDistinct("role").alias("matched_roles"),
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "role", "term"))), "; ").alias("matched_terms"),
-    )
-    return per_passage.join(complete, ["query_id", "package_id"]).select(
-        "query_id", "package_id", "document_id", "passage_id", "matched_roles",
-        (F.col("matched_roles") == F.col("roles")).alias("all_roles_in_passage"), "matched_terms",
+    matched = F.size("_roles").cast("long")
+    return per_passage.join(checked_broadcast(complete), ["query_id", "package_id"]).select(
+        *keys, matched.alias("matched_roles"), (matched == F.col("roles")).alias("all_roles_in_passage"), "matched_terms"
     )
 
 
@@ -551,11 +571,56 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
     bonus by node kind and entity path, 120 when the code value occurs in the node text and 70 when all its
     words do.
 
-    The score of a pair depends on the registry row only through its code words, attribute words and bonus
-    class. Rows with the same three are one *profile*, of which only the first ``k`` rows can ever be listed.
-    Node texts meet profiles on shared words or on the code phrase; profiles that score by bonus alone are the
-    same for all nodes of a kind and their first ``k`` rows are found once.
+    The score is a sum of three parts: of the code phrase, of the attribute and of the class of the entity
+    path. Node texts are compared with distinct phrases and distinct attributes, not with registry rows, and
+    rows that score by the same parts are represented by the first ``k`` of them, which are the only ones that
+    can be listed. A phrase is dropped when ``k`` rows of a better one beat everything it could reach.
     """
+    rows = _registry_rows(registry)
+    text = normalise_label(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("description", F.lit(""))))
+    texts = nodes.select("node_id", "node_kind", text.alias("_text")).withColumn(
+        "_key", F.sha2(F.concat_ws("\u0001", "node_kind", "_text"), 256)
+    )
+    # Nodes of one kind with the same text share one result.
+    unique = spread_small(texts.select("_key", "node_kind", "_text").distinct()).withColumn("_words", tokens(F.col("_text")))
+    phrases = _matched_phrases(unique, rows)
+    attributes = _matched_attributes(unique, rows)
+    bound = (
+        phrases.select("_key", "_points", F.when(F.col("_rows") >= k, F.col("_points")).alias("_sure"), F.lit(0).cast("long").alias("_attribute_points"))
+        .unionByName(attributes.select("_key", F.lit(0).cast("long").alias("_points"), F.lit(None).cast("long").alias("_sure"), F.col("_points").alias("_attribute_points")))
+        .groupBy("_key")
+        .agg(F.coalesce(F.max("_sure"), F.lit(0)).alias("_sure"), F.max("_attribute_points").alias("_most"))
+    )
+    reach = F.lit(0)
+    for kind, (_, value) in TAXONOMY_BONUS.items():
+        reach = F.when(F.col("node_kind") == kind, F.lit(value)).otherwise(reach)
+    kept = phrases.join(bound, "_key").where(F.col("_points") + F.col("_most") + reach >= F.col("_sure"))
+
+    keep = ["entity_path", "entity_name", "attribute_name", "code_value", "code"]
+    bonus = F.lit(0)
+    for kind, (letter, value) in TAXONOMY_BONUS.items():
+        bonus = F.when((F.col("node_kind") == kind) & F.contains("_class", F.lit(letter)), F.lit(value)).otherwise(bonus)
+    shared = 6 * F.size(F.array_intersect("_words", tokens(F.col("_attribute"))))
+    by_phrase = kept.join(checked_broadcast(_first_rows(rows, ["_phrase", "_attribute", "_class"], k)), "_phrase").withColumn(
+        "score", (F.col("_points") + shared + bonus).cast("long")
+    )
+    by_attribute = attributes.join(checked_broadcast(_first_rows(rows, ["_attribute", "_class"], k)), "_attribute").withColumn(
+        "score", (F.col("_points") + bonus).cast("long")
+    )
+    by_class = unique.join(checked_broadcast(_bonus_rows(rows, k)), "node_kind")
+    columns = ["_key", "score", *keep]
+    candidates = by_phrase.select(*columns).unionByName(by_attribute.select(*columns)).unionByName(by_class.select(*columns))
+    # A code is found at most once by attribute, once by class and once per value by phrase.
+    values = rows.groupBy("entity_path", "attribute_name", "code").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    short = _first_codes(candidates, ["_key"], k, values + 2)
+    return texts.join(short, "_key").select(
+        "node_id", "rank", "score", *keep,
+        content_id("taxonomy_candidate_", [F.col("entity_path"), F.col("attribute_name"), F.col("code_value"), F.col("code")], 20).alias("candidate_id"),
+    )
+
+
+def _registry_rows(registry: DataFrame) -> DataFrame:
+    """Registry rows, each code once per phrase, with code phrase, attribute phrase and class of the path."""
     rows = registry.select(
         *[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ("entity_path", "entity_name", "attribute_name", "code_value")],
         F.col("code"),
@@ -565,104 +630,89 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
     def has(words: str) -> Column:
         return F.contains(path, F.lit(words))
 
-    rows = rows.withColumns(
-        {
-            "_phrase": normalise_label(F.col("code_value")),
-            "_attribute": normalise_label(F.col("attribute_name")),
-            "_class": F.concat_ws(
-                "",
-                F.when(has("contributing factor"), "f"),
-                F.when(has("safety recommendation"), "r"),
-                F.when(has("accident event") | has("casualty event"), "e"),
-                F.when(has("vessel"), "v"),
-            ),
-        }
-    )
-    key = ["entity_path", "attribute_name", "code"]
-    rows = rows.groupBy(*key, "_phrase", "_attribute", "_class").agg(F.min(F.struct("code_value", "entity_name")).alias("_v"))
-    rows = rows.select(*key, "_phrase", "_attribute", "_class", "_v.*")
-    first = F.row_number().over(
-        Window.partitionBy("_phrase", "_attribute", "_class").orderBy("entity_path", "attribute_name", "code_value", F.coalesce("code", F.lit("")))
-    )
-    members = rows.withColumn("_m", first).where(F.col("_m") <= k).drop("_m")
-    profiles = members.select("_phrase", "_attribute", "_class").distinct()
-    profiles = profiles.withColumns(
-        {
-            "_code_words": tokens(F.col("_phrase")),
-            "_attribute_words": tokens(F.col("_attribute")),
-            "_profile": F.sha2(F.concat_ws("\u0001", "_phrase", "_attribute", "_class"), 256),
-        }
-    )
-
-    text = normalise_label(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("description", F.lit(""))))
-    texts = nodes.select("node_id", "node_kind", text.alias("_text")).withColumn(
-        "_key", F.sha2(F.concat_ws("\u0001", "node_kind", "_text"), 256)
-    )
-    # Nodes of one kind with the same text share one result.
-    unique = spread_small(texts.select("_key", "node_kind", "_text").distinct()).withColumn("_words", tokens(F.col("_text")))
-    profiles = profiles.withColumn("_profile_words", F.array_distinct(F.concat("_code_words", "_attribute_words")))
-    shared = F.array_intersect("_words", "_profile_words")
+    parts = {
+        "_phrase": normalise_label(F.col("code_value")),
+        "_attribute": normalise_label(F.col("attribute_name")),
+        "_class": F.concat_ws(
+            "",
+            F.when(has("contributing factor"), "f"),
+            F.when(has("safety recommendation"), "r"),
+            F.when(has("accident event") | has("casualty event"), "e"),
+            F.when(has("vessel"), "v"),
+        ),
+    }
+    key = ["entity_path", "attribute_name", "code", *parts]
+    unique = rows.withColumns(parts).groupBy(*key).agg(F.min(F.struct("code_value", "entity_name")).alias("_v"))
+    return durable(unique.select(*key, "_v.*"))
+
+
+def _matched_phrases(unique: DataFrame, rows: DataFrame) -> DataFrame:
+    """(text, phrase) pairs with their points and the number of different codes of the phrase."""
+    phrases = rows.where(F.col("_phrase") != "").groupBy("_phrase").agg(
+        F.countDistinct("entity_path", "attribute_name", F.coalesce("code", F.lit(""))).alias("_rows")
+    ).withColumn("_code_words", tokens(F.col("_phrase")))
+    shared = F.array_intersect("_words", "_code_words")
     # A pair meets once per shared word and is kept at the first of them, which needs no second shuffle.
     by_word = (
         unique.withColumn("_word", F.explode("_words"))
-        .join(checked_broadcast(profiles.withColumn("_word", F.explode("_profile_words"))), "_word")
+        .join(checked_broadcast(phrases.withColumn("_word", F.explode("_code_words"))), "_word")
         .where(F.col("_word") == F.get(shared, F.lit(0)))
+        .drop("_word")
     )
     # The phrase may also occur inside longer words of the text, without any word in common.
-    by_phrase = containing(unique, "_text", profiles, "_phrase").where(F.size(shared) == 0)
-    columns = ["_key", "node_kind", "_text", "_words", "_profile", "_phrase", "_class", "_code_words", "_attribute_words"]
-    pairs = by_word.select(*columns).unionByName(by_phrase.select(*columns))
+    by_part = containing(unique, "_text", phrases, "_phrase").where(F.size(shared) == 0)
+    every = (F.size("_code_words") > 0) & (F.size(F.array_except("_code_words", "_words")) == 0)
+    points = 18 * F.size(shared) + F.when(F.contains("_text", F.col("_phrase")), 120).otherwise(0) + F.when(every, 70).otherwise(0)
+    return by_word.unionByName(by_part.select(*by_word.columns)).withColumn("_points", points.cast("long"))
 
-    bonus = F.when(F.lit(False), F.lit(0))
-    for kind, (letter, value) in TAXONOMY_BONUS.items():
-        bonus = bonus.when((F.col("node_kind") == kind) & F.contains("_class", F.lit(letter)), F.lit(value))
-    bonus = bonus.otherwise(F.lit(0))
-    every = F.size("_code_words") > 0
-    score = (
-        18 * F.size(F.array_intersect("_words", "_code_words"))
-        + 6 * F.size(F.array_intersect("_words", "_attribute_words"))
-        + bonus
-        + F.when((F.col("_phrase") != "") & F.contains("_text", F.col("_phrase")), 120).otherwise(0)
-        + F.when(every & (F.size(F.array_except("_code_words", "_words")) == 0), 70).otherwise(0)
-    )
-    scored = pairs.withColumn("score", score.cast("long")).where(F.col("score") > 0).select("_key", "_profile", "score")
-
-    ranked = members.join(profiles.select("_phrase", "_attribute", "_class", "_profile"), ["_phrase", "_attribute", "_class"])
-    # Rows that score by bonus alone are the same for all texts of a kind; only the first k per kind can be listed.
+
+def _matched_attributes(unique: DataFrame, rows: DataFrame) -> DataFrame:
+    """(text, attribute) pairs that share a word, with their points."""
+    listed = rows.select("_attribute").distinct().withColumn("_attribute_words", tokens(F.col("_attribute")))
+    shared = F.array_intersect("_words", "_attribute_words")
+    return (
+        unique.withColumn("_word", F.explode("_words"))
+        .join(checked_broadcast(listed.withColumn("_word", F.explode("_attribute_words"))), "_word")
+        .where(F.col("_word") == F.get(shared, F.lit(0)))
+        .withColumn("_points", (6 * F.size(shared)).cast("long"))
+        .drop("_word")
+    )
+
+
+def _first_rows(rows: DataFrame, parts: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` codes of each combination of score parts."""
+    return _first_codes(rows.withColumn("score", F.lit(0).cast("long")), parts, k).drop("rank", "score")
+
+
+def _bonus_rows(rows: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` codes of each node kind among those that score by their class alone."""
     bonuses = F.array_compact(
         F.array(
             *[
-                F.when(
-                    F.contains("_class", F.lit(letter)), F.struct(F.lit(kind).alias("node_kind"), F.lit(value).cast("long").alias("score"))
-                )
+                F.when(F.contains("_class", F.lit(letter)), F.struct(F.lit(kind).alias("node_kind"), F.lit(value).cast("long").alias("score")))
                 for kind, (letter, value) in TAXONOMY_BONUS.items()
             ]
         )
     )
-    keep = ["entity_path", "entity_name", "attribute_name", "code_value", "code"]
-    static = _first_codes(rows.where(F.col("_class") != "").select("*", F.inline(bonuses)).select("node_kind", "score", *keep), ["node_kind"], k)
-    matched = scored.join(checked_broadcast(ranked), "_profile").select("_key", "score", *keep)
-    added = unique.select("_key", "node_kind").join(checked_broadcast(static.drop("rank")), "node_kind")
-    # A row found both ways has its full score in ``matched`` and is kept with it.
-    short = _first_codes(matched.unionByName(added.select(*matched.columns)), ["_key"], k)
-    return texts.join(short, "_key").select(
-        "node_id", "rank", "score", *keep,
-        content_id("taxonomy_candidate_", [F.col("entity_path"), F.col("attribute_name"), F.col("code_value"), F.col("code")], 20).alias("candidate_id"),
-    )
+    return _first_codes(rows.where(F.col("_class") != "").select("*", F.inline(bonuses)), ["node_kind"], k).drop("rank")
 
 
-def _first_codes(candidates: DataFrame, groups: Sequence[str], k: int) -> DataFrame:
-    """The ``k`` best codes of each group, each (path, attribute, code) once with its best score."""
-    code = F.coalesce("code", F.lit(""))
+def _first_codes(candidates: DataFrame, groups: Sequence[str], k: int, times: int | None = None) -> DataFrame:
+    """The ``k`` best codes of each group, each (path, attribute, code) once with its best score.
+
+    ``times``: how often a code can occur in a group. It allows to cut each group before codes are merged.
+    """
+    order = [F.desc("score"), "entity_path", "attribute_name", "code_value", F.coalesce("code", F.lit(""))]
+    first = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    if times is not None and k * times <= 1000:
+        candidates = candidates.withColumn("_r", first).where(F.col("_r") <= k * times).drop("_r")
     best = candidates.groupBy(*groups, "entity_path", "attribute_name", "code").agg(
         F.min(F.struct((-F.col("score")).alias("_s"), "code_value", "entity_name")).alias("_b")
     )
     flat = best.select(
         *groups, "entity_path", "attribute_name", "code", "_b.code_value", "_b.entity_name", (-F.col("_b._s")).alias("score")
     )
-    order = [F.desc("score"), "entity_path", "attribute_name", "code_value", code]
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return flat.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return flat.withColumn("rank", first.cast("long")).where(F.col("rank") <= k)
 
 
 def grounded_shortlist(factors: DataFrame, corpus: DataFrame, k: int = GROUNDED_PASSAGES, max_chars: int = GROUNDED_CHARS) -> DataFrame:
