@@ -66,8 +66,14 @@ def normalise_label_ascii(c: Column) -> Column:
 
 def tokens(c: Column, min_len: int = 3, stop: Iterable[str] = TAXONOMY_STOP_WORDS) -> Column:
     """Distinct words of at least ``min_len`` characters without stop words."""
-    words = F.filter(F.split(normalise_label(c), " "), lambda w: F.length(w) >= min_len)
-    return F.array_except(F.array_distinct(words), F.array(*[F.lit(s) for s in stop]))
+    return label_tokens(normalise_label(c), min_len, stop)
+
+
+def label_tokens(label: Column, min_len: int = 3, stop: Iterable[str] = TAXONOMY_STOP_WORDS) -> Column:
+    """``tokens`` of a text that is already a normalised label."""
+    words = F.array_distinct(F.filter(F.split(label, " "), lambda w: F.length(w) >= min_len))
+    listed = [F.lit(s) for s in stop]
+    return F.array_except(words, F.array(*listed)) if listed else words
 
 
 def page_label(start: Column, end: Column) -> Column:

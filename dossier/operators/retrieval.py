@@ -15,13 +15,14 @@ from dossier.functions.text import (
     TAXONOMY_STOP_WORDS,
     clean,
     content_id,
+    label_tokens,
     normalise_label,
     page_label,
     tokens,
 )
 from dossier.plans.containment import containing
 from dossier.plans.durable import durable
-from dossier.plans.sizing import checked_broadcast, spread_small
+from dossier.plans.sizing import checked_broadcast, spread_by, spread_small
 
 # Budgets of the two retrievals and of the whole-scope mode.
 QUESTION_PASSAGES, QUESTION_CHARS = 40, 60_000
@@ -180,13 +181,11 @@ def lexical_scores(
     terms = durable(_query_terms(queries, expansions, stop))
     keys = ["passage_id", "document_id", "passage_order", "chars"]
     text = passages.withColumn("chars", F.length("passage_text").cast("long")).select(
-        *keys, *(["package_id"] if excluded is not None else []), "passage_text"
+        *keys, *(["package_id"] if excluded is not None else []), normalise_label(F.col("passage_text")).alias("_norm")
     )
     if terms.select("query_id").distinct().count() > MANY_QUERIES:
-        text = text.repartition("passage_id")
-    spread = text.withColumns(
-        {"_norm": normalise_label(F.col("passage_text")), "term": F.explode(tokens(F.col("passage_text"), 3, stop))}
-    ).drop("passage_text")
+        text = spread_by(text, "passage_id")
+    spread = text.withColumn("term", F.explode(label_tokens(F.col("_norm"), 3, stop)))
     matched = spread.join(checked_broadcast(terms), "term")
     if excluded is not None:
         matched = matched.join(checked_broadcast(excluded.select("query_id", "package_id").distinct()), ["query_id", "package_id"], "left_anti")
@@ -390,7 +389,7 @@ def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:
     gathered without shuffling the matches; the matches of one passage are bounded by the terms of the query.
     """
     keys = ["query_id", "package_id", "document_id", "passage_id"]
-    matches = role_matches(passages.select("package_id", "document_id", "passage_id", "passage_text").repartition("passage_id"), terms)
+    matches = role_matches(spread_by(passages.select("package_id", "document_id", "passage_id", "passage_text"), "passage_id"), terms)
     per_passage = durable(
         matches.groupBy(*keys).agg(
             F.collect_set("role").alias("_roles"),
@@ -583,8 +582,8 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
     )
     # Nodes of one kind with the same text share one result.
     unique = spread_small(texts.select("_key", "node_kind", "_text").distinct()).withColumn("_words", tokens(F.col("_text")))
-    phrases = _matched_phrases(unique, rows)
-    attributes = _matched_attributes(unique, rows)
+    phrases = durable(_matched_phrases(unique, rows).select("_key", "node_kind", "_words", "_phrase", "_rows", "_points"))
+    attributes = durable(_matched_attributes(unique, rows).select("_key", "node_kind", "_attribute", "_points"))
     bound = (
         phrases.select("_key", "_points", F.when(F.col("_rows") >= k, F.col("_points")).alias("_sure"), F.lit(0).cast("long").alias("_attribute_points"))
         .unionByName(attributes.select("_key", F.lit(0).cast("long").alias("_points"), F.lit(None).cast("long").alias("_sure"), F.col("_points").alias("_attribute_points")))
@@ -600,14 +599,13 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
     bonus = F.lit(0)
     for kind, (letter, value) in TAXONOMY_BONUS.items():
         bonus = F.when((F.col("node_kind") == kind) & F.contains("_class", F.lit(letter)), F.lit(value)).otherwise(bonus)
-    shared = 6 * F.size(F.array_intersect("_words", tokens(F.col("_attribute"))))
-    by_phrase = kept.join(checked_broadcast(_first_rows(rows, ["_phrase", "_attribute", "_class"], k)), "_phrase").withColumn(
-        "score", (F.col("_points") + shared + bonus).cast("long")
-    )
-    by_attribute = attributes.join(checked_broadcast(_first_rows(rows, ["_attribute", "_class"], k)), "_attribute").withColumn(
+    listed = durable(_first_rows(rows, ["_phrase", "_attribute", "_class"], k).withColumn("_attribute_words", tokens(F.col("_attribute"))))
+    shared = 6 * F.size(F.array_intersect("_words", "_attribute_words"))
+    by_phrase = kept.join(checked_broadcast(listed), "_phrase").withColumn("score", (F.col("_points") + shared + bonus).cast("long"))
+    by_attribute = attributes.join(checked_broadcast(durable(_first_rows(rows, ["_attribute", "_class"], k))), "_attribute").withColumn(
         "score", (F.col("_points") + bonus).cast("long")
     )
-    by_class = unique.join(checked_broadcast(_bonus_rows(rows, k)), "node_kind")
+    by_class = unique.join(checked_broadcast(durable(_bonus_rows(rows, k))), "node_kind")
     columns = ["_key", "score", *keep]
     candidates = by_phrase.select(*columns).unionByName(by_attribute.select(*columns)).unionByName(by_class.select(*columns))
     # A code is found at most once by attribute, once by class and once per value by phrase.

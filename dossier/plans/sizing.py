@@ -44,3 +44,13 @@ def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     if int(str(size)) > max_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys for work that costs more than its bytes suggest.
+
+    The number of partitions is given, because adaptive execution would merge small partitions of long work.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)

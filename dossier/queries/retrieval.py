@@ -173,7 +173,7 @@ def _word_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || item_id AS query_id, ['FOLLOWED_BY', 'CONTRIBUTED_TO'][item_id % 2 + 1] AS relationship,
-        ['SUBJECT_FACTOR', 'OBJECT_EVENT'][pos % 2 + 1] AS role, w AS term FROM words),
+        ['SUBJECT_FACTOR', 'OBJECT_EVENT'][pos % 2 + 1] AS role, w AS term FROM words WHERE length(w) >= 4),
     cues(relationship, cue, direction) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in CUES)}),
     sentences AS (SELECT passage_id, document_id, pos - 1 AS sentence_index, s AS evidence_text, ' ' || {norm_sql('s')} || ' ' AS n FROM (SELECT passage_id, document_id,
         unnest(string_split(regexp_replace(passage_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s,
@@ -190,14 +190,15 @@ def _word_terms(spark: SparkSession, d: str) -> DataFrame:
     "passages",
 )
 def governed_relationships(spark: SparkSession, d: str) -> DataFrame:
-    words = _word_terms(spark, d)
+    """Words of at least four letters are the subject and object terms."""
+    words = _word_terms(spark, d).where("length(w) >= 4")
     queries = B.table(spark, d, "benchmark").selectExpr("concat('q', item_id) AS query_id", "element_at(array('FOLLOWED_BY', 'CONTRIBUTED_TO'), cast(item_id % 2 + 1 AS int)) AS relationship")
     terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT'), cast((pos + 1) % 2 + 1 AS int)) AS role", "w AS term").distinct()
     return R.governed_relationship_query(B.passages(spark, d), queries, terms, CUES).drop("document_id", "evidence_text")
 
 
 _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_id, ['SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'][a.pos % 3 + 1] AS role,
-        CASE WHEN a.pos % 3 = 2 AND b.w IS NOT NULL THEN a.w || ' ' || b.w ELSE a.w END AS term FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1),
+        CASE WHEN a.pos % 3 = 2 AND b.w IS NOT NULL THEN a.w || ' ' || b.w ELSE a.w END AS term FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 WHERE length(a.w) >= 6),
     matches AS (SELECT DISTINCT query_id, role, term, package_id, passage_id FROM (SELECT package_id, passage_id, ' ' || n || ' ' AS n, unnest(list_distinct(string_split(n, ' '))) AS w
         FROM (SELECT package_id, passage_id, {norm_sql('passage_text')} AS n FROM passages)) p JOIN terms t ON split_part(t.term, ' ', 1) = p.w WHERE contains(p.n, ' ' || t.term || ' ')),
     complete AS (SELECT query_id, package_id, roles FROM (SELECT query_id, package_id, count(DISTINCT role) AS n FROM matches GROUP BY 1, 2) JOIN (SELECT query_id, count(DISTINCT role) AS roles FROM terms GROUP BY 1) USING (query_id) WHERE n = roles)"""
@@ -209,7 +210,8 @@ _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_
     "passages",
 )
 def role_coverage(spark: SparkSession, d: str) -> DataFrame:
-    words = _word_terms(spark, d)
+    """Words of at least six letters are the terms of the roles; the third role has pairs of words."""
+    words = _word_terms(spark, d).where("length(w) >= 6")
     pair = "CASE WHEN (pos + 1) % 3 = 2 AND pos + 1 < size(ws) THEN concat(w, ' ', ws[pos + 1]) ELSE w END AS term"
     terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'), cast((pos + 1) % 3 + 1 AS int)) AS role", pair).distinct()
     return R.role_coverage_retrieve(B.passages(spark, d), terms).drop("document_id")
