@@ -129,7 +129,7 @@ def query_terms(concepts: DataFrame, normalisations: DataFrame) -> DataFrame:
 
 def _query_terms(queries: DataFrame, expansions: DataFrame | None, stop: Sequence[str]) -> DataFrame:
     """(query_id, term, expanded, phrase): the phrase of a query stands on its longest term only."""
-    asked = queries.select(
+    asked = durable(queries).select(
         "query_id", tokens(F.col("query_text"), 3, stop).alias("_t"), normalise_label(F.col("query_text")).alias("_phrase")
     ).withColumn("_anchor", F.array_max(F.transform("_t", lambda t: F.struct(F.length(t).alias("n"), t.alias("term")))))
     own = asked.select("query_id", "_phrase", "_anchor", F.explode("_t").alias("term")).select(
@@ -140,10 +140,12 @@ def _query_terms(queries: DataFrame, expansions: DataFrame | None, stop: Sequenc
         F.when(F.col("term") == F.col("_anchor.term"), F.col("_phrase")).alias("_phrase"),
     )
     if expansions is None:
-        return own
-    wide = expansions.select(
-        normalise_label(F.col("term")).alias("_from"), F.explode(tokens(F.col("expansion"), 3, stop)).alias("term")
-    ).distinct()
+        return durable(own)
+    wide = durable(
+        expansions.select(
+            normalise_label(F.col("term")).alias("_from"), F.explode(tokens(F.col("expansion"), 3, stop)).alias("term")
+        ).distinct()
+    )
     # An expansion is active when every word of the expanded expression occurs in the query.
     needed = wide.select("_from", F.explode(tokens(F.col("_from"), 1, ())).alias("_word")).distinct()
     sizes = needed.groupBy("_from").agg(F.count(F.lit(1)).alias("_need"))
@@ -160,7 +162,7 @@ def _query_terms(queries: DataFrame, expansions: DataFrame | None, stop: Sequenc
     added = added.join(own.select("query_id", "term"), ["query_id", "term"], "left_anti").select(
         "query_id", "term", F.lit(True).alias("expanded"), F.lit(None).cast("string").alias("_phrase")
     )
-    return own.unionByName(added)
+    return durable(own.unionByName(added))
 
 
 def lexical_scores(
@@ -178,7 +180,10 @@ def lexical_scores(
     ranked without being shuffled themselves. ``excluded``: query_id, package_id of packages that a query
     must not find.
     """
-    terms = durable(_query_terms(queries, expansions, stop))
+    return _pair_scores(passages, _query_terms(queries, expansions, stop), stop, excluded)
+
+
+def _pair_scores(passages: DataFrame, terms: DataFrame, stop: Sequence[str], excluded: DataFrame | None) -> DataFrame:
     keys = ["passage_id", "document_id", "passage_order", "chars"]
     text = passages.withColumn("chars", F.length("passage_text").cast("long")).select(
         *keys, *(["package_id"] if excluded is not None else []), normalise_label(F.col("passage_text")).alias("_norm")
@@ -209,7 +214,8 @@ def lexical_retrieve(
     task before the shuffle, so a query that matches a large part of the corpus moves only ``k`` rows per task.
     The matched terms are looked up for the selected passages only.
     """
-    scored = lexical_scores(passages, queries, expansions, stop, excluded)
+    terms = _query_terms(queries, expansions, stop)
+    scored = _pair_scores(passages, terms, stop, excluded)
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(
         F.col("rank") <= k
@@ -218,7 +224,7 @@ def lexical_retrieve(
     kept = ranked.withColumn("cumulative_chars", F.sum("chars").over(running)).where(F.col("cumulative_chars") <= max_chars)
     hits = durable(kept)
     # Terms per query are bounded by the query and its active expansions.
-    listed = _query_terms(queries, expansions, stop).groupBy("query_id").agg(
+    listed = terms.groupBy("query_id").agg(
         F.collect_set(F.when(~F.col("expanded"), F.col("term"))).alias("_own"), F.collect_set(F.when(F.col("expanded"), F.col("term"))).alias("_wide")
     )
     found = (
