@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, licences, sharding, urls
+from dossier.llm import bpe, decontamination, jaccard, licences, pii, quality, sharding, substrings, urls
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,18 @@ FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path
 """
 
 
+@query()
+def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query(URL_SQL)
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -107,6 +119,41 @@ def op6_licence_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(table(spark, folder, "documents"))
 
 
+REPEATS_SQL = """
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM split),
+seen AS (SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS run FROM starts),
+firsts AS (SELECT run, min(doc_id) AS first FROM seen GROUP BY run),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place FROM seen JOIN firsts USING (run) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(place) AS gone FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT s.doc_id, words, list_filter(range(1, len(words) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)) AS kept
+  FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(kept, lambda i: words[i]), ' ')) AS kept_sha256
+FROM kept
+"""
+
+
+@query(REPEATS_SQL)
+def op7_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.joined(table(spark, folder, "documents"))
+
+
 @query()
 def op9_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
+
+
+@query()
+def op10_disclosed_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.with_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256"), pii.written(pii.all_spans()).alias("spans"))

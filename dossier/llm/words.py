@@ -15,6 +15,10 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII characters but digits and letters part words, for texts that are compared without punctuation.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _TAIL = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,8 +73,8 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.fill_null("")
 
 
-def words(texts: pa.Array, begin: int = 0, stop: int | None = None, lower: bool = False) -> Words:
-    """The words of rows ``begin`` to ``stop`` of ``plain`` texts; ``lower`` folds A to Z."""
+def words(texts: pa.Array, begin: int = 0, stop: int | None = None, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """The words of rows ``begin`` to ``stop`` of ``plain`` texts; ``lower`` folds A to Z, ``apart`` tells what parts words."""
     offsets = _offsets(texts)[begin : (len(texts) if stop is None else stop) + 1]
     data = texts.buffers()[2]
     size = int(offsets[-1] - offsets[0])
@@ -81,7 +85,7 @@ def words(texts: pa.Array, begin: int = 0, stop: int | None = None, lower: bool
         buffer = _LOWER[buffer]
     offsets = offsets - offsets[0]
     inside = np.zeros(size + 1, dtype=bool)
-    inside[:size] = ~_SPACE[buffer[:size]]
+    inside[:size] = ~apart[buffer[:size]]
     edge = np.zeros(size + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(size + 1, dtype=bool)
