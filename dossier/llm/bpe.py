@@ -14,7 +14,6 @@ comes out for each row that goes in.
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
 import json
@@ -159,30 +158,16 @@ def tokenizer(path: str) -> BytePairs:
     return BytePairs(path)
 
 
-def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, unless left out, the ids and the text decoded from them."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): the ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
         for batch in batches:
-            ids, texts = [], []
-            counts, id_digests, text_digests = [], [], []
-            for text in batch.column(1):
-                found = model.encode(text.as_py() or "")
-                back = model.decode(found)
-                counts.append(len(found) // 4)
-                id_digests.append(hashlib.sha256(found).hexdigest())
-                text_digests.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-                if with_ids:
-                    ids.append(np.frombuffer(found, dtype="<u4").astype(np.int32))
-                    texts.append(back)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            ids = [model.encode(text.as_py() or "") for text in batch.column(1)]
+            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+            texts = pa.array(map(model.decode, ids), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary()), texts], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")

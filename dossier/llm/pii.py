@@ -188,44 +188,49 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     ).select("_id", "_key", "start", "kind", "end")
 
 
-def with_spans(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``term_spans``, arrays of (start, kind, end)."""
+def _found(docs: DataFrame, support: int) -> DataFrame:
+    """(row, text, base_spans, term_spans): each row of ``docs`` as a struct, so that no name of its columns clashes."""
     by_row = disclosing(docs, support).groupBy("_id", "_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("_terms"))
-    text = docs.drop("base_spans", "term_spans").withColumn("_text", F.coalesce("text", F.lit("")))
-    joined = text.withColumns({"_id2": F.col("doc_id"), "_key2": F.xxhash64("_text")}).join(
-        checked_broadcast(by_row), F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")), "left"
-    )
-    base = _spans(_by_kind(F.col("_text")))
-    return joined.withColumns({"base_spans": base, "term_spans": F.coalesce("_terms", F.array().cast(f"array<{SPAN}>"))}).drop("_text", "_id2", "_key2", "_id", "_key", "_terms")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), text.alias("text"), F.xxhash64(text).alias("_hash"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key"))
+    joined = rows.join(checked_broadcast(by_row), same, "left")
+    terms = F.coalesce("_terms", F.array().cast(f"array<{SPAN}>"))
+    return joined.select("row", "text", _spans(_by_kind(F.col("text"))).alias("base_spans"), terms.alias("term_spans"))
+
+
+def with_spans(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``docs`` with ``base_spans`` and ``term_spans``, arrays of (start, kind, end); columns of these names are replaced."""
+    return _found(docs.drop("base_spans", "term_spans"), support).select("row.*", "base_spans", "term_spans")
 
 
 def all_spans() -> Column:
     return F.array_sort(F.concat("base_spans", "term_spans"))
 
 
-def _replacement(text: Column, span: Column) -> Column:
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[WORD]"), F.lit(""))
-    return F.get(names, span["kind"])
+def _merged(spans: Column) -> Column:
+    """Spans without overlaps: overlapping ones become one, of the kind that starts first."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        overlaps = (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"])
+        return F.when(overlaps, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.array_append(done, s))
+
+    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
 
 
 def sanitised(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``docs`` with base spans replaced by their kind, disclosing terms generalised or removed, and n_chars kept true."""
-    spans = F.col("_merged")
-    found = with_spans(docs, support).withColumn("_all", all_spans())
-    # overlapping spans become one, which the first names
-    merged = F.aggregate(
-        "_all", F.array().cast(f"array<{SPAN}>"),
-        lambda done, s: F.when((F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.element_at(done, -1)["kind"].alias("kind"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))
-        ).otherwise(F.array_append(done, s)),
-    )
-    found = found.withColumn("_merged", merged)
-    gap_from = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-    gap_to = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length("text")))
+    found = _found(docs, support).withColumn("spans", _merged(all_spans()))
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[WORD]"), F.lit(""))
+    gap_from = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    gap_to = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("text")))
     gaps = F.zip_with(gap_from, gap_to, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    with_marks = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.transform(spans, lambda s: _replacement(F.col("text"), s)), F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
-    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(with_marks)
-    result = found.withColumn("text", text).drop("_all", "_merged", "base_spans", "term_spans")
-    if "n_chars" in result.columns:
-        result = result.withColumn("n_chars", F.length("text").cast("long"))
-    return result.select(*docs.columns)
+    instead = F.concat(F.transform("spans", lambda s: F.get(marks, s["kind"])), F.array(F.lit("")))
+    changed = F.array_join(F.flatten(F.zip_with(gaps, instead, lambda gap, mark: F.array(gap, mark))), "")
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(changed)
+    columns = {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

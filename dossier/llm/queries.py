@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, jaccard, licences, pii, quality, sharding, substrings, urls
+from dossier.llm import bpe, decontamination, jaccard, licences, pii, quality, sharding, substrings, urls, vectors
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,7 +33,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def url_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")) for rule, verdict in URL_RULES])
+    return spark.range(1).select(F.inline(pairs))
+
+
+@query()
+def op3_sorted_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
 URL_SQL = r"""
@@ -149,7 +155,8 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op9_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
+    found = bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query()
