@@ -165,7 +165,6 @@ LANGUAGE_WORDS = {
     "nl": ("de", "het", "een", "van", "en", "dat", "niet", "zijn", "met", "voor", "op", "aan", "ook", "bij", "naar", "uit", "wordt", "om"),
     "pt": ("o", "os", "as", "da", "do", "que", "em", "um", "uma", "para", "com", "não", "por", "mais", "das", "dos", "ao", "na"),
 }
-LANGUAGE_MIN_CHARS = 80
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -174,7 +173,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def detect_language(c: Column) -> Column:
-    """Language with most function words in the whole text; UNKNOWN for short texts and texts without any."""
+    """Language with most function words in the whole text; UNKNOWN for texts without any."""
 
     def best(words: Column) -> Column:
         scores = [
@@ -183,9 +182,7 @@ def detect_language(c: Column) -> Column:
         ]
         return F.array_max(F.array(*scores))
 
-    short = F.length(normalise_text(c)) < LANGUAGE_MIN_CHARS
-    found = once(
+    return once(
         once(F.split(normalise_label(c), " "), best),
         lambda b: F.when(b["hits"] > 0, b["language"]).otherwise(F.lit("UNKNOWN")),
     )
-    return F.when(short, F.lit("UNKNOWN")).otherwise(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import schemas as S
@@ -109,6 +109,12 @@ def _concept_labels(concepts: DataFrame) -> DataFrame:
     return concepts.where(F.col("node_kind").isin(*S.FOCUS_ORDER))
 
 
+def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_text, needle) of the distinct texts that contain a wanted needle. Equal texts are read once."""
+    named = texts.select("_text").distinct().withColumn("_key", F.sha2("_text", 256))
+    return containing(named, ["_key"], "_text", wanted, "needle")
+
+
 def alert_relevance(alerts: DataFrame, concepts: DataFrame, text: str = "headline_full") -> DataFrame:
     """(analysis_id, alert_id, relevance): 3 per concept phrase and 1 per concept word found in an alert.
 
@@ -130,7 +136,7 @@ def alert_relevance(alerts: DataFrame, concepts: DataFrame, text: str = "headlin
     # Needles shared by several analyses are searched once, and equal texts are read once.
     wanted = phrases.unionByName(terms).groupBy("analysis_id", "needle").agg(F.sum("points").alias("points"))
     texts = alerts.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), "alert_id").distinct()
-    found = containing(texts.select("_text").distinct(), "_text", wanted.select("needle").distinct(), "needle")
+    found = _held(texts, wanted)
     return (
         found.join(texts, "_text")
         .select("alert_id", "needle")
@@ -140,19 +146,18 @@ def alert_relevance(alerts: DataFrame, concepts: DataFrame, text: str = "headlin
     )
 
 
-def related_concepts(alerts: DataFrame, concepts: DataFrame, text: str = "headline_full", limit: int = 20) -> DataFrame:
+def related_concepts(alerts: DataFrame, concepts: DataFrame, text: str = "headline_full") -> DataFrame:
     """(analysis_id, alert_id, label): concept labels found in an alert as whole words.
 
-    The first ``limit`` labels of each analysis by graph order (column position) are screened, each spelling
-    once and only labels of at least four characters.
+    All labels of each analysis are screened, each spelling once, named by its first occurrence in graph order
+    (column position).
     """
     squeezed = F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"\s+", " "))
-    labels = _concept_labels(concepts).select("analysis_id", "position", squeezed.alias("label")).where(F.length("label") >= 4)
+    labels = _concept_labels(concepts).select("analysis_id", "position", squeezed.alias("label")).where(F.length("label") > 0)
     first = labels.groupBy("analysis_id", F.lower("label").alias("needle")).agg(F.min(F.struct("position", "label")).alias("_f"))
-    rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy("_f.position", "needle"))
-    wanted = first.withColumn("_r", rank).where(F.col("_r") <= limit).select("analysis_id", "needle", F.col("_f.label").alias("label"))
+    wanted = first.select("analysis_id", "needle", F.col("_f.label").alias("label"))
     texts = alerts.select(F.coalesce(F.col(text), F.lit("")).alias("_raw"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), "alert_id").distinct()
-    found = containing(texts.select("_text").distinct(), "_text", wanted.select("needle").distinct(), "needle")
+    found = _held(texts, wanted)
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(F.col("needle"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
     whole = found.where(F.rlike(F.col("_text"), quoted))
     return whole.join(texts, "_text").select("alert_id", "needle").distinct().join(wanted, "needle").select("analysis_id", "alert_id", "label")

@@ -252,14 +252,6 @@ def dedupe_catalogue(catalogue: DataFrame) -> DataFrame:
     return best.select("_b.row.*").unionByName(catalogue.where(_sha("sha256") == ""))
 
 
-def catalogue_order(catalogue: DataFrame) -> DataFrame:
-    """Canonical entries first, then by title or file name."""
-    owner = F.when(F.col("source_managed_by") == S.CANONICAL_OWNER, 0).otherwise(1)
-    return catalogue.orderBy(
-        owner, F.lower(F.coalesce("report_title", "filename", F.lit(""))), F.lower(F.coalesce("filename", F.lit("")))
-    )
-
-
 def filter_catalogue(catalogue: DataFrame, information_class: str) -> DataFrame:
     """Entries an analysis of this class may use: owned by the right layer, or a reviewed derivative of the class."""
     wanted = str(information_class or "").strip().upper()

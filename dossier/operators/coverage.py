@@ -387,8 +387,3 @@ def references_for(items: DataFrame, passages: DataFrame, documents: DataFrame)
         F.concat_ws(" · ", F.coalesce("filename", fallback), page_label(F.col("page_start"), F.col("page_end"))).alias("evidence_reference"),
         format_location(F.col("document_id"), F.col("page_start"), F.col("page_end")).alias("evidence_location"),
     )
-
-
-def evidence_lists(evidence: DataFrame, key: str) -> DataFrame:
-    """Sorted passage ids per item as an array, for items known to have few passages."""
-    return evidence.groupBy(key).agg(F.array_sort(F.collect_set("passage_id")).alias("passage_ids"))

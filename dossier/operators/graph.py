@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import schemas as S
+from dossier.sources.tables import write_new
 
 # Node id prefixes of a published graph and the kind they mean.
 ID_PREFIX_KINDS = (("occ_", "Occurrence"), ("ves_", "Vessel"), ("cf_", "ContributingFactor"), ("evt_", "Event"))
@@ -46,29 +47,38 @@ def mapping_strings(mappings: DataFrame, status: str = "ASSISTANT_VALIDATED") ->
 
 
 def publish_nodes(nodes: DataFrame, dispositions: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Nodes with their kind, mapping disposition and number of validated mappings."""
+    """Nodes with their kind, mapping disposition, and the number and texts of their validated mappings.
+
+    The texts of a node are bounded by the entities, attributes and values of the registry.
+    """
     kind = F.when(F.lit(False), F.lit(""))
     for prefix, value in ID_PREFIX_KINDS:
         kind = kind.when(F.startswith("node_id", F.lit(prefix)), F.lit(value))
-    counted = mapping_strings(mappings).groupBy("node_id").agg(F.sum("times").cast("long").alias("mappings"))
+    counted = mapping_strings(mappings).groupBy("node_id").agg(
+        F.sum("times").cast("long").alias("mappings"), F.array_join(F.array_sort(F.collect_set("mapping")), " | ").alias("mapping_texts")
+    )
     return (
         nodes.join(dispositions, "node_id", "left")
         .join(counted, "node_id", "left")
         .withColumn("node_kind", kind.otherwise(F.lit("Concept")))
         .withColumn("mappings", F.coalesce("mappings", F.lit(0)).cast("long"))
+        .withColumn("mapping_texts", F.coalesce("mapping_texts", F.lit("")))
     )
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, partition_by: str = "analysis_id") -> tuple[str, str]:
-    """Publish both tables as new versions, partitioned by analysis."""
-    from dossier.sources.tables import write_version
-
-    return (
-        write_version(nodes, f"{path}/nodes", [partition_by]),
-        write_version(edges, f"{path}/edges", [partition_by]),
+def publish_edges(edges: DataFrame) -> DataFrame:
+    """Edges as they are published: ends, relationship, class, status, and the anchor and text of their evidence."""
+    return edges.select(
+        "analysis_id", "edge_id", "source_node_id", "target_node_id", "relationship", "edge_class", "evidence_status",
+        "evidence_anchor", "passage_text",
     )
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, partition_by: str = "analysis_id") -> tuple[str, str]:
+    """Publish both tables below a new folder, partitioned by analysis."""
+    return write_new(nodes, f"{path}/nodes", [partition_by]), write_new(edges, f"{path}/edges", [partition_by])
+
+
 def _scoped(items: DataFrame, documents: str, scope: DataFrame) -> DataFrame:
     """Items whose evidence documents meet the selected documents of their analysis; no selection means all."""
     exploded = items.select("*", F.explode(documents).alias("document_id"))

@@ -22,17 +22,10 @@ from dossier.functions.text import (
 )
 from dossier.plans.containment import containing
 from dossier.plans.durable import durable
-from dossier.plans.sizing import checked_broadcast, spread_by, spread_small
+from dossier.plans.sizing import checked_broadcast, spread_by
 
-# Budgets of the two retrievals and of the whole-scope mode.
-QUESTION_PASSAGES, QUESTION_CHARS = 40, 60_000
-CASE_PASSAGES, CASE_CHARS = 120, 180_000
-SCOPE_PASSAGES, SCOPE_CHARS = 80, 120_000
-GROUNDED_PASSAGES, GROUNDED_CHARS = 12, 24_000
 # Weights of a matched query term, a matched expansion term and the whole query found as one phrase.
 TERM_WEIGHT, EXPANSION_WEIGHT, PHRASE_WEIGHT = 10, 4, 20
-# A pair of query and passage takes about a sixteenth of the bytes of a passage in a shuffle.
-MANY_QUERIES = 16
 
 
 # --- scopes ---------------------------------------------------------------------------------------------
@@ -174,41 +167,62 @@ def lexical_scores(
 ) -> DataFrame:
     """Every (query, passage) pair that shares a term, with its score and the passage's order keys.
 
-    ``queries``: query_id, query_text. Passages are tokenised in place and meet the terms of all queries in a
-    broadcast join when the terms are few. A pair is then complete within one task. With many queries there
-    are more pairs than passages; passages are then partitioned by id first, so that the pairs are summed and
-    ranked without being shuffled themselves. ``excluded``: query_id, package_id of packages that a query
-    must not find.
+    ``queries``: query_id, query_text. Passages are tokenised in place and only their ids meet the terms of all
+    queries. The rows of a pair come from one task, which adds them up before they are shuffled. ``excluded``:
+    query_id, package_id of packages that a query must not find.
     """
     return _pair_scores(passages, _query_terms(queries, expansions, stop), stop, excluded)
 
 
-def _pair_scores(passages: DataFrame, terms: DataFrame, stop: Sequence[str], excluded: DataFrame | None) -> DataFrame:
-    keys = ["passage_id", "document_id", "passage_order", "chars"]
-    text = passages.withColumn("chars", F.length("passage_text").cast("long")).select(
-        *keys, *(["package_id"] if excluded is not None else []), normalise_label(F.col("passage_text")).alias("_norm")
-    )
-    if terms.select("query_id").distinct().count() > MANY_QUERIES:
-        text = spread_by(text, "passage_id")
-    spread = text.withColumn("term", F.explode(label_tokens(F.col("_norm"), 3, stop)))
-    matched = spread.join(checked_broadcast(terms), "term")
-    if excluded is not None:
-        matched = matched.join(checked_broadcast(excluded.select("query_id", "package_id").distinct()), ["query_id", "package_id"], "left_anti")
-    whole = F.coalesce(F.contains(F.col("_norm"), F.col("_phrase")), F.lit(False))
-    points = F.when(F.col("expanded"), EXPANSION_WEIGHT).otherwise(TERM_WEIGHT) + F.when(whole, PHRASE_WEIGHT).otherwise(0)
-    return matched.groupBy("query_id", *keys).agg(F.sum(points).cast("long").alias("lexical_score"))
+def _normalised(passages: DataFrame, *keys: str) -> DataFrame:
+    return passages.select("passage_id", *keys, normalise_label(F.col("passage_text")).alias("_norm"))
+
+
+def _phrase_hits(text: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, passage_id) of the passages (passage_id, _norm) that contain a whole query."""
+    phrases = terms.where("_phrase is not null").select("query_id", "_phrase").distinct()
+    held = containing(text.select("passage_id", "_norm"), ["passage_id"], "_norm", phrases, "_phrase")
+    return held.select("passage_id", "_phrase").join(checked_broadcast(phrases), "_phrase").select("query_id", "passage_id")
+
+
+def _pair_scores(
+    passages: DataFrame, terms: DataFrame, stop: Sequence[str], excluded: DataFrame | None, keys: Sequence[str] = ("document_id", "passage_order")
+) -> DataFrame:
+    """Scores of all pairs; terms with a column ``weight`` also add up their weights."""
+    ids = ["passage_id", *keys, "chars"]
+    package = ["package_id"] if excluded is not None and "package_id" not in keys else []
+    text = _normalised(passages.withColumn("chars", F.length("passage_text").cast("long")), *ids[1:], *package)
+    weighted = "weight" in terms.columns
+    wanted = checked_broadcast(terms.select("query_id", "term", "expanded", *(["weight"] if weighted else [])))
+    own = checked_broadcast(excluded.select("query_id", "package_id").distinct()) if excluded is not None else None
+
+    def allowed(rows: DataFrame) -> DataFrame:
+        return rows if own is None else rows.join(own, ["query_id", "package_id"], "left_anti")
+
+    points = F.when(F.col("expanded"), EXPANSION_WEIGHT).otherwise(TERM_WEIGHT)
+    matched = text.select(*ids, *package, F.explode(label_tokens(F.col("_norm"), 3, stop)).alias("term")).join(wanted, "term")
+    weight = F.col("weight") if weighted else F.lit(0)
+    rows = allowed(matched).select("query_id", *ids, points.alias("_points"), weight.alias("_weight"))
+    # A passage that holds the whole query holds its terms as well, so this adds points and no pairs.
+    whole = text.select(*ids, *package).join(checked_broadcast(_phrase_hits(text, terms)), "passage_id")
+    more = allowed(whole).select("query_id", *ids, F.lit(PHRASE_WEIGHT).alias("_points"), F.lit(0).alias("_weight"))
+    sums = rows.unionByName(more).groupBy("query_id", *ids).agg(
+        F.sum("_points").cast("long").alias("lexical_score"), F.sum("_weight").cast("long").alias("term_weight")
+    )
+    return sums if weighted else sums.drop("term_weight")
 
 
 def lexical_retrieve(
     passages: DataFrame,
     queries: DataFrame,
     expansions: DataFrame | None = None,
-    k: int = QUESTION_PASSAGES,
-    max_chars: int = QUESTION_CHARS,
+    *,
+    k: int,
+    max_chars: int | None = None,
     stop: Sequence[str] = TAXONOMY_STOP_WORDS,
     excluded: DataFrame | None = None,
 ) -> DataFrame:
-    """The best passages of each query: rank at most ``k`` and whole passages within the character budget.
+    """The ``k`` best passages of each query; ``max_chars`` ends the list where a prompt has no more room.
 
     ``passages``: document_id, passage_id, passage_order, passage_text and further columns. Ranks are cut per
     task before the shuffle, so a query that matches a large part of the corpus moves only ``k`` rows per task.
@@ -221,7 +235,9 @@ def lexical_retrieve(
         F.col("rank") <= k
     )
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    kept = ranked.withColumn("cumulative_chars", F.sum("chars").over(running)).where(F.col("cumulative_chars") <= max_chars)
+    kept = ranked.withColumn("cumulative_chars", F.sum("chars").over(running))
+    if max_chars is not None:
+        kept = kept.where(F.col("cumulative_chars") <= max_chars)
     hits = durable(kept)
     # Terms per query are bounded by the query and its active expansions.
     listed = terms.groupBy("query_id").agg(
@@ -253,21 +269,28 @@ def retrieval_summary(queries: DataFrame, scores: DataFrame, hits: DataFrame) ->
     )
 
 
-def choose_retrieval_mode(runs: DataFrame, scoped: DataFrame, hits: DataFrame) -> DataFrame:
-    """How each run obtains its passages.
+def scope_sizes(scopes: DataFrame, passages: DataFrame) -> DataFrame:
+    """(run_id, scope_passages, scope_chars): passages are counted per document before they meet the scopes."""
+    counted = passages.groupBy("analysis_id", "document_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.length("passage_text")).cast("long").alias("_chars")
+    )
+    return scopes.join(counted, ["analysis_id", "document_id"]).groupBy("run_id").agg(
+        F.sum("_n").alias("scope_passages"), F.sum("_chars").alias("scope_chars")
+    )
+
 
-    ``runs``: run_id, governed_query_id. ``scoped``: run_id, passage_text. ``hits``: run_id.
+def choose_retrieval_mode(runs: DataFrame, sizes: DataFrame, hits: DataFrame) -> DataFrame:
+    """How each run obtains its passages: by its governed query or its policy (ALL reads the whole scope), whatever its size.
+
+    ``runs``: run_id, governed_query_id, retrieval_policy. ``sizes``: see ``scope_sizes``. ``hits``: run_id.
     """
-    size = scoped.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("scope_passages"), F.sum(F.length("passage_text")).cast("long").alias("scope_chars")
-    )
     found = hits.groupBy("run_id").agg(F.count(F.lit(1)).alias("hit_count"))
-    joined = runs.join(size, "run_id", "left").join(found, "run_id", "left")
+    joined = runs.join(sizes, "run_id", "left").join(found, "run_id", "left")
     n, chars = F.coalesce("scope_passages", F.lit(0)), F.coalesce("scope_chars", F.lit(0))
     mode = (
         F.when(n == 0, F.lit("NO_PASSAGES_IN_SCOPE"))
         .when(F.length(F.coalesce("governed_query_id", F.lit(""))) > 0, F.lit("GOVERNED_QUERY"))
-        .when((n <= SCOPE_PASSAGES) & (chars <= SCOPE_CHARS), F.lit("ALL_SCOPED_PASSAGES"))
+        .when(F.col("retrieval_policy") == "ALL", F.lit("ALL_SCOPED_PASSAGES"))
         .when(F.coalesce("hit_count", F.lit(0)) > 0, F.lit("LEXICAL"))
         .otherwise(F.lit("DETERMINISTIC_NO_SUPPORT"))
     )
@@ -277,7 +300,7 @@ def choose_retrieval_mode(runs: DataFrame, scoped: DataFrame, hits: DataFrame) -
 def retrieval_snapshot(hits: DataFrame, keys: Sequence[str], prefix: str = "snapshot_") -> DataFrame:
     """One frozen id per retrieval: hash of the run keys and the ``passage_id|text_sha256`` lines in passage order.
 
-    The input is the result of a budgeted retrieval, so each group has at most as many rows as the budget.
+    The input is the result of a retrieval of the ``k`` best passages, so a group has at most ``k`` rows.
     """
     line = F.struct("package_id", "document_id", "passage_order", "passage_id", "text_sha256")
     lines = F.transform(F.array_sort(F.collect_list(line)), lambda h: F.concat_ws("|", h["passage_id"], h["text_sha256"]))
@@ -304,59 +327,70 @@ RELATION_CUES = (
 )
 
 
+def _sentences(passages: DataFrame) -> DataFrame:
+    return passages.select(
+        "passage_id", "document_id", F.posexplode(F.split(F.col("passage_text"), r"(?<=[.!?])\s+")).alias("sentence_index", "evidence_text")
+    )
+
+
+def _runs(words: Column, size: int) -> Column:
+    """(at, run): all runs of ``size`` words with the place of their first word."""
+    last = F.size(words) - size + 1
+    places = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i, F.lit(size)), " ").alias("run")))
+
+
+def _word_counts(terms: DataFrame, term: str) -> list[int]:
+    """How many words terms have: as many numbers as there are different lengths of terms."""
+    counted = terms.select(F.size(F.split(term, " ")).alias("n")).distinct()
+    return sorted(r["n"] for r in counted.collect())
+
+
 def governed_relationship_query(
     passages: DataFrame, queries: DataFrame, terms: DataFrame, cues: Sequence[tuple[str, str, str]] = RELATION_CUES
 ) -> DataFrame:
     """Sentences in which a subject term, a relation cue and an object term follow each other.
 
-    ``queries``: query_id, relationship. ``terms``: query_id, role (SUBJECT_FACTOR, OBJECT_EVENT), term. In a
-    sentence the nearest term before the cue and the nearest term after it are taken, so one sentence gives at
-    most one row per query and cue. FORWARD cues read subject - cue - object, REVERSE cues the other way.
+    ``queries``: query_id, relationship. ``terms``: query_id, role (SUBJECT_FACTOR, OBJECT_EVENT), term of any number of words.
+    For every place of a cue the nearest term before it and the nearest term after it are taken (counted in words, then
+    the longer, then the first term), so a place gives at most one row per query. FORWARD cues read subject - cue -
+    object, REVERSE cues the other way. Only ids and places are joined; the sentences are read again for the rows found.
     """
-    sentences = passages.select(
-        "passage_id",
-        "document_id",
-        F.posexplode(F.split(F.col("passage_text"), r"(?<=[.!?])\s+")).alias("sentence_index", "evidence_text"),
-    ).withColumn("_s", F.concat(F.lit(" "), normalise_label(F.col("evidence_text")), F.lit(" ")))
     # Sentences without any cue are dropped before anything is joined.
-    cue_rows = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(r).alias("relationship"), F.lit(c).alias("relation_cue"), F.lit(d).alias("relation_direction"))
-                for r, c, d in cues
-            ]
-        ),
-        lambda c: F.contains(F.col("_s"), F.concat(F.lit(" "), c["relation_cue"], F.lit(" "))),
-    )
-    cued = sentences.select("*", F.inline(cue_rows)).withColumn(
-        "_at", F.instr(F.col("_s"), F.concat(F.lit(" "), F.col("relation_cue"), F.lit(" ")))
-    )
+    words = F.split(normalise_label(F.col("evidence_text")), " ")
+    sentences = _sentences(passages).select("passage_id", "document_id", "sentence_index", words.alias("_w")).where(
+        F.arrays_overlap("_w", F.array(*[F.lit(c.split(" ")[0]) for _, c, _ in cues]))
+    )
+    ids = ["passage_id", "document_id", "sentence_index"]
+    listed = F.array(
+        *[F.struct(F.lit(r).alias("relationship"), F.lit(c).alias("relation_cue"), F.lit(d).alias("relation_direction")) for r, c, d in cues]
+    )
+    sizes = sorted({len(c.split(" ")) for _, c, _ in cues})
+    placed = sentences.select(*ids, F.inline(F.concat(*[_runs(F.col("_w"), n) for n in sizes])))
+    by_cue = placed.join(F.broadcast(_literal(passages, listed)), F.col("run") == F.col("relation_cue")).withColumn(
+        "_end", F.col("at") + F.size(F.split("run", " ")) - 1
+    ).drop("run")
     wanted = terms.join(queries, "query_id").where(F.col("role").isin("SUBJECT_FACTOR", "OBJECT_EVENT")).select(
-        "query_id", "relationship", "role", "term", normalise_label(F.col("term")).alias("_norm")
-    ).where(F.col("_norm") != "").withColumn("_word", F.split_part("_norm", F.lit(" "), F.lit(1)))
-    words = cued.withColumn("_word", F.explode(F.array_distinct(F.split(F.trim("_s"), " "))))
-    found = words.join(checked_broadcast(wanted), ["relationship", "_word"]).withColumn(
-        "_needle", F.concat(F.lit(" "), "_norm", F.lit(" "))
-    )
-    length = F.length("relation_cue") + 1
-    head = F.substring(F.col("_s"), F.lit(1), F.col("_at"))
-    tail = F.substring(F.col("_s"), F.col("_at") + length, F.length("_s"))
+        "query_id", "relationship", "role", "term", normalise_label(F.col("term")).alias("run")
+    ).where(F.col("run") != "").distinct()
+    lengths = _word_counts(wanted, "run") or [1]
+    spread = sentences.select("passage_id", "sentence_index", F.inline(F.concat(*[_runs(F.col("_w"), n) for n in lengths])))
+    found = spread.join(checked_broadcast(wanted), "run").select(
+        "passage_id", "sentence_index", "query_id", "relationship", "role", "term",
+        F.col("at").alias("_from"), (F.col("at") + F.size(F.split("run", " ")) - 1).alias("_to"), F.length("run").alias("_l"),
+    )
     forward = F.col("relation_direction") == "FORWARD"
-    in_head = (forward & (F.col("role") == "SUBJECT_FACTOR")) | (~forward & (F.col("role") == "OBJECT_EVENT"))
-    # Distance between term and cue: characters from the last occurrence to the end of the head, or from the
-    # start of the tail to the first occurrence.
-    distance = F.when(
-        in_head, F.instr(F.reverse(head), F.reverse(F.col("_needle")))
-    ).otherwise(F.instr(tail, F.col("_needle")))
-    placed = found.withColumn("_d", distance).where(F.col("_d") > 0)
-    nearest = F.struct(F.col("_d"), (-F.length("_norm")).alias("_l"), F.col("term"))
-    rows = placed.groupBy(
-        "query_id", "relationship", "passage_id", "document_id", "sentence_index", "evidence_text", "relation_cue", "relation_direction"
-    ).agg(
+    first_role = F.when(forward, F.lit("SUBJECT_FACTOR")).otherwise(F.lit("OBJECT_EVENT"))
+    before = F.when((F.col("role") == first_role) & (F.col("_to") < F.col("at")), F.col("at") - F.col("_to"))
+    after = F.when((F.col("role") != first_role) & (F.col("_from") > F.col("_end")), F.col("_from") - F.col("_end"))
+    met = by_cue.join(found, ["passage_id", "sentence_index", "relationship"]).withColumn("_d", F.coalesce(before, after)).where("_d is not null")
+    nearest = F.struct(F.col("_d"), (-F.col("_l")).alias("_l"), F.col("term"))
+    rows = met.groupBy("query_id", "relationship", *ids, "relation_cue", "relation_direction", F.col("at").alias("cue_position")).agg(
         F.min(F.when(F.col("role") == "SUBJECT_FACTOR", nearest)).alias("_subject"),
         F.min(F.when(F.col("role") == "OBJECT_EVENT", nearest)).alias("_object"),
-    )
-    return rows.where(F.col("_subject").isNotNull() & F.col("_object").isNotNull()).select(
+    ).where(F.col("_subject").isNotNull() & F.col("_object").isNotNull())
+    texts = _sentences(passages).drop("document_id")
+    return texts.join(checked_broadcast(rows), ["passage_id", "sentence_index"]).select(
         "query_id",
         F.col("relationship").alias("requested_relationship"),
         "passage_id",
@@ -364,6 +398,7 @@ def governed_relationship_query(
         F.col("sentence_index").cast("long").alias("sentence_index"),
         F.col("_subject.term").alias("subject_term"),
         "relation_cue",
+        F.col("cue_position").cast("long").alias("cue_position"),
         "relation_direction",
         F.col("_object.term").alias("object_term"),
         "evidence_text",
@@ -371,18 +406,21 @@ def governed_relationship_query(
     )
 
 
+def _literal(df: DataFrame, rows: Column) -> DataFrame:
+    """The structs of a literal array as rows."""
+    return df.sparkSession.range(1).select(F.inline(rows))
+
+
 def role_matches(passages: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, role, term, package_id, document_id, passage_id) for terms found as whole words in a passage."""
-    wanted = terms.select("query_id", "role", "term", normalise_label(F.col("term")).alias("_norm")).where(F.col("_norm") != "").distinct()
-    wanted = wanted.withColumn("_word", F.split_part("_norm", F.lit(" "), F.lit(1)))
-    words = passages.select(
-        "package_id", "document_id", "passage_id", normalise_label(F.col("passage_text")).alias("_text")
-    ).withColumn("_word", F.explode(F.array_distinct(F.split("_text", " "))))
-    spaced = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
-    # Words are distinct per passage and terms distinct per role, so every match occurs once.
+    wanted = terms.select("query_id", "role", "term", normalise_label(F.col("term")).alias("run")).where(F.col("run") != "").distinct()
+    words = passages.select("package_id", "document_id", "passage_id", F.split(normalise_label(F.col("passage_text")), " ").alias("_w"))
+    lengths = _word_counts(wanted, "run") or [1]
+    runs = F.array_distinct(F.concat(*[F.transform(_runs(F.col("_w"), n), lambda r: r["run"]) for n in lengths]))
+    # Runs are distinct per passage and terms distinct per role, so every match occurs once.
     return (
-        words.join(checked_broadcast(wanted), "_word")
-        .where(F.contains(spaced, F.concat(F.lit(" "), F.col("_norm"), F.lit(" "))))
+        words.select("package_id", "document_id", "passage_id", F.explode(runs).alias("run"))
+        .join(checked_broadcast(wanted), "run")
         .select("query_id", "role", "term", "package_id", "document_id", "passage_id")
     )
 
@@ -391,11 +429,10 @@ def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:
     """Matching passages of packages in which every role of the query occurs.
 
     Returns query, package, document, passage, the number of matched roles, whether the passage alone has all
-    roles, and the matched terms as ``role=term`` strings. Passages are partitioned by id, so their matches are
-    gathered without shuffling the matches; the matches of one passage are bounded by the terms of the query.
+    roles, and the matched terms as ``role=term`` strings. The matches of one passage are bounded by the terms of the query.
     """
     keys = ["query_id", "package_id", "document_id", "passage_id"]
-    matches = role_matches(spread_by(passages.select("package_id", "document_id", "passage_id", "passage_text"), "passage_id"), terms)
+    matches = role_matches(passages, terms)
     per_passage = durable(
         matches.groupBy(*keys).agg(
             F.collect_set("role").alias("_roles"),
@@ -428,8 +465,8 @@ def _kind_case(values: dict[str, int], default: int) -> Column:
     return chosen.otherwise(F.lit(default))
 
 
-def focus_concepts(nodes: DataFrame, limit: int = 20) -> DataFrame:
-    """The first ``limit`` concepts of each analysis by kind and label, one per normalised label.
+def focus_concepts(nodes: DataFrame) -> DataFrame:
+    """The concepts of each analysis, one per normalised label, numbered by kind and label.
 
     ``nodes``: analysis_id, node_kind, label. Identities such as vessels and actors are never concepts.
     """
@@ -445,7 +482,7 @@ def focus_concepts(nodes: DataFrame, limit: int = 20) -> DataFrame:
     unique = listed.groupBy("analysis_id", "normalised_label").agg(F.min(F.struct("_order", "label", "node_kind", "weight")).alias("_c"))
     flat = unique.select("analysis_id", "normalised_label", "_c.*")
     rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy("_order", "label", "normalised_label"))
-    return flat.withColumn("position", rank.cast("long")).where(F.col("position") <= limit).drop("_order")
+    return flat.withColumn("position", rank.cast("long")).drop("_order")
 
 
 def term_weights(concepts: DataFrame) -> DataFrame:
@@ -455,57 +492,62 @@ def term_weights(concepts: DataFrame) -> DataFrame:
 
 
 def focus_queries(concepts: DataFrame) -> DataFrame:
-    """One query per analysis: its concept labels in order. An analysis has at most ``limit`` concepts."""
+    """One query per analysis: its concept labels in order."""
     joined = F.transform(F.array_sort(F.collect_list(F.struct("position", "label"))), lambda c: c["label"])
     return concepts.groupBy(F.col("analysis_id").alias("query_id")).agg(F.array_join(joined, " ; ").alias("query_text"))
 
 
-def weighted_hits(hits: DataFrame, passages: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Retrieved passages with the weights of their matched terms and concept phrases.
+def weighted_pairs(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Every (analysis, passage) pair that shares a term, with its lexical score and the weights of its terms.
 
-    Hits are budgeted per analysis and concepts limited, so the concept test stays small. The hits are written
-    once and then find their texts by a broadcast join, so the corpus is read but not shuffled.
+    ``excluded``: query_id (the analysis), package_id. Passages of no package are left out.
     """
-    analysis = F.col("query_id").alias("analysis_id")
-    found = durable(hits.select(analysis, "passage_id", "lexical_score", "matched_query_terms", "matched_expansion_terms"))
-    texts = passages.select("passage_id", "package_id", "document_id", "passage_order", "page_start", "page_end", normalise_label(F.col("passage_text")).alias("_text"))
-    rows = durable(texts.join(checked_broadcast(found), "passage_id").where(F.col("package_id").isNotNull()))
-    weights = term_weights(concepts).withColumnRenamed("weight", "_w")
-    terms = rows.select("analysis_id", "passage_id", F.explode("matched_query_terms").alias("term")).join(weights, ["analysis_id", "term"], "left")
-    term_score = terms.groupBy("analysis_id", "passage_id").agg(F.sum(F.coalesce("_w", F.lit(1))).cast("long").alias("term_weight"))
-    phrases = concepts.select("analysis_id", "normalised_label", "label", F.col("weight").alias("_w"))
-    concept_hits = (
-        rows.select("analysis_id", "passage_id", "_text")
-        .join(phrases, "analysis_id")
-        .where(F.contains(F.col("_text"), F.col("normalised_label")))
-        .groupBy("analysis_id", "passage_id")
-        .agg(F.sum("_w").cast("long").alias("concept_weight"), F.array_sort(F.collect_set("label")).alias("matched_concepts"))
-    )
-    joined = rows.drop("_text").join(term_score, ["analysis_id", "passage_id"], "left").join(concept_hits, ["analysis_id", "passage_id"], "left")
-    zero = F.lit(0).cast("long")
-    return joined.withColumns(
-        {
-            "term_weight": F.coalesce("term_weight", zero),
-            "concept_weight": F.coalesce("concept_weight", zero),
-            "matched_concepts": F.coalesce("matched_concepts", F.array().cast("array<string>")),
-        }
-    ).withColumn("weighted_score", F.col("lexical_score") + 25 * F.col("term_weight") + 40 * F.col("concept_weight"))
-
-
-def similar_cases(weighted: DataFrame, k: int = 5, version: str = "SIMILAR_CASES_1") -> DataFrame:
-    """The ``k`` packages most similar to each analysis."""
-
-    def distinct_sorted(name: str) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
-
-    packages = weighted.groupBy("analysis_id", "package_id").agg(
-        F.sum("lexical_score").alias("total_score"),
-        F.max("lexical_score").alias("max_passage_score"),
-        F.sum("weighted_score").alias("weighted_score"),
-        F.sum("concept_weight").alias("matched_concept_weight"),
-        distinct_sorted("matched_concepts").alias("matched_concepts"),
-        distinct_sorted("matched_query_terms").alias("matched_query_terms"),
-        distinct_sorted("matched_expansion_terms").alias("matched_expansion_terms"),
+    terms = _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS)
+    weights = term_weights(concepts).withColumnRenamed("analysis_id", "query_id")
+    rated = durable(terms.join(weights, ["query_id", "term"], "left").withColumn("weight", F.coalesce("weight", F.lit(1))))
+    keys = ("document_id", "package_id", "passage_order", "page_start", "page_end")
+    return _pair_scores(passages.where(F.col("package_id").isNotNull()), rated, CASE_STOP_WORDS, excluded, keys).withColumnRenamed("query_id", "analysis_id")
+
+
+def concept_hits(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(analysis_id, package_id, passage_id, label, weight): concepts that occur in a passage which shares a term with the analysis."""
+    text = _normalised(passages.where(F.col("package_id").isNotNull()), "package_id")
+    named = concepts.select("analysis_id", "normalised_label", "label", "weight")
+    held = containing(text, ["passage_id"], "_norm", named, "normalised_label")
+    asked = _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS).groupBy(F.col("query_id").alias("analysis_id")).agg(F.collect_list("term").alias("_t"))
+    met = held.join(checked_broadcast(named), "normalised_label").join(checked_broadcast(asked), "analysis_id")
+    shared = met.where(F.arrays_overlap("_t", label_tokens(F.col("_norm"), 3, CASE_STOP_WORDS)))
+    rows = shared.select("analysis_id", "package_id", "passage_id", "label", "weight")
+    if excluded is None:
+        return rows
+    own = excluded.select(F.col("query_id").alias("analysis_id"), "package_id").distinct()
+    return rows.join(checked_broadcast(own), ["analysis_id", "package_id"], "left_anti")
+
+
+def similar_cases(
+    passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None, *, k: int, version: str = "SIMILAR_CASES_1"
+) -> DataFrame:
+    """The ``k`` packages most similar to each analysis, by all passages of the corpus that share a term with it.
+
+    Pairs of analysis and passage are added up per package. Matched terms are counted from the distinct terms of each package and
+    listed for the packages found only.
+    """
+    pair = ["analysis_id", "package_id"]
+    sums = weighted_pairs(passages, concepts, excluded).groupBy(*pair).agg(
+        F.sum("lexical_score").alias("total_score"), F.max("lexical_score").alias("max_passage_score"), F.sum("term_weight").alias("_terms")
+    )
+    by_concept = durable(concept_hits(passages, concepts, excluded)).groupBy(*pair).agg(
+        F.sum("weight").alias("matched_concept_weight"), F.array_sort(F.collect_set("label")).alias("matched_concepts")
+    )
+    terms = _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS).select(F.col("query_id").alias("analysis_id"), "term")
+    held = passages.where(F.col("package_id").isNotNull()).select("package_id", F.explode(tokens(F.col("passage_text"), 3, CASE_STOP_WORDS)).alias("term")).distinct()
+    met = held.join(checked_broadcast(terms), "term")
+    listed = met.groupBy(*pair).agg(F.array_sort(F.collect_list("term")).alias("matched_query_terms"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    packages = sums.join(listed, pair).join(by_concept, pair, "left").select(
+        *pair, "total_score", "max_passage_score", "matched_query_terms", none.alias("matched_expansion_terms"),
+        (F.col("total_score") + 25 * F.col("_terms") + 40 * F.coalesce("matched_concept_weight", zero)).alias("weighted_score"),
+        F.coalesce("matched_concept_weight", zero).alias("matched_concept_weight"), F.coalesce("matched_concepts", none).alias("matched_concepts"),
     )
     order = [
         F.desc("matched_concept_weight"), F.desc(F.size("matched_concepts")), F.desc("weighted_score"),
@@ -519,14 +561,14 @@ def similar_cases(weighted: DataFrame, k: int = 5, version: str = "SIMILAR_CASES
     )
 
 
-def top_evidence(weighted: DataFrame, documents: DataFrame, n: int = 4) -> DataFrame:
+def top_evidence(pairs: DataFrame, documents: DataFrame, *, n: int) -> DataFrame:
     """The best ``n`` passages of each (analysis, package) with reference and location.
 
-    ``documents``: document_id, filename.
+    ``pairs``: see ``weighted_pairs``. ``documents``: document_id, filename.
     """
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
     rank = F.row_number().over(Window.partitionBy("analysis_id", "package_id").orderBy(*order))
-    best = weighted.withColumn("evidence_rank", rank.cast("long")).where(F.col("evidence_rank") <= n)
+    best = pairs.withColumn("evidence_rank", rank.cast("long")).where(F.col("evidence_rank") <= n)
     named = best.join(documents.select("document_id", "filename"), "document_id", "left")
     return named.select(
         "analysis_id", "package_id", "evidence_rank", "passage_id", "lexical_score",
@@ -557,18 +599,17 @@ def similar_case_violations(candidates: DataFrame, evidence: DataFrame, passages
 # --- taxonomy ---------------------------------------------------------------------------------------------
 
 
-# Node kind -> (class of entity path, bonus). Classes: f contributing factor, r safety
-# recommendation, e accident or casualty event, v vessel.
+# Node kind -> (class of entity path, bonus).
 TAXONOMY_BONUS = {
-    "ContributingFactor": ("f", 60),
-    "Recommendation": ("r", 60),
-    "Event": ("e", 45),
-    "System": ("e", 45),
-    "Vessel": ("v", 25),
+    "ContributingFactor": ("<contributing factor>", 60),
+    "Recommendation": ("<safety recommendation>", 60),
+    "Event": ("<event>", 45),
+    "System": ("<event>", 45),
+    "Vessel": ("<vessel>", 25),
 }
 
 
-def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> DataFrame:
+def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, *, k: int) -> DataFrame:
     """The ``k`` registry codes that fit each node best.
 
     ``nodes``: node_id, node_kind, label, description. ``registry``: entity_path, entity_name, attribute_name,
@@ -587,7 +628,7 @@ def taxonomy_shortlist(nodes: DataFrame, registry: DataFrame, k: int = 12) -> Da
         "_key", F.sha2(F.concat_ws("\u0001", "node_kind", "_text"), 256)
     )
     # Nodes of one kind with the same text share one result.
-    unique = spread_small(texts.select("_key", "node_kind", "_text").distinct()).withColumn("_words", tokens(F.col("_text")))
+    unique = spread_by(texts.select("_key", "node_kind", "_text").distinct(), "_key").withColumn("_words", tokens(F.col("_text")))
     phrases = durable(_matched_phrases(unique, rows).select("_key", "node_kind", "_words", "_phrase", "_rows", "_points"))
     attributes = durable(_matched_attributes(unique, rows).select("_key", "node_kind", "_attribute", "_points"))
     bound = (
@@ -639,10 +680,10 @@ def _registry_rows(registry: DataFrame) -> DataFrame:
         "_attribute": normalise_label(F.col("attribute_name")),
         "_class": F.concat_ws(
             "",
-            F.when(has("contributing factor"), "f"),
-            F.when(has("safety recommendation"), "r"),
-            F.when(has("accident event") | has("casualty event"), "e"),
-            F.when(has("vessel"), "v"),
+            F.when(has("contributing factor"), "<contributing factor>"),
+            F.when(has("safety recommendation"), "<safety recommendation>"),
+            F.when(has("accident event") | has("casualty event"), "<event>"),
+            F.when(has("vessel"), "<vessel>"),
         ),
     }
     key = ["entity_path", "attribute_name", "code", *parts]
@@ -664,7 +705,8 @@ def _matched_phrases(unique: DataFrame, rows: DataFrame) -> DataFrame:
         .drop("_word")
     )
     # The phrase may also occur inside longer words of the text, without any word in common.
-    by_part = containing(unique, "_text", phrases, "_phrase").where(F.size(shared) == 0)
+    held = containing(unique.select("_key", "_text"), ["_key"], "_text", phrases, "_phrase").select("_key", "_phrase")
+    by_part = unique.join(checked_broadcast(held), "_key").join(checked_broadcast(phrases), "_phrase").where(F.size(shared) == 0)
     every = (F.size("_code_words") > 0) & (F.size(F.array_except("_code_words", "_words")) == 0)
     points = 18 * F.size(shared) + F.when(F.contains("_text", F.col("_phrase")), 120).otherwise(0) + F.when(every, 70).otherwise(0)
     return by_word.unionByName(by_part.select(*by_word.columns)).withColumn("_points", points.cast("long"))
@@ -719,13 +761,13 @@ def _first_codes(candidates: DataFrame, groups: Sequence[str], k: int, times: in
     return flat.withColumn("rank", first.cast("long")).where(F.col("rank") <= k)
 
 
-def grounded_shortlist(factors: DataFrame, corpus: DataFrame, k: int = GROUNDED_PASSAGES, max_chars: int = GROUNDED_CHARS) -> DataFrame:
-    """Taxonomy passages for each gate-eligible factor (factor_node_id, factor_label, factor_description)."""
+def grounded_shortlist(factors: DataFrame, corpus: DataFrame, *, k: int) -> DataFrame:
+    """The ``k`` best taxonomy passages for each gate-eligible factor (factor_node_id, factor_label, factor_description)."""
     queries = factors.select(
         F.col("factor_node_id").alias("query_id"),
         F.concat_ws(" ", "factor_label", "factor_description").alias("query_text"),
     ).distinct()
-    return lexical_retrieve(corpus, queries, None, k, max_chars).withColumnRenamed("query_id", "factor_node_id")
+    return lexical_retrieve(corpus, queries, k=k).withColumnRenamed("query_id", "factor_node_id")
 
 
 def recent(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

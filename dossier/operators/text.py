@@ -59,12 +59,12 @@ def corpus_profile(passages: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def passage_preview(passages: DataFrame) -> DataFrame:
-    """Listing of passages with their length and the 300-character preview shown to people."""
+def passage_preview(passages: DataFrame, chars: int | None = None) -> DataFrame:
+    """Listing of passages with their length and their text, or its first ``chars`` characters where a page shows no more."""
     return passages.select(
         "document_id", "page_start", "passage_order",
         F.length("passage_text").cast("long").alias("chars"),
-        F.left(F.col("passage_text"), F.lit(300)).alias("passage_preview"),
+        (F.col("passage_text") if chars is None else F.left(F.col("passage_text"), F.lit(chars))).alias("passage_preview"),
         page_label(F.col("page_start"), F.col("page_end")).alias("page_reference"),
     )
 

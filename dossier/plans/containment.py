@@ -1,41 +1,42 @@
 """Which texts contain which phrases, as an equi-join instead of a comparison of all pairs.
 
-A text that contains a phrase also contains the phrase's first characters. Texts are therefore joined to
-phrases on that short prefix and the few candidates are verified.
+A text that contains a phrase of three or more words holds the words inside it whole, so such phrases meet texts on
+their longest inner word. Other phrases meet texts on their first characters. Only ids and these anchors are exploded and
+joined; texts are read once more for the few candidates, which are verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.plans.durable import durable
 from dossier.plans.sizing import checked_broadcast
 
 PREFIX_CHARS = 8
 
 
-def containing(
-    texts: DataFrame,
-    text: str,
-    phrases: DataFrame,
-    phrase: str,
-    prefix_chars: int = PREFIX_CHARS,
-) -> DataFrame:
-    """All rows of ``texts`` joined to the rows of ``phrases`` whose phrase occurs in the text."""
-    needles = phrases.where(F.length(phrase) > 0).withColumn(
-        "_prefix", F.substring(F.col(phrase), 1, prefix_chars)
-    )
-    # At most prefix_chars different lengths exist, so this list is tiny.
-    lengths = [r[0] for r in needles.select(F.length("_prefix")).distinct().collect()]
-    if not lengths:
-        lengths = [prefix_chars]
-    grams = F.array_distinct(F.concat(*[_grams(F.col(text), size) for size in sorted(lengths)]))
-    spread = texts.withColumn("_prefix", F.explode(grams))
-    return (
-        spread.join(checked_broadcast(needles), "_prefix")
-        .where(F.contains(F.col(text), F.col(phrase)))
-        .drop("_prefix")
-    )
+def containing(texts: DataFrame, ids: Sequence[str], text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Rows of ``texts`` (named by ``ids``) joined to the distinct ``phrases`` that occur in them."""
+    inner = F.array_max(F.transform(F.filter(_inner(F.split(F.col(phrase), " ")), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
+    needles = durable(phrases.select(phrase).where(F.length(phrase) > 0).distinct().withColumn("_word", inner["word"]))
+    words = texts.select(*ids, F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_word"))
+    met = words.join(checked_broadcast(needles.where("_word is not null")), "_word").select(*ids, phrase)
+    short = needles.where("_word is null").select(phrase, F.substring(phrase, 1, PREFIX_CHARS).alias("_anchor"))
+    # at most PREFIX_CHARS different lengths exist
+    lengths = sorted(r[0] for r in short.select(F.length("_anchor")).distinct().collect())
+    if lengths:
+        grams = F.array_distinct(F.concat(*[_grams(F.col(text), size) for size in lengths]))
+        anchors = texts.select(*ids, F.explode(grams).alias("_anchor"))
+        met = met.unionByName(anchors.join(checked_broadcast(short), "_anchor").select(*ids, phrase))
+    candidates = texts.join(checked_broadcast(met), list(ids))
+    return candidates.where(F.contains(F.col(text), F.col(phrase)))
+
+
+def _inner(words: Column) -> Column:
+    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
 
 
 def _grams(c: Column, size: int) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session; a temporary one only on local masters."""
+    """The shared checkpoint folder of this session; below the warehouse on local masters that name none."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -17,7 +15,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if named:
         context.setCheckpointDir(named)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-checkpoint-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     else:
         raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
     return context.getCheckpointDir()

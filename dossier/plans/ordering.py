@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.plans.durable import durable
-from dossier.plans.sizing import HOT_GROUP_ROWS, split_hot
+from dossier.plans.sizing import HOT_GROUP_ROWS, checked_broadcast, split_hot
 
 
 def numbered(
@@ -51,7 +51,7 @@ def _numbered_in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         *keys, "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     return (
-        placed.join(F.broadcast(offsets), [*keys, "_block"])
+        placed.join(checked_broadcast(offsets), [*keys, "_block"])
         .withColumn(name, F.col("_before") + F.col("_pos") - F.col("_first") + 1)
         .drop("_id", "_block", "_pos", "_first", "_before")
     )

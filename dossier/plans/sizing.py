@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.plans.durable import durable
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_GROUP_ROWS = 1_000_000
 
@@ -18,8 +20,12 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the measured size allows it; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    """Hint a broadcast only where the measured size allows it; otherwise leave the join to shuffle.
+
+    The side is written once; the measurement and the join read what was written instead of computing it again.
+    """
+    written = durable(df)
+    return F.broadcast(written) if measured_bytes(written) <= max_bytes else written
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], bound: int = HOT_GROUP_ROWS) -> DataFrame:
@@ -38,12 +44,10 @@ def split_hot(
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
-def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """Spread an input of few splits over all cores. Larger inputs have enough splits and are left alone."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > max_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than cores over all cores. Larger inputs have enough splits and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:

@@ -104,23 +104,23 @@ def passage_parity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT document_id, coalesce(a, 0) AS left_rows, coalesce(b, 0) AS right_rows FROM (SELECT document_id, count(*) AS a FROM passages GROUP BY 1)
-    FULL JOIN (SELECT document_id, count(*) AS b FROM passages WHERE length(passage_text) > 20 GROUP BY 1) USING (document_id)""",
+    FULL JOIN (SELECT document_id, count(*) AS b FROM passages WHERE (doc_id + passage_order) % 5 <> 2 GROUP BY 1) USING (document_id)""",
     "passages",
 )
 def passage_parity_counts(spark: SparkSession, d: str) -> DataFrame:
     left = B.passages(spark, d)
-    return C.parity_counts(left, left.where("length(passage_text) > 20"), ["document_id"])
+    return C.parity_counts(left, left.where("(doc_id + passage_order) % 5 <> 2"), ["document_id"])
 
 
 def _available(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose passages of at most 400 characters count as processed."""
-    short = B.passages(spark, d).where("length(passage_text) <= 400")
-    return C.availability(B.docs(spark, d).select("document_id", "package_id", "document_role"), short)
+    """The passages of every fourth document are not processed yet."""
+    processed = B.passages(spark, d).where("doc_id % 4 <> 3")
+    return C.availability(B.docs(spark, d).select("document_id", "package_id", "document_role"), processed)
 
 
 _AVAILABLE = """available AS (SELECT document_id, package_id, document_role, coalesce(n, 0) AS passage_count, CASE WHEN document_role = 'MAIN_REPORT' AND n > 0 THEN 'AVAILABLE'
         WHEN document_role = 'MAIN_REPORT' THEN 'MAIN_REPORT_WITHOUT_PASSAGES' WHEN n > 0 THEN 'SUPPLEMENTARY_PROCESSED_NOT_IN_QUERY_SCOPE' ELSE 'SUPPLEMENTARY_WITHOUT_PASSAGES' END AS availability_status
-        FROM docs LEFT JOIN (SELECT document_id, count(DISTINCT passage_id) AS n FROM passages WHERE length(passage_text) <= 400 GROUP BY 1) USING (document_id))"""
+        FROM docs LEFT JOIN (SELECT document_id, count(DISTINCT passage_id) AS n FROM passages WHERE doc_id % 4 <> 3 GROUP BY 1) USING (document_id))"""
 
 
 @query(f"WITH {_AVAILABLE} SELECT document_id, passage_count, availability_status, availability_status = 'AVAILABLE' AS query_ready FROM available", "docs", "passages")
@@ -145,7 +145,7 @@ def availability_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH reg AS (SELECT doc_id, document_id, document_role, sha256, CASE WHEN doc_id % 11 <> 0 THEN '/v/' || filename END AS file_path FROM docs),
     files AS (SELECT '/v/' || filename || CASE WHEN doc_id % 7 = 0 THEN '.new' ELSE '' END AS file_path FROM docs),
-    counts AS (SELECT document_id, count(*) AS n FROM passages WHERE length(passage_text) > 60 GROUP BY 1),
+    counts AS (SELECT document_id, count(*) AS n FROM passages WHERE doc_id % 8 <> 6 GROUP BY 1),
     cat AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'old_' || doc_id ELSE document_id END AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS catalogue_status,
         upper(CASE WHEN doc_id % 9 = 0 THEN sha256(text || '!') ELSE sha256 END) AS sha FROM docs),
     joined AS (SELECT r.*, f.file_path IS NOT NULL AS on_disk, coalesce(n, 0) AS n, catalogue_status, sha FROM reg r LEFT JOIN files f USING (file_path)
@@ -165,7 +165,7 @@ def reconciled_catalogue(spark: SparkSession, d: str) -> DataFrame:
     docs = B.docs(spark, d)
     registry = docs.selectExpr("document_id", "document_role", "sha256", "CASE WHEN doc_id % 11 <> 0 THEN concat('/v/', filename) END AS file_path")
     files = docs.selectExpr("concat('/v/', filename, CASE WHEN doc_id % 7 = 0 THEN '.new' ELSE '' END) AS file_path")
-    counts = B.passages(spark, d).where("length(passage_text) > 60").groupBy("document_id").agg(F.count(F.lit(1)).alias("passage_count"))
+    counts = B.passages(spark, d).where("doc_id % 8 <> 6").groupBy("document_id").agg(F.count(F.lit(1)).alias("passage_count"))
     catalogue = docs.selectExpr(
         "CASE WHEN doc_id % 13 = 0 THEN concat('old_', doc_id) ELSE document_id END AS document_id",
         "CASE WHEN doc_id % 5 = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS catalogue_status",

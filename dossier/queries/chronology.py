@@ -196,18 +196,18 @@ def _marked(spark: SparkSession, d: str) -> DataFrame:
 
     return B.table(spark, d, "conversations").selectExpr(
         "conv_id", "turn", "concat('conv_', conv_id) AS analysis_id", "concat('p', conv_id, '_', turn) AS passage_id",
-        f"CASE WHEN turn % 5 = 2 THEN text ELSE concat({mark('(turn * 900 + conv_id)', '(turn * 900 + conv_id + 30 - CASE WHEN (turn + conv_id) % 9 = 0 THEN 60 ELSE 0 END)')}, text, '\\n', {mark('(turn * 600 + 5)', '(turn * 600 + 65)')}, 'end') END AS passage_text",
+        f"CASE WHEN turn % 5 = 2 THEN text ELSE concat({mark('((turn + 1) * 900 + conv_id)', '((turn + 1) * 900 + conv_id + 30 - CASE WHEN (turn + conv_id) % 9 = 0 THEN 60 ELSE 0 END)')}, text, '\\n', {mark('(turn * 600 + 5)', '(turn * 600 + 65)')}, 'end') END AS passage_text",
     )
 
 
-_RANGES = """marks AS (SELECT conv_id, turn, 'conv_' || conv_id AS analysis_id, 'p' || conv_id || '_' || turn AS passage_id, turn * 900 + conv_id AS a, turn * 900 + conv_id + 30 - CASE WHEN (turn + conv_id) % 9 = 0 THEN 60 ELSE 0 END AS b,
+_RANGES = """marks AS (SELECT conv_id, turn, 'conv_' || conv_id AS analysis_id, 'p' || conv_id || '_' || turn AS passage_id, (turn + 1) * 900 + conv_id AS a, (turn + 1) * 900 + conv_id + 30 - CASE WHEN (turn + conv_id) % 9 = 0 THEN 60 ELSE 0 END AS b,
         turn * 600 + 5 AS c, turn * 600 + 65 AS d FROM conversations WHERE turn % 5 <> 2),
     ranges AS (SELECT *, CASE WHEN b >= a THEN least(a, c) END::DOUBLE AS start_s, CASE WHEN b >= a THEN greatest(b, d) END::DOUBLE AS end_s, CASE WHEN b < a THEN 'RANGE_REVERSED' END AS violation FROM marks)"""
 
 
-@query(f"WITH {_RANGES} SELECT passage_id, start_s, end_s, violation FROM ranges WHERE NOT (b < 0)")
+@query(f"WITH {_RANGES} SELECT passage_id, start_s, end_s, violation FROM ranges")
 def time_ranges(spark: SparkSession, d: str) -> DataFrame:
-    rows = _marked(spark, d).where("NOT (turn % 5 <> 2 AND turn * 900 + conv_id + 30 - CASE WHEN (turn + conv_id) % 9 = 0 THEN 60 ELSE 0 END < 0)")
+    rows = _marked(spark, d)
     return rows.withColumn("r", L.time_ranges(F.col("passage_text"))).where("r IS NOT NULL").select("passage_id", "r.start_s", "r.end_s", "r.violation")
 
 
@@ -217,11 +217,11 @@ def _recordings(spark: SparkSession, d: str) -> DataFrame:
 
 _CLOCK = "printf('%02d:%02d:%02d', {c}::INT // 3600, {c}::INT // 60 % 60, {c}::INT % 60)"
 _AUDIO = f"""{_RANGES}, located AS (SELECT analysis_id, passage_id, start_s, end_s, CASE WHEN violation IS NULL THEN 'audio|' || sha256(conv_id::VARCHAR) || '|' || (start_s * 1000)::BIGINT || '|' || (end_s * 1000)::BIGINT END AS audio_location,
-        CASE WHEN violation IS NULL THEN CASE WHEN conv_id % 4 = 0 THEN 'Audio recording' ELSE 'tape ' || conv_id END || ' · ' || {_CLOCK.format(c='start_s')} || '–' || {_CLOCK.format(c='end_s')} END AS audio_reference, violation FROM ranges WHERE NOT (b < 0))"""
+        CASE WHEN violation IS NULL THEN CASE WHEN conv_id % 4 = 0 THEN 'Audio recording' ELSE 'tape ' || conv_id END || ' · ' || {_CLOCK.format(c='start_s')} || '–' || {_CLOCK.format(c='end_s')} END AS audio_reference, violation FROM ranges)"""
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
-    rows = _marked(spark, d).where("NOT (turn % 5 <> 2 AND turn * 900 + conv_id + 30 - CASE WHEN (turn + conv_id) % 9 = 0 THEN 60 ELSE 0 END < 0)")
+    rows = _marked(spark, d)
     return A.audio_locations(rows.select("analysis_id", "passage_id", "passage_text"), _recordings(spark, d))
 
 

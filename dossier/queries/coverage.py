@@ -149,12 +149,12 @@ def passthrough_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def _published(spark: SparkSession, d: str) -> DataFrame:
     """Published graph: the resolved nodes with their label in other punctuation."""
-    return C.resolve_nodes(B.assignments(spark, d), B.candidates(spark, d)).where("members > 1").withColumn(
+    return C.resolve_nodes(B.assignments(spark, d), B.candidates(spark, d)).withColumn(
         "label", F.upper(F.replace("label", F.lit(" "), F.lit("--")))
     )
 
 
-_PUBLISHED = "published AS (SELECT analysis_id, node_kind, node_id, min(trim(label)) AS label FROM members GROUP BY 1, 2, 3, model_run_id HAVING count(DISTINCT candidate_id) > 1)"
+_PUBLISHED = "published AS (SELECT analysis_id, node_kind, node_id, min(trim(label)) AS label FROM members GROUP BY 1, 2, 3, model_run_id)"
 
 
 @query(

@@ -39,7 +39,7 @@ def mapping_strings(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {_MAPPINGS}, n AS (SELECT ['occ_', 'ves_', 'cf_', 'evt_', 'x_'][c_custkey % 5 + 1] || c_custkey AS node_id, c_name AS node_label, c_custkey FROM customer)
     SELECT node_id, node_label, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS mapping_disposition, ['Occurrence', 'Vessel', 'ContributingFactor', 'Event', 'Concept'][n.c_custkey % 5 + 1] AS node_kind,
-        coalesce(m, 0) AS mappings FROM n JOIN customer USING (c_custkey) LEFT JOIN (SELECT node_id, count(*) AS m FROM mappings GROUP BY 1) USING (node_id)"""
+        coalesce(m, 0) AS mappings, coalesce(t, '') AS mapping_texts FROM n JOIN customer USING (c_custkey) LEFT JOIN (SELECT node_id, count(*) AS m, array_to_string(list_sort(list(DISTINCT mapping)), ' | ') AS t FROM mappings GROUP BY 1) USING (node_id)"""
 )
 def published_nodes(spark: SparkSession, d: str) -> DataFrame:
     node_id = "concat(element_at(array('occ_', 'ves_', 'cf_', 'evt_', 'x_'), cast(c_custkey % 5 + 1 AS int)), c_custkey) AS node_id"
@@ -49,6 +49,13 @@ def published_nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.publish_nodes(nodes, dispositions, _mappings(spark, d))
 
 
+@query(
+    "SELECT analysis_id, edge_id, source_node_id, target_node_id, relationship, edge_class, evidence_status, passage_text, 'p' || edge_id AS evidence_anchor FROM edges", "edges"
+)
+def published_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.publish_edges(B.edges(spark, d).withColumn("evidence_anchor", F.concat(F.lit("p"), "edge_id")))
+
+
 _SCOPED = """backed AS (SELECT DISTINCT analysis_id, node_id FROM (SELECT analysis_id, node_id, unnest(evidence_document_ids) AS document_id FROM nodes) JOIN scopes USING (analysis_id, document_id)
         UNION SELECT analysis_id, node_id FROM nodes WHERE analysis_id NOT IN (SELECT analysis_id FROM scopes)),
     chosen AS (SELECT * FROM edges e WHERE analysis_id NOT IN (SELECT analysis_id FROM scopes) OR EXISTS (SELECT 1 FROM scopes s WHERE s.analysis_id = e.analysis_id AND list_contains(e.evidence_document_ids, s.document_id))),
@@ -102,12 +109,12 @@ def graph_facets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT analysis_id, coalesce(n, 0) AS nodes, coalesce(e, 0) AS edges, coalesce(s, 0) AS structural_edges FROM (SELECT analysis_id, count(*) AS n FROM nodes WHERE node_kind = 'Event' GROUP BY 1)
+    """SELECT analysis_id, coalesce(n, 0) AS nodes, coalesce(e, 0) AS edges, coalesce(s, 0) AS structural_edges FROM (SELECT analysis_id, count(*) AS n FROM nodes GROUP BY 1)
         FULL JOIN (SELECT analysis_id, count(*) AS e, count(*) FILTER (edge_class = 'STRUCTURAL') AS s FROM edges GROUP BY 1) USING (analysis_id)""",
     "nodes", "edges",
 )
 def graph_counts(spark: SparkSession, d: str) -> DataFrame:
-    return G.graph_counts(B.nodes(spark, d).where("node_kind = 'Event'"), B.edges(spark, d))
+    return G.graph_counts(B.nodes(spark, d), B.edges(spark, d))
 
 
 @query(
@@ -119,11 +126,11 @@ def node_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT analysis_id, count(*) AS total_nodes, count(l.label) AS nodes_with_label FROM nodes LEFT JOIN (SELECT node_id, min(label) AS label FROM (
-        SELECT source_node_id AS node_id, source_label AS label FROM edges WHERE relationship <> 'SUPPORTS' UNION ALL SELECT target_node_id, target_label FROM edges WHERE relationship <> 'SUPPORTS') GROUP BY 1) l USING (node_id) GROUP BY 1""",
+        SELECT source_node_id AS node_id, source_label AS label FROM edges UNION ALL SELECT target_node_id, target_label FROM edges) GROUP BY 1) l USING (node_id) GROUP BY 1""",
     "nodes", "edges",
 )
 def label_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return G.label_coverage(B.nodes(spark, d).select("analysis_id", "node_id"), G.node_labels(B.edges(spark, d).where("relationship <> 'SUPPORTS'")), ["analysis_id"])
+    return G.label_coverage(B.nodes(spark, d).select("analysis_id", "node_id"), G.node_labels(B.edges(spark, d)), ["analysis_id"])
 
 
 @query("SELECT edge_id, CASE WHEN len(stronger_evidence) > 0 THEN array_to_string(stronger_evidence, ' | ') ELSE passage_text END AS evidence_display FROM edges", "edges")

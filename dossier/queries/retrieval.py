@@ -106,11 +106,11 @@ _SCORES = f"""{_EXPANSIONS},
         (10 * count(*) FILTER (NOT expanded) + 4 * count(*) FILTER (expanded) + CASE WHEN count(*) FILTER (NOT expanded) > 0 AND contains(any_value(norm), any_value(phrase)) THEN 20 ELSE 0 END)::BIGINT AS lexical_score
         FROM spread JOIN terms USING (term) JOIN asked USING (query_id) GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS rank FROM scores),
-    hits AS (SELECT *, (sum(chars) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS cumulative_chars FROM ranked WHERE rank <= 40 QUALIFY cumulative_chars <= 60000)"""
+    hits AS (SELECT *, (sum(chars) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS cumulative_chars FROM ranked WHERE rank <= 40)"""
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical_retrieve(B.passages(spark, d), B.questions(spark, d), R.expand_terms(*_normalisations(spark, d)))
+    return R.lexical_retrieve(B.passages(spark, d), B.questions(spark, d), R.expand_terms(*_normalisations(spark, d)), k=40)
 
 
 @query(f"WITH {_SCORES} SELECT query_id, passage_id, rank, lexical_score, chars, cumulative_chars, coalesce(query_hits, '') AS query_hits, expansion_hits FROM hits", "questions", "passages")
@@ -135,15 +135,16 @@ def retrieval_summaries(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {_SCORES}, {RUN_SCOPES}, sized AS (SELECT run_id, count(*) AS n, sum(length(passage_text)) AS c FROM run_scopes JOIN passages USING (analysis_id, document_id) GROUP BY 1)
     SELECT 'run_' || item_id AS run_id, coalesce(n, 0) AS scope_passages, coalesce(c, 0)::BIGINT AS scope_chars, CASE WHEN n IS NULL THEN 'NO_PASSAGES_IN_SCOPE'
-        WHEN item_id % 9 = 0 THEN 'GOVERNED_QUERY' WHEN n <= 80 AND c <= 120000 THEN 'ALL_SCOPED_PASSAGES' WHEN h.run_id IS NOT NULL THEN 'LEXICAL' ELSE 'DETERMINISTIC_NO_SUPPORT' END AS retrieval_mode
+        WHEN item_id % 9 = 0 THEN 'GOVERNED_QUERY' WHEN item_id % 2 = 0 THEN 'ALL_SCOPED_PASSAGES' WHEN h.run_id IS NOT NULL THEN 'LEXICAL' ELSE 'DETERMINISTIC_NO_SUPPORT' END AS retrieval_mode
     FROM benchmark LEFT JOIN sized s ON s.run_id = 'run_' || item_id LEFT JOIN (SELECT DISTINCT 'run_' || substr(query_id, 2) AS run_id FROM hits) h ON h.run_id = 'run_' || item_id""",
     "questions", "docs", "passages",
 )
 def retrieval_modes(spark: SparkSession, d: str) -> DataFrame:
-    runs = B.table(spark, d, "benchmark").selectExpr("concat('run_', item_id) AS run_id", "CASE WHEN item_id % 9 = 0 THEN 'Q1' END AS governed_query_id")
-    scoped = run_scopes(spark, d).join(B.passages(spark, d), ["analysis_id", "document_id"]).select("run_id", "passage_text")
+    runs = B.table(spark, d, "benchmark").selectExpr(
+        "concat('run_', item_id) AS run_id", "CASE WHEN item_id % 9 = 0 THEN 'Q1' END AS governed_query_id", "CASE WHEN item_id % 2 = 0 THEN 'ALL' ELSE 'LEXICAL' END AS retrieval_policy"
+    )
     found = _hits(spark, d).select(F.concat(F.lit("run_"), F.expr("substring(query_id, 2)")).alias("run_id"))
-    return R.choose_retrieval_mode(runs, scoped, found)
+    return R.choose_retrieval_mode(runs, R.scope_sizes(run_scopes(spark, d), B.passages(spark, d)), found)
 
 
 @query(
@@ -171,36 +172,47 @@ def _word_terms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_RELATION_TERMS = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_id, ['FOLLOWED_BY', 'CONTRIBUTED_TO'][a.item_id % 2 + 1] AS relationship,
+        CASE WHEN a.pos % 7 = 1 THEN 'SUBJECT_FACTOR' ELSE 'OBJECT_EVENT' END AS role, CASE WHEN a.pos % 7 = 4 AND b.w IS NOT NULL THEN a.w || ' ' || b.w ELSE a.w END AS term
+        FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 WHERE a.pos % 7 IN (1, 4))"""
+
+
+def _relation_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh word of a text is a subject; the fourth after the first, with its successor, an object."""
+    words = _word_terms(spark, d).where("pos % 7 IN (0, 3)")
+    term = "CASE WHEN pos % 7 = 3 AND pos + 1 < size(ws) THEN concat(w, ' ', ws[pos + 1]) ELSE w END AS term"
+    return words.selectExpr("concat('q', item_id) AS query_id", "CASE WHEN pos % 7 = 0 THEN 'SUBJECT_FACTOR' ELSE 'OBJECT_EVENT' END AS role", term).distinct()
+
+
 @query(
-    f"""WITH {_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || item_id AS query_id, ['FOLLOWED_BY', 'CONTRIBUTED_TO'][item_id % 2 + 1] AS relationship,
-        ['SUBJECT_FACTOR', 'OBJECT_EVENT'][pos % 2 + 1] AS role, w AS term FROM words WHERE length(w) >= 4),
+    f"""WITH {_RELATION_TERMS},
     cues(relationship, cue, direction) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in CUES)}),
-    sentences AS (SELECT passage_id, document_id, pos - 1 AS sentence_index, s AS evidence_text, ' ' || {norm_sql('s')} || ' ' AS n FROM (SELECT passage_id, document_id,
+    sentences AS (SELECT passage_id, pos - 1 AS sentence_index, s AS evidence_text, string_split({norm_sql('s')}, ' ') AS w FROM (SELECT passage_id,
         unnest(string_split(regexp_replace(passage_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s,
         generate_subscripts(string_split(regexp_replace(passage_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS pos FROM passages)),
-    cued AS (SELECT s.*, relationship, cue, direction, strpos(n, ' ' || cue || ' ') AS at_ FROM sentences s JOIN cues ON contains(n, ' ' || cue || ' ')),
-    split AS (SELECT *, substr(n, 1, at_) AS head, substr(n, at_ + length(cue) + 1) AS tail FROM cued),
-    word AS (SELECT DISTINCT * FROM (SELECT *, unnest(string_split(trim(n), ' ')) AS term FROM split)),
-    found AS (SELECT w.*, t.query_id, t.role, CASE WHEN (direction = 'FORWARD') = (role = 'SUBJECT_FACTOR') THEN strpos(reverse(head), reverse(' ' || term || ' ')) ELSE strpos(tail, ' ' || term || ' ') END AS dist
-        FROM word w JOIN terms t USING (relationship, term)),
-    nearest AS (SELECT query_id, relationship, passage_id, document_id, sentence_index, evidence_text, cue, direction,
-        min((dist, -length(term), term)) FILTER (role = 'SUBJECT_FACTOR') AS s, min((dist, -length(term), term)) FILTER (role = 'OBJECT_EVENT') AS o FROM found WHERE dist > 0 GROUP BY ALL)
-    SELECT query_id, relationship AS requested_relationship, passage_id, sentence_index::BIGINT AS sentence_index, s[3] AS subject_term, cue AS relation_cue, direction AS relation_direction,
-        o[3] AS object_term, sha256(evidence_text) AS evidence_text_sha256 FROM nearest WHERE s IS NOT NULL AND o IS NOT NULL""",
+    cued AS (SELECT * FROM sentences WHERE list_has_any(w, [{', '.join(f"'{c.split(' ')[0]}'" for _, c, _ in CUES)}])),
+    runs AS (SELECT passage_id, sentence_index, at_, array_to_string(w[at_:at_ + n - 1], ' ') AS run, n FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS at_ FROM cued, (VALUES (1), (2), (3)) AS sizes(n))),
+    places AS (SELECT passage_id, sentence_index, relationship, cue, direction, at_, at_ + n - 1 AS end_ FROM runs JOIN cues ON run = cue),
+    found AS (SELECT r.passage_id, r.sentence_index, t.*, at_ AS from_, at_ + n - 1 AS to_ FROM runs r JOIN terms t ON run = term),
+    met AS (SELECT p.*, f.query_id, role, term, CASE WHEN (role = 'SUBJECT_FACTOR') = (direction = 'FORWARD') THEN CASE WHEN to_ < at_ THEN at_ - to_ END WHEN from_ > end_ THEN from_ - end_ END AS dist
+        FROM places p JOIN found f USING (passage_id, sentence_index, relationship)),
+    nearest AS (SELECT query_id, relationship, passage_id, sentence_index, cue, direction, at_, min((dist, -length(term), term)) FILTER (role = 'SUBJECT_FACTOR') AS s,
+        min((dist, -length(term), term)) FILTER (role = 'OBJECT_EVENT') AS o FROM met WHERE dist IS NOT NULL GROUP BY ALL)
+    SELECT query_id, relationship AS requested_relationship, passage_id, sentence_index::BIGINT AS sentence_index, s[3] AS subject_term, cue AS relation_cue, at_::BIGINT AS cue_position, direction AS relation_direction,
+        o[3] AS object_term, sha256(evidence_text) AS evidence_text_sha256 FROM nearest JOIN sentences USING (passage_id, sentence_index) WHERE s IS NOT NULL AND o IS NOT NULL""",
     "passages",
 )
 def governed_relationships(spark: SparkSession, d: str) -> DataFrame:
-    """Words of at least four letters are the subject and object terms."""
-    words = _word_terms(spark, d).where("length(w) >= 4")
     queries = B.table(spark, d, "benchmark").selectExpr("concat('q', item_id) AS query_id", "element_at(array('FOLLOWED_BY', 'CONTRIBUTED_TO'), cast(item_id % 2 + 1 AS int)) AS relationship")
-    terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT'), cast((pos + 1) % 2 + 1 AS int)) AS role", "w AS term").distinct()
-    return R.governed_relationship_query(B.passages(spark, d), queries, terms, CUES).drop("document_id", "evidence_text")
+    return R.governed_relationship_query(B.passages(spark, d), queries, _relation_terms(spark, d), CUES).drop("document_id", "evidence_text")
 
 
 _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_id, ['SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'][a.pos % 3 + 1] AS role,
-        CASE WHEN a.pos % 3 = 2 AND b.w IS NOT NULL THEN a.w || ' ' || b.w ELSE a.w END AS term FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 WHERE length(a.w) >= 6),
-    matches AS (SELECT DISTINCT query_id, role, term, package_id, passage_id FROM (SELECT package_id, passage_id, ' ' || n || ' ' AS n, unnest(list_distinct(string_split(n, ' '))) AS w
-        FROM (SELECT package_id, passage_id, {norm_sql('passage_text')} AS n FROM passages)) p JOIN terms t ON split_part(t.term, ' ', 1) = p.w WHERE contains(p.n, ' ' || t.term || ' ')),
+        a.w || coalesce(' ' || b.w, '') || CASE WHEN a.pos % 4 = 0 THEN coalesce(' ' || c.w, '') ELSE '' END AS term
+        FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 LEFT JOIN words c ON a.item_id = c.item_id AND c.pos = a.pos + 2),
+    spaced AS (SELECT package_id, passage_id, string_split({norm_sql('passage_text')}, ' ') AS w FROM passages),
+    runs AS (SELECT DISTINCT package_id, passage_id, array_to_string(w[at_:at_ + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS at_ FROM spaced, (VALUES (1), (2), (3)) AS sizes(n))),
+    matches AS (SELECT query_id, role, term, package_id, passage_id FROM runs JOIN terms ON run = term),
     complete AS (SELECT query_id, package_id, roles FROM (SELECT query_id, package_id, count(DISTINCT role) AS n FROM matches GROUP BY 1, 2) JOIN (SELECT query_id, count(DISTINCT role) AS roles FROM terms GROUP BY 1) USING (query_id) WHERE n = roles)"""
 
 
@@ -210,10 +222,10 @@ _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_
     "passages",
 )
 def role_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Words of at least six letters are the terms of the roles; the third role has pairs of words."""
-    words = _word_terms(spark, d).where("length(w) >= 6")
-    pair = "CASE WHEN (pos + 1) % 3 = 2 AND pos + 1 < size(ws) THEN concat(w, ' ', ws[pos + 1]) ELSE w END AS term"
-    terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'), cast((pos + 1) % 3 + 1 AS int)) AS role", pair).distinct()
+    """Every two or three words that follow each other in a text are a term of one of three roles."""
+    words = _word_terms(spark, d)
+    term = "concat_ws(' ', w, get(ws, pos + 1), CASE WHEN (pos + 1) % 4 = 0 THEN get(ws, pos + 2) END) AS term"
+    terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'), cast((pos + 1) % 3 + 1 AS int)) AS role", term).distinct()
     return R.role_coverage_retrieve(B.passages(spark, d), terms).drop("document_id")
 
 
@@ -222,7 +234,7 @@ _FOCUS = f"""listed AS (SELECT analysis_id, label, node_kind, {norm_sql('label')
         CASE node_kind WHEN 'ContributingFactor' THEN 5 WHEN 'SafetyIssue' THEN 4 WHEN 'Event' THEN 3 WHEN 'Finding' THEN 2 ELSE 1 END AS weight
         FROM concept_nodes WHERE node_kind IN ('ContributingFactor', 'SafetyIssue', 'Event', 'Finding', 'System')),
     concepts AS (SELECT analysis_id, norm, label, node_kind, weight, row_number() OVER (PARTITION BY analysis_id ORDER BY ord, label, norm) AS position
-        FROM (SELECT * FROM listed WHERE norm NOT IN ('', 'subject vessel') QUALIFY row_number() OVER (PARTITION BY analysis_id, norm ORDER BY ord, label, node_kind) = 1) QUALIFY position <= 20)"""
+        FROM (SELECT * FROM listed WHERE norm NOT IN ('', 'subject vessel') QUALIFY row_number() OVER (PARTITION BY analysis_id, norm ORDER BY ord, label, node_kind) = 1))"""
 
 
 def _focus(spark: SparkSession, d: str) -> DataFrame:
@@ -248,8 +260,7 @@ _SIMILAR = f"""{_FOCUS},
     scores AS (SELECT analysis_id, passage_id, document_id, package_id, passage_order, page_start, page_end, chars, norm, list(term ORDER BY term) AS found, sum(coalesce(w, 1)) AS term_weight,
         10 * count(*) + CASE WHEN contains(norm, any_value(phrase)) THEN 20 ELSE 0 END AS lexical_score
         FROM spread JOIN terms USING (term) LEFT JOIN weights USING (analysis_id, term) ANTI JOIN own USING (analysis_id, package_id) GROUP BY analysis_id, passage_id, document_id, package_id, passage_order, page_start, page_end, chars, norm),
-    hits AS (SELECT *, sum(chars) OVER (PARTITION BY analysis_id ORDER BY rank) AS cum FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS rank FROM scores
-        QUALIFY rank <= 120) QUALIFY cum <= 180000),
+    hits AS (SELECT * FROM scores),
     phrases AS (SELECT h.analysis_id, h.passage_id, sum(c.weight) AS concept_weight, list(DISTINCT c.label) AS labels FROM hits h JOIN concepts c ON h.analysis_id = c.analysis_id AND contains(h.norm, c.norm) GROUP BY 1, 2),
     weighted AS (SELECT h.*, coalesce(concept_weight, 0) AS concept_weight, coalesce(labels, []) AS labels, lexical_score + 25 * term_weight + 40 * coalesce(concept_weight, 0) AS weighted_score
         FROM hits h LEFT JOIN phrases USING (analysis_id, passage_id)),
@@ -259,13 +270,16 @@ _SIMILAR = f"""{_FOCUS},
         FROM packages QUALIFY rank <= 5)"""
 
 
+def _own(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "benchmark").selectExpr("concat('case_', item_id) AS query_id", "concat('src', item_id % 20) AS package_id")
+
+
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    return R.similar_cases(B.passages(spark, d), _focus(spark, d), _own(spark, d), k=5)
+
 
-def weighted(spark: SparkSession, d: str) -> DataFrame:
-    concepts = _focus(spark, d)
-    passages = B.passages(spark, d)
-    own = B.table(spark, d, "benchmark").selectExpr("concat('case_', item_id) AS query_id", "concat('src', item_id % 20) AS package_id")
-    hits = R.lexical_retrieve(passages, R.focus_queries(concepts), None, R.CASE_PASSAGES, R.CASE_CHARS, CASE_STOP_WORDS, own)
-    return R.weighted_hits(hits, passages, concepts)
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return R.top_evidence(R.weighted_pairs(B.passages(spark, d), _focus(spark, d), _own(spark, d)), B.docs(spark, d), n=4)
 
 
 @query(
@@ -275,7 +289,7 @@ def weighted(spark: SparkSession, d: str) -> DataFrame:
     "concept_nodes", "passages",
 )
 def similar_cases(spark: SparkSession, d: str) -> DataFrame:
-    found = R.similar_cases(weighted(spark, d))
+    found = _similar(spark, d)
     return found.select(
         "analysis_id", "package_id", "rank", "total_score", "max_passage_score", "weighted_score", "matched_concept_weight",
         F.array_join("matched_concepts", "; ").alias("matched_concepts"), F.array_join("matched_query_terms", " ").alias("matched_query_terms"), "candidate_id",
@@ -291,7 +305,7 @@ def similar_cases(spark: SparkSession, d: str) -> DataFrame:
     "concept_nodes", "docs", "passages",
 )
 def top_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_evidence(weighted(spark, d), B.docs(spark, d))
+    return _evidence(spark, d)
 
 
 @query(
@@ -299,16 +313,15 @@ def top_evidence(spark: SparkSession, d: str) -> DataFrame:
         SELECT analysis_id, 'OWN_PACKAGE' AS rule, package_id AS key FROM best WHERE package_id = 'src' || ((replace(analysis_id, 'case_', '')::INT + 1) % 20)
         UNION ALL SELECT analysis_id, 'RANKS_NOT_UNIQUE', '' FROM best GROUP BY 1 HAVING count(*) >= 4
         UNION ALL SELECT analysis_id, 'RANKS_NOT_CONTIGUOUS', '' FROM best GROUP BY 1 HAVING count(*) >= 4
-        UNION ALL SELECT analysis_id, 'EVIDENCE_PASSAGE_MISSING', passage_id FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, package_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS r FROM weighted QUALIFY r <= 4) WHERE chars > 300)""",
+        UNION ALL SELECT analysis_id, 'EVIDENCE_PASSAGE_MISSING', passage_id FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, package_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS r FROM weighted QUALIFY r <= 4) WHERE (regexp_extract(document_id, '[0-9a-f]+$')[-1:]) IN ('0', '1', '2'))""",
     "concept_nodes", "passages",
 )
 def similar_case_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of results that were damaged on purpose: rank 4 became 3, long passages are unknown, another package is the own one."""
-    hits = weighted(spark, d)
-    found = R.similar_cases(hits).withColumn("rank", F.expr("CASE WHEN rank = 4 THEN 3 ELSE rank END"))
+    """Checks of results that were damaged on purpose: rank 4 became 3, passages of some documents are unknown, another package is the own one."""
+    found = _similar(spark, d).withColumn("rank", F.expr("CASE WHEN rank = 4 THEN 3 ELSE rank END"))
     own = B.table(spark, d, "benchmark").selectExpr("concat('case_', item_id) AS analysis_id", "concat('src', (item_id + 1) % 20) AS package_id")
-    passages = B.passages(spark, d)
-    return R.similar_case_violations(found, R.top_evidence(hits, B.docs(spark, d)), passages.where("length(passage_text) <= 300"), own)
+    passages = B.passages(spark, d).where("right(document_id, 1) NOT IN ('0', '1', '2')")
+    return R.similar_case_violations(found, _evidence(spark, d), passages, own)
 
 
 def _taxonomy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +354,7 @@ def _taxonomy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         'taxonomy_candidate_' || substr(sha256(entity_path || '|' || attribute_name || '|' || code_value || '|' || coalesce(code, '')), 1, 20) AS candidate_id FROM n JOIN top USING (node_kind, txt)"""
 )
 def taxonomy_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return R.taxonomy_shortlist(*_taxonomy(spark, d))
+    return R.taxonomy_shortlist(*_taxonomy(spark, d), k=12)
 
 
 @query(
@@ -350,14 +363,14 @@ def taxonomy_shortlist(spark: SparkSession, d: str) -> DataFrame:
     scores AS (SELECT factor_node_id, passage_id, document_id, passage_order, chars, (10 * count(*) + CASE WHEN contains(any_value(norm), any_value(phrase)) THEN 20 ELSE 0 END)::BIGINT AS lexical_score
         FROM spread JOIN asked USING (term) GROUP BY 1, 2, 3, 4, 5),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY factor_node_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS rank FROM scores QUALIFY rank <= 12)
-    SELECT factor_node_id, passage_id, rank, lexical_score, (sum(chars) OVER (PARTITION BY factor_node_id ORDER BY rank))::BIGINT AS cumulative_chars FROM ranked QUALIFY cumulative_chars <= 24000""",
+    SELECT factor_node_id, passage_id, rank, lexical_score, (sum(chars) OVER (PARTITION BY factor_node_id ORDER BY rank))::BIGINT AS cumulative_chars FROM ranked""",
     "concept_nodes", "passages",
 )
 def grounded_shortlist(spark: SparkSession, d: str) -> DataFrame:
     factors = B.concept_nodes(spark, d).where("node_kind = 'ContributingFactor'").selectExpr(
         "concat(analysis_id, '#', node_id) AS factor_node_id", "label AS factor_label", "cast(NULL AS string) AS factor_description"
     )
-    return R.grounded_shortlist(factors, B.passages(spark, d)).select("factor_node_id", "passage_id", "rank", "lexical_score", "cumulative_chars")
+    return R.grounded_shortlist(factors, B.passages(spark, d), k=12).select("factor_node_id", "passage_id", "rank", "lexical_score", "cumulative_chars")
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from dossier.functions import text as X
 from dossier.functions.rules import METADATA_RULES, TEXT_RULES, reference_work
@@ -12,7 +13,6 @@ from dossier.operators import text as T
 from dossier.queries import bindings as B
 from dossier.queries.registry import query
 from dossier.sources import tables
-from dossier.sources.files import discover_files
 from dossier.sources.transcripts import flatten_transcript, json_text, transcript_segments
 
 STOP = "[" + ", ".join(f"'{w}'" for w in X.TAXONOMY_STOP_WORDS) + "]"
@@ -27,9 +27,13 @@ def tokens_sql(c: str, stop: str = STOP) -> str:
     return f"list_filter(list_distinct(string_split({norm_sql(c)}, ' ')), lambda w: length(w) >= 3 AND NOT list_contains({stop}, w))"
 
 
-@query()
-def discovered_files(spark: SparkSession, d: str) -> DataFrame:
-    return discover_files(spark, d, suffixes=(".parquet",)).select("original_filename", "document_id", "source_type", "sha256", "byte_size")
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal, NULL::VARCHAR AS note FROM customer")
+def conformed_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as they are appended: the columns of the schema in its order and types."""
+    schema = T_.StructType(
+        [T_.StructField("c_custkey", T_.LongType(), False), T_.StructField("c_name", T_.StringType()), T_.StructField("c_acctbal", T_.DoubleType()), T_.StructField("note", T_.StringType())]
+    )
+    return tables.conform(B.table(spark, d, "customer"), schema)
 
 
 @query("""SELECT document_id, analysis_id, information_class FROM docs WHERE document_role = 'MAIN_REPORT' AND source_managed_by = 'CANONICAL'""", "docs")
@@ -193,7 +197,7 @@ _HITS = ", ".join(
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN n < 80 OR b.hits = 0 THEN 'UNKNOWN' ELSE b.language END AS detected_language
+    f"""SELECT doc_id, CASE WHEN b.hits = 0 THEN 'UNKNOWN' ELSE b.language END AS detected_language
     FROM (SELECT doc_id, n, list_max([{_HITS}]) AS b FROM (SELECT doc_id, length({_NORM.replace("(t,", "(text,")}) AS n, string_split({norm_sql("text")}, ' ') AS w FROM documents))"""
 )
 def detected_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +224,7 @@ def corpus_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT document_id, passage_order, length(passage_text)::BIGINT AS chars, left(passage_text, 300) AS passage_preview,
+    """SELECT document_id, passage_order, length(passage_text)::BIGINT AS chars, passage_text AS passage_preview,
         CASE WHEN page_start IS NULL THEN 'page unknown' WHEN page_end IS NULL OR page_end = page_start THEN 'p. ' || page_start
         ELSE 'pp. ' || page_start || '–' || page_end END AS page_reference FROM passages""",
     "passages",

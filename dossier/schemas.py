@@ -1,6 +1,5 @@
 """Vocabularies and table schemas. All values here are fixed values."""
 
-from pyspark.sql import types as T
 
 NODE_KINDS = (
     "Event", "ContributingFactor", "Finding", "SafetyIssue", "Recommendation", "Actor", "Vessel", "System", "Claim",
@@ -35,29 +34,3 @@ REFERENCE_OWNER = "REFERENCE_CONTEXT"
 PERSISTENT_OWNERS = (CANONICAL_OWNER, TAXONOMY_OWNER, REFERENCE_OWNER)
 PERSISTENT_ROLES = ("RESERVED_TAXONOMY", "REFERENCE_CONTEXT")
 DERIVATIVE = "PSEUDONYMISED_DERIVATIVE"
-
-SEGMENT_RESULT = T.StructType(
-    [
-        T.StructField(
-            "response",
-            T.StructType(
-                [
-                    T.StructField("duration_seconds", T.DoubleType()),
-                    T.StructField(
-                        "segments",
-                        T.ArrayType(
-                            T.StructType(
-                                [
-                                    T.StructField("start", T.DoubleType()),
-                                    T.StructField("end", T.DoubleType()),
-                                    T.StructField("speaker_id", T.StringType()),
-                                    T.StructField("text", T.StringType()),
-                                ]
-                            )
-                        ),
-                    ),
-                ]
-            ),
-        )
-    ]
-)

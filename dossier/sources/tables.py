@@ -1,7 +1,7 @@
 """Governed tables on parquet: scans, appends, upserts, slice replacement and schema evolution.
 
-Parquet has no MERGE or DELETE. Changed tables are computed as DataFrames and written as a new version
-directory, so that no plan overwrites files that it reads.
+Parquet has no MERGE or DELETE. Changed tables are computed as DataFrames and written to a folder of their own, so that
+no plan overwrites files that it reads.
 """
 
 from __future__ import annotations
@@ -44,6 +44,15 @@ def append(df: DataFrame, path: str, schema: T.StructType, partition_by: Sequenc
     writer.parquet(path)
 
 
+def write_new(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Write ``df`` to a folder that must not exist yet and return it."""
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``source`` replace the rows of ``target`` with equal keys; new keys are added."""
     return target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(source)
@@ -72,36 +81,3 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
 def evolve_schema(df: DataFrame, wanted: Mapping[str, str]) -> DataFrame:
     """Add the columns that are missing as typed NULLs."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in df.columns})
-
-
-def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the next version directory below ``path`` and return it."""
-    version = (_versions(df.sparkSession, path) or [0])[-1] + 1
-    folder = f"{path}/version={version:08d}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(folder)
-    return folder
-
-
-def read_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest completely written version below ``path``."""
-    versions = _versions(spark, path)
-    if not versions:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/version={versions[-1]:08d}")
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            done.append(int(name.removeprefix("version=")))
-    return sorted(done)

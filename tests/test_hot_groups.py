@@ -124,7 +124,7 @@ def test_containment_finds_every_phrase(spark):
     phrases += [t[0][3:20] for t in texts if len(t[0]) > 22][:10]
     phrases = sorted(set(phrases))
     df = containing(
-        spark.createDataFrame(texts, "t string, i int"), "t", spark.createDataFrame([(p,) for p in phrases], "p string"), "p"
+        spark.createDataFrame(texts, "t string, i int"), ["i"], "t", spark.createDataFrame([(p,) for p in phrases], "p string"), "p"
     )
     got = sorted((r["i"], r["p"]) for r in df.collect())
     assert got == sorted((i, p) for t, i in texts for p in phrases if p in t)

@@ -57,3 +57,8 @@ def test_redaction(spark):
     row = P.redact_columns(rows, ["a", "b", "c"]).first()
     assert (row["a"], row["b"], row["c"]) == ("mail [REDACTED_EMAIL], call [REDACTED_PHONE]", "[REDACTED_PERSONAL_ID]", "plain")
     assert row["redaction_count"] == 2
+
+
+def test_a_rule_goes_before_an_equal_term(spark):
+    row = pseudonymised(spark, "mail a@b.org now", ["EMAIL"], {"EMAIL": ["a@b.org", "A@B.ORG"]})
+    assert [(r["original"], r["detected_by"]) for r in row["replacements"]] == [("a@b.org", "RULE")]

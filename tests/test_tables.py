@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,13 +13,14 @@ from dossier.sources.files import discover_files, read_registry
 from dossier.sources.transcripts import read_transcript_json
 
 
-def test_versions_replace_each_other(spark, tmp_path):
-    path = str(tmp_path / "t")
+def test_a_changed_table_goes_to_a_folder_of_its_own(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    tables.write_version(rows, path)
-    changed = tables.upsert(tables.read_version(spark, path), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
-    tables.write_version(changed, path)
-    assert sorted(tuple(r) for r in tables.read_version(spark, path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    first = tables.write_new(rows, str(tmp_path / "t1"))
+    changed = tables.upsert(spark.read.parquet(first), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
+    second = tables.write_new(changed, str(tmp_path / "t2"))
+    assert sorted(tuple(r) for r in spark.read.parquet(second).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(AnalysisException):
+        tables.write_new(rows, first)
 
 
 def test_append_conforms_and_partitions_are_replaced(spark, tmp_path):
