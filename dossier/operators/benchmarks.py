@@ -18,8 +18,12 @@ def _rate(part: str, whole: str) -> Column:
     return F.try_divide(F.col(part).cast("double"), F.when(F.col(whole) > 0, F.col(whole).cast("double")))
 
 
-def review_metrics(edges: DataFrame, latest: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Generated and reviewed relationships per group with coverage and decision rates."""
+def review_metrics(edges: DataFrame, latest: DataFrame, groups: Sequence[str], privacy: DataFrame | None = None) -> DataFrame:
+    """Generated and reviewed relationships per group with coverage and decision rates.
+
+    ``privacy``: the groups with privacy_redactions and privacy_validation_status of their outputs; groups that it
+    lacks have no redactions and no status.
+    """
     generated = edges.groupBy(*groups).agg(F.count(F.lit(1)).alias("generated"))
     decision = F.upper("decision")
     reviewed = latest.groupBy(*groups).agg(
@@ -31,6 +35,10 @@ def review_metrics(edges: DataFrame, latest: DataFrame, groups: Sequence[str]) -
     joined = generated.join(reviewed, list(groups), "left")
     names = ("reviewed", "validated", "rejected", "amended")
     joined = joined.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
+    if privacy is not None:
+        joined = joined.join(privacy.select(*groups, "privacy_redactions", "privacy_validation_status"), list(groups), "left").withColumn(
+            "privacy_redactions", F.coalesce("privacy_redactions", F.lit(0)).cast("long")
+        )
     return joined.withColumns(
         {
             "review_coverage": _rate("reviewed", "generated"),

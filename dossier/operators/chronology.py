@@ -171,13 +171,19 @@ _LAST = (1 << 62)
 
 
 def _prioritised(events: DataFrame) -> DataFrame:
-    """Events once each with the parts of their priority: sequence, explicit minutes, audio start, label, id."""
+    """Events once each with the parts of their priority: sequence, explicit minutes, audio start, label, id.
+
+    Of several rows of one event the largest by all other columns in their order is kept.
+    """
+    key = ["analysis_id", "node_id"]
+    rest = [c for c in events.columns if c not in key]
+    once = events.where(_text("node_id") != "").groupBy(*key).agg(F.max(F.struct(*rest)).alias("_e")).select(*key, "_e.*").select(*events.columns)
     starts = F.filter(
         F.transform(F.coalesce("audio_evidence_locations", F.array().cast("array<string>")), parse_audio_location),
         lambda a: a.isNotNull(),
     )
     infinite = F.lit(float("inf"))
-    return events.where(_text("node_id") != "").dropDuplicates(["analysis_id", "node_id"]).withColumns(
+    return once.withColumns(
         {
             "relative_start_s": F.array_min(F.transform(starts, lambda a: a["start_s"])),
             "relative_end_s": F.array_max(F.transform(starts, lambda a: a["end_s"])),
@@ -340,7 +346,15 @@ def _keys(nodes: DataFrame, links: DataFrame, bound: int, prefix: int) -> DataFr
     hot = durable(hot)
     small = _keys_in_task(nodes.join(hot, group, "left_anti"), links.join(hot, group, "left_anti"), prefix)
     big_nodes, big_links = durable(nodes.join(hot, group, "left_semi")), durable(links.join(hot, group, "left_semi"))
-    settled, held = _dominating(big_nodes, big_links)
+    chains = _chains(big_nodes, big_links)
+    forked = big_links.groupBy(*group, "source").agg(F.count("*").alias("n")).where("n > 1").select(*group)
+    forked = durable(forked.unionByName(chains.where("waits > 1").select(*group)).distinct())
+    along = _along_chains(chains.join(forked, group, "left_anti"), prefix)
+    if forked.isEmpty():
+        return small.unionByName(along)
+    small = small.unionByName(along)
+    big_links = big_links.join(forked, group, "left_semi")
+    settled, held = _dominating(chains.join(forked, group, "left_semi"), big_links)
     head = F.slice("path", 2, prefix)
     owners = settled.where(F.col("rank") == F.col("top"))
     rest = durable(settled.where(F.col("rank") != F.col("top")))
@@ -358,29 +372,75 @@ def _keys(nodes: DataFrame, links: DataFrame, bound: int, prefix: int) -> DataFr
     return small.unionByName(done).unionByName(stuck).unionByName(_keys(inner_nodes, inner_links, bound, prefix + 1))
 
 
-def _dominating(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level by level: (settled events with the largest rank before or at them, events behind a cycle)."""
+def _chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Events with the number they wait for and, if that is one, the start of their chain.
+
+    An event that waits for one other points at it. Pointers are doubled until they reach an event that waits for none or
+    several (the root), with the steps and the largest rank on the way, so a chain of n events takes log n rounds.
+    ``root`` is null for events whose pointers run in a cycle.
+    """
     group = ["analysis_id", "path"]
-    needs = links.groupBy(*group, F.col("target").alias("rank")).agg(F.count(F.lit(1)).alias("open"))
-    waiting = durable(
-        nodes.join(needs, [*group, "rank"], "left").select(*group, "rank", F.coalesce("open", F.lit(0)).alias("open"), F.col("rank").alias("top"))
+    before = links.groupBy(*group, F.col("target").alias("rank")).agg(F.count("*").alias("waits"), F.min("source").alias("_p"))
+    all_nodes = durable(nodes.join(before, [*group, "rank"], "left").select(*group, "rank", F.coalesce("waits", F.lit(0)).alias("waits"), "_p"))
+    single = durable(
+        all_nodes.where("waits = 1").select(*group, "rank", F.col("_p").alias("root"), F.col("rank").alias("top"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done"))
     )
-    settled = None
+    rounds = single.count().bit_length() + 1
+    for _ in range(rounds):
+        if single.where("not done").isEmpty():
+            break
+        ahead = single.select(*group, F.col("rank").alias("root"), F.col("root").alias("_root"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
+        joined = single.join(ahead, [*group, "root"], "left")
+        reached = F.col("_root").isNull()
+        single = durable(
+            joined.select(
+                *group, "rank", F.coalesce("_root", "root").alias("root"), F.greatest("top", F.coalesce("_top", "top")).alias("top"),
+                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), reached.alias("done"),
+            )
+        )
+    found = single.select(*group, "rank", F.when(F.col("done"), F.col("root")).alias("root"), "top", "steps")
+    others = all_nodes.where("waits != 1").select(*group, "rank", "waits", F.col("rank").alias("root"), F.col("rank").alias("top"), F.lit(0).cast("long").alias("steps"))
+    return durable(found.withColumn("waits", F.lit(1).cast("long")).select(*others.columns).unionByName(others))
+
+
+def _along_chains(chains: DataFrame, prefix: int) -> DataFrame:
+    """Keys of groups in which no event has several predecessors or successors: chains merge by their largest rank so far."""
+    head = F.slice("path", 2, prefix)
+    key = F.concat(head, F.array(F.greatest("root", "top"), F.col("steps")))
+    stuck = F.col("root").isNull()
+    return chains.select("analysis_id", "rank", F.when(stuck, F.array("rank")).otherwise(key).alias("key"), stuck.alias("in_cycle"))
+
+
+def _dominating(chains: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled events with the largest rank before or at them, events behind a cycle), level by level of the joints.
+
+    Joints are the events that wait for none or several others; what lies on the chains between them follows from their roots.
+    """
+    group = ["analysis_id", "path"]
+    root = chains.select(*group, F.col("rank").alias("source"), F.col("root"), F.col("top").alias("_way"))
+    joints = chains.where("waits != 1")
+    inner = links.join(joints.select(*group, F.col("rank").alias("target")), [*group, "target"], "left_semi").join(root, [*group, "source"])
+    inner = durable(inner.where("root is not null").select(*group, F.col("root").alias("from"), "target", "_way"))
+    state = durable(joints.select(*group, "rank", F.col("waits").alias("open"), F.col("rank").alias("top"), F.lit(False).alias("done")))
     while True:
-        ready = waiting.where(F.col("open") == 0).select(*group, "rank", "top")
+        ready = state.where("open = 0 and not done")
         if ready.isEmpty():
             break
-        settled = ready if settled is None else settled.unionByName(ready)
-        told = links.join(ready.select(*group, F.col("rank").alias("source"), "top"), [*group, "source"]).groupBy(
-            *group, F.col("target").alias("rank")
-        ).agg(F.count(F.lit(1)).alias("_n"), F.max("top").alias("_t"))
-        waiting = durable(
-            waiting.where(F.col("open") > 0)
-            .join(told, [*group, "rank"], "left")
-            .select(*group, "rank", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), F.greatest("top", F.coalesce("_t", F.col("top"))).alias("top"))
+        told = (
+            inner.join(ready.select(*group, F.col("rank").alias("from"), "top"), [*group, "from"])
+            .groupBy(*group, F.col("target").alias("rank"))
+            .agg(F.count("*").alias("_n"), F.max(F.greatest("top", "_way")).alias("_t"))
+        )
+        state = durable(
+            state.join(told, [*group, "rank"], "left").select(
+                *group, "rank", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), F.greatest("top", F.coalesce("_t", "top")).alias("top"),
+                (F.col("done") | (F.col("open") == 0)).alias("done"),
+            )
         )
-    held = waiting.select(*group, "rank")
-    return (settled if settled is not None else waiting.select(*group, "rank", "top").limit(0)), held
+    known = state.where("done").select(*group, F.col("rank").alias("root"), F.col("top").alias("_root_top"))
+    joined = durable(chains.join(known, [*group, "root"], "left"))
+    settled = joined.where("_root_top is not null").select(*group, "rank", F.greatest("top", "_root_top").alias("top"))
+    return settled, joined.where("_root_top is null").select(*group, "rank")
 
 
 def _keys_in_task(nodes: DataFrame, links: DataFrame, prefix: int) -> DataFrame:

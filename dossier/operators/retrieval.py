@@ -202,13 +202,13 @@ def _pair_scores(
     points = F.when(F.col("expanded"), EXPANSION_WEIGHT).otherwise(TERM_WEIGHT)
     matched = text.select(*ids, *package, F.explode(label_tokens(F.col("_norm"), 3, stop)).alias("term")).join(wanted, "term")
     weight = F.col("weight") if weighted else F.lit(0)
-    rows = allowed(matched).select("query_id", *ids, points.alias("_points"), weight.alias("_weight"))
-    # A passage that holds the whole query holds its terms as well, so this adds points and no pairs.
+    rows = allowed(matched).select("query_id", *ids, points.alias("_points"), weight.alias("_weight"), F.lit(1).alias("_term"))
+    # The whole query adds points to pairs and no pairs: it may occur as a part of longer words, without any term.
     whole = text.select(*ids, *package).join(checked_broadcast(_phrase_hits(text, terms)), "passage_id")
-    more = allowed(whole).select("query_id", *ids, F.lit(PHRASE_WEIGHT).alias("_points"), F.lit(0).alias("_weight"))
+    more = allowed(whole).select("query_id", *ids, F.lit(PHRASE_WEIGHT).alias("_points"), F.lit(0).alias("_weight"), F.lit(0).alias("_term"))
     sums = rows.unionByName(more).groupBy("query_id", *ids).agg(
-        F.sum("_points").cast("long").alias("lexical_score"), F.sum("_weight").cast("long").alias("term_weight")
-    )
+        F.sum("_points").cast("long").alias("lexical_score"), F.sum("_weight").cast("long").alias("term_weight"), F.max("_term").alias("_term")
+    ).where("_term = 1").drop("_term")
     return sums if weighted else sums.drop("term_weight")
 
 

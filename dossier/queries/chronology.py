@@ -160,12 +160,36 @@ def _projectable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return events.drop("ts", "user_id", "event_id"), forward.unionByName(back)
 
 
-@query()
+_PROJECTED = """ev AS (SELECT 'user_' || user_id AS analysis_id, user_id, event_id, 'n' || event_id AS node_id, event_type || ' ' || (event_id % 13) AS label,
+        CASE WHEN event_id % 4 <> 0 THEN ((event_id * 37) % 101)::DOUBLE END AS seq, CASE WHEN event_id % 6 = 0 THEN hour(ts) * 60 + minute(ts) END AS minutes, CASE WHEN event_id % 6 = 0 THEN strftime(ts, '%H:%M') END AS clock,
+        CASE WHEN event_id % 5 = 0 THEN (event_id % 50)::DOUBLE END AS audio, event_id % 211 = 0 AS conflict FROM events),
+    led AS (SELECT *, lead(node_id, 3) OVER w AS nxt, row_number() OVER w AS rn FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    links AS (SELECT analysis_id, node_id AS source, nxt AS target FROM led WHERE nxt IS NOT NULL AND event_id % 3 = 0
+        UNION SELECT analysis_id, nxt, node_id FROM led WHERE nxt IS NOT NULL AND event_id % 3 = 0 AND user_id % 10 = 0 AND rn > 20 AND rn < 25),
+    before AS (SELECT analysis_id, target AS node_id, list(source) AS preds FROM links GROUP BY 1, 2),
+    ranked AS (SELECT ev.*, coalesce(preds, []) AS preds, row_number() OVER (PARTITION BY ev.analysis_id ORDER BY coalesce(seq, 'infinity'::DOUBLE), coalesce(minutes, 'infinity'::DOUBLE), coalesce(audio, 'infinity'::DOUBLE), lower(label), ev.node_id) AS rank
+        FROM ev LEFT JOIN before USING (analysis_id, node_id)),
+    walk AS (SELECT DISTINCT analysis_id, []::VARCHAR[] AS done FROM ev UNION ALL
+        SELECT w.analysis_id, list_append(any_value(w.done), arg_min(r.node_id, r.rank)) FROM walk w JOIN ranked r ON r.analysis_id = w.analysis_id AND NOT list_contains(w.done, r.node_id) AND list_has_all(w.done, r.preds) GROUP BY w.analysis_id),
+    orders AS (SELECT analysis_id, arg_max(done, len(done)) AS done FROM walk GROUP BY 1),
+    linked AS (SELECT analysis_id, source AS node_id FROM links UNION SELECT analysis_id, target FROM links),
+    projected AS (SELECT r.*, NOT list_contains(done, r.node_id) AS in_cycle, CASE WHEN clock IS NOT NULL THEN 'EXPLICIT_TIME' WHEN audio IS NOT NULL THEN 'RELATIVE_AUDIO' WHEN l.node_id IS NOT NULL THEN 'FOLLOWED_BY'
+        WHEN seq IS NOT NULL THEN 'SOURCE_ORDER' ELSE 'UNRESOLVED_ORDER' END AS basis, row_number() OVER (PARTITION BY r.analysis_id ORDER BY coalesce(list_position(done, r.node_id), 1000000000), r.rank) AS position
+        FROM ranked r JOIN orders USING (analysis_id) LEFT JOIN linked l ON l.analysis_id = r.analysis_id AND l.node_id = r.node_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PROJECTED} SELECT analysis_id, node_id, label, seq AS source_sequence_index, minutes::INT AS explicit_time_minutes, clock AS explicit_time_label, conflict AS timeline_time_conflict,
+        audio AS relative_start_s, audio + 0.9 AS relative_end_s, position AS sequence_position, basis AS ordering_basis, in_cycle, conflict OR in_cycle AS ordering_conflict FROM projected"""
+)
 def projected_timeline(spark: SparkSession, d: str) -> DataFrame:
     return C.project_timeline(*_projectable(spark, d)).drop("audio_evidence_locations")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PROJECTED} SELECT analysis_id, 'FOLLOWED_BY_CYCLE' AS conflict_type, node_id FROM projected WHERE in_cycle
+        UNION ALL SELECT analysis_id, 'MULTIPLE_EXPLICIT_TIMES', node_id FROM projected WHERE conflict"""
+)
 def timeline_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return C.timeline_conflicts(C.project_timeline(*_projectable(spark, d)))
 

@@ -12,6 +12,7 @@ from dossier.operators import alerts as A
 from dossier.operators import benchmarks as M
 from dossier.operators import costs as C
 from dossier.operators import retention as T
+from dossier.operators.privacy import redaction_status
 from dossier.operators.reviews import latest_review
 from dossier.queries import bindings as B
 from dossier.queries.registry import query
@@ -219,13 +220,18 @@ def _rate(a: str, b: str) -> str:
 @query(
     f"""WITH g AS (SELECT model_run_id, count(*) AS generated FROM edges WHERE edge_class <> 'STRUCTURAL' GROUP BY 1), r AS (SELECT model_run_id, count(*) AS reviewed, count(*) FILTER (decision = 'VALIDATED') AS validated,
         count(*) FILTER (decision = 'REJECTED') AS rejected, count(*) FILTER (decision = 'AMENDED') AS amended FROM latest GROUP BY 1),
-    j AS (SELECT model_run_id, generated, coalesce(reviewed, 0) AS reviewed, coalesce(validated, 0) AS validated, coalesce(rejected, 0) AS rejected, coalesce(amended, 0) AS amended FROM g LEFT JOIN r USING (model_run_id))
-    SELECT *, {_rate('reviewed', 'generated')} AS review_coverage, {_rate('validated', 'reviewed')} AS acceptance_rate, {_rate('rejected', 'reviewed')} AS rejection_rate, {_rate('amended', 'reviewed')} AS amendment_rate FROM j""",
+    j AS (SELECT model_run_id, generated, coalesce(reviewed, 0) AS reviewed, coalesce(validated, 0) AS validated, coalesce(rejected, 0) AS rejected, coalesce(amended, 0) AS amended FROM g LEFT JOIN r USING (model_run_id)),
+    pr AS (SELECT model_run_id, sum(n) AS s FROM (SELECT 'run_' || (event_id // 100) AS model_run_id, CASE WHEN event_id % 90 = 7 AND event_id // 100 % 3 <> 0 THEN 2 ELSE 0 END AS n FROM events WHERE event_id // 100 % 7 <> 5) GROUP BY 1)
+    SELECT j.*, coalesce(s, 0)::BIGINT AS privacy_redactions, CASE WHEN s > 0 THEN 'PASSED_WITH_AUTOMATIC_REDACTION' WHEN s = 0 THEN 'PASSED' END AS privacy_validation_status, {_rate('reviewed', 'generated')} AS review_coverage, {_rate('validated', 'reviewed')} AS acceptance_rate, {_rate('rejected', 'reviewed')} AS rejection_rate, {_rate('amended', 'reviewed')} AS amendment_rate FROM j LEFT JOIN pr USING (model_run_id)""",
     "edges", "latest",
 )
 def review_metrics(spark: SparkSession, d: str) -> DataFrame:
     edges = B.edges(spark, d).where("edge_class <> 'STRUCTURAL'")
-    return M.review_metrics(edges, latest_review(B.reviews(spark, d), ["edge_id"]), ["model_run_id"])
+    outputs = B.table(spark, d, "events").where("event_id div 100 % 7 <> 5").selectExpr(
+        "concat('run_', event_id div 100) AS model_run_id", "CASE WHEN event_id % 90 = 7 AND event_id div 100 % 3 <> 0 THEN 2 ELSE 0 END AS redaction_count"
+    )
+    privacy = redaction_status(outputs, ["model_run_id"]).withColumnRenamed("redaction_count", "privacy_redactions")
+    return M.review_metrics(edges, latest_review(B.reviews(spark, d), ["edge_id"]), ["model_run_id"], privacy)
 
 
 def _model_candidates(spark: SparkSession, d: str) -> DataFrame:

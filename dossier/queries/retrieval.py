@@ -313,7 +313,7 @@ def top_evidence(spark: SparkSession, d: str) -> DataFrame:
         SELECT analysis_id, 'OWN_PACKAGE' AS rule, package_id AS key FROM best WHERE package_id = 'src' || ((replace(analysis_id, 'case_', '')::INT + 1) % 20)
         UNION ALL SELECT analysis_id, 'RANKS_NOT_UNIQUE', '' FROM best GROUP BY 1 HAVING count(*) >= 4
         UNION ALL SELECT analysis_id, 'RANKS_NOT_CONTIGUOUS', '' FROM best GROUP BY 1 HAVING count(*) >= 4
-        UNION ALL SELECT analysis_id, 'EVIDENCE_PASSAGE_MISSING', passage_id FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, package_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS r FROM weighted QUALIFY r <= 4) WHERE (regexp_extract(document_id, '[0-9a-f]+$')[-1:]) IN ('0', '1', '2'))""",
+        UNION ALL SELECT analysis_id, 'EVIDENCE_PASSAGE_MISSING', passage_id FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, package_id ORDER BY lexical_score DESC, document_id, passage_order, passage_id) AS r FROM weighted QUALIFY r <= 4) WHERE right(document_id, 1) IN ('0', '1', '2'))""",
     "concept_nodes", "passages",
 )
 def similar_case_contract(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
+from pyspark.sql import types
 
+from dossier.functions import privacy as identifiers
 from dossier.functions import text as X
 from dossier.functions.rules import METADATA_RULES, TEXT_RULES, reference_work
 from dossier.operators import privacy as P
@@ -30,8 +33,8 @@ def tokens_sql(c: str, stop: str = STOP) -> str:
 @query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal, NULL::VARCHAR AS note FROM customer")
 def conformed_customers(spark: SparkSession, d: str) -> DataFrame:
     """Rows as they are appended: the columns of the schema in its order and types."""
-    schema = T_.StructType(
-        [T_.StructField("c_custkey", T_.LongType(), False), T_.StructField("c_name", T_.StringType()), T_.StructField("c_acctbal", T_.DoubleType()), T_.StructField("note", T_.StringType())]
+    schema = types.StructType(
+        [types.StructField("c_custkey", types.LongType(), False), types.StructField("c_name", types.StringType()), types.StructField("c_acctbal", types.DoubleType()), types.StructField("note", types.StringType())]
     )
     return tables.conform(B.table(spark, d, "customer"), schema)
 
@@ -287,13 +290,34 @@ def flattened_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- privacy ----------------------------------------------------------------------------------------------
 
-_CATEGORIES = ("EMAIL", "IMO", "MMSI", "PERSONAL_ID", "CASE_REFERENCE")
-_SQL_PATTERNS = {
-    "EMAIL": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
-    "IMO": r"(?i)\bIMO\s*[:#-]?\s*\d{7}\b",
-    "MMSI": r"(?i)\bMMSI\s*[:#-]?\s*\d{9}\b",
-    "PERSONAL_ID": r"(?i)\b(?:passport|national\s+id|identity\s+card|id\s+number)\s*[:#-]?\s*[A-Z0-9-]{4,}\b",
-}
+_START, _END = r"^|[^\pL\pN_]", r"$|[^\pL\pN_]"
+
+
+def _sql_pattern(pattern: str) -> str:
+    """A pattern of the operator for an engine without look-around: the neighbours that it tests are captured instead."""
+    flags = "(?i)" if pattern.startswith("(?i") else ""
+    body = re.sub(r"^\(\?[iU]+\)", "", pattern)
+    alone = body.removeprefix(r"(?<!\w)").removesuffix(r"(?!\w)")
+    return f"{flags}({_START})({alone})({_END})" if alone != body else f"{flags}()({body})()"
+
+
+_SQL_PATTERNS = {c: "(?i)" + re.sub(r"^\(\?[iU]+\)", "", identifiers.PATTERNS[c]) for c in ("EMAIL", "IMO", "MMSI", "PERSONAL_ID")}
+
+
+def _spans_sql(patterns: dict[str, str]) -> str:
+    """CTEs up to ``spans``: non-overlapping matches of a text with positions, by start, longest first, then category."""
+    found = " UNION ALL ".join(
+        f"SELECT document_id, '{c}' AS category, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS whole, regexp_extract_all(text, '{p}', 1) AS before, regexp_extract_all(text, '{p}', 2) AS hits FROM screened"
+        for c, p in patterns.items()
+    )
+    return f"""found AS ({found}),
+    placed AS (SELECT document_id, category, hit AS original, (sum(length(gap)) OVER w + sum(length(all_)) OVER w - length(all_) + length(pre))::INT AS start
+        FROM (SELECT document_id, category, unnest(gaps[:len(whole)]) AS gap, unnest(whole) AS all_, unnest(before) AS pre, unnest(hits) AS hit, unnest(range(len(whole))) AS i FROM found)
+        WINDOW w AS (PARTITION BY document_id, category ORDER BY i)),
+    ordered AS (SELECT *, start + length(original) AS end_, row_number() OVER (PARTITION BY document_id ORDER BY start, -length(original), category) AS rn FROM placed),
+    walk AS (SELECT document_id, rn, end_ AS until, TRUE AS kept FROM ordered WHERE rn = 1 UNION ALL
+        SELECT o.document_id, o.rn, CASE WHEN o.start < w.until THEN w.until ELSE o.end_ END, o.start >= w.until FROM walk w JOIN ordered o ON o.document_id = w.document_id AND o.rn = w.rn + 1),
+    spans AS (SELECT o.* FROM ordered o JOIN walk w USING (document_id, rn) WHERE w.kept)"""
 
 
 @query(
@@ -309,9 +333,16 @@ def identifier_counts(spark: SparkSession, d: str) -> DataFrame:
     return spans.groupBy("document_id", "category").agg(F.count(F.lit(1)).alias("matches"))
 
 
-@query()
+_ALL_KINDS = ("EMAIL", "PHONE", "IMO", "MMSI", "PERSONAL_ID", "CASE_REFERENCE")
+
+
+@query(
+    f"""WITH RECURSIVE {_spans_sql({c: _sql_pattern(identifiers.PATTERNS[c]) for c in _ALL_KINDS})}
+    SELECT document_id, start::INT AS start, end_::INT AS end, category, original, 'RULE' AS detected_by FROM spans""".replace(" AS end,", ' AS "end",'),
+    "screened",
+)
 def identifier_spans(spark: SparkSession, d: str) -> DataFrame:
-    spans = P.find_identifiers(B.screened(spark, d).select("document_id", "text"), "text", ["EMAIL", "PHONE", "IMO", "MMSI", "PERSONAL_ID", "CASE_REFERENCE"])
+    spans = P.find_identifiers(B.screened(spark, d).select("document_id", "text"), "text", _ALL_KINDS)
     return P.resolve_overlaps(spans, ["document_id"])
 
 
@@ -331,13 +362,35 @@ def pseudonymised_emails(spark: SparkSession, d: str) -> DataFrame:
     return named.select("document_id", F.size("replacements").cast("long").alias("replaced"), "pseudonymised_text")
 
 
-@query()
+def _named_sql(patterns: dict[str, str]) -> str:
+    """Spans with their pseudonym: numbered per document and category by the first occurrence of the lower-cased text."""
+    return f"""{_spans_sql(patterns)},
+    identities AS (SELECT document_id, category, lower(original) AS k, row_number() OVER (PARTITION BY document_id, category ORDER BY min(start)) AS n FROM spans GROUP BY 1, 2, 3),
+    named AS (SELECT s.*, s.category || '_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS pseudonym
+        FROM spans s JOIN identities i ON i.document_id = s.document_id AND i.category = s.category AND i.k = lower(s.original))"""
+
+
+_REPLACED_KINDS = ("EMAIL", "PHONE", "PERSONAL_ID", "IMO", "MMSI")
+
+
+@query(
+    f"""WITH RECURSIVE {_named_sql({c: _sql_pattern(identifiers.PATTERNS[c]) for c in _REPLACED_KINDS} | {"PERSON": "(?i)()(master)()"})},
+    parts AS (SELECT n.document_id, n.start, n.end_, n.pseudonym, substr(s.text, coalesce(lag(n.end_) OVER w, 0) + 1, n.start - coalesce(lag(n.end_) OVER w, 0)) AS gap
+        FROM named n JOIN screened s ON s.document_id = n.document_id WINDOW w AS (PARTITION BY n.document_id ORDER BY n.start)),
+    joined AS (SELECT document_id, count(*) AS replaced, string_agg(gap || pseudonym, '' ORDER BY start) AS head, max(end_) AS last FROM parts GROUP BY 1)
+    SELECT s.document_id, coalesce(replaced, 0)::BIGINT AS replaced, coalesce(head || substr(s.text, last + 1), s.text) AS pseudonymised_text FROM screened s LEFT JOIN joined j ON s.document_id = j.document_id""",
+    "screened",
+)
 def pseudonymised_documents(spark: SparkSession, d: str) -> DataFrame:
-    named = P.pseudonymise(B.screened(spark, d).select("document_id", "text"), "text", ["PERSON", "EMAIL", "PHONE", "PERSONAL_ID", "IMO", "MMSI"], {"PERSON": ["master"]})
+    named = P.pseudonymise(B.screened(spark, d).select("document_id", "text"), "text", ["PERSON", *_REPLACED_KINDS], {"PERSON": ["master"]})
     return named.select("document_id", F.size("replacements").cast("long").alias("replaced"), "pseudonymised_text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_named_sql({c: _sql_pattern(identifiers.PATTERNS[c]) for c in ("EMAIL", "PERSONAL_ID", "IMO", "MMSI")})}
+    SELECT document_id, category, pseudonym, arg_max(original, start) AS original, count(*) AS occurrences FROM named GROUP BY 1, 2, 3""",
+    "screened",
+)
 def pseudonym_mappings(spark: SparkSession, d: str) -> DataFrame:
     named = P.pseudonymise(B.screened(spark, d).select("document_id", "text"), "text", ["EMAIL", "PERSONAL_ID", "IMO", "MMSI"])
     return P.pseudonym_mapping(named, ["document_id"])
@@ -346,7 +399,20 @@ def pseudonym_mappings(spark: SparkSession, d: str) -> DataFrame:
 _RED = r"regexp_replace(regexp_replace({c}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '[REDACTED_EMAIL]', 'g'), '(?i)\b(?:passport|national\s+id|identity\s+card|id\s+number)\s*[:#-]?\s*[A-Z0-9-]{{4,}}\b', '[REDACTED_PERSONAL_ID]', 'g')"
 
 
-@query()
+def _redacted_sql(column: str) -> str:
+    """Tags in their order. A number whose neighbour the one before it has taken is found in a second pass."""
+    text = column
+    for pattern, tag in identifiers.REDACTIONS:
+        for _ in range(2 if "(?<!" in pattern else 1):
+            text = f"regexp_replace({text}, '{_sql_pattern(pattern)}', '\\1{tag}\\3', 'g')"
+    return text
+
+
+@query(
+    f"""SELECT document_id, f AS filename, t AS text, ((f <> filename)::INT + (t <> text)::INT)::BIGINT AS redaction_count
+    FROM (SELECT document_id, filename, text, {_redacted_sql("filename")} AS f, {_redacted_sql("text")} AS t FROM screened)""",
+    "screened",
+)
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = B.screened(spark, d).select("document_id", "filename", "text")
     return P.redact_columns(rows, ["filename", "text"])

@@ -137,3 +137,30 @@ def test_snapshot_id_ignores_order_but_not_content(spark):
         return T.corpus_snapshot_id(df, ["g"], [F.col("f"), F.col("h")]).first()["corpus_snapshot_id"]
     assert ident(rows) == ident(rows[::-1])
     assert ident(rows) != ident(rows[:-1]) and ident(rows) != ident(rows + [rows[0]])
+
+
+def test_a_long_chain_is_ordered_in_few_rounds(spark):
+    """5,000 events that follow each other against their priority, a second chain and a cycle, all beyond one task."""
+    n = 5000
+    events = [("a", f"n{i:05d}", "x", float(n - i), None, None, [], False) for i in range(n)]
+    events += [("a", f"m{i:05d}", "x", float(2 * i), None, None, [], False) for i in range(200)] + [("a", f"c{i}", "x", 1.0, None, None, [], False) for i in range(150)]
+    edges = [("a", f"n{i:05d}", f"n{i + 1:05d}") for i in range(n - 1)] + [("a", f"m{i:05d}", f"m{i + 1:05d}") for i in range(199)]
+    edges += [("a", f"c{i}", f"c{(i + 1) % 150}") for i in range(150)]
+    schema = (
+        "analysis_id string, node_id string, label string, source_sequence_index double, explicit_time_minutes int,"
+        " explicit_time_label string, audio_evidence_locations array<string>, timeline_time_conflict boolean"
+    )
+    frames = spark.createDataFrame(events, schema), spark.createDataFrame(edges, "analysis_id string, source_node_id string, target_node_id string")
+    small = {r["node_id"]: (r["sequence_position"], r["in_cycle"]) for r in C.project_timeline(*frames).collect()}
+    hot = {r["node_id"]: (r["sequence_position"], r["in_cycle"]) for r in C.project_timeline(*frames, bound=100).collect()}
+    assert hot == small and sum(c for _, c in hot.values()) == 150
+
+
+def test_of_repeated_events_the_largest_is_kept(spark):
+    rows = [("a", "n1", "x", 5.0), ("a", "n1", "y", 1.0), ("a", "n2", "z", 3.0)]
+    events = spark.createDataFrame(rows, "analysis_id string, node_id string, label string, source_sequence_index double").selectExpr(
+        "*", "cast(null AS int) AS explicit_time_minutes", "cast(null AS string) AS explicit_time_label", "cast(array() AS array<string>) AS audio_evidence_locations", "false AS timeline_time_conflict"
+    )
+    none = spark.createDataFrame([], "analysis_id string, source_node_id string, target_node_id string")
+    got = [(r["node_id"], r["label"]) for r in C.project_timeline(events, none).orderBy("sequence_position").collect()]
+    assert got == [("n1", "y"), ("n2", "z")]
