@@ -16,7 +16,9 @@ entity are left alone, and base spans always stay.
 Everything is built-in expressions and joins. The patterns are written so that the matching engine neither recurses over
 long texts nor starts again inside a run of characters: a character that cannot belong to a match is first replaced by another
 one of the same length. Only lines with entities that have the support are exploded into terms, and only terms met there are
-counted over the corpus, by distinct (line, term). A term or an entity in a third of all rows is a partial count per task.
+counted over the corpus, by distinct (line, term). Of these, terms that are too frequent to disclose anything are recognised in one of
+``HASH_CLASSES`` classes of lines (a lower bound of their count, so nothing is lost) and not counted further. A term or an
+entity in a third of all rows is a partial count per task.
 
 Null and empty texts have no spans. Rows are recognised by their id and a hash of the text, so null ids and repeated rows are
 judged alike. Equal starts are ordered by kind. Further columns do not matter for spans and are kept by ``sanitised``.
@@ -27,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.plans.durable import durable
 from dossier.plans.sizing import checked_broadcast
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +37,7 @@ TERM = "term"
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
+HASH_CLASSES = 16
 SPAN = "struct<start: int, kind: int, end: int>"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -169,15 +173,25 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     pairs = supported.select("_entity", "n_e", "_hash", F.explode(_terms(blank)).alias("_term"))
     n_pair = pairs.groupBy("_entity", "n_e", "_term").agg(F.count_distinct("_hash").alias("n_et")).where(F.col("n_et") >= support)
 
-    wanted = checked_broadcast(n_pair.select("_term").distinct())
-    every = docs.select(F.explode(F.split("_text", "\n", -1)).alias("_line"))
-    n_lines = every.select(F.xxhash64("_line").alias("_hash")).distinct().agg(F.count("*").alias("n"))
-    of_terms = every.select(F.xxhash64("_line").alias("_hash"), F.explode(_terms(F.col("_line"))).alias("_term"))
-    n_term = of_terms.join(wanted, "_term", "left_semi").distinct().groupBy("_term").agg(F.count("*").alias("n_t"))
-
-    share = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(F.col("n") / F.col("n_e"))
-    # one row: the number of lines
-    rated = n_pair.join(n_term, "_term").join(F.broadcast(n_lines)).where(F.col("n") > F.col("n_e")).withColumn("_share", share)
+    n_pair = durable(n_pair)
+    every = docs.select(F.explode(F.split("_text", "\n", -1)).alias("_line")).withColumn("_hash", F.xxhash64("_line"))
+    n_lines = max(1, every.select("_hash").distinct().count())
+    # a term in more lines than this discloses none of its entities
+    most = F.max(F.col("n_et") * F.pow(F.lit(n_lines) / F.col("n_e"), F.lit(1 - generalise)))
+    wanted = durable(n_pair.groupBy("_term").agg(most.alias("_most")))
+
+    def counted(lines: DataFrame, terms: DataFrame) -> DataFrame:
+        held = lines.select("_hash", F.explode(_terms(F.col("_line"))).alias("_term"))
+        return held.join(checked_broadcast(terms), "_term", "left_semi").distinct().groupBy("_term").agg(F.count("*").alias("n_t"))
+
+    # Frequent words are told from the lines of one hash class alone: a term has at least as many lines as that.
+    few = counted(every.where(F.pmod("_hash", F.lit(HASH_CLASSES)) == 0), wanted.select("_term"))
+    rare = wanted.join(few, "_term", "left").where(F.coalesce("n_t", F.lit(0)) <= F.col("_most")).select("_term")
+    n_term = counted(every, rare)
+
+    n = F.lit(float(n_lines))
+    share = F.log(n * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(n / F.col("n_e"))
+    rated = n_pair.join(n_term, "_term").where(F.col("n_e") < n_lines).withColumn("_share", share)
     flagged = rated.where(F.col("_share") >= generalise).select("_entity", "_term", (F.col("_share") >= remove).alias("_out"))
 
     placed = F.transform(_matches(F.lower(blank), r"\p{L}+"), lambda m: F.struct((m["start"] + F.col("_from")).alias("start"), (m["end"] + F.col("_from")).alias("end"), m["hit"].alias("hit")))
