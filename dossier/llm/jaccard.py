@@ -1,23 +1,26 @@
 """Exact n-gram Jaccard join by a pigeonhole over a partitioned universe.
 
 A document is the set of its distinct ``SHINGLE``-word shingles, hashed to 64 bits. Two sets of sizes a and b link
-when their Jaccard index reaches t per cent, that is, when they differ in at most (100 - t)(a + b) / (100 + t) shingles.
+when their Jaccard index reaches t per cent, that is, when they differ in at most H(a, b) = (100 - t)(a + b) / (100 + t) shingles.
 
 * Size bands: the k-th band holds sizes whose ratio allows a link, so partners lie in the same or a neighbouring band.
   In frame k the sets of bands k and k - 1 meet, and the largest difference there is H.
-* Segments: the universe of shingles is cut by hash into somewhat more than H + 1 segments. A pair that differs in at
-  most H shingles agrees on a segment, or differs by one shingle there. A set indexes its subset in every segment,
-  and, in a few segments named per frame, also that subset less each one shingle (its one-deletion neighbourhood).
+* Segments: the universe of shingles is cut by hash into somewhat more than H + 1 segments. A set indexes its subset in every
+  segment and, in a few segments named per frame, also that subset less each one shingle (its one-deletion
+  neighbourhood). Sets of equal keys meet in buckets.
 * Allocation: a set gives each segment -1 (not asked), 0 (asked for equality) or +1 (asked for one difference), such
-  that the values plus one sum to more than its H; then one of them must hit. Segments that many sets would agree on
-  (empty, or made of frequent shingles by a sketch of all shingles) cost most, so these get -1 and the cheapest named
-  segments pay with +1. The sketch has a fixed size, decides costs only, and never a result.
-* Candidates meet in buckets of equal keys. Only the distinct sets of a bucket count, so copies cost nothing, and
-  a bucket does not emit its pairs: its hub is compared with its other sets, components are joined, and only
-  buckets that still hold several components go on with another hub, at last with all pairs across components.
-  A candidate pair is verified on the whole shingle sets.
-
-Keys travel as packed arrays, one row for a batch of documents and a range of keys.
+  that the values plus one sum to more than its H; then a segment that it asks must hold each partner. What a segment costs is
+  the size of its bucket, which is known once the index is built: the largest buckets are not asked, and where large ones
+  remain, named segments pay for them with +1.
+* A bucket does not emit its pairs. Its hub is compared with its other sets. Relative to the hub h a set x is the
+  set D(x) of shingles in one of them only, and two sets differ in as many shingles as D(x) and D(y) do. Unless both link with the hub,
+  sets of a hub that link share some of the first elements of D in any order, so a prefix filter over D finds their pairs. What
+  the hub lacks comes first: copies of one text with different edits, however many, meet in edits that they share and not in
+  the text itself.
+* Candidate pairs whose counts in ``BINS`` bins already differ by more than H are dropped; the others are verified on the whole
+  shingle sets; components join the links.
+
+Copies have one set and cost nothing more. Keys travel as packed arrays, one row for a batch of documents and a range of keys.
 
 Null and empty texts have an empty set and link with nothing. Fewer words than a shingle make one shingle of all words. Rows with a null
 id get a null component and link with nothing. Repeated rows and ties share a set, hence a component, which is named by
@@ -31,7 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.packing import pack, text_bytes, unpack
@@ -42,12 +45,14 @@ from dossier.plans.sizing import checked_broadcast
 
 SHINGLE = 4
 PERCENT = 85
-#: Counters of the frequency sketch: a fixed 1 MB.
-SKETCH = 1 << 18
-SKETCH_PARTS = 16
 #: A range of keys holds the keys of about so much text.
-RANGE_BYTES = 12 << 20
-HUB_ROUNDS = 3
+RANGE_BYTES = 24 << 20
+#: A task sends its keys on when it holds about so many.
+KEYS_HELD = 1 << 19
+#: Counts of a set that a pair is compared by before whole sets are: 256 bytes.
+BINS = 256
+#: Buckets from this size on are worth the one-deletion questions that replace them.
+LARGE_BUCKET = 32
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -95,17 +100,28 @@ def bands(percent: int, most: int) -> np.ndarray:
     return np.array(low, dtype=np.int64)
 
 
+def allowed(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """H: the most shingles in which linked sets of sizes a and b differ."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
 def frame_plan(percent: int, low: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(largest size, segments, named segments) of frames; the named segments are the last ones."""
     top = low[frame + 1] - 1
-    worst = (100 - percent) * 2 * top // (100 + percent)
-    segments = worst + 1 + -(-(worst + 1) // 20)
-    return top, segments, -(-segments // 16)
+    worst = allowed(percent, top, top)
+    segments = worst + 1 + -(-(worst + 1) // 12)
+    return top, segments, -(-segments // 24)
+
 
+def surplus(percent: int, low: np.ndarray, size: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """How many segments a set of a size need not ask in a frame."""
+    top, segments, _ = frame_plan(percent, low, frame)
+    return segments - allowed(percent, size, np.minimum(top, size * 100 // percent)) - 1
 
-def frame_keys(shingles, edges, size, frame, percent, low, cost, cheap):
-    """Keys of sets in one frame each: (key, set, asked). ``cost`` estimates how many sets hold each shingle."""
-    top, segments, named = frame_plan(percent, low, frame)
+
+def frame_keys(shingles, edges, size, frame, percent, low):
+    """Keys of sets in one frame each: (key, set, named segment or -1, whether a shingle was left out)."""
+    _, segments, named = frame_plan(percent, low, frame)
     row = np.repeat(np.arange(len(size)), size)
     base = np.concatenate([[0], np.cumsum(segments)])
     segment = ((shingles >> np.uint64(32)) * segments[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[row]
@@ -117,36 +133,13 @@ def frame_keys(shingles, edges, size, frame, percent, low, cost, cheap):
     owner = np.repeat(np.arange(len(size)), segments)
     local = np.arange(base[-1]) - base[owner]
     place = mix((frame[owner] * (1 << 24) + local + 1).astype(np.uint64))
-    price = np.full(base[-1], np.inf)
-    filled = np.flatnonzero(count)
-    price[filled] = np.minimum.reduceat(cost, (ends - count)[filled]) if len(filled) else 0
-
-    # allocation: the dearest segments are not asked, as far as the surplus of segments allows
-    partner = np.minimum(top, size * 100 // percent)
-    need = (100 - percent) * (size + partner) // (100 + percent) + 1
-    spare = segments - need
-    order = np.lexsort((-price, owner))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order)) - base[owner[order]]
-    dear = price > cheap
-    skipped = dear & (rank < spare[owner])
-    is_named = local >= (segments - named)[owner]
-    wider = np.zeros(len(price), dtype=bool)
-    for i in np.unique(owner[dear & ~skipped]):
-        own = slice(base[i], base[i + 1])
-        more = np.flatnonzero(dear[own] & ~skipped[own]) + base[i]
-        payers = np.flatnonzero(is_named[own] & ~dear[own]) + base[i]
-        n = min(len(more), len(payers))
-        skipped[more[np.argsort(-price[more], kind="stable")[:n]]] = True
-        wider[payers[np.argsort(price[payers], kind="stable")[:n]]] = True
-
-    exact = mix(content + place)
-    less_at = np.flatnonzero(is_named[segment])
-    less = mix(content[segment[less_at]] - mixed[less_at] + place[segment[less_at]])
-    key = np.concatenate([exact, less])
-    who = np.concatenate([owner, row[less_at]])
-    asked = np.concatenate([~skipped, wider[segment[less_at]]])
-    return key, who, asked
+    name = np.maximum(local - (segments - named)[owner], -1)
+    less_at = np.flatnonzero(name[segment] >= 0)
+    left_out = segment[less_at]
+    key = np.concatenate([mix(content + place), mix(content[left_out] - mixed[less_at] + place[left_out])])
+    less = np.zeros(len(key), dtype=bool)
+    less[len(content) :] = True
+    return key, np.concatenate([owner, row[less_at]]), np.concatenate([name, name[left_out]]), less
 
 
 def _sets(w: Words, size: int):
@@ -156,81 +149,68 @@ def _sets(w: Words, size: int):
 
 
 def _describe(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end this task's part of the sketch."""
-    sketch = np.zeros(SKETCH, dtype=np.int64)
-    names = ["part", "doc_id", "n", "h1", "h2", "counts"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    out = lambda *c: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=names)
     for batch in batches:
         texts = plain(batch.column(1))
         for begin, stop in slices(texts):
             shingles, edges, h1, h2 = _sets(words(texts, begin, stop, lower=True), size)
-            sketch += np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            n = stop - begin
-            yield out([-1] * n, batch.column(0).slice(begin, n).cast(pa.int64()), np.diff(edges), h1, h2, [None] * n)
-    per = SKETCH // SKETCH_PARTS
-    parts = [sketch[k * per : (k + 1) * per].astype("<u8").tobytes() for k in range(SKETCH_PARTS)]
-    none = [None] * SKETCH_PARTS
-    if sketch.any():
-        yield out(range(SKETCH_PARTS), none, none, none, none, parts)
+            n = np.diff(edges)
+            cell = np.repeat(np.arange(len(n)) * BINS, n) + (shingles % np.uint64(BINS)).astype(np.int64)
+            bins = np.minimum(np.bincount(cell, minlength=len(n) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+            columns = [batch.column(0).slice(begin, stop - begin), pa.array(n), pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in bins], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "bins"])
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(SKETCH // SKETCH_PARTS, dtype=np.uint64)
-    for x in table["counts"]:
-        total += np.frombuffer(x.as_py(), dtype="<u8")
-    return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+def _close(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Whether pairs may link: sets differ in at least as many shingles as the counts of their bins do."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for i in (2, 3))
+        n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        close = np.abs(x - y).sum(axis=1, dtype=np.int64) <= allowed(percent, n, m)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(4), batch.column(5), pa.array(close)], names=["a", "b", "a_size", "b_size", "close"])
 
 
-def _keys(batches: Iterable[pa.RecordBatch], size: int, percent: int, ranges: int, sketch) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterable[pa.RecordBatch], size: int, percent: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """The packed keys of the distinct sets of each batch, a row for each range of keys."""
-    held = np.frombuffer(sketch.value, dtype="<u8")
-    cheap = 3 * held.mean() + 8
     for batch in batches:
         texts = plain(batch.column(1))
         known: set[int] = set()
-        found = []
+        found, held = [], 0
         for begin, stop in slices(texts):
             shingles, edges, h1, _ = _sets(words(texts, begin, stop, lower=True), size)
             n = np.diff(edges)
-            first = np.unique(h1, return_index=True)[1]
-            use = np.array([i for i in first if n[i] and int(h1[i]) not in known], dtype=np.int64)
-            known.update(h1[use].tolist())
-            if not len(use):
+            take = np.zeros(len(n), dtype=bool)
+            take[[i for i in np.unique(h1, return_index=True)[1] if n[i] and int(h1[i]) not in known]] = True
+            known.update(h1[take].tolist())
+            if not take.any():
                 continue
             low = bands(percent, int(n.max()))
-            band = np.searchsorted(low, n[use], side="right") - 1
-            take = np.zeros(len(n), dtype=bool)
-            take[use] = True
-            use = np.flatnonzero(take)
-            band = np.searchsorted(low, n[use], side="right") - 1
-            own = shingles[np.repeat(take, n)]
-            own_edges = np.concatenate([[0], np.cumsum(n[use])])
-            cost = held[(own & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.float64)
+            band = np.searchsorted(low, n, side="right") - 1
             for step in (0, 1):
                 # where no difference is allowed, equal sets alone link, and these share their hash
                 top = low[band + step + 1] - 1
-                some = (100 - percent) * 2 * top // (100 + percent) > 0
-                if not some.any():
-                    continue
-                sizes = n[use][some]
-                key, who, asked = frame_keys(
-                    own[np.repeat(some, n[use])], own_edges, sizes, band[some] + step, percent, low, cost[np.repeat(some, n[use])], cheap
-                )
-                found.append((key, h1[use][some][who], sizes[who], asked))
+                some = take & (allowed(percent, top, top) > 0)
+                if some.any():
+                    sizes = n[some]
+                    own = shingles[np.repeat(some, n)]
+                    key, who, name, less = frame_keys(own, np.concatenate([[0], np.cumsum(sizes)]), sizes, band[some] + step, percent, low)
+                    found.append((key, h1[some][who], sizes[who], (step + 2 * less + 4 * (name + 1)).astype(np.uint16)))
+                    held += len(key)
+            if held > KEYS_HELD:
+                yield _dealt(*map(np.concatenate, zip(*found, strict=True)), ranges)
+                found, held = [], 0
         if found:
             yield _dealt(*map(np.concatenate, zip(*found, strict=True)), ranges)
 
 
-KEYS = "range int, owners binary, sizes binary, who binary, low binary, high binary, asked binary"
+KEYS = "range int, owners binary, sizes binary, who binary, key binary, code binary"
 
 
-def _dealt(key, owner, size, asked, ranges) -> pa.RecordBatch:
+def _dealt(key, owner, size, code, ranges) -> pa.RecordBatch:
     owners, at, who = np.unique(owner, return_index=True, return_inverse=True)
     sizes = size[at]
-    part = ((key >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+    part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((who, part))
-    part, who, key, asked = part[order], who[order], key[order], asked[order]
+    part, who, key, code = part[order], who[order], key[order], code[order]
     ends = np.searchsorted(part, np.arange(ranges + 1))
     rows = []
     for k in range(ranges):
@@ -239,8 +219,7 @@ def _dealt(key, owner, size, asked, ranges) -> pa.RecordBatch:
             rows.append(
                 (
                     k, owners[present].tobytes(), sizes[present].astype("<u4").tobytes(), pack(local),
-                    (key[s] & _LOW32).astype("<u4").tobytes(), ((key[s] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(),
-                    np.packbits(asked[s]).tobytes(),
+                    (key[s] & _LOW32).astype("<u4").tobytes(), code[s].astype("<u2").tobytes(),
                 )
             )
     columns = list(zip(*rows, strict=True))
@@ -248,17 +227,17 @@ def _dealt(key, owner, size, asked, ranges) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=names)
 
 
-def _buckets(table: pa.Table) -> pa.Table:
-    """The sets that share a key, of each bucket with several sets and one that asks; equal buckets once."""
-    key, owner, size, asked = [], [], [], []
-    for row in table.to_pylist():
-        who = unpack(row["who"])
-        low, high = np.frombuffer(row["low"], dtype="<u4"), np.frombuffer(row["high"], dtype=np.uint8)
-        key.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-        owner.append(np.frombuffer(row["owners"], dtype="<i8")[who])
-        size.append(np.frombuffer(row["sizes"], dtype="<u4")[who])
-        asked.append(np.unpackbits(np.frombuffer(row["asked"], dtype=np.uint8), count=len(who)).astype(bool))
-    key, owner, size, asked = map(np.concatenate, (key, owner, size, asked))
+MEMBERS = "bucket long, owner long, size int, step int, less boolean, name int, n int, surplus int, named int, times int"
+
+
+def _buckets(table: pa.Table, percent: int) -> pa.Table:
+    """The sets that share a key, of each bucket with several sets; equal buckets once, with how often they occur.
+
+    Keys are told apart by their range and 32 more bits; the few that agree by chance make candidates that fail.
+    """
+    rows = [{n: row[n] for n in ("owners", "sizes", "who", "code")} for row in table.select(["owners", "sizes", "who", "code"]).to_pylist()]
+    key = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in table["key"].combine_chunks()])
+    ends = np.cumsum([0] + [len(r["code"]) // 2 for r in rows])
     # keys held once are most of them
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -267,46 +246,94 @@ def _buckets(table: pa.Table) -> pa.Table:
     shared[1:] |= same
     shared[:-1] |= same
     order, key = order[shared], key[shared]
-    owner, size, asked = owner[order], size[order], asked[order]
-    order = np.lexsort((~asked, owner, key))
-    key, owner, size, asked = key[order], owner[order], size[order], asked[order]
+    owner, size, code = (np.zeros(len(order), dtype=k) for k in (np.int64, np.uint32, np.uint16))
+    source = np.searchsorted(ends, order, side="right") - 1
+    for i, r in enumerate(rows):
+        at = np.flatnonzero(source == i)
+        if len(at):
+            place = order[at] - ends[i]
+            who = unpack(r["who"])[place]
+            owner[at], size[at] = np.frombuffer(r["owners"], dtype="<i8")[who], np.frombuffer(r["sizes"], dtype="<u4")[who]
+            code[at] = np.frombuffer(r["code"], dtype="<u2")[place]
+    order = np.lexsort((code, owner, key))
+    key, owner, size, code = key[order], owner[order], size[order], code[order]
     new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner, size, asked = key[new], owner[new], size[new], asked[new]
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+    key, owner, size, code = key[new], owner[new], size[new].astype(np.int64), code[new].astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.append(start, len(key)))
+    rows = np.diff(np.append(start, len(key)))
+    apart = np.ones(len(key), dtype=np.int64)
+    apart[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    n = np.add.reduceat(apart, start) if len(start) else rows
+    mark, times, keep = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.int64), n > 1
     if len(start):
-        mark = np.add.reduceat(mix(owner.view(np.uint64) * np.uint64(2) + asked), start)
-        wanted = (n > 1) & np.logical_or.reduceat(asked, start)
-        first = np.zeros(len(start), dtype=bool)
-        first[np.unique(mark, return_index=True)[1]] = True
+        mark = np.add.reduceat(mix(mix(owner.view(np.uint64) + np.uint64(table["range"][0].as_py())) + code.astype(np.uint64)), start)
         # equal marks are equal buckets, so the first stands for all
-        wanted &= first
-        keep, mark = np.repeat(wanted, n), np.repeat(mix(mark), n)
-    else:
-        keep, mark = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64)
-    return pa.table(
-        {"bucket": mark[keep].view(np.int64), "owner": owner[keep], "size": size[keep].astype(np.int32), "asked": asked[keep]}
-    )
-
-
-def _whole_sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+        _, first, back = np.unique(mark, return_index=True, return_inverse=True)
+        times[first] = np.bincount(back)
+        keep &= times > 0
+    pick = np.repeat(keep, rows)
+    owner, size, code = owner[pick], size[pick], code[pick]
+    low = bands(percent, int(size.max()) if len(size) else 1)
+    frame = np.searchsorted(low, size, side="right") - 1 + code % 2
+    each = lambda x: np.repeat(x, rows)[pick]
+    columns = {
+        "bucket": mix(each(mark)).view(np.int64), "owner": owner, "size": size, "step": code % 2, "less": code // 2 % 2 == 1, "name": code // 4 - 1,
+        "n": each(n), "surplus": surplus(percent, low, size, frame), "named": frame_plan(percent, low, frame)[2], "times": each(times),
+    }
+    kinds = {"bucket": np.int64, "owner": np.int64, "less": bool}
+    return pa.table({k: v.astype(kinds.get(k, np.int32)) for k, v in columns.items()})
+
+
+def asked(members: DataFrame) -> DataFrame:
+    """``members`` with whether their set asks the bucket.
+
+    Equal subsets are left out from the largest bucket on while the surplus lasts, and large ones also for as many named
+    segments as are not large themselves; then the one-deletion keys of the named segments are asked instead.
+    """
+    own = Window.partitionBy("owner", "step")
+    equal, large = ~F.col("less"), F.col("n") >= LARGE_BUCKET
+    down = own.orderBy(F.col("less"), F.desc("n"), "bucket", "name").rowsBetween(Window.unboundedPreceding, 0)
+    spent = F.sum(F.when(equal, F.col("times")).otherwise(0)).over(down)
+    taken = F.count(F.when(equal & large & (F.col("name") >= 0), 1)).over(own)
+    rated = members.withColumns({"_spent": spent, "_extra": F.greatest(F.col("named") - taken, F.lit(0))})
+    plain_left_out = F.col("_spent") <= F.col("surplus")
+    paid = large & ~plain_left_out & (F.col("_spent") <= F.col("surplus") + F.col("_extra"))
+    rated = rated.withColumn("_paid", F.max(equal & paid).over(own))
+    return rated.withColumn("asked", F.when(equal, ~plain_left_out & ~paid).otherwise(F.col("_paid"))).drop("_spent", "_extra", "_paid")
+
+
+def _with_sets(batches: Iterable[pa.RecordBatch], size: int, owner: str) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts in the last column, where they are those that column ``owner`` names."""
     for batch in batches:
-        texts = plain(batch.column(0))
+        texts, names = plain(batch.column(batch.num_columns - 1)), batch.schema.names[:-1]
+        wanted = batch.column(names.index(owner)).to_numpy()
         for begin, stop in slices(texts):
-            shingles, edges, h1, h2 = _sets(words(texts, begin, stop, lower=True), size)
-            sets = [shingles[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(sets, pa.binary())], names=["h1", "h2", "shingles"])
+            shingles, edges, h1, _ = _sets(words(texts, begin, stop, lower=True), size)
+            right = h1 == wanted[begin:stop]
+            sets = pa.array([shingles[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            columns = [*[c.slice(begin, stop - begin) for c in batch.columns[:-1]], sets]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "shingles"]).filter(pa.array(right))
 
 
 def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b", "a_size", "b_size", "linked", "d", "first"]
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        linked, d, first = [], [], []
+        for x, y, crowded in zip(*batch.columns[4:7], strict=True):
             x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
+            only = np.setxor1d(x, y, assume_unique=True)
+            both = (len(x) + len(y) - len(only)) // 2
+            linked.append(100 * both >= percent * (both + len(only)))
+            d.append(len(only))
+            if crowded.as_py():
+                missing = np.isin(only, x, assume_unique=True)
+                take = int(allowed(percent, len(y), len(y) * 100 // percent)) + 1
+                first.append(np.concatenate([only[~missing], only[missing]])[:take].view(np.int64))
+            else:
+                first.append(())
+        columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 class JaccardJoin:
@@ -315,76 +342,106 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE):
         self.percent, self.size = percent, size
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        described = durable(
-            self.docs.mapInArrow(lambda b: _describe(b, size), "part int, doc_id long, n long, h1 long, h2 long, counts binary")
-        )
-        self.documents = described.where("part < 0").select("doc_id", "n", "h1", "h2")
-        parts = described.where("part >= 0").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary")
-        # SKETCH_PARTS rows of a fixed size
-        held = {r["part"]: bytes(r["counts"]) for r in parts.collect()}
-        empty = bytes(8 * SKETCH // SKETCH_PARTS)
-        self.sketch = docs.sparkSession.sparkContext.broadcast(b"".join(held.get(k, empty) for k in range(SKETCH_PARTS)))
+        self.documents = durable(self.docs.mapInArrow(lambda b: _describe(b, size), "doc_id long, n long, h1 long, h2 long, bins binary"))
 
     def buckets(self) -> DataFrame:
+        """(bucket, owner, size, asked): the sets of each bucket."""
         ranges = max(1, -(-text_bytes(self.docs) // RANGE_BYTES))
-        size, percent, sketch = self.size, self.percent, self.sketch
-        known = self.docs.where("doc_id is not null")
-        keys = known.mapInArrow(lambda b: _keys(b, size, percent, ranges, sketch), KEYS)
-        return keys.groupBy("range").applyInArrow(_buckets, "bucket long, owner long, size int, asked boolean").distinct()
-
-    def sets(self, buckets: DataFrame) -> DataFrame:
-        """(h1, h2, shingles) of a document of each set that is in a bucket."""
-        wanted = buckets.select(F.col("owner").alias("h1")).distinct()
-        stands = self.documents.where("doc_id is not null and n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-        ids = stands.join(wanted, "h1", "left_semi").select("doc_id").distinct()
-        size = self.size
-        return self.docs.join(checked_broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(
-            lambda b: _whole_sets(b, size), "h1 long, h2 long, shingles binary"
-        )
+        size, percent = self.size, self.percent
+        keys = self.docs.where("doc_id is not null").mapInArrow(lambda b: _keys(b, size, percent, ranges), KEYS)
+        found = keys.groupBy("range").applyInArrow(lambda t: _buckets(t, percent), MEMBERS)
+        members = asked(found).select("bucket", "owner", "size", "asked")
+        return members.groupBy("bucket", "owner").agg(F.first("size").alias("size"), F.max("asked").alias("asked"))
+
+    def _sets_of(self, rows: DataFrame, owner: str) -> DataFrame:
+        """``rows`` with the shingles of the sets that ``owner`` names, read from one document of each.
+
+        Few rows are looked up while the documents are scanned, so no text is shuffled; many are joined by id.
+        """
+        stands = self.documents.where("doc_id is not null and n > 0").groupBy(F.col("h1").alias(owner), "h2").agg(F.min("doc_id").alias("doc_id"))
+        wanted = rows.join(stands.select(owner, "doc_id"), owner)
+        size, kinds = self.size, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        texts = self.docs.join(checked_broadcast(wanted), "doc_id").select(*rows.columns, "text")
+        return texts.mapInArrow(lambda b: _with_sets(b, size, owner), f"{kinds}, shingles binary")
+
+    def _tested(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, a_size, b_size, linked, d, first): pairs verified on their whole sets, with the size of D(b) to the hub a.
+
+        Where the hub is crowded, the first elements of D follow: as many as differ between linked sets, and one. They stand in an order
+        that all sets of the hub share: shingles that the hub lacks before those that the set lacks, by hash.
+        """
+        pairs = durable(pairs.select("a", "b", "a_size", "b_size", "crowded"))
+        left = self._sets_of(pairs.select("a").distinct(), "a").withColumnRenamed("shingles", "_x")
+        right = self._sets_of(pairs, "b").withColumnRenamed("shingles", "_y")
+        percent = self.percent
+        met = right.join(left, "a").select("a", "b", "a_size", "b_size", "_x", "_y", "crowded")
+        kinds = "a long, b long, a_size long, b_size long, linked boolean, d long, first array<long>"
+        return met.mapInArrow(lambda b: _verified(b, percent), kinds)
+
+    def _rated(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with their sizes and whether they may link by their bins."""
+        bins = self.documents.where("doc_id is not null and n > 0").groupBy("h1").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+        left, right = (bins.select(F.col("h1").alias(n), F.col("n").alias(f"{n}_size"), F.col("bins").alias(s)) for n, s in (("a", "_x"), ("b", "_y")))
+        percent = self.percent
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y", "a_size", "b_size")
+        return met.mapInArrow(lambda b: _close(b, percent), "a long, b long, a_size long, b_size long, close boolean")
 
     def links(self) -> DataFrame:
         """(a, b): links between sets, named by their first hash, that connect all sets that links connect."""
-        buckets = durable(self.buckets())
-        sets = durable(self.sets(buckets).select("h1", "shingles"))
-        percent = self.percent
-        tested = links = components = None
-        for turn in range(HUB_ROUNDS + 1):
-            members = buckets.withColumn("component", F.col("owner"))
-            if components is not None:
-                named = components.select(F.col("node").alias("owner"), F.col("component").alias("_c"))
-                members = members.join(named, "owner", "left").withColumn("component", F.coalesce("_c", "owner")).drop("_c")
-            hub = F.struct(F.xxhash64("owner", F.lit(turn)), F.col("owner"), F.col("component"), F.col("size"))
-            open_buckets = (
-                members.groupBy("bucket")
-                .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min(F.when(F.col("asked"), hub)).alias("_hub"))
-                .where("_low != _high")
-            )
-            if turn < HUB_ROUNDS:
-                one = open_buckets.select("bucket", F.col("_hub.owner").alias("x"), F.col("_hub.component").alias("xc"), F.col("_hub.size").alias("xs"))
-            else:
-                one = members.join(open_buckets.select("bucket"), "bucket", "left_semi").where("asked").select(
-                    "bucket", F.col("owner").alias("x"), F.col("component").alias("xc"), F.col("size").alias("xs")
-                )
-            met = members.join(one, "bucket").where(
-                (F.col("component") != F.col("xc"))
-                & (F.least("size", "xs") * 100 >= F.greatest("size", "xs") * percent)
-            )
-            pairs = met.select(F.least("owner", "x").alias("a"), F.greatest("owner", "x").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            left, right = (sets.select(F.col("h1").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "_x"), ("b", "_y")))
-            checked = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y")
-            result = durable(checked.mapInArrow(lambda b: _verified(b, percent), "a long, b long, linked boolean").distinct())
-            if result.isEmpty():
-                if turn < HUB_ROUNDS:
-                    continue
-                break
-            tested = result if tested is None else tested.unionByName(result)
-            links = tested.where("linked").select("a", "b").distinct()
-            if turn < HUB_ROUNDS:
-                components = durable(connected_components(links))
-        empty = self.docs.sparkSession.createDataFrame([], "a long, b long")
-        return empty if links is None else links
+        members = durable(self.buckets())
+        # a bucket that nobody asks has no hub
+        hub = F.min(F.struct(F.xxhash64("owner"), F.col("owner"))).alias("_hub")
+        hubs = members.where("asked").groupBy("bucket").agg(hub).select("bucket", F.col("_hub.owner").alias("a"))
+        star = members.join(hubs, "bucket").where("owner != a").select("a", F.col("owner").alias("b")).distinct()
+        pairs = durable(self._rated(star))
+        crowded = pairs.groupBy("a").agg((F.count("*") > 1).alias("crowded"))
+        needed = durable(pairs.join(crowded, "a").where("close or crowded"))
+        first = durable(self._tested(needed))
+        found = first.where("linked").select("a", "b").distinct()
+        elements = self._first_elements(first)
+        # sets that share an element are first compared with the one of the smallest D, which may join them at once
+        nearest = F.min(F.struct("d", "b", "size", "linked"))
+        hub = elements.groupBy("a", "e").agg(nearest.alias("_h"), F.count("*").alias("_n")).where("_n > 1")
+        near = elements.join(hub, ["a", "e"]).where((F.col("b") != F.col("_h.b")) & ~(F.col("linked") & F.col("_h.linked")))
+        near = near.where(self._sizes_fit(F.col("size"), F.col("_h.size"))).select(F.least("b", "_h.b").alias("a"), F.greatest("b", "_h.b").alias("b")).distinct()
+        found = durable(found.unionByName(self._linked(near)).distinct())
+        parts = connected_components(found).select(F.col("node").alias("b"), "component")
+        named = elements.join(parts, "b", "left").withColumn("component", F.coalesce("component", "b"))
+        return found.unionByName(self._linked(self._sharing(named))).distinct()
+
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        close = self._rated(pairs).where("close").withColumn("crowded", F.lit(False))
+        return self._tested(close).where("linked").select("a", "b")
+
+    def _sizes_fit(self, x: Column, y: Column) -> Column:
+        return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
+
+    def _first_elements(self, tested: DataFrame) -> DataFrame:
+        """The first elements of D, with their places, of the sets of each hub that does not link with all of them."""
+        p, total = 100 - self.percent, 100 + self.percent
+        open_hubs = tested.groupBy("a").agg(F.count("*").alias("_n"), F.min("linked").alias("_all"), F.max("b_size").alias("_most")).where("_n > 1 and not _all")
+        rows = tested.join(open_hubs, "a")
+        # linked sets differ in at most ``limit`` shingles, and so do the sizes of their D
+        partner = F.least(F.col("_most"), F.floor(F.col("b_size") * 100 / self.percent))
+        limit = F.floor((F.col("b_size") + partner) * p / total)
+        # whoever has the smaller D (y) needs ``least`` elements in common with a partner of no smaller D
+        least = F.greatest(F.lit(1), F.ceil((2 * F.col("d") - limit) / 2))
+        beyond = F.when(F.col("b_size") > F.col("a_size"), F.floor((F.col("b_size") - F.col("a_size")) * p / total) + 1).otherwise(0)
+        least = F.when(F.col("linked"), F.greatest(least, F.ceil((F.col("d") + 1 - beyond) / 2))).otherwise(least)
+        taken = F.slice("first", F.lit(1), F.least(F.col("d"), limit + 1).cast("int"))
+        return rows.select("a", "b", F.col("b_size").alias("size"), "linked", "d", (F.col("d") - least + 1).alias("ask"), F.posexplode(taken).alias("place", "e")).withColumn("place", F.col("place") + 1)
+
+    def _sharing(self, shared: DataFrame) -> DataFrame:
+        """Pairs of sets of one hub and different components that may link: a prefix filter over D."""
+        p, total = 100 - self.percent, 100 + self.percent
+        x = shared.select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "size", "linked", "d", "place", "component")])
+        y = shared.where("place <= ask")
+        need = F.ceil((F.col("d") + F.col("x_d") - F.floor((F.col("size") + F.col("x_size")) * p / total)) / 2)
+        smaller = (F.col("d") < F.col("x_d")) | ((F.col("d") == F.col("x_d")) & (F.col("b") < F.col("x_b")))
+        possible = 1 + F.least(F.col("d") - F.col("place"), F.col("x_d") - F.col("x_place")) >= need
+        apart = F.col("component") != F.col("x_component")
+        met = y.join(x, ["a", "e"]).where(smaller & possible & apart & self._sizes_fit(F.col("size"), F.col("x_size")))
+        return met.select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
@@ -395,7 +452,7 @@ class JaccardJoin:
         placed = named.withColumn("_group", F.when(F.col("component").isNull(), F.struct(F.col("h1").alias("component"), "h2")).otherwise(linked))
         smallest = placed.groupBy("_group").agg(F.min("first").alias("component_id"))
         by_set = placed.join(smallest, "_group").select("h1", "h2", "component_id")
-        full = self.documents.join(by_set, ["h1", "h2"], "left")
+        full = self.documents.drop("bins").join(by_set, ["h1", "h2"], "left")
         own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         return full.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

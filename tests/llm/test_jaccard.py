@@ -81,19 +81,28 @@ def test_empty_table(spark):
     assert _got(spark, []) == []
 
 
-def test_allocation_asks_enough():
-    """What a set asks for always adds up to more than the differences that a partner may have."""
-    rnd = np.random.default_rng(3)
-    for size in (7, 8, 12, 40, 333, 2000):
+def test_allocation_asks_enough(spark):
+    """Segments left out never exceed the surplus, but for those that one-deletion questions replace."""
+    rnd, rows, facts = random.Random(3), [], {}
+    for owner in range(60):
+        size = rnd.choice([7, 8, 12, 40, 333, 2000])
         low = jaccard.bands(85, size)
-        band = np.searchsorted(low, size, side="right") - 1
-        for frame in (band, band + 1):
-            shingles = np.sort(rnd.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
-            cost = np.where(rnd.random(size) < 0.5, 1e6, 1.0)
-            top, segments, named = jaccard.frame_plan(85, low, np.array([frame]))
-            key, who, asked = jaccard.frame_keys(shingles, np.array([0, size]), np.array([size]), np.array([frame]), 85, low, cost, 10.0)
-            wide = (((shingles >> np.uint64(32)) * np.uint64(segments[0])) >> np.uint64(32)).astype(int)
-            exact, less = asked[: segments[0]], asked[segments[0] :]
-            widened = {int(s) for s, a in zip(wide[wide >= segments[0] - named[0]], less, strict=True) if a}
-            worst = 15 * (size + min(int(top[0]), size * 100 // 85)) // 185
-            assert exact.sum() + len(widened) >= worst + 1
+        for step in (0, 1):
+            frame = np.array([np.searchsorted(low, size, side="right") - 1 + step])
+            _, segments, named = (int(v[0]) for v in jaccard.frame_plan(85, low, frame))
+            extra = int(jaccard.surplus(85, low, np.array([size]), frame)[0])
+            assert extra >= 0 and segments - extra > 15 * (size + min(int(low[frame[0] + 1]) - 1, size * 100 // 85)) // 185
+            facts[owner, step] = (segments, extra)
+            for place in range(segments):
+                name, n = max(place - (segments - named), -1), rnd.choice([1, 2, 5, 40, 1000])
+                if n > 1:
+                    rows.append((len(rows), owner, size, step, False, name, n, extra, named, 1))
+                if name >= 0:
+                    rows.append((len(rows), owner, size, step, True, name, 2, extra, named, 1))
+    got = jaccard.asked(spark.createDataFrame(rows, jaccard.MEMBERS)).collect()
+    for key, (segments, extra) in facts.items():
+        own = [r for r in got if (r["owner"], r["step"]) == key]
+        out = {r["bucket"]: r for r in own if not r["less"] and not r["asked"]}
+        names_out = {r["name"] for r in out.values() if r["name"] >= 0}
+        wider = {r["name"] for r in own if r["less"] and r["asked"]}
+        assert len(out) <= extra + (len(wider - names_out) if len(out) > extra else 0)
