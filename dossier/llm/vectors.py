@@ -7,12 +7,14 @@ in some pass. Pairs are verified by their cosine in double precision; components
 * Vectors that are equal in all numbers are compared once and counted as often as they occur.
 * A pair that several passes meet counts in the first of them only. Each vector carries its places in all passes, so
   this is told where the pair is met, and no pair leaves a task: a task returns a count and a root for each vector.
-* Groups denser than a window, which a bounded window alone would count short, are counted exactly: where a vector
-  links with the far edge of its window, the component gets a pivot, and all vectors within half the angle of the threshold around
-  it are a core. Any two of them link (angles add up), so they count by the size of the core, whatever its size.
+* Only components of more vectors than a window can be counted short by windows, and these are counted exactly: their vectors
+  are compared block against block, which replaces what the windows counted. Up to ``PIVOTS`` vectors of such a component are pivots; the
+  vectors within half the angle of the threshold around one are its core. Any two of a core link (angles add up), so they count by the
+  size of the core, and blocks that lie in one core are not compared. Cores save work only, no link depends on them. What is outside
+  of cores costs the square of its number.
 
-A task holds ``SEGMENT`` places of one order and a window of the next ones, so memory is bounded and a hot group spreads over
-segments. Recall is that of the method: pairs whose signs part early in every pass are missed (measured in the tests and the README).
+A task holds ``SEGMENT`` places of one order and a window of the next ones, or two blocks of ``2 * SEGMENT`` vectors, so memory is
+bounded and a hot group spreads over segments and pairs of blocks. Recall is that of the method: pairs whose signs part early in every pass are missed (measured in the tests and the README).
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and so do rows with a null id (their component is null);
 vectors of different lengths never link. Repeated rows count as one vector, ties in the order are broken by the id. An empty table
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.sharding import row_numbers
@@ -35,11 +37,11 @@ from dossier.plans.sizing import checked_broadcast
 
 THRESHOLD = 0.9
 PASSES = 12
-DENSE_PASSES = 2
 HASHES = 64
 WINDOW = 1024
 SEGMENT = 4096
 TILE = 512
+PIVOTS = 16
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -86,9 +88,9 @@ def _compared(table: pa.Table, threshold: float, window: int, segment: int) -> p
     table = table.sort_by("row")
     own = table["row"].to_numpy() // segment == table["segment"].to_numpy()
     row, run = table["row"].to_numpy(), table["dim"].to_numpy().astype(np.int64) * (1 << 16) + table["pass"].to_numpy()
-    weight, core, cls = table["m"].to_numpy(), table["core"].combine_chunks().fill_null(-1).to_numpy(), table["cls"].to_numpy()
+    weight, cls = table["m"].to_numpy(), table["cls"].to_numpy()
     places = np.stack([np.asarray(x, dtype=np.int64) for x in table["places"].to_pylist()])
-    count, edge = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=bool)
+    count = np.zeros(len(row), dtype=np.int64)
     left, right = [], []
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     for begin, stop in zip(starts, np.append(starts[1:], len(row)), strict=True):
@@ -100,55 +102,100 @@ def _compared(table: pa.Table, threshold: float, window: int, segment: int) -> p
             i, j = i + low, j + low
             ahead = row[j] - row[i]
             take = (ahead > 0) & (ahead <= window) & own[i]
-            i, j, ahead = i[take], j[take], ahead[take]
-            edge[i[ahead == window]] = True
+            i, j = i[take], j[take]
             left.append(i)
             right.append(j)
-            fresh = (core[i] < 0) | (core[i] != core[j])
+            fresh = np.ones(len(i), dtype=bool)
             for q in range(number):
                 fresh &= np.abs(places[i, q] - places[j, q]) > window
             count += np.bincount(i[fresh], weight[j[fresh]], len(row)).astype(np.int64) + np.bincount(j[fresh], weight[i[fresh]], len(row)).astype(np.int64)
     a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
     root = _roots(len(row), a, b)
-    keep = (count > 0) | (root != np.arange(len(row))) | edge
-    return pa.table({"cls": cls[keep], "n": count[keep], "root": cls[root][keep], "dense": edge[keep]})
+    keep = (count > 0) | (root != np.arange(len(row)))
+    return pa.table({"cls": cls[keep], "n": count[keep], "root": cls[root][keep]})
 
 
-def _passes(classes: DataFrame, cores: DataFrame | None, passes: int, threshold: float, window: int, segment: int) -> DataFrame:
-    """(cls, n, root, dense) of all passes, several rows a vector."""
+def _passes(classes: DataFrame, passes: int, threshold: float, window: int, segment: int) -> DataFrame:
+    """(cls, n, root) of all passes, several rows a vector."""
     keys = classes.select("cls", "dim", "embedding").mapInArrow(lambda b: _keys(b, passes), "pass int, dim int, key long, cls long")
     placed, _ = row_numbers(keys, ["dim", "pass", "key", "cls"])
     places = placed.groupBy("cls").agg(F.array(*[F.max(F.when(F.col("pass") == p, F.col("row"))) for p in range(passes)]).alias("places"))
-    known = classes.join(places, "cls")
-    known = known.withColumn("core", F.lit(None).cast("long")) if cores is None else known.join(cores.select("cls", "core"), "cls", "left")
-    rows = known.select("*", F.posexplode("places").alias("pass", "row"))
+    rows = classes.join(places, "cls").select("*", F.posexplode("places").alias("pass", "row"))
     home = F.floor(F.col("row") / segment)
     homes = F.when((F.col("row") % segment < window) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
     return (
         rows.withColumn("segment", F.explode(homes)).groupBy("segment")
-        .applyInArrow(lambda t: _compared(t, threshold, window, segment), "cls long, n long, root long, dense boolean")
+        .applyInArrow(lambda t: _compared(t, threshold, window, segment), "cls long, n long, root long")
     )
 
 
-def _cores(classes: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
-    """(cls, core, m): the vectors around the pivots of dense components, by the pivot's name."""
-    links = met.where("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
-    parts = connected_components(links).select(F.col("node").alias("cls"), "component")
-    dense = met.where("dense").select("cls").distinct()
-    pivots = parts.join(dense, "cls").groupBy("component").agg(F.min("cls").alias("core"))
-    named = pivots.join(classes.select(F.col("cls").alias("core"), F.col("embedding").alias("_pivot")), "core")
+def _assigned(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """(cls, core) of the members near a pivot, by the first such pivot's name."""
+    if left.num_rows == 0 or right.num_rows == 0:
+        return pa.table({"cls": pa.array([], pa.int64()), "core": pa.array([], pa.int64())})
+    right, size = right.sort_by("rank"), left["dim"][0].as_py()
     half = math.cos(math.acos(threshold) / 2) + 1e-9
-
-    def near(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                x, y = (np.asarray(v.values.to_numpy(), dtype=np.float64) for v in (x, y))
-                keep.append(len(x) == len(y) and float(x @ y) >= half * math.sqrt(float(x @ x) * float(y @ y)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["cls", "core", "m"]).filter(pa.array(keep, pa.bool_()))
-
-    members = parts.join(checked_broadcast(named), "component").join(classes, "cls").select("cls", "core", "m", "embedding", "_pivot")
-    return members.mapInArrow(near, "cls long, core long, m long")
+    near = _matrix(left["embedding"], size) @ _matrix(right["embedding"], size).T >= half
+    inside = near.any(axis=1)
+    return pa.table({"cls": left["cls"].to_numpy()[inside], "core": right["cls"].to_numpy()[near.argmax(axis=1)[inside]]})
+
+
+def _counted(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between two blocks of a component, or inside one block, without those inside a core."""
+    block, cls, weight = table["block"].to_numpy(), table["cls"].to_numpy(), table["m"].to_numpy().astype(np.float64)
+    cored, core = table["core"].combine_chunks().is_valid().to_numpy(zero_copy_only=False), table["core"].combine_chunks().fill_null(0).to_numpy()
+    x = _matrix(table["embedding"], table["dim"][0].as_py())
+    first, second = table["a"][0].as_py(), table["b"][0].as_py()
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    count = np.zeros(len(block))
+    for low in range(0, len(left), TILE):
+        i = left[low : low + TILE]
+        linked = x[i] @ x[right].T >= threshold
+        linked &= ~cored[i][:, None] | (core[i][:, None] != core[right][None, :]) | ~cored[right][None, :]
+        if first == second:
+            linked &= i[:, None] != right[None, :]
+        linked = linked.astype(np.float64)
+        count[i] += linked @ weight[right]
+        if first != second:
+            count[right] += weight[i] @ linked
+    keep = count > 0
+    return pa.table({"cls": cls[keep], "n": np.rint(count[keep]).astype(np.int64)})
+
+
+def _exact(classes: DataFrame, parts: DataFrame, threshold: float, window: int, block: int) -> DataFrame | None:
+    """(cls, n): the links of all vectors in components of more vectors than a window, None if there are none."""
+    sizes = durable(parts.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > window))
+    if sizes.isEmpty():
+        return None
+    deals = F.ceil(F.col("size") / block).cast("int").alias("deals")
+    known = parts.join(checked_broadcast(sizes.select("component", deals)), "component").join(classes, "cls")
+    members = durable(known.withColumn("deal", F.pmod(F.xxhash64("cls"), F.col("deals")).cast("int")))
+    order = Window.partitionBy("component").orderBy(F.xxhash64(F.lit(1), F.col("cls")), "cls")
+    pivots = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
+    pivots = pivots.select("component", "rank", "cls", "embedding", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    cores = durable(
+        members.select("component", "deal", "cls", "dim", "embedding").groupBy("component", "deal")
+        .cogroup(pivots.groupBy("component", "deal")).applyInArrow(lambda a, b: _assigned(a, b, threshold), "cls long, core long")
+    )
+    dealt, _ = row_numbers(
+        members.join(cores, "cls", "left").select("component", "core", "cls", "m", "dim", "embedding"), ["component", "core", "cls"]
+    )
+    dealt = dealt.withColumn("block", F.floor(F.col("row") / block))
+    # a block is pure if all its members of the component lie in one core
+    pure = F.when((F.count("core") == F.count("*")) & (F.min("core") == F.max("core")), F.min("core")).alias("pure")
+    blocks = durable(dealt.groupBy("component", "block").agg(pure))
+    met = blocks.select("component", F.col("block").alias("a"), F.col("pure").alias("_p")).join(
+        blocks.select("component", F.col("block").alias("b"), F.col("pure").alias("_q")), "component"
+    )
+    met = met.where("a <= b and not coalesce(_p = _q, false)").select("component", "a", "b")
+    tasks = met.withColumn("block", F.explode(F.array_distinct(F.array("a", "b"))))
+    between = (
+        dealt.join(tasks, ["component", "block"]).select("component", "a", "b", "block", "cls", "m", "dim", "core", "embedding")
+        .groupBy("component", "a", "b").applyInArrow(lambda t: _counted(t, threshold), "cls long, n long")
+    )
+    weights = dealt.where("core is not null").select("cls", "core", "m")
+    inside = weights.join(weights.groupBy("core").agg(F.sum("m").alias("size")), "core").select("cls", (F.col("size") - F.col("m")).alias("n"))
+    return between.unionByName(inside).groupBy("cls").agg(F.sum("n").alias("exact"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
@@ -159,22 +206,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     classes = durable(
         usable.distinct().groupBy("embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("m")).select("cls", "m", F.size("embedding").alias("dim"), "embedding")
     )
-    first = durable(_passes(classes, None, min(DENSE_PASSES, passes), threshold, window, segment))
-    cores = None if first.where("dense").isEmpty() else durable(_cores(classes, first, threshold))
-    met = durable(_passes(classes, cores, passes, threshold, window, segment))
+    met = durable(_passes(classes, passes, threshold, window, segment))
     links = met.where("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
     n = met.groupBy("cls").agg(F.sum("n").alias("met"))
-    inside = None
-    if cores is not None:
-        links = links.unionByName(cores.select(F.col("cls").alias("a"), F.col("core").alias("b")))
-        sizes = cores.groupBy("core").agg(F.sum("m").alias("size"))
-        inside = cores.join(sizes, "core").select("cls", (F.col("size") - F.col("m")).alias("inside"))
-    parts = connected_components(links).select(F.col("node").alias("cls"), "component")
+    parts = durable(connected_components(links).select(F.col("node").alias("cls"), "component"))
+    exact = _exact(classes, parts, threshold, window, 2 * segment)
     known = classes.select("cls", "m", "embedding").join(n, "cls", "left").join(parts, "cls", "left")
-    known = known.withColumn("inside", F.lit(0)) if inside is None else known.join(inside, "cls", "left")
+    # all partners that the windows met lie in the component, so the exact count replaces theirs
+    known = known.withColumn("exact", F.lit(None).cast("long")) if exact is None else known.join(exact, "cls", "left")
     known = known.select(
         F.col("embedding").alias("_vector"), F.coalesce("component", "cls").alias("component"),
-        (F.col("m") - 1 + F.coalesce("met", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("n_links"),
+        (F.col("m") - 1 + F.coalesce("exact", "met", F.lit(0))).alias("n_links"),
     )
     joined = rows.join(known, F.col("vec_id").isNotNull() & (F.col("embedding") == F.col("_vector")), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))

@@ -82,3 +82,24 @@ def test_recall_of_small_windows(spark):
 
 def test_empty_table(spark):
     assert _got(spark, []) == []
+
+
+def _loose(rnd, centre, n, cosine=0.92):
+    """Unit vectors around a unit centre, of about the given cosine to each other."""
+    noise = rnd.normal(size=(n, len(centre)))
+    return centre + np.sqrt((1 / cosine - 1) / len(centre)) * noise
+
+
+def test_loose_groups_beyond_all_windows_count_whole(spark):
+    """A group of cosine about 0.92, larger than 12 windows reach, and a tight clump beside its middle."""
+    rnd = np.random.default_rng(11)
+    centre = rnd.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    group = _loose(rnd, centre, 500)
+    clump = group[7] + 0.002 * rnd.normal(size=(150, 64))
+    others = rnd.normal(size=(60, 64))
+    rows = list(enumerate(np.concatenate([others, group, clump]).astype(np.float32).tolist()))
+    expected = brute(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in _got(spark, rows, window=8, segment=64)}
+    assert sum(n for n, _ in got.values()) == sum(n for n, _ in expected.values())
+    assert got == expected and max(n for n, _ in expected.values()) > 2 * 12 * 8
