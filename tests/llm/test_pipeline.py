@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -61,3 +63,29 @@ def test_odd_rows(spark, folder):
     assert quality.THRESHOLD == 0.3
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+def _first_of_groups(texts, n=5, percent=80):
+    """Ids of the first text of each group of linked texts, by all pairs."""
+    sets = {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    first = {i: i for i in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((first[a], first[b]))
+                first = {i: low if f == high else f for i, f in first.items()}
+    return {i for i, f in first.items() if i == f}
+
+
+def test_near_copies_are_those_of_five_words_and_80_percent(spark, folder):
+    """Edits that four words and 85 per cent let pass, and edits beyond both."""
+    rnd, texts = random.Random(4), {}
+    for n, places in ((100, [30, 70]), (1000, range(20, 965, 45)), (300, range(100, 122)), (100, [10, 30, 50]), (300, range(100, 160)), (100, [50])):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        changed = [f"x{k}" if k in set(places) else w for k, w in enumerate(words)]
+        for w in (words, changed):
+            texts[len(texts)] = " ".join(w)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = _first_of_groups(texts)
+    assert _ids(corpus_pipeline.distinct(spark, docs, folder)) == expected
+    assert expected == {0, 2, 4, 6, 7, 8, 9, 10} and _first_of_groups(texts, 4, 85) == expected | {1, 3, 5}
