@@ -1,7 +1,9 @@
 """Licences by the sentences they are stated in.
 
 The method has two steps. Sentences are normalised (lower case, only letters and digits, single spaces) and looked up
-in a table of known licence sentences, which gives each a short identifier; other sentences give none. The identifiers of
+in a table of known licence sentences, which gives each a short identifier; other sentences give none. A sentence ends at a
+sentence mark or a blank line; inside it, single line breaks, with comment marks after them, are white space. A known sentence also
+counts where it fills whole lines of a longer one, so notices need no full stop. The identifiers of
 a document, in order, are then matched against an ordered list of rules: a rule names a licence and a sequence of
 identifiers that follow each other. Rules are tried from the first to the last, each takes all its sequences out, so a
 sentence counts for one licence only. Identifiers that no rule takes make a document ``UNKNOWN``; without any it is ``NONE``.
@@ -40,6 +42,23 @@ SENTENCES = {
     "Licensed under CC BY-NC 4.0.": "CC_BY_NC",
     "This is free and unencumbered software released into the public domain.": "UNLICENSE",
 }
+#: Sentences of further licences and of the standard texts.
+MORE_SENTENCES = {
+    "You may obtain a copy of the License at": "APACHE_COPY",
+    "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.": "BSD_NAMES",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;": "GPL_TERMS",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;": "LGPL_TERMS",
+    "either version 2 of the License, or (at your option) any later version.": "V2_LATER",
+    "either version 2.1 of the License, or (at your option) any later version.": "V2_1_LATER",
+    "either version 3 of the License, or (at your option) any later version.": "V3_LATER",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "LGPL3_LATER",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL3_LATER",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC_GRANT",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC_GRANT",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "ZLIB_GRANT",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL_NAME",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.": "CC0_GRANT",
+}
 #: Ordered rules: longer sequences stand before the shorter ones that they contain.
 RULES = (
     ("MIT", ("MIT_NAME", "MIT_GRANT", "MIT_NOTICE")),
@@ -58,9 +77,25 @@ RULES = (
     ("CC-BY-NC-4.0", ("CC_BY_NC",)),
     ("Unlicense", ("UNLICENSE",)),
 )
+MORE_RULES = (
+    ("GPL-2.0-or-later", ("GPL_TERMS", "V2_LATER")),
+    ("GPL-3.0-or-later", ("GPL_TERMS", "V3_LATER")),
+    ("LGPL-2.1-or-later", ("LGPL_TERMS", "V2_1_LATER")),
+    ("LGPL-3.0-or-later", ("LGPL_TERMS", "V3_LATER")),
+    ("LGPL-3.0-or-later", ("LGPL3_LATER",)),
+    ("AGPL-3.0-or-later", ("AGPL3_LATER",)),
+    ("ISC", ("ISC_GRANT",)),
+    ("Zlib", ("ZLIB_GRANT",)),
+    ("BSL-1.0", ("BSL_NAME",)),
+    ("CC0-1.0", ("CC0_GRANT",)),
+)
 MARKERS = ("licen", "permission", "copyright", "redistribut", "public domain")
-#: Sentences end at a line break, or after a full stop, colon or the like that white space follows.
+#: A table sentence is cut at a line break, or after a full stop, colon or the like that white space follows.
 SENTENCE_END = r"[\n\r]+|[.!?;:][\x20\x09]+"
+#: What a line begins with besides its words: marks of comments and quotes, and the number of a list item.
+LINE_START = r"(?md)^[^a-z0-9\n(]*(?:\(?(?:[0-9]{1,2}[.)]|[a-z]\))[\x20\x09]+)?"
+#: Ends of sentences that may run over lines: a blank line, or a sentence mark that white space follows.
+WRAPPED_END = r"\n\n+|[.!?;:](?:[\x20\x09]+|\n)"
 
 
 def normal(sentence: str) -> str:
@@ -79,17 +114,23 @@ def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
     return known
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = known_sentences(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    held = F.filter(F.split(F.lower(text), SENTENCE_END, -1), lambda s: s.rlike("|".join(MARKERS)))
-    normalised = F.transform(held, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(normalised, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
-    return F.when(F.lower(text).rlike("|".join(MARKERS)), found).otherwise(F.array().cast("array<string>"))
+    markers = "|".join(m.replace(" ", "[^a-z0-9]+") for m in MARKERS)
+    # one white space for a line break that goes on, so that a sentence matches however it is wrapped
+    longest = sorted(known, key=len, reverse=True)
+    runs = r"(?<![^\n])(" + "|".join(s.replace(" ", r"[\x20\n]") for s in longest) + r")(?![^\n])"
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), LINE_START, "")
+    held = F.filter(F.split(lines, WRAPPED_END, -1), lambda s: s.rlike(markers))
+    spaced = F.transform(held, lambda s: F.regexp_replace(F.regexp_replace(s, "[^a-z0-9\n]+", " "), r"\x20?\n[\x20\n]*", "\n"))
+    taken = F.flatten(F.transform(spaced, lambda s: F.regexp_extract_all(F.trim(s), F.lit(runs), 1)))
+    found = F.transform(taken, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
+    return F.when(F.lower(text).rlike(markers), found).otherwise(F.array().cast("array<string>"))
 
 
-def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES | MORE_SENTENCES, rules=RULES + MORE_RULES) -> DataFrame:
     """(doc_id, sentences, licences, n_unmatched, status): identifiers and licences joined by commas."""
     ids = sentence_ids(F.coalesce("text", F.lit("")), sentences)
     # each identifier stands between its own pair of marks, so that neighbours share none
