@@ -1,6 +1,6 @@
 """Near duplicates among embeddings by sorted projection passes.
 
-Each pass hashes every vector by the signs of ``HASHES`` random projections, orders all vectors lexicographically by the
+Each pass hashes every vector, less the mean of all unit vectors, by the signs of ``HASHES`` random projections, orders all vectors lexicographically by the
 concatenated signs and compares each with the ``WINDOW`` vectors that follow it. Similar vectors agree on leading signs
 in some pass. Pairs are verified by their cosine in double precision; components join the verified pairs of all passes.
 
@@ -14,7 +14,9 @@ in some pass. Pairs are verified by their cosine in double precision; components
   of cores costs the square of its number.
 
 A task holds ``SEGMENT`` places of one order and a window of the next ones, or two blocks of ``2 * SEGMENT`` vectors, so memory is
-bounded and a hot group spreads over segments and pairs of blocks. Recall is that of the method: pairs whose signs part early in every pass are missed (measured in the tests and the README).
+bounded and a hot group spreads over segments and pairs of blocks. Recall is that of the method: pairs whose signs part early in every pass are missed (measured in the tests and the README). The number
+of passes follows from the number of vectors and how far they spread around their mean, such that a pair at the threshold is
+expected to be met with probability ``RECALL``; there are ``PASSES`` at least and no upper bound.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and so do rows with a null id (their component is null);
 vectors of different lengths never link. Repeated rows count as one vector, ties in the order are broken by the id. An empty table
@@ -37,6 +39,7 @@ from dossier.plans.sizing import checked_broadcast
 
 THRESHOLD = 0.9
 PASSES = 12
+RECALL = 0.99
 HASHES = 64
 WINDOW = 1024
 SEGMENT = 4096
@@ -53,12 +56,46 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(batches, passes: int):
+def passes_for(n: int, spread: float, threshold: float, window: int) -> int:
+    """Passes that meet a pair at the threshold with ``RECALL`` among n vectors; ``spread`` is their mean squared distance from the mean.
+
+    Taking the mean away keeps distances, so a pair's cosine falls as the spread does. To share a cell of a window, a pair must agree
+    in as many leading signs as halve the vectors down to it.
+    """
+    cosine = max(1 - (1 - threshold) / spread, 0.0) if spread > 0 else 0.0
+    share = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if share >= RECALL else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-share)))
+
+
+def _sums(batches):
+    """(dim, n, total): numbers and sums of the unit vectors of a task."""
+    found = {}
+    for batch in batches:
+        dims = batch.column(0).to_numpy()
+        for size in np.unique(dims).tolist():
+            x = _matrix(batch.column(1).take(pa.array(np.flatnonzero(dims == size))), size)
+            n, total = found.get(size, (0, 0.0))
+            found[size] = n + len(x), total + x.sum(axis=0)
+    for size, (n, total) in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["dim", "n", "total"])
+
+
+def _means(classes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and mean of the unit vectors of each length."""
+    sums = classes.select("dim", "embedding").mapInArrow(_sums, "dim int, n long, total array<double>")
+    rows = sums.select("dim", "n", F.posexplode("total")).groupBy("dim", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("total")).collect()
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    for r in rows:
+        found.setdefault(r["dim"], (r["n"], np.zeros(r["dim"])))[1][r["pos"]] = round(r["total"] / r["n"], 9)
+    return found
+
+
+def _keys(batches, passes: int, means: dict[int, np.ndarray]):
     for batch in batches:
         dims = batch.column(1).to_numpy()
         for size in np.unique(dims):
             at = np.flatnonzero(dims == size)
-            x = _matrix(batch.column(2).take(pa.array(at)), int(size))
+            x = _matrix(batch.column(2).take(pa.array(at)), int(size)) - means[int(size)]
             for p in range(passes):
                 planes = np.random.default_rng([p, int(size)]).normal(size=(int(size), HASHES))
                 signs = np.packbits(x @ planes > 0, axis=1)
@@ -89,7 +126,7 @@ def _compared(table: pa.Table, threshold: float, window: int, segment: int) -> p
     own = table["row"].to_numpy() // segment == table["segment"].to_numpy()
     row, run = table["row"].to_numpy(), table["dim"].to_numpy().astype(np.int64) * (1 << 16) + table["pass"].to_numpy()
     weight, cls = table["m"].to_numpy(), table["cls"].to_numpy()
-    places = np.stack([np.asarray(x, dtype=np.int64) for x in table["places"].to_pylist()])
+    places = pa.concat_arrays(table["places"].chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
     count = np.zeros(len(row), dtype=np.int64)
     left, right = [], []
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -115,9 +152,9 @@ def _compared(table: pa.Table, threshold: float, window: int, segment: int) -> p
     return pa.table({"cls": cls[keep], "n": count[keep], "root": cls[root][keep]})
 
 
-def _passes(classes: DataFrame, passes: int, threshold: float, window: int, segment: int) -> DataFrame:
+def _passes(classes: DataFrame, means: dict[int, np.ndarray], passes: int, threshold: float, window: int, segment: int) -> DataFrame:
     """(cls, n, root) of all passes, several rows a vector."""
-    keys = classes.select("cls", "dim", "embedding").mapInArrow(lambda b: _keys(b, passes), "pass int, dim int, key long, cls long")
+    keys = classes.select("cls", "dim", "embedding").mapInArrow(lambda b: _keys(b, passes, means), "pass int, dim int, key long, cls long")
     placed, _ = row_numbers(keys, ["dim", "pass", "key", "cls"])
     places = placed.groupBy("cls").agg(F.array(*[F.max(F.when(F.col("pass") == p, F.col("row"))) for p in range(passes)]).alias("places"))
     rows = classes.join(places, "cls").select("*", F.posexplode("places").alias("pass", "row"))
@@ -198,7 +235,7 @@ def _exact(classes: DataFrame, parts: DataFrame, threshold: float, window: int,
     return between.unionByName(inside).groupBy("cls").agg(F.sum("n").alias("exact"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -206,7 +243,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     classes = durable(
         usable.distinct().groupBy("embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("m")).select("cls", "m", F.size("embedding").alias("dim"), "embedding")
     )
-    met = durable(_passes(classes, passes, threshold, window, segment))
+    means = _means(classes)
+    if passes is None:
+        passes = max((passes_for(n, 1 - float(mean @ mean), threshold, window) for n, mean in means.values()), default=PASSES)
+    met = durable(_passes(classes, {size: mean for size, (_, mean) in means.items()}, passes, threshold, window, segment))
     links = met.where("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
     n = met.groupBy("cls").agg(F.sum("n").alias("met"))
     parts = durable(connected_components(links).select(F.col("node").alias("cls"), "component"))

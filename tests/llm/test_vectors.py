@@ -103,3 +103,29 @@ def test_loose_groups_beyond_all_windows_count_whole(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in _got(spark, rows, window=8, segment=64)}
     assert sum(n for n, _ in got.values()) == sum(n for n, _ in expected.values())
     assert got == expected and max(n for n, _ in expected.values()) > 2 * 12 * 8
+
+
+def test_recall_among_many_vectors_with_a_common_mean(spark):
+    """Pairs between 0.90 and 0.92 among 750 windows of vectors that share a direction."""
+    rnd = np.random.default_rng(13)
+    mean = rnd.normal(size=32)
+    first = rnd.normal(size=(1500, 32)) + mean
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    aside = rnd.normal(size=first.shape)
+    aside -= (aside * first).sum(axis=1, keepdims=True) * first
+    cosine = rnd.uniform(0.9005, 0.92, size=(1500, 1))
+    second = cosine * first + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    x = np.concatenate([first, second]).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    expected = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in _got(spark, list(enumerate(x.astype(np.float32).tolist())), window=4, segment=512)}
+    assert expected.sum() >= 3000
+    assert sum(got.values()) >= 0.97 * expected.sum()
+
+
+def test_passes_grow_with_the_number_of_vectors():
+    share = lambda n: (1 - np.arccos(0.9) / np.pi) ** np.log2(n / 1024)
+    for n in (10**5, 10**6, 5 * 10**6, 2 * 10**7):
+        assert (1 - share(n)) ** vectors.passes_for(n, 1.0, 0.9, 1024) <= 0.0101
+    assert vectors.passes_for(10**6, 0.5, 0.9, 1024) > vectors.passes_for(10**6, 1.0, 0.9, 1024)
+    assert vectors.passes_for(0, 1.0, 0.9, 1024) == vectors.passes_for(1024, 0.0, 0.9, 1024) == 12
