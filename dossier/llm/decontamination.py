@@ -7,7 +7,9 @@ occurrences. Around the hits Myers' bit-parallel recurrence gives the smallest d
 document; machine words of any length hold the item's column.
 
 Items with fewer words than ``WORDS_PER_ERROR`` have no error budget and name nothing by themselves (a one-word item would be
-"leaked" everywhere): they count only where they are the whole document. Items without words never match.
+"leaked" everywhere): they count only where they are the whole document. Items without words never match. In scripts without spaces
+a word is a whole sentence: items of few words in them are compared as sequences of characters, with one edit in ``UNITS_PER_ERROR``
+characters, and items with fewer count only as the whole document.
 
 The index of the pieces goes to the tasks in blocks of items of at most ``BLOCK_BYTES``, a pass over the documents for each block, so
 the broadcast is bounded however many items there are. Documents are not shuffled. A passage in a third of all documents is verified in
@@ -19,6 +21,7 @@ itself. Items repeated under several ids are reported under each.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -31,6 +34,9 @@ from pyspark.sql import types as T
 from dossier.llm.words import MARKS, plain, slices, windows, word_hashes, words
 
 WORDS_PER_ERROR = 5
+UNITS_PER_ERROR = 10
+#: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana and Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BLOCK_BYTES = 16 << 20
 LEAK = "array<struct<item_id: long, distance: int, first_word: int, last_word: int>>"
 
@@ -61,20 +67,35 @@ def myers(item: list[int], text: list[int], budget: int) -> tuple[int, int] | No
     return best
 
 
+def units(text: str) -> str:
+    """The text with each character of a script without spaces as a word of its own."""
+    return UNSPACED.sub(r" \g<0> ", text)
+
+
+def unit_words(text: str) -> np.ndarray:
+    """The word that each word of ``units(text)`` lies in."""
+    runs = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)
+    return np.repeat(np.arange(len(runs)), [sum(map(bool, units(r).split(" "))) for r in runs])
+
+
 class Pieces:
     """Items split into pieces, by piece length: sorted hashes, and for each the (item, offset) pairs that have it."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], per_error: int = WORDS_PER_ERROR):
         texts = plain(pa.array([text for _, text in rows], pa.string()))
         w = words(texts, lower=True, apart=MARKS)
         hashes = word_hashes(w, 5)
         self.ids = [i for i, _ in rows]
         self.items = [hashes[w.first[k] : w.first[k + 1]] for k in range(len(rows))]
-        self.budgets = [len(x) // WORDS_PER_ERROR for x in self.items]
+        self.budgets = [len(x) // per_error for x in self.items]
+        long = set()
+        if per_error == WORDS_PER_ERROR:
+            long = {k for k, (_, text) in enumerate(rows) if not self.budgets[k] and len(UNSPACED.findall(text)) >= UNITS_PER_ERROR}
+        self.units = Pieces([(rows[k][0], units(rows[k][1])) for k in sorted(long)], UNITS_PER_ERROR) if long else None
         self.whole: dict[tuple[int, ...], list[int]] = defaultdict(list)
         by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, item in enumerate(self.items):
-            if not len(item):
+            if not len(item) or k in long:
                 continue
             if not self.budgets[k]:
                 self.whole[tuple(item.tolist())].append(k)
@@ -153,6 +174,15 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFr
     return marked
 
 
+def _found(pieces: Pieces, texts) -> dict[int, list[dict]]:
+    """Leaks by row of ``texts``."""
+    out: dict[int, list[dict]] = {}
+    for begin, stop in slices(texts):
+        w = words(texts, begin, stop, lower=True, apart=MARKS)
+        out |= {begin + row: leaks for row, leaks in pieces.leaks(word_hashes(w, 5), w.doc, w.first).items()}
+    return out
+
+
 def _pass(docs: DataFrame, pieces, name: str) -> DataFrame:
     at, text_at = docs.columns.index(name), docs.columns.index("text")
     out_type = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
@@ -160,10 +190,14 @@ def _pass(docs: DataFrame, pieces, name: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = plain(batch.column(text_at)), batch.column(at).to_pylist()
-            for begin, stop in slices(texts):
-                w = words(texts, begin, stop, lower=True, apart=MARKS)
-                for row, leaks in pieces.value.leaks(word_hashes(w, 5), w.doc, w.first).items():
-                    found[begin + row] = found[begin + row] + sorted(leaks, key=lambda x: (x["item_id"] is None, x["item_id"], x["first_word"]))
+            new = _found(pieces.value, texts)
+            if pieces.value.units:
+                held = [(i, t) for i, t in enumerate(batch.column(text_at).to_pylist()) if t and UNSPACED.search(t)]
+                for k, leaks in _found(pieces.value.units, plain(pa.array([units(t) for _, t in held], pa.string()))).items():
+                    row, word = held[k][0], unit_words(held[k][1])
+                    new[row] = new.get(row, []) + [x | {y: int(word[x[y]]) for y in ("first_word", "last_word")} for x in leaks]
+            for row, leaks in new.items():
+                found[row] = found[row] + sorted(leaks, key=lambda x: (x["item_id"] is None, x["item_id"], x["first_word"]))
             columns = list(batch.columns)
             columns[at] = pa.array(found, out_type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

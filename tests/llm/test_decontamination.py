@@ -90,3 +90,16 @@ def test_rows_and_columns_are_kept(spark):
     assert got.columns == [*docs.columns, "found"]
     assert sorted((str(r["doc_id"]), [tuple(x) for x in r["found"]]) for r in got.collect()) == [("1", [(5, 0, 0, 9)]), ("1", [(5, 0, 0, 9)]), ("2", []), ("None", [(5, 0, 1, 10)])]
     assert decontamination.leaks(docs.limit(0), items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_items_in_scripts_without_spaces(spark):
+    item = "石头被水慢慢磨圆了,所以河里的石头都很光滑"
+    edited = item.replace("慢慢", "渐渐")
+    docs = [
+        (1, f"开头的话 {item} 后面的话"), (2, f"some words before这里说{edited}。and after"), (3, item), (4, "石头被水磨,河里都很"),
+        (5, "short 石头 here"), (6, "石头"), (7, "no such text"), (8, None), (9, f"x {item.replace('石头', '木头').replace('光滑', '粗糙')} y"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, item), (2, "石头"), (3, "ก้อนหินในแม่น้ำเรียบและกลม")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["first_word"], r["last_word"]) for r in decontamination.leaks(frame, items).collect()}
+    assert got == {(1, 1, 0, 1, 2), (2, 1, 2, 2, 3), (3, 1, 0, 0, 1), (6, 2, 0, 0, 0)}
