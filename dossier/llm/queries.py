@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, jaccard, licences, pii, quality, sharding, substrings, urls, vectors
+from dossier.llm import bpe, decontamination, jaccard, licences, negatives, pii, quality, sharding, substrings, urls, vectors
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -164,3 +164,31 @@ def op10_disclosed_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.with_spans(table(spark, folder, "documents").select("doc_id", "text"))
     counts = [pii.count_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256"), pii.written(pii.all_spans()).alias("spans"))
+
+
+NEGATIVES_SQL = """
+WITH fit AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.parts, b.parts)::BIGINT AS score
+  FROM fit a JOIN fit b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INT AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 3
+"""
+
+
+@query(NEGATIVES_SQL)
+def op13_packed_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
