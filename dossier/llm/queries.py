@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, jaccard, licences, negatives, pii, quality, sharding, substrings, urls, vectors
+from dossier.llm import bpe, decontamination, jaccard, licences, negatives, pii, quality, sharding, substrings, toxicity, urls, vectors
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -192,3 +192,11 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 def op13_packed_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     return negatives.hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op12_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
