@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, jaccard, licences, negatives, pii, quality, sharding, substrings, toxicity, urls, vectors
+from dossier.llm import bpe, conversations, decontamination, jaccard, licences, negatives, pii, quality, sharding, substrings, toxicity, urls, vectors
 
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
@@ -200,3 +200,21 @@ def op12_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, folder, "labels"))
     found = toxicity.scored(docs, model)
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, doubled or given to the user, by a checksum of conversation and turn; dropped ones are not ``present``."""
+    told = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    return turns.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), (fault != 0).alias("present"),
+        F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+    ).drop("_copy")
+
+
+@query()
+def op11_hirschberg_repair(spark: SparkSession, folder: str) -> DataFrame:
+    found = conversations.digests(conversations.repaired(damaged(table(spark, folder, "conversations"))))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
