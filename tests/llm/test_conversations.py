@@ -167,9 +167,9 @@ def test_long_stretch_equals_one_walk():
 
 
 def test_real_outputs(spark):
-    turns = [(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hi."), (1, 2, "assistant", "Hi."), (1, 3, "user", "What now")]
+    turns = [(1, 0, "system", "Be kind."), (1, 1, "user", "Hi."), (1, 2, "user", "Hello."), (1, 3, "user", "Hi."), (1, 4, "user", "Why?"), (1, 5, "assistant", "So.")]
     frame = spark.createDataFrame([(*t, True) for t in turns], "conv_id long, turn long, role string, text string, present boolean")
     row = C.repaired(frame).first()
     _, cost, audit, lines = brute([t[1:] for t in turns])
     assert (row["cost"], row["audit"]) == (cost, audit) and [tuple(t) for t in row["repaired"]] == list(lines)
-    assert lines[0] == ("system", "Be kind.") and len(lines) == 3
+    assert audit == "KKRDKK" and lines[2] == ("assistant", "Hello.")
