@@ -156,8 +156,9 @@ def _describe(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             n = np.diff(edges)
             cell = np.repeat(np.arange(len(n)) * BINS, n) + (shingles % np.uint64(BINS)).astype(np.int64)
             bins = np.minimum(np.bincount(cell, minlength=len(n) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-            columns = [batch.column(0).slice(begin, stop - begin), pa.array(n), pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in bins], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "bins"])
+            kept = [batch.column(k).slice(begin, stop - begin) for k in (0, 2)]
+            columns = [*kept, pa.array(n), pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in bins], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "h1", "h2", "bins"])
 
 
 def _close(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def _keys(batches: Iterable[pa.RecordBatch], size: int, percent: int, ranges: in
                     sizes = n[some]
                     own = shingles[np.repeat(some, n)]
                     key, who, name, less = frame_keys(own, np.concatenate([[0], np.cumsum(sizes)]), sizes, band[some] + step, percent, low)
-                    found.append((key, h1[some][who], sizes[who], (step + 2 * less + 4 * (name + 1)).astype(np.uint16)))
+                    found.append((key, h1[some][who], sizes[who], (step + 2 * less + 4 * (name + 1)).astype(np.uint32)))
                     held += len(key)
             if held > KEYS_HELD:
                 yield _dealt(*map(np.concatenate, zip(*found, strict=True)), ranges)
@@ -202,6 +203,16 @@ def _keys(batches: Iterable[pa.RecordBatch], size: int, percent: int, ranges: in
             yield _dealt(*map(np.concatenate, zip(*found, strict=True)), ranges)
 
 
+def pack_codes(code: np.ndarray) -> bytes:
+    """Codes of keys in two bytes each, or four where a very long text names segments beyond; the first byte tells which."""
+    width = 2 if int(code.max(initial=0)) < 1 << 16 else 4
+    return bytes([width]) + code.astype(f"<u{width}").tobytes()
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+
+
 KEYS = "range int, owners binary, sizes binary, who binary, key binary, code binary"
 
 
@@ -219,7 +230,7 @@ def _dealt(key, owner, size, code, ranges) -> pa.RecordBatch:
             rows.append(
                 (
                     k, owners[present].tobytes(), sizes[present].astype("<u4").tobytes(), pack(local),
-                    (key[s] & _LOW32).astype("<u4").tobytes(), code[s].astype("<u2").tobytes(),
+                    (key[s] & _LOW32).astype("<u4").tobytes(), pack_codes(code[s]),
                 )
             )
     columns = list(zip(*rows, strict=True))
@@ -237,7 +248,8 @@ def _buckets(table: pa.Table, percent: int) -> pa.Table:
     """
     rows = [{n: row[n] for n in ("owners", "sizes", "who", "code")} for row in table.select(["owners", "sizes", "who", "code"]).to_pylist()]
     key = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in table["key"].combine_chunks()])
-    ends = np.cumsum([0] + [len(r["code"]) // 2 for r in rows])
+    codes = [unpack_codes(r["code"]) for r in rows]
+    ends = np.cumsum([0] + [len(c) for c in codes])
     # keys held once are most of them
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -246,7 +258,7 @@ def _buckets(table: pa.Table, percent: int) -> pa.Table:
     shared[1:] |= same
     shared[:-1] |= same
     order, key = order[shared], key[shared]
-    owner, size, code = (np.zeros(len(order), dtype=k) for k in (np.int64, np.uint32, np.uint16))
+    owner, size, code = (np.zeros(len(order), dtype=k) for k in (np.int64, np.uint32, np.uint32))
     source = np.searchsorted(ends, order, side="right") - 1
     for i, r in enumerate(rows):
         at = np.flatnonzero(source == i)
@@ -254,7 +266,7 @@ def _buckets(table: pa.Table, percent: int) -> pa.Table:
             place = order[at] - ends[i]
             who = unpack(r["who"])[place]
             owner[at], size[at] = np.frombuffer(r["owners"], dtype="<i8")[who], np.frombuffer(r["sizes"], dtype="<u4")[who]
-            code[at] = np.frombuffer(r["code"], dtype="<u2")[place]
+            code[at] = codes[i][place]
     order = np.lexsort((code, owner, key))
     key, owner, size, code = key[order], owner[order], size[order], code[order]
     new = np.ones(len(key), dtype=bool)
@@ -336,13 +348,19 @@ def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def mark_of(text: str) -> Column:
+    """What tells the texts of rows of one id apart."""
+    return F.xxhash64(text)
+
+
 class JaccardJoin:
     """The join of one table of documents: ``documents`` describes its sets, ``links`` and ``classes`` its result."""
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE):
         self.percent, self.size = percent, size
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.documents = durable(self.docs.mapInArrow(lambda b: _describe(b, size), "doc_id long, n long, h1 long, h2 long, bins binary"))
+        marked = self.docs.withColumn("mark", mark_of("text"))
+        self.documents = durable(marked.mapInArrow(lambda b: _describe(b, size), "doc_id long, mark long, n long, h1 long, h2 long, bins binary"))
 
     def buckets(self) -> DataFrame:
         """(bucket, owner, size, asked): the sets of each bucket."""
@@ -444,7 +462,7 @@ class JaccardJoin:
         return met.select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every document."""
+        """(doc_id, mark, n_shingles, component_id) of every document."""
         parts = connected_components(self.links()).select(F.col("node").alias("h1"), "component")
         stands = self.documents.where("doc_id is not null and n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
         named = stands.join(parts, "h1", "left")
@@ -454,9 +472,31 @@ class JaccardJoin:
         by_set = placed.join(smallest, "_group").select("h1", "h2", "component_id")
         full = self.documents.drop("bins").join(by_set, ["h1", "h2"], "left")
         own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-        return full.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return full.select("doc_id", "mark", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of ``docs``."""
-    return JaccardJoin(docs, percent, size).classes()
+    return JaccardJoin(docs, percent, size).classes().drop("mark")
+
+
+def first_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group: its smallest id, of that the text of the smallest mark, of equal ids and texts the least row.
+
+    Rows are told apart by id and text, so a unique text stays whatever else has its id. Rows without words or id link with nothing and stay.
+    """
+    judged = durable(JaccardJoin(docs, percent, size).classes().where("doc_id is not null and n_shingles > 0"))
+    first = judged.where("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("first"))
+    rows = judged.groupBy("doc_id", "mark", "component_id").agg(F.count(F.lit(1)).alias("n")).join(first, "component_id")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("first"))
+    rows = durable(rows.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"), "n"))
+    same = lambda side: (docs["doc_id"].cast("long") == side["_id"]) & (mark_of("text") == side["_mark"])
+    later = checked_broadcast(rows.where("not stays or n > 1").select("_id", "_mark"))
+    kept = docs.join(later, same(later), "left_anti")
+    repeated = rows.where("stays and n > 1").select("_id", "_mark")
+    if repeated.isEmpty():
+        return kept
+    repeated = checked_broadcast(repeated)
+    again = docs.join(repeated, same(repeated), "left_semi")
+    least = again.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return kept.unionByName(least.select("_row.*"))

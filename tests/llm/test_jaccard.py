@@ -106,3 +106,27 @@ def test_allocation_asks_enough(spark):
         names_out = {r["name"] for r in out.values() if r["name"] >= 0}
         wider = {r["name"] for r in own if r["less"] and r["asked"]}
         assert len(out) <= extra + (len(wider - names_out) if len(out) > extra else 0)
+
+
+@pytest.mark.parametrize("size", [400, 500_000, 3_000_000])
+def test_codes_of_very_large_sets_are_whole(size):
+    """Named segments of sets of millions of shingles do not wrap around."""
+    for percent in (60, 80, 85):
+        low = jaccard.bands(percent, size)
+        frame = np.array([np.searchsorted(low, size, side="right")])
+        _, segments, named = (int(v[0]) for v in jaccard.frame_plan(percent, low, frame))
+        name = np.arange(-1, named)
+        code = (1 + 2 * (name % 2 == 0) + 4 * (name + 1)).astype(np.uint32)
+        back = jaccard.unpack_codes(jaccard.pack_codes(code)).astype(np.int64)
+        assert (back // 4 - 1 == name).all() and (back % 4 == code % 4).all()
+    assert len(jaccard.pack_codes(np.array([7], dtype=np.uint32))) == 3
+
+
+def test_keys_of_a_very_large_set_name_its_segments():
+    shingles = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 1_700_000).astype(np.uint64))
+    low = jaccard.bands(80, len(shingles))
+    frame = np.array([np.searchsorted(low, len(shingles), side="right") - 1])
+    key, who, name, less = jaccard.frame_keys(shingles, np.array([0, len(shingles)]), np.array([len(shingles)]), frame, 80, low)
+    batch = jaccard._dealt(key, who, np.full(len(key), len(shingles)), (2 * less + 4 * (name + 1)).astype(np.uint32), 3)
+    names = np.concatenate([jaccard.unpack_codes(c.as_py()) for c in batch.column(batch.schema.names.index("code"))]).astype(np.int64) // 4 - 1
+    assert name.max() > 16_382 and (np.sort(names) == np.sort(name)).all()
