@@ -1,7 +1,9 @@
 """A training corpus in five stages: quality, near duplicates, benchmark leaks, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and judges all rows that its predecessor kept. All but the last return the columns of
-documents; the last returns the tokens of each text. Null ids and repeated rows pass through as the operators state.
+documents; the last returns the tokens of each text. Rows with null ids pass through. Rows are told apart by id and text: of rows equal in
+both, the near-duplicate stage keeps the least by all columns, and a unique text stays whatever else has its id. Columns of documents
+that are called like what an operator adds are kept as they are. Very long texts are judged whole, empty and null ones as the operators state.
 """
 
 from __future__ import annotations
@@ -12,29 +14,33 @@ from pyspark.sql import functions as F
 
 from dossier.llm import bpe, decontamination, jaccard, pii, quality
 from dossier.plans.durable import durable
-from dossier.plans.sizing import checked_broadcast
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Near duplicates share 80 per cent of their five-word shingles; the four words and 85 per cent of op8 bind that query only.
 SHINGLE, PERCENT = 5, 80
 
 
+def _apart(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with other names for the columns that are called like ``names``, in their places."""
+    taken = {n.lower() for n in names}
+    return docs.toDF(*[f"_{k}_{c}" if c.lower() in taken else c for k, c in enumerate(docs.columns)])
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.scored(_apart(docs, "score", "predicted"), model).where("predicted = 1").drop("score", "predicted").toDF(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group that links of five-word shingles connect."""
-    later = jaccard.joined(docs, PERCENT, SHINGLE).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(checked_broadcast(durable(later)), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.first_of_each(docs, PERCENT, SHINGLE).select(*docs.columns)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.with_leaks(docs, items, "_leaks").where(F.size("_leaks") == 0).select(*docs.columns)
+    return decontamination.with_leaks(_apart(docs, "_leaks"), items, "_leaks").where(F.size("_leaks") == 0).drop("_leaks").toDF(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
