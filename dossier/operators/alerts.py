@@ -12,6 +12,7 @@ from dossier import schemas as S
 from dossier.functions import rules as R
 from dossier.functions.text import ALERT_STOP_WORDS
 from dossier.plans.containment import containing
+from dossier.plans.sizing import checked_broadcast, spread_by
 
 
 def relevant_headline(headline: Column) -> Column:
@@ -111,8 +112,7 @@ def _concept_labels(concepts: DataFrame) -> DataFrame:
 
 def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(_text, needle) of the distinct texts that contain a wanted needle. Equal texts are read once."""
-    named = texts.select("_text").distinct().withColumn("_key", F.sha2("_text", 256))
-    return containing(named, ["_key"], "_text", wanted, "needle")
+    return containing(spread_by(texts.select("_text").distinct(), "_text"), "_text", wanted, "needle")
 
 
 def alert_relevance(alerts: DataFrame, concepts: DataFrame, text: str = "headline_full") -> DataFrame:
@@ -133,17 +133,11 @@ def alert_relevance(alerts: DataFrame, concepts: DataFrame, text: str = "headlin
         .distinct()
         .withColumn("points", F.lit(1).cast("long"))
     )
-    # Needles shared by several analyses are searched once, and equal texts are read once.
+    # Needles shared by several analyses are searched once, equal texts are read and judged once, and only then meet their alerts.
     wanted = phrases.unionByName(terms).groupBy("analysis_id", "needle").agg(F.sum("points").alias("points"))
     texts = alerts.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), "alert_id").distinct()
-    found = _held(texts, wanted)
-    return (
-        found.join(texts, "_text")
-        .select("alert_id", "needle")
-        .join(wanted, "needle")
-        .groupBy("analysis_id", "alert_id")
-        .agg(F.sum("points").cast("long").alias("relevance"))
-    )
+    judged = _held(texts, wanted).join(checked_broadcast(wanted), "needle").groupBy("_text", "analysis_id").agg(F.sum("points").cast("long").alias("relevance"))
+    return judged.join(texts, "_text").select("analysis_id", "alert_id", "relevance")
 
 
 def related_concepts(alerts: DataFrame, concepts: DataFrame, text: str = "headline_full") -> DataFrame:

@@ -121,17 +121,11 @@ def query_terms(concepts: DataFrame, normalisations: DataFrame) -> DataFrame:
 
 
 def _query_terms(queries: DataFrame, expansions: DataFrame | None, stop: Sequence[str]) -> DataFrame:
-    """(query_id, term, expanded, phrase): the phrase of a query stands on its longest term only."""
+    """(query_id, term, expanded, phrase): the phrase of a query stands on its own terms."""
     asked = durable(queries).select(
         "query_id", tokens(F.col("query_text"), 3, stop).alias("_t"), normalise_label(F.col("query_text")).alias("_phrase")
-    ).withColumn("_anchor", F.array_max(F.transform("_t", lambda t: F.struct(F.length(t).alias("n"), t.alias("term")))))
-    own = asked.select("query_id", "_phrase", "_anchor", F.explode("_t").alias("term")).select(
-        "query_id",
-        "term",
-        F.lit(False).alias("expanded"),
-        # A passage that contains the whole query contains this term, so the phrase is tested once per pair.
-        F.when(F.col("term") == F.col("_anchor.term"), F.col("_phrase")).alias("_phrase"),
     )
+    own = asked.select("query_id", F.explode("_t").alias("term"), F.lit(False).alias("expanded"), "_phrase")
     if expansions is None:
         return durable(own)
     wide = durable(
@@ -158,6 +152,39 @@ def _query_terms(queries: DataFrame, expansions: DataFrame | None, stop: Sequenc
     return durable(own.unionByName(added))
 
 
+def _read(passages: DataFrame, stop: Sequence[str], *keys: str) -> DataFrame:
+    """(passage_id, keys, chars, _norm, _t): passages with their normalised text and its terms."""
+    text = passages.select("passage_id", *keys, F.length("passage_text").cast("long").alias("chars"), normalise_label(F.col("passage_text")).alias("_norm"))
+    return text.withColumn("_t", label_tokens(F.col("_norm"), 3, stop))
+
+
+def _pairs(text: DataFrame, terms: DataFrame, asked: DataFrame | None = None, excluded: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+    """Passages joined to the queries of which they hold an asked term, scored where the passages lie.
+
+    ``text``: see ``_read``. ``asked``: (query_id, term), some of ``terms``; all of them if None. ``excluded`` and ``within``: (query_id, package_id)
+    that are left out, or the only ones looked at. A pair meets once for each asked term that it
+    shares and is kept at the first of them, so that nothing has to be brought together: no pair is shuffled.
+    """
+    asked = terms.select("query_id", "term") if asked is None else asked
+    first = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("_asked"))
+    lists = terms.groupBy("query_id").agg(
+        F.collect_list(F.when(~F.col("expanded"), F.col("term"))).alias("_own"), F.collect_list(F.when(F.col("expanded"), F.col("term"))).alias("_wide"), F.max("_phrase").alias("_phrase")
+    )
+    # terms of a query are bounded by the query and its active expansions
+    listed = checked_broadcast(first.join(lists, "query_id"))
+    met = text.withColumn("term", F.explode("_t")).join(checked_broadcast(asked), "term")
+    if excluded is not None:
+        met = met.join(checked_broadcast(excluded.select("query_id", "package_id").distinct()), ["query_id", "package_id"], "left_anti")
+    if within is not None:
+        met = met.join(checked_broadcast(within), ["query_id", "package_id"], "left_semi")
+    once = met.join(listed, "query_id").where(F.col("term") == F.get(F.array_intersect("_asked", "_t"), F.lit(0)))
+    hit = once.withColumns({"_own": F.array_intersect("_own", "_t"), "_wide": F.array_intersect("_wide", "_t")})
+    # a whole query adds points to passages that hold one of its own terms or of their expansions
+    whole = F.when(F.coalesce(F.contains("_norm", F.col("_phrase")), F.lit(False)), PHRASE_WEIGHT).otherwise(0)
+    score = TERM_WEIGHT * F.size("_own") + EXPANSION_WEIGHT * F.size("_wide") + whole
+    return hit.withColumn("lexical_score", score.cast("long")).drop("term", "_asked", "_norm", "_t", "_phrase")
+
+
 def lexical_scores(
     passages: DataFrame,
     queries: DataFrame,
@@ -165,51 +192,24 @@ def lexical_scores(
     stop: Sequence[str] = TAXONOMY_STOP_WORDS,
     excluded: DataFrame | None = None,
 ) -> DataFrame:
-    """Every (query, passage) pair that shares a term, with its score and the passage's order keys.
+    """Every (query, passage) pair that shares a term, with its score and the passage's order keys, in the passage's task.
 
-    ``queries``: query_id, query_text. Passages are tokenised in place and only their ids meet the terms of all
-    queries. The rows of a pair come from one task, which adds them up before they are shuffled. ``excluded``:
-    query_id, package_id of packages that a query must not find.
+    ``queries``: query_id, query_text. ``excluded``: query_id, package_id of packages that a query must not find.
     """
-    return _pair_scores(passages, _query_terms(queries, expansions, stop), stop, excluded)
-
-
-def _normalised(passages: DataFrame, *keys: str) -> DataFrame:
-    return passages.select("passage_id", *keys, normalise_label(F.col("passage_text")).alias("_norm"))
-
+    keys = ["document_id", "passage_order", *(["package_id"] if excluded is not None else [])]
+    return _pairs(_read(passages, stop, *keys), _query_terms(queries, expansions, stop), excluded=excluded).drop("_own", "_wide")
 
-def _phrase_hits(text: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, passage_id) of the passages (passage_id, _norm) that contain a whole query."""
-    phrases = terms.where("_phrase is not null").select("query_id", "_phrase").distinct()
-    held = containing(text.select("passage_id", "_norm"), ["passage_id"], "_norm", phrases, "_phrase")
-    return held.select("passage_id", "_phrase").join(checked_broadcast(phrases), "_phrase").select("query_id", "passage_id")
-
-
-def _pair_scores(
-    passages: DataFrame, terms: DataFrame, stop: Sequence[str], excluded: DataFrame | None, keys: Sequence[str] = ("document_id", "passage_order")
-) -> DataFrame:
-    """Scores of all pairs; terms with a column ``weight`` also add up their weights."""
-    ids = ["passage_id", *keys, "chars"]
-    package = ["package_id"] if excluded is not None and "package_id" not in keys else []
-    text = _normalised(passages.withColumn("chars", F.length("passage_text").cast("long")), *ids[1:], *package)
-    weighted = "weight" in terms.columns
-    wanted = checked_broadcast(terms.select("query_id", "term", "expanded", *(["weight"] if weighted else [])))
-    own = checked_broadcast(excluded.select("query_id", "package_id").distinct()) if excluded is not None else None
-
-    def allowed(rows: DataFrame) -> DataFrame:
-        return rows if own is None else rows.join(own, ["query_id", "package_id"], "left_anti")
 
+def _reach(text: DataFrame, terms: DataFrame) -> DataFrame:
+    """``terms`` with the points of the rarer terms of their query (_rarer) and those of themselves and all more frequent ones (_rest)."""
+    wanted = checked_broadcast(terms.select("term").distinct())
+    times = text.select(F.explode("_t").alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("_times"))
     points = F.when(F.col("expanded"), EXPANSION_WEIGHT).otherwise(TERM_WEIGHT)
-    matched = text.select(*ids, *package, F.explode(label_tokens(F.col("_norm"), 3, stop)).alias("term")).join(wanted, "term")
-    weight = F.col("weight") if weighted else F.lit(0)
-    rows = allowed(matched).select("query_id", *ids, points.alias("_points"), weight.alias("_weight"), F.lit(1).alias("_term"))
-    # The whole query adds points to pairs and no pairs: it may occur as a part of longer words, without any term.
-    whole = text.select(*ids, *package).join(checked_broadcast(_phrase_hits(text, terms)), "passage_id")
-    more = allowed(whole).select("query_id", *ids, F.lit(PHRASE_WEIGHT).alias("_points"), F.lit(0).alias("_weight"), F.lit(0).alias("_term"))
-    sums = rows.unionByName(more).groupBy("query_id", *ids).agg(
-        F.sum("_points").cast("long").alias("lexical_score"), F.sum("_weight").cast("long").alias("term_weight"), F.max("_term").alias("_term")
-    ).where("_term = 1").drop("_term")
-    return sums if weighted else sums.drop("term_weight")
+    rated = terms.join(times, "term", "left").withColumns({"_times": F.coalesce("_times", F.lit(0)), "_points": points})
+    order = Window.partitionBy("query_id").orderBy("_times", "term")
+    rest = F.sum("_points").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rarer = F.coalesce(F.sum("_points").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return durable(rated.select("query_id", "term", "expanded", "_phrase", rest.alias("_rest"), rarer.alias("_rarer")))
 
 
 def lexical_retrieve(
@@ -224,35 +224,39 @@ def lexical_retrieve(
 ) -> DataFrame:
     """The ``k`` best passages of each query; ``max_chars`` ends the list where a prompt has no more room.
 
-    ``passages``: document_id, passage_id, passage_order, passage_text and further columns. Ranks are cut per
-    task before the shuffle, so a query that matches a large part of the corpus moves only ``k`` rows per task.
-    The matched terms are looked up for the selected passages only.
+    ``passages``: document_id, passage_id, passage_order, passage_text and further columns. First the passages that hold one of the rarer terms of
+    a query are scored; the k-th best of them is a bound that the result reaches. Terms so frequent that all of them and the whole
+    phrase together stay below the bound need not be looked for: a passage is scored only if it holds a term that can still reach it. Queries
+    whose rarer terms were enough are done, the others look for the rest. Pairs are scored in the task of their passage, which sends
+    on the ``k`` best of each query.
     """
-    terms = _query_terms(queries, expansions, stop)
-    scored = _pair_scores(passages, terms, stop, excluded)
+    keys = ["document_id", "passage_order", *(["package_id"] if excluded is not None else [])]
+    text = _read(passages, stop, *keys)
+    terms = _reach(text, _query_terms(queries, expansions, stop))
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(
-        F.col("rank") <= k
-    )
+
+    def best(asked: DataFrame, of: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        return _pairs(text, of, asked.select("query_id", "term"), excluded).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    # the rarer half of the points, never none of them
+    rarer = F.col("_rarer") * 2 < F.col("_rarer") + F.col("_rest")
+    hits = durable(best(terms.where(rarer), terms))
+    bound = hits.where(F.col("rank") == k).select("query_id", F.col("lexical_score").alias("_bound"))
+    needed = terms.join(checked_broadcast(bound), "query_id", "left").where(F.col("_rest") + PHRASE_WEIGHT >= F.coalesce("_bound", F.lit(0)))
+    unfinished = durable(needed.where(~rarer).select("query_id").distinct())
+    if not unfinished.isEmpty():
+        unfinished = checked_broadcast(unfinished)
+        of = terms.join(unfinished, "query_id", "left_semi")
+        more = best(needed.join(unfinished, "query_id", "left_semi"), of)
+        hits = durable(hits.join(unfinished, "query_id", "left_anti").unionByName(more.select(*hits.columns)))
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    kept = ranked.withColumn("cumulative_chars", F.sum("chars").over(running))
+    kept = hits.withColumn("cumulative_chars", F.sum("chars").over(running))
     if max_chars is not None:
         kept = kept.where(F.col("cumulative_chars") <= max_chars)
-    hits = durable(kept)
-    # Terms per query are bounded by the query and its active expansions.
-    listed = terms.groupBy("query_id").agg(
-        F.collect_set(F.when(~F.col("expanded"), F.col("term"))).alias("_own"), F.collect_set(F.when(F.col("expanded"), F.col("term"))).alias("_wide")
-    )
-    found = (
-        passages.select("passage_id", "passage_text")
-        .join(checked_broadcast(hits), "passage_id")
-        .join(checked_broadcast(listed), "query_id")
-        .withColumn("_t", tokens(F.col("passage_text"), 3, stop))
-    )
-    return found.select(
-        *hits.columns,
-        F.array_sort(F.array_intersect("_own", "_t")).alias("matched_query_terms"),
-        F.array_sort(F.array_intersect("_wide", "_t")).alias("matched_expansion_terms"),
+    return kept.select(
+        "query_id", "passage_id", *keys, "chars", "lexical_score", "rank", "cumulative_chars",
+        F.array_sort("_own").alias("matched_query_terms"), F.array_sort("_wide").alias("matched_expansion_terms"),
     )
 
 
@@ -497,31 +501,52 @@ def focus_queries(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy(F.col("analysis_id").alias("query_id")).agg(F.array_join(joined, " ; ").alias("query_text"))
 
 
-def weighted_pairs(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Every (analysis, passage) pair that shares a term, with its lexical score and the weights of its terms.
+def _case_terms(concepts: DataFrame) -> DataFrame:
+    return _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS)
+
+
+def _case_text(passages: DataFrame, *keys: str) -> DataFrame:
+    """Passages of packages; those of no package are left out."""
+    return _read(passages.where(F.col("package_id").isNotNull()), CASE_STOP_WORDS, "package_id", *keys)
+
+
+def case_pairs(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Every (analysis, passage) pair that shares a term, with its lexical score, in the passage's task.
 
     ``excluded``: query_id (the analysis), package_id. Passages of no package are left out.
     """
-    terms = _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS)
-    weights = term_weights(concepts).withColumnRenamed("analysis_id", "query_id")
-    rated = durable(terms.join(weights, ["query_id", "term"], "left").withColumn("weight", F.coalesce("weight", F.lit(1))))
-    keys = ("document_id", "package_id", "passage_order", "page_start", "page_end")
-    return _pair_scores(passages.where(F.col("package_id").isNotNull()), rated, CASE_STOP_WORDS, excluded, keys).withColumnRenamed("query_id", "analysis_id")
-
-
-def concept_hits(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(analysis_id, package_id, passage_id, label, weight): concepts that occur in a passage which shares a term with the analysis."""
-    text = _normalised(passages.where(F.col("package_id").isNotNull()), "package_id")
-    named = concepts.select("analysis_id", "normalised_label", "label", "weight")
-    held = containing(text, ["passage_id"], "_norm", named, "normalised_label")
-    asked = _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS).groupBy(F.col("query_id").alias("analysis_id")).agg(F.collect_list("term").alias("_t"))
-    met = held.join(checked_broadcast(named), "normalised_label").join(checked_broadcast(asked), "analysis_id")
-    shared = met.where(F.arrays_overlap("_t", label_tokens(F.col("_norm"), 3, CASE_STOP_WORDS)))
-    rows = shared.select("analysis_id", "package_id", "passage_id", "label", "weight")
-    if excluded is None:
-        return rows
-    own = excluded.select(F.col("query_id").alias("analysis_id"), "package_id").distinct()
-    return rows.join(checked_broadcast(own), ["analysis_id", "package_id"], "left_anti")
+    text = _case_text(passages, "document_id", "passage_order", "page_start", "page_end")
+    return _pairs(text, _case_terms(concepts), excluded=excluded).drop("_own", "_wide").withColumnRenamed("query_id", "analysis_id")
+
+
+def phrase_counts(text: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(package_id, _phrase, _t, passages): how many passages of a package contain a phrase.
+
+    ``text``: see ``_case_text``. Passages that hold a word of the phrase are counted together and have no ``_t``; where the phrase is only a part of
+    longer words, or has no word that counts, passages are counted by their terms.
+    """
+    held = containing(text, "_norm", phrases, "_phrase")
+    sure = F.arrays_overlap("_t", label_tokens(F.col("_phrase"), 3, CASE_STOP_WORDS))
+    unsure = F.when(~F.coalesce(sure, F.lit(False)), F.col("_t"))
+    return durable(held.groupBy("package_id", "_phrase", unsure.alias("_t")).agg(F.count(F.lit(1)).alias("passages")))
+
+
+def _by_analysis(counted: DataFrame, named: DataFrame, lists: DataFrame) -> DataFrame:
+    """Counts of ``phrase_counts`` for the analyses that have the phrase, of passages that share a term with the analysis.
+
+    ``named``: analysis_id, _phrase and further columns. A word of the phrase is a term of the analysis; other passages are compared by their terms.
+    """
+    named = checked_broadcast(named)
+    columns = ["package_id", "passages", *named.columns]
+    compared = counted.where("_t is not null").join(named, "_phrase").join(lists, "analysis_id").where(F.arrays_overlap("_t", "_terms"))
+    return counted.where("_t is null").join(named, "_phrase").select(*columns).unionByName(compared.select(*columns))
+
+
+def package_index(text: DataFrame, terms: DataFrame) -> DataFrame:
+    """(package_id, term, passages): in how many passages of each package a wanted term occurs."""
+    wanted = checked_broadcast(terms.select("term").distinct())
+    held = text.select("package_id", F.explode("_t").alias("term")).join(wanted, "term")
+    return held.groupBy("package_id", "term").agg(F.count(F.lit(1)).alias("passages"))
 
 
 def similar_cases(
@@ -529,34 +554,60 @@ def similar_cases(
 ) -> DataFrame:
     """The ``k`` packages most similar to each analysis, by all passages of the corpus that share a term with it.
 
-    Pairs of analysis and passage are added up per package. Matched terms are counted from the distinct terms of each package and
-    listed for the packages found only.
+    Scores are sums over passages, so they follow from an index of packages: how many passages of a package hold a term, a concept or
+    the whole query. Packages below the k-th concept weight of an analysis, which is what packages are ordered by first, are dropped before
+    they are added up. Only the best single passage, the last but one order key, needs passages: it is looked up for the
+    packages that the keys before it leave in question. No (analysis, passage) pair is shuffled.
     """
     pair = ["analysis_id", "package_id"]
-    sums = weighted_pairs(passages, concepts, excluded).groupBy(*pair).agg(
-        F.sum("lexical_score").alias("total_score"), F.max("lexical_score").alias("max_passage_score"), F.sum("term_weight").alias("_terms")
-    )
-    by_concept = durable(concept_hits(passages, concepts, excluded)).groupBy(*pair).agg(
-        F.sum("weight").alias("matched_concept_weight"), F.array_sort(F.collect_set("label")).alias("matched_concepts")
+    terms, text = _case_terms(concepts), _case_text(passages)
+    mine = terms.withColumnRenamed("query_id", "analysis_id")
+    weights = mine.select("analysis_id", "term").join(term_weights(concepts), ["analysis_id", "term"], "left")
+    rated = weights.select("analysis_id", "term", F.coalesce("weight", F.lit(1)).alias("weight"))
+    lists = checked_broadcast(mine.groupBy("analysis_id").agg(F.collect_list("term").alias("_terms")))
+    labels = concepts.select("analysis_id", F.col("normalised_label").alias("_phrase"), "label", "weight")
+    queries = mine.groupBy("analysis_id").agg(F.max("_phrase").alias("_phrase"))
+    own = None if excluded is None else checked_broadcast(excluded.select(F.col("query_id").alias("analysis_id"), "package_id").distinct())
+
+    def allowed(rows: DataFrame) -> DataFrame:
+        return rows if own is None else rows.join(own, pair, "left_anti")
+
+    counted = phrase_counts(text, labels.select("_phrase").unionByName(queries.select("_phrase")))
+    by_concept = durable(
+        allowed(_by_analysis(counted, labels, lists)).groupBy(*pair).agg(
+            F.sum(F.col("weight") * F.col("passages")).alias("matched_concept_weight"), F.array_sort(F.collect_set("label")).alias("matched_concepts")
+        )
     )
-    terms = _query_terms(focus_queries(concepts), None, CASE_STOP_WORDS).select(F.col("query_id").alias("analysis_id"), "term")
-    held = passages.where(F.col("package_id").isNotNull()).select("package_id", F.explode(tokens(F.col("passage_text"), 3, CASE_STOP_WORDS)).alias("term")).distinct()
-    met = held.join(checked_broadcast(terms), "term")
-    listed = met.groupBy(*pair).agg(F.array_sort(F.collect_list("term")).alias("matched_query_terms"))
+    # what an analysis with k packages of a concept has to reach
+    nth = F.row_number().over(Window.partitionBy("analysis_id").orderBy(F.desc("matched_concept_weight")))
+    floor = by_concept.select("analysis_id", F.col("matched_concept_weight").alias("_floor"), nth.alias("_nth")).where(F.col("_nth") == k).drop("_nth")
     zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
-    packages = sums.join(listed, pair).join(by_concept, pair, "left").select(
-        *pair, "total_score", "max_passage_score", "matched_query_terms", none.alias("matched_expansion_terms"),
-        (F.col("total_score") + 25 * F.col("_terms") + 40 * F.coalesce("matched_concept_weight", zero)).alias("weighted_score"),
-        F.coalesce("matched_concept_weight", zero).alias("matched_concept_weight"), F.coalesce("matched_concepts", none).alias("matched_concepts"),
-    )
+    index = package_index(text, terms).join(checked_broadcast(rated), "term")
+    rows = index.select(*pair, "term", (TERM_WEIGHT * F.col("passages")).alias("_points"), (F.col("weight") * F.col("passages")).alias("_terms"))
+    whole = _by_analysis(counted, queries, lists)
+    rows = allowed(rows.unionByName(whole.select(*pair, F.lit(None).cast("string").alias("term"), (PHRASE_WEIGHT * F.col("passages")).alias("_points"), zero.alias("_terms"))))
+    weight = F.coalesce("matched_concept_weight", zero)
+    rows = rows.join(checked_broadcast(by_concept), pair, "left").join(checked_broadcast(floor), "analysis_id", "left").where(weight >= F.coalesce("_floor", zero))
+    sums = rows.groupBy(*pair).agg(
+        F.sum("_points").alias("total_score"), F.sum("_terms").alias("_terms"), F.array_sort(F.collect_list("term")).alias("matched_query_terms"),
+        F.first(weight).alias("matched_concept_weight"), F.first(F.coalesce("matched_concepts", none)).alias("matched_concepts"),
+    )
+    packages = sums.withColumn("weighted_score", F.col("total_score") + 25 * F.col("_terms") + 40 * F.col("matched_concept_weight")).drop("_terms")
     order = [
         F.desc("matched_concept_weight"), F.desc(F.size("matched_concepts")), F.desc("weighted_score"),
-        F.desc(F.size("matched_query_terms")), F.desc("total_score"), F.desc("max_passage_score"), "package_id",
+        F.desc(F.size("matched_query_terms")), F.desc("total_score"),
     ]
-    rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy(*order))
+    by_analysis = Window.partitionBy("analysis_id")
+    # packages that agree in all keys so far share a place
+    open_ = durable(packages.withColumn("_place", F.rank().over(by_analysis.orderBy(*order))).where(F.col("_place") <= k).drop("_place"))
+    met = _pairs(text, terms, within=open_.select(F.col("analysis_id").alias("query_id"), "package_id"))
+    top = met.groupBy(F.col("query_id").alias("analysis_id"), "package_id").agg(F.max("lexical_score").alias("max_passage_score"))
+    rank = F.row_number().over(by_analysis.orderBy(*order, F.desc("max_passage_score"), "package_id"))
     return (
-        packages.withColumn("rank", rank.cast("long"))
+        open_.join(top, pair)
+        .withColumn("rank", rank.cast("long"))
         .where(F.col("rank") <= k)
+        .withColumn("matched_expansion_terms", none)
         .withColumn("candidate_id", content_id("similar_case_", [F.col("analysis_id"), F.col("package_id"), F.lit(version)]))
     )
 
@@ -564,7 +615,7 @@ def similar_cases(
 def top_evidence(pairs: DataFrame, documents: DataFrame, *, n: int) -> DataFrame:
     """The best ``n`` passages of each (analysis, package) with reference and location.
 
-    ``pairs``: see ``weighted_pairs``. ``documents``: document_id, filename.
+    ``pairs``: see ``case_pairs``; a task sends on its best ``n`` of each. ``documents``: document_id, filename.
     """
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
     rank = F.row_number().over(Window.partitionBy("analysis_id", "package_id").orderBy(*order))
@@ -705,8 +756,8 @@ def _matched_phrases(unique: DataFrame, rows: DataFrame) -> DataFrame:
         .drop("_word")
     )
     # The phrase may also occur inside longer words of the text, without any word in common.
-    held = containing(unique.select("_key", "_text"), ["_key"], "_text", phrases, "_phrase").select("_key", "_phrase")
-    by_part = unique.join(checked_broadcast(held), "_key").join(checked_broadcast(phrases), "_phrase").where(F.size(shared) == 0)
+    held = containing(unique, "_text", phrases, "_phrase")
+    by_part = held.join(checked_broadcast(phrases), "_phrase").where(F.size(shared) == 0)
     every = (F.size("_code_words") > 0) & (F.size(F.array_except("_code_words", "_words")) == 0)
     points = 18 * F.size(shared) + F.when(F.contains("_text", F.col("_phrase")), 120).otherwise(0) + F.when(every, 70).otherwise(0)
     return by_word.unionByName(by_part.select(*by_word.columns)).withColumn("_points", points.cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import chronology as C
 from dossier.operators import coverage as V
+from dossier.operators import retrieval as R
 from dossier.operators import text as T
 from dossier.plans.components import connected_components
 from dossier.plans.containment import containing
@@ -123,11 +124,14 @@ def test_containment_finds_every_phrase(spark):
     phrases = sorted({"".join(rng.choice("abc ") for _ in range(rng.choice((1, 2, 3, 9, 12)))) for _ in range(80)})
     phrases += [t[0][3:20] for t in texts if len(t[0]) > 22][:10]
     phrases = sorted(set(phrases))
-    df = containing(
-        spark.createDataFrame(texts, "t string, i int"), ["i"], "t", spark.createDataFrame([(p,) for p in phrases], "p string"), "p"
-    )
-    got = sorted((r["i"], r["p"]) for r in df.collect())
-    assert got == sorted((i, p) for t, i in texts for p in phrases if p in t)
+    for few in (400, 3):
+        df = containing(
+            spark.createDataFrame(texts, "t string, i int"), "t", spark.createDataFrame([(p,) for p in phrases], "p string"), "p", few
+        )
+        got = sorted((r["i"], r["p"]) for r in df.collect())
+        assert got == sorted((i, p) for t, i in texts for p in phrases if p and p in t)
+    nothing = containing(spark.createDataFrame(texts, "t string, i int"), "t", spark.createDataFrame([("",), (None,)], "p string"), "p")
+    assert nothing.count() == 0
 
 
 def test_snapshot_id_ignores_order_but_not_content(spark):
@@ -164,3 +168,22 @@ def test_of_repeated_events_the_largest_is_kept(spark):
     none = spark.createDataFrame([], "analysis_id string, source_node_id string, target_node_id string")
     got = [(r["node_id"], r["label"]) for r in C.project_timeline(events, none).orderBy("sequence_position").collect()]
     assert got == [("n1", "y"), ("n2", "z")]
+
+
+def test_a_term_in_every_passage(spark):
+    """The frequent term is not looked for where rarer ones reach the k-th best; results are those of all pairs."""
+    rng = random.Random(12)
+    words = [f"word{i:03d}" for i in range(200)]
+    passages = [("d", f"p{i:04d}", i, " ".join(["common", *(rng.choice(words) for _ in range(rng.randint(0, 12)))])) for i in range(600)]
+    queries = [(f"q{i}", " ".join(["common", *(rng.choice(words) for _ in range(n))])) for i, n in enumerate((0, 1, 3, 25))]
+    df = spark.createDataFrame(passages, "document_id string, passage_id string, passage_order int, passage_text string").repartition(5)
+    asked = spark.createDataFrame(queries, "query_id string, query_text string")
+    for k in (7,):
+        got = {(r["query_id"], r["rank"]): (r["passage_id"], r["lexical_score"]) for r in R.lexical_retrieve(df, asked, k=k).collect()}
+        for query, text in queries:
+            terms = set(text.split())
+            scores = [(-(10 * len(terms & set(t.split())) + 20 * (text in t)), i, p) for _, p, i, t in passages if terms & set(t.split())]
+            for rank, (score, _, p) in enumerate(sorted(scores)[:k], 1):
+                assert got[query, rank] == (p, -score)
+    pairs = R.lexical_scores(df, asked)
+    assert pairs.where("query_id = 'q0'").count() == 600
