@@ -344,10 +344,29 @@ def _runs(words: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i, F.lit(size)), " ").alias("run")))
 
 
-def _word_counts(terms: DataFrame, term: str) -> list[int]:
-    """How many words terms have: as many numbers as there are different lengths of terms."""
-    counted = terms.select(F.size(F.split(term, " ")).alias("n")).distinct()
-    return sorted(r["n"] for r in counted.collect())
+def _spaced(c: Column) -> Column:
+    """Words with a space on each side, so that a part that begins and ends with a space is a run of whole words."""
+    return F.concat(F.lit(" "), c, F.lit(" "))
+
+
+def _cue_places(words: Column, cues: Sequence[tuple[str, str, str]]) -> Column:
+    """(relationship, cue, direction, at, end) of all places of cues in a sentence."""
+    by_size: dict[int, list[tuple[str, str, str]]] = {}
+    for cue in cues:
+        by_size.setdefault(len(cue[1].split(" ")), []).append(cue)
+
+    def places(size: int, listed: list[tuple[str, str, str]]) -> Column:
+        met = F.filter(_runs(words, size), lambda r: r["run"].isin(*{c for _, c, _ in listed}))
+        one = lambda relationship, cue, direction: F.transform(
+            F.filter(met, lambda r: r["run"] == cue),
+            lambda r: F.struct(
+                F.lit(relationship).alias("relationship"), F.lit(cue).alias("relation_cue"), F.lit(direction).alias("relation_direction"),
+                r["at"].alias("at"), (r["at"] + size - 1).alias("end"),
+            ),
+        )
+        return F.concat(*[one(*c) for c in listed])
+
+    return F.concat(*[places(size, listed) for size, listed in sorted(by_size.items())])
 
 
 def governed_relationship_query(
@@ -358,38 +377,40 @@ def governed_relationship_query(
     ``queries``: query_id, relationship. ``terms``: query_id, role (SUBJECT_FACTOR, OBJECT_EVENT), term of any number of words.
     For every place of a cue the nearest term before it and the nearest term after it are taken (counted in words, then
     the longer, then the first term), so a place gives at most one row per query. FORWARD cues read subject - cue -
-    object, REVERSE cues the other way. Only ids and places are joined; the sentences are read again for the rows found.
+    object, REVERSE cues the other way. Sentences meet the terms that they contain and find places and distances where they lie;
+    only the nearest terms are brought together, and the sentences are read again for the rows found.
     """
     # Sentences without any cue are dropped before anything is joined.
-    words = F.split(normalise_label(F.col("evidence_text")), " ")
-    sentences = _sentences(passages).select("passage_id", "document_id", "sentence_index", words.alias("_w")).where(
-        F.arrays_overlap("_w", F.array(*[F.lit(c.split(" ")[0]) for _, c, _ in cues]))
-    )
+    norm = normalise_label(F.col("evidence_text"))
+    spaced = _sentences(passages).select("passage_id", "document_id", "sentence_index", _spaced(norm).alias("_spaced"))
+    sentences = spaced.where(F.rlike("_spaced", F.lit("|".join(rf" \Q{c}\E " for _, c, _ in cues))))
     ids = ["passage_id", "document_id", "sentence_index"]
-    listed = F.array(
-        *[F.struct(F.lit(r).alias("relationship"), F.lit(c).alias("relation_cue"), F.lit(d).alias("relation_direction")) for r, c, d in cues]
-    )
-    sizes = sorted({len(c.split(" ")) for _, c, _ in cues})
-    placed = sentences.select(*ids, F.inline(F.concat(*[_runs(F.col("_w"), n) for n in sizes])))
-    by_cue = placed.join(F.broadcast(_literal(passages, listed)), F.col("run") == F.col("relation_cue")).withColumn(
-        "_end", F.col("at") + F.size(F.split("run", " ")) - 1
-    ).drop("run")
-    wanted = terms.join(queries, "query_id").where(F.col("role").isin("SUBJECT_FACTOR", "OBJECT_EVENT")).select(
-        "query_id", "relationship", "role", "term", normalise_label(F.col("term")).alias("run")
-    ).where(F.col("run") != "").distinct()
-    lengths = _word_counts(wanted, "run") or [1]
-    spread = sentences.select("passage_id", "sentence_index", F.inline(F.concat(*[_runs(F.col("_w"), n) for n in lengths])))
-    found = spread.join(checked_broadcast(wanted), "run").select(
-        "passage_id", "sentence_index", "query_id", "relationship", "role", "term",
-        F.col("at").alias("_from"), (F.col("at") + F.size(F.split("run", " ")) - 1).alias("_to"), F.length("run").alias("_l"),
-    )
-    forward = F.col("relation_direction") == "FORWARD"
-    first_role = F.when(forward, F.lit("SUBJECT_FACTOR")).otherwise(F.lit("OBJECT_EVENT"))
-    before = F.when((F.col("role") == first_role) & (F.col("_to") < F.col("at")), F.col("at") - F.col("_to"))
-    after = F.when((F.col("role") != first_role) & (F.col("_from") > F.col("_end")), F.col("_from") - F.col("_end"))
-    met = by_cue.join(found, ["passage_id", "sentence_index", "relationship"]).withColumn("_d", F.coalesce(before, after)).where("_d is not null")
+    wanted = checked_broadcast(
+        terms.join(queries, "query_id").where(F.col("role").isin("SUBJECT_FACTOR", "OBJECT_EVENT")).select(
+            "query_id", "relationship", "role", "term", _spaced(normalise_label(F.col("term"))).alias("_run")
+        ).where(F.trim("_run") != "").distinct()
+    )
+    met = containing(sentences, "_spaced", wanted.select("_run"), "_run")
+    # places of cues and of the term are found once for a sentence and a term, and then serve all its queries
+    words, run = F.split(F.trim("_spaced"), " "), F.split(F.trim("_run"), " ")
+    length = F.size("_words")
+    start = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size("_w") - length + 1, F.lit(1))),
+        lambda i: (F.element_at("_w", i) == F.get("_words", F.lit(0))) & (F.slice("_w", i, length) == F.col("_words")),
+    )
+    placed = met.select(*ids, "_run", words.alias("_w"), run.alias("_words")).select(
+        *ids, "_run", _cue_places(F.col("_w"), cues).alias("_cues"), start.alias("_from"), length.alias("_n")
+    )
+    found = placed.join(wanted, "_run").select(
+        "query_id", *ids, "role", "term", F.length(F.trim("_run")).alias("_l"), "_from", "_n",
+        F.inline(F.filter("_cues", lambda c: c["relationship"] == F.col("relationship"))),
+    )
+    first_role = F.when(F.col("relation_direction") == "FORWARD", F.lit("SUBJECT_FACTOR")).otherwise(F.lit("OBJECT_EVENT"))
+    before = F.col("at") - (F.array_max(F.filter("_from", lambda i: i + F.col("_n") - 1 < F.col("at"))) + F.col("_n") - 1)
+    after = F.array_min(F.filter("_from", lambda i: i > F.col("end"))) - F.col("end")
+    near = found.withColumn("_d", F.when(F.col("role") == first_role, before).otherwise(after)).where("_d is not null")
     nearest = F.struct(F.col("_d"), (-F.col("_l")).alias("_l"), F.col("term"))
-    rows = met.groupBy("query_id", "relationship", *ids, "relation_cue", "relation_direction", F.col("at").alias("cue_position")).agg(
+    rows = near.groupBy("query_id", "relationship", *ids, "relation_cue", "relation_direction", F.col("at").alias("cue_position")).agg(
         F.min(F.when(F.col("role") == "SUBJECT_FACTOR", nearest)).alias("_subject"),
         F.min(F.when(F.col("role") == "OBJECT_EVENT", nearest)).alias("_object"),
     ).where(F.col("_subject").isNotNull() & F.col("_object").isNotNull())
@@ -410,23 +431,12 @@ def governed_relationship_query(
     )
 
 
-def _literal(df: DataFrame, rows: Column) -> DataFrame:
-    """The structs of a literal array as rows."""
-    return df.sparkSession.range(1).select(F.inline(rows))
-
-
 def role_matches(passages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, role, term, package_id, document_id, passage_id) for terms found as whole words in a passage."""
-    wanted = terms.select("query_id", "role", "term", normalise_label(F.col("term")).alias("run")).where(F.col("run") != "").distinct()
-    words = passages.select("package_id", "document_id", "passage_id", F.split(normalise_label(F.col("passage_text")), " ").alias("_w"))
-    lengths = _word_counts(wanted, "run") or [1]
-    runs = F.array_distinct(F.concat(*[F.transform(_runs(F.col("_w"), n), lambda r: r["run"]) for n in lengths]))
-    # Runs are distinct per passage and terms distinct per role, so every match occurs once.
-    return (
-        words.select("package_id", "document_id", "passage_id", F.explode(runs).alias("run"))
-        .join(checked_broadcast(wanted), "run")
-        .select("query_id", "role", "term", "package_id", "document_id", "passage_id")
-    )
+    """(query_id, role, term, package_id, document_id, passage_id) for terms found as whole words in a passage, each once."""
+    wanted = checked_broadcast(terms.select("query_id", "role", "term", _spaced(normalise_label(F.col("term"))).alias("_run")).where(F.trim("_run") != "").distinct())
+    words = passages.select("package_id", "document_id", "passage_id", _spaced(normalise_label(F.col("passage_text"))).alias("_spaced"))
+    met = containing(words, "_spaced", wanted.select("_run"), "_run")
+    return met.join(wanted, "_run").select("query_id", "role", "term", "package_id", "document_id", "passage_id")
 
 
 def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:

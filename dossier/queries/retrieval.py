@@ -172,16 +172,17 @@ def _word_terms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_RELATION_TERMS = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_id, ['FOLLOWED_BY', 'CONTRIBUTED_TO'][a.item_id % 2 + 1] AS relationship,
-        CASE WHEN a.pos % 7 = 1 THEN 'SUBJECT_FACTOR' ELSE 'OBJECT_EVENT' END AS role, CASE WHEN a.pos % 7 = 4 AND b.w IS NOT NULL THEN a.w || ' ' || b.w ELSE a.w END AS term
-        FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 WHERE a.pos % 7 IN (1, 4))"""
+_RELATION_TERMS = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || item_id AS query_id, ['FOLLOWED_BY', 'CONTRIBUTED_TO'][item_id % 2 + 1] AS relationship, role, term FROM (
+        SELECT item_id, CASE WHEN pos % 2 = 1 THEN 'SUBJECT_FACTOR' ELSE 'OBJECT_EVENT' END AS role, w AS term FROM words
+        UNION ALL SELECT a.item_id, 'OBJECT_EVENT', a.w || ' ' || b.w FROM words a JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 WHERE a.pos % 4 = 0))"""
 
 
 def _relation_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh word of a text is a subject; the fourth after the first, with its successor, an object."""
-    words = _word_terms(spark, d).where("pos % 7 IN (0, 3)")
-    term = "CASE WHEN pos % 7 = 3 AND pos + 1 < size(ws) THEN concat(w, ' ', ws[pos + 1]) ELSE w END AS term"
-    return words.selectExpr("concat('q', item_id) AS query_id", "CASE WHEN pos % 7 = 0 THEN 'SUBJECT_FACTOR' ELSE 'OBJECT_EVENT' END AS role", term).distinct()
+    """Every word of a text is a subject or an object by turns; every fourth one with its successor is an object, too."""
+    words = _word_terms(spark, d).selectExpr("concat('q', item_id) AS query_id", "pos", "w", "get(ws, pos + 1) AS next")
+    single = words.selectExpr("query_id", "CASE WHEN pos % 2 = 0 THEN 'SUBJECT_FACTOR' ELSE 'OBJECT_EVENT' END AS role", "w AS term")
+    pairs = words.where("(pos + 1) % 4 = 0 AND next IS NOT NULL").selectExpr("query_id", "'OBJECT_EVENT' AS role", "concat(w, ' ', next) AS term")
+    return single.unionByName(pairs).distinct()
 
 
 @query(
@@ -191,7 +192,7 @@ def _relation_terms(spark: SparkSession, d: str) -> DataFrame:
         unnest(string_split(regexp_replace(passage_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s,
         generate_subscripts(string_split(regexp_replace(passage_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS pos FROM passages)),
     cued AS (SELECT * FROM sentences WHERE list_has_any(w, [{', '.join(f"'{c.split(' ')[0]}'" for _, c, _ in CUES)}])),
-    runs AS (SELECT passage_id, sentence_index, at_, array_to_string(w[at_:at_ + n - 1], ' ') AS run, n FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS at_ FROM cued, (VALUES (1), (2), (3)) AS sizes(n))),
+    runs AS (SELECT passage_id, sentence_index, at_, array_to_string(w[at_:at_ + n - 1], ' ') AS run, n FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS at_ FROM cued, (VALUES (1), (2)) AS sizes(n))),
     places AS (SELECT passage_id, sentence_index, relationship, cue, direction, at_, at_ + n - 1 AS end_ FROM runs JOIN cues ON run = cue),
     found AS (SELECT r.passage_id, r.sentence_index, t.*, at_ AS from_, at_ + n - 1 AS to_ FROM runs r JOIN terms t ON run = term),
     met AS (SELECT p.*, f.query_id, role, term, CASE WHEN (role = 'SUBJECT_FACTOR') = (direction = 'FORWARD') THEN CASE WHEN to_ < at_ THEN at_ - to_ END WHEN from_ > end_ THEN from_ - end_ END AS dist
@@ -208,7 +209,7 @@ def governed_relationships(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_id, ['SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'][a.pos % 3 + 1] AS role,
-        a.w || coalesce(' ' || b.w, '') || CASE WHEN a.pos % 4 = 0 THEN coalesce(' ' || c.w, '') ELSE '' END AS term
+        unnest([a.w, a.w || coalesce(' ' || b.w, '') || CASE WHEN a.pos % 4 = 0 THEN coalesce(' ' || c.w, '') ELSE '' END]) AS term
         FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 LEFT JOIN words c ON a.item_id = c.item_id AND c.pos = a.pos + 2),
     spaced AS (SELECT package_id, passage_id, string_split({norm_sql('passage_text')}, ' ') AS w FROM passages),
     runs AS (SELECT DISTINCT package_id, passage_id, array_to_string(w[at_:at_ + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS at_ FROM spaced, (VALUES (1), (2), (3)) AS sizes(n))),
@@ -222,9 +223,9 @@ _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_
     "passages",
 )
 def role_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Every two or three words that follow each other in a text are a term of one of three roles."""
+    """Every word of a text, and every two or three that follow each other, are a term of one of three roles."""
     words = _word_terms(spark, d)
-    term = "concat_ws(' ', w, get(ws, pos + 1), CASE WHEN (pos + 1) % 4 = 0 THEN get(ws, pos + 2) END) AS term"
+    term = "explode(array(w, concat_ws(' ', w, get(ws, pos + 1), CASE WHEN (pos + 1) % 4 = 0 THEN get(ws, pos + 2) END))) AS term"
     terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'), cast((pos + 1) % 3 + 1 AS int)) AS role", term).distinct()
     return R.role_coverage_retrieve(B.passages(spark, d), terms).drop("document_id")
 
