@@ -446,16 +446,11 @@ def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:
     roles, and the matched terms as ``role=term`` strings. The matches of one passage are bounded by the terms of the query.
     """
     keys = ["query_id", "package_id", "document_id", "passage_id"]
-    matches = role_matches(passages, terms)
-    per_passage = durable(
-        matches.groupBy(*keys).agg(
-            F.collect_set("role").alias("_roles"),
-            F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "role", "term"))), "; ").alias("matched_terms"),
-        )
-    )
+    per_passage = durable(role_matches(passages, terms).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("role", "term"))).alias("_hits")))
     roles = terms.where(F.length(normalise_label(F.col("term"))) > 0).groupBy("query_id").agg(F.countDistinct("role").alias("roles"))
+    found = F.array_distinct(F.transform("_hits", lambda t: t["role"]))
     complete = (
-        per_passage.select("query_id", "package_id", F.explode("_roles").alias("role"))
+        per_passage.select("query_id", "package_id", F.explode(found).alias("role"))
         .distinct()
         .groupBy("query_id", "package_id")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -463,9 +458,10 @@ def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:
         .where(F.col("_n") == F.col("roles"))
         .select("query_id", "package_id", "roles")
     )
-    matched = F.size("_roles").cast("long")
-    return per_passage.join(checked_broadcast(complete), ["query_id", "package_id"]).select(
-        *keys, matched.alias("matched_roles"), (matched == F.col("roles")).alias("all_roles_in_passage"), "matched_terms"
+    kept = per_passage.join(checked_broadcast(complete), ["query_id", "package_id"]).withColumn("matched_roles", F.size(found).cast("long"))
+    return kept.select(
+        *keys, "matched_roles", (F.col("matched_roles") == F.col("roles")).alias("all_roles_in_passage"),
+        F.array_join(F.array_sort(F.transform("_hits", lambda t: F.concat_ws("=", t["role"], t["term"]))), "; ").alias("matched_terms"),
     )
 
 

@@ -209,7 +209,7 @@ def governed_relationships(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_id, ['SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'][a.pos % 3 + 1] AS role,
-        unnest([a.w, a.w || coalesce(' ' || b.w, '') || CASE WHEN a.pos % 4 = 0 THEN coalesce(' ' || c.w, '') ELSE '' END]) AS term
+        a.w || CASE WHEN a.pos % 4 IN (2, 3) THEN coalesce(' ' || b.w, '') ELSE '' END || CASE WHEN a.pos % 4 = 3 THEN coalesce(' ' || c.w, '') ELSE '' END AS term
         FROM words a LEFT JOIN words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 LEFT JOIN words c ON a.item_id = c.item_id AND c.pos = a.pos + 2),
     spaced AS (SELECT package_id, passage_id, string_split({norm_sql('passage_text')}, ' ') AS w FROM passages),
     runs AS (SELECT DISTINCT package_id, passage_id, array_to_string(w[at_:at_ + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS at_ FROM spaced, (VALUES (1), (2), (3)) AS sizes(n))),
@@ -223,9 +223,9 @@ _ROLES = f"""{_WORD_TERMS}, terms AS (SELECT DISTINCT 'q' || a.item_id AS query_
     "passages",
 )
 def role_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Every word of a text, and every two or three that follow each other, are a term of one of three roles."""
+    """At every position of a text begins a term of one, two or three words of one of three roles."""
     words = _word_terms(spark, d)
-    term = "explode(array(w, concat_ws(' ', w, get(ws, pos + 1), CASE WHEN (pos + 1) % 4 = 0 THEN get(ws, pos + 2) END))) AS term"
+    term = "concat_ws(' ', w, CASE WHEN (pos + 1) % 4 IN (2, 3) THEN get(ws, pos + 1) END, CASE WHEN (pos + 1) % 4 = 3 THEN get(ws, pos + 2) END) AS term"
     terms = words.selectExpr("concat('q', item_id) AS query_id", "element_at(array('SUBJECT_FACTOR', 'OBJECT_EVENT', 'OBJECT_CONTEXT'), cast((pos + 1) % 3 + 1 AS int)) AS role", term).distinct()
     return R.role_coverage_retrieve(B.passages(spark, d), terms).drop("document_id")
 
