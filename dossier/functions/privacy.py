@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ REDACTIONS = (
     ("(?iU)" + PERSONAL_ID, "[REDACTED_PERSONAL_ID]"),
 )
 
+BLOCK = 128
 SPAN = "array<struct<start:int,end:int,category:string,original:string,detected_by:string>>"
 
 
@@ -46,32 +47,46 @@ def _quoted(term: str) -> str:
     return r"(?iu)\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a plain column in a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array cut into arrays of at most BLOCK items. A fold that appends copies what it has, so long arrays are folded block by block."""
+    last = lambda x: F.greatest(F.floor((F.size(x) - 1) / BLOCK), F.lit(0)).cast("int")
+    return once(items, lambda x: F.transform(F.sequence(F.lit(0), last(x)), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of the first 1, 2, ... values."""
+
+    def sums(x: Column, start: Column) -> Column:
+        nothing = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, nothing, lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out")), lambda s: s["out"])
+
+    def of(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v))
+        before = F.slice(F.concat(F.array(F.lit(0)), sums(totals, F.lit(0))), F.lit(1), F.size(blocks))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("x"), before.alias("start")), lambda b: sums(b["x"], b["start"])))
+
+    return once(in_blocks(values), of)
+
+
 def _spans_of(text: Column, pattern: str, category: str, detected_by: str) -> Column:
     """Offsets of every match: the gaps between matches come from split, the matches from extract."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     paired = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    walk = F.aggregate(
-        paired,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                s["spans"],
-                F.array(
-                    F.struct(
-                        (s["at"] + F.length(x["gap"])).alias("start"),
-                        (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                        F.lit(category).alias("category"),
-                        x["hit"].alias("original"),
-                        F.lit(detected_by).alias("detected_by"),
-                    )
-                ),
-            ).alias("spans"),
+    ends = running_sums(F.transform(paired, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+    spans = F.transform(
+        F.arrays_zip(found.alias("hit"), ends.alias("end")),
+        lambda x: F.struct(
+            (x["end"] - F.length(x["hit"])).alias("start"), x["end"].alias("end"), F.lit(category).alias("category"),
+            x["hit"].alias("original"), F.lit(detected_by).alias("detected_by"),
         ),
-        lambda s: s["spans"],
     )
-    return F.when(F.size(found) > 0, walk).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(found) > 0, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def candidate_spans(
@@ -113,20 +128,27 @@ def resolve_overlaps(spans: Column) -> Column:
             ),
         )
     )
-    return F.aggregate(
-        ranked,
-        F.struct(F.lit(-1).alias("until"), F.array().cast(SPAN).alias("kept")),
-        lambda a, s: F.when(s["start"] < a["until"], a).otherwise(
-            F.struct(
-                s["end"].alias("until"),
-                F.concat(
-                    a["kept"],
-                    F.array(F.struct(s["start"], s["end"], s["category"], s["original"], s["detected_by"])).cast(SPAN),
-                ).alias("kept"),
-            )
-        ),
-        lambda a: a["kept"],
-    )
+    def accept(block: Column, until: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(until.alias("until"), F.array().cast(SPAN).alias("kept")),
+            lambda a, s: F.when(s["start"] < a["until"], a).otherwise(
+                F.struct(
+                    s["end"].alias("until"),
+                    F.concat(
+                        a["kept"],
+                        F.array(F.struct(s["start"], s["end"], s["category"], s["original"], s["detected_by"])).cast(SPAN),
+                    ).alias("kept"),
+                )
+            ),
+        )
+
+    def next_block(a: Column, block: Column) -> Column:
+        done = accept(block, a["until"])
+        return once(done, lambda d: F.struct(d["until"].alias("until"), F.concat(a["kept"], F.array(d["kept"])).alias("kept")))
+
+    start = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{SPAN}>").alias("kept"))
+    return F.aggregate(in_blocks(ranked), start, next_block, lambda a: F.flatten(a["kept"]))
 
 
 def pseudonyms(accepted: Column) -> Column:
@@ -135,21 +157,29 @@ def pseudonyms(accepted: Column) -> Column:
     def key(s: Column) -> Column:
         return F.concat_ws("\u0001", s["category"], F.lower(s["original"]))
 
-    identities = F.array_distinct(F.transform(accepted, key))
+    categories = F.array_distinct(F.transform(accepted, lambda s: s["category"]))
+
+    def named(category: Column, identities: Column) -> Column:
+        same = F.filter(identities, lambda k: F.startswith(k, F.concat(category, F.lit("\u0001"))))
 
-    def number(s: Column) -> Column:
-        same = F.filter(identities, lambda k: F.startswith(k, F.concat(s["category"], F.lit("\u0001"))))
-        return F.array_position(same, key(s))
+        def token(k: Column, i: Column) -> Column:
+            n = (i + 1).cast("string")
+            name = F.concat(category, F.lit("_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
+            return F.struct(k.alias("key"), name.alias("value"))
 
-    def token(s: Column) -> Column:
-        n = number(s).cast("string")
-        return F.concat(s["category"], F.lit("_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
+        return F.transform(same, token)
 
-    return F.transform(
-        accepted,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"),
-            s["original"].alias("original"), s["detected_by"].alias("detected_by"), token(s).alias("pseudonym"),
+    # each identity is named once, spans look their name up
+    identities = F.array_distinct(F.transform(accepted, key))
+    names = F.map_from_entries(once(identities, lambda x: F.flatten(F.transform(categories, lambda c: named(c, x)))))
+    return once(
+        names,
+        lambda m: F.transform(
+            accepted,
+            lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"),
+                s["original"].alias("original"), s["detected_by"].alias("detected_by"), F.element_at(m, key(s)).alias("pseudonym"),
+            ),
         ),
     )
 
@@ -157,18 +187,22 @@ def pseudonyms(accepted: Column) -> Column:
 def replaced(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its pseudonym."""
     text = F.coalesce(text, F.lit(""))
-    walk = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                a["parts"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["pseudonym"])
-            ).alias("parts"),
-        ),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
+    # The text is cut once per block, so that each span is cut out of a short part of it.
+    before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    cut = F.transform(
+        F.arrays_zip(F.slice(before, F.lit(1), F.size(spans)).alias("from"), spans.alias("span")),
+        lambda x: F.struct(x["from"].alias("from"), x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["pseudonym"].alias("pseudonym")),
     )
-    return F.when(F.size(spans) == 0, text).otherwise(walk)
+
+    def written(block: Column) -> Column:
+        first, last = block[0]["from"], F.element_at(block, -1)["end"]
+        part = F.array(F.struct(F.substring(text, first + 1, last - first).alias("text"), first.alias("at")))
+        pieces = F.transform(part, lambda p: F.transform(block, lambda s: F.concat(F.substring(p["text"], s["from"] - p["at"] + 1, s["start"] - s["from"]), s["pseudonym"])))
+        return F.array_join(F.flatten(pieces), "")
+
+    end = F.element_at(before, -1)
+    whole = F.concat(F.array_join(F.transform(in_blocks(cut), written), ""), F.substring(text, end + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def redact(c: Column) -> Column:

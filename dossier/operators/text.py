@@ -69,18 +69,32 @@ def passage_preview(passages: DataFrame, chars: int | None = None) -> DataFrame:
     )
 
 
+def _hashed(rows: DataFrame, groups: Sequence[str], digest: str, digits: int) -> DataFrame:
+    """One level of a hash tree: (groups, bucket, files, digest) of the sorted digests that begin with the same ``digits``."""
+    bucket = F.left(F.col("bucket"), F.lit(digits))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", digest))), lambda x: x[digest]), "\n")
+    return rows.groupBy(*groups, bucket.alias("_bucket")).agg(F.sum("files").alias("files"), F.sha2(lines, 256).alias("digest")).withColumnRenamed("_bucket", "bucket")
+
+
+def snapshot_buckets(df: DataFrame, groups: Sequence[str], parts: Sequence[Column]) -> DataFrame:
+    """(groups, bucket, files, digest): the entries of each group by the first four digits of their digests, sorted and hashed per bucket."""
+    entry = F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    rows = df.select(*groups, entry.alias("digest"), entry.alias("bucket"), F.lit(1).cast("long").alias("files"))
+    return _hashed(rows, groups, "digest", 4)
+
+
 def corpus_snapshot_id(df: DataFrame, groups: Sequence[str], parts: Sequence[Column], prefix: str = "corpus_snapshot_") -> DataFrame:
-    """One id per group that changes when any row changes and does not depend on the order of rows.
+    """One id per group: the root of a hash tree over its sorted entries, whatever their order in the table.
 
-    The digests of the rows are added up, so the group never has to be gathered or sorted: every task keeps
-    four sums and a count per group.
+    Entries meet in 65,536 buckets, these in 256, and these in the root, so no task holds more than a bucket.
     """
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-    words = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("files"),
-        *[F.sum(w).cast("decimal(38,0)").alias(f"_s{i}") for i, w in enumerate(words)],
-    )
-    return sums.select(
-        *groups, "files", content_id(prefix, [F.col("files"), *[F.col(f"_s{i}") for i in range(4)]], 32).alias("corpus_snapshot_id")
-    )
+    leaves = snapshot_buckets(df, groups, parts)
+    root = _hashed(_hashed(leaves, groups, "digest", 2), groups, "digest", 0)
+    return root.select(*groups, "files", content_id(prefix, [F.col("files"), F.col("digest")], 32).alias("corpus_snapshot_id"))
+
+
+def changed_buckets(before: DataFrame, after: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, bucket) of ``snapshot_buckets`` whose entries differ between two snapshots; only these need to be compared entry by entry."""
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*groups, "bucket")]
+    joined = before.alias("b").join(after.alias("a"), same, "full_outer").where(~F.col("b.digest").eqNullSafe(F.col("a.digest")))
+    return joined.select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in (*groups, "bucket")])

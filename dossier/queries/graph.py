@@ -261,13 +261,17 @@ def gate_eligible_factors(spark: SparkSession, d: str) -> DataFrame:
     return V.gate1_eligible(B.reviews(spark, d), B.nodes(spark, d)).select("gate_review_id", "edge_id", "factor_node_id", "factor_label", "target_label")
 
 
+#: Labels that some of the texts hold, one that none does, and no label.
+_LABELS = ("que", "the ", "zzzz", "Er")
+
+
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
     """One proposal per review, for the factor at the source of the reviewed edge."""
     return B.table(spark, d, "events").selectExpr(
         "event_id", "concat('prop', event_id) AS proposal_id", "concat('e', event_id div 4) AS edge_id", "concat('analysis_', (event_id div 4) div 100) AS analysis_id",
         "concat('run_', (event_id div 4) div 100) AS model_run_id", "concat('n', event_id div 4) AS factor_node_id", "concat('r', event_id) AS gate_review_id",
         "CASE WHEN event_id % 6 = 0 THEN 'NO_GROUNDED_PROPOSAL' ELSE 'ASSISTANT_PROPOSED' END AS status",
-        "CASE WHEN event_id % 5 <> 0 THEN event_type END AS proposed_label",
+        f"get({B._array(_LABELS)}, cast(event_id % 5 AS int)) AS proposed_label",
     )
 
 
@@ -287,15 +291,16 @@ _PROPOSAL_RULES = {
     "STALE_GATE_REVIEW": "last_id IS DISTINCT FROM gate_review_id",
     "FACTOR_IS_NOT_CONTRIBUTING": "kind IS DISTINCT FROM 'ContributingFactor'",
 }
-_CITED = "SELECT 'prop' || event_id AS proposal_id, 't' || (event_id % 60) AS passage_id FROM events WHERE event_id % 7 <> 0"
+_TURN_ID = "'t' || (event_id % 60) || '_' || (event_id % 4)"
+_CITED = f"SELECT 'prop' || event_id AS proposal_id, {_TURN_ID} AS passage_id FROM events WHERE event_id % 7 <> 0"
 
 
 @query(
-    "WITH cited AS (" + _CITED + """), offered AS (SELECT 'prop' || event_id AS proposal_id, 't' || (event_id % 60) AS passage_id FROM events WHERE event_id % 8 <> 0),
-    corpus AS (SELECT 't' || conv_id AS passage_id, lower(string_agg(role || ' view click ', '' ORDER BY turn)) AS txt FROM conversations GROUP BY conv_id),
-    p AS (SELECT event_id, 'prop' || event_id AS proposal_id, 'r' || event_id AS gate_review_id, event_id % 6 = 0 AS empty, CASE WHEN event_id % 5 <> 0 THEN event_type END AS label,
+    "WITH cited AS (" + _CITED + f"""), offered AS (SELECT 'prop' || event_id AS proposal_id, {_TURN_ID} AS passage_id FROM events WHERE event_id % 8 <> 0),
+    corpus AS (SELECT 't' || conv_id || '_' || turn AS passage_id, lower(text) AS txt FROM conversations),
+    p AS (SELECT event_id, 'prop' || event_id AS proposal_id, 'r' || event_id AS gate_review_id, event_id % 6 = 0 AS empty, trim({B._list(_LABELS)}[event_id % 5 + 1]) AS label,
         'e' || (event_id // 4) AS edge_id, 'n' || (event_id // 4) AS factor FROM events),
-    facts AS (SELECT c.proposal_id, count(*) AS n, count(*) FILTER (o.passage_id IS NULL) AS outside, count(*) FILTER (t.passage_id IS NULL) AS unknown, bool_or(coalesce(contains(t.txt, p.label), FALSE)) AS named
+    facts AS (SELECT c.proposal_id, count(*) AS n, count(*) FILTER (o.passage_id IS NULL) AS outside, count(*) FILTER (t.passage_id IS NULL) AS unknown, bool_or(coalesce(contains(t.txt, lower(p.label)), FALSE)) AS named
         FROM cited c JOIN p USING (proposal_id) LEFT JOIN offered o USING (proposal_id, passage_id) LEFT JOIN corpus t USING (passage_id) GROUP BY 1),
     joined AS (SELECT p.*, coalesce(n, 0) AS n, coalesce(outside, 0) AS outside, coalesce(unknown, 0) AS unknown, coalesce(named, FALSE) AS named,
         CASE r.decision WHEN 'VALIDATED' THEN r.original_relationship WHEN 'AMENDED' THEN r.amended_relationship END = 'CONTRIBUTED_TO' AS confirmed, l.review_id AS last_id, nodes.node_kind AS kind
@@ -305,13 +310,11 @@ _CITED = "SELECT 'prop' || event_id AS proposal_id, 't' || (event_id % 60) AS pa
 )
 def proposal_contract(spark: SparkSession, d: str) -> DataFrame:
     proposals = _proposals(spark, d)
-    pair = ["proposal_id", "concat('t', event_id % 60) AS passage_id"]
+    pair = ["proposal_id", "concat('t', event_id % 60, '_', event_id % 4) AS passage_id"]
     citations = proposals.where("event_id % 7 <> 0").selectExpr(*pair)
     offered = proposals.where("event_id % 8 <> 0").selectExpr(*pair)
-    # A conversation is one text.
-    corpus = B.table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit(" view click "))), "").alias("passage_text")
-    ).select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("passage_id"), "passage_text")
+    # a turn is a passage
+    corpus = B.table(spark, d, "conversations").selectExpr("concat('t', conv_id, '_', turn) AS passage_id", "text AS passage_text")
     return V.proposal_violations(proposals.drop("event_id"), citations, offered, corpus, B.reviews(spark, d), B.nodes(spark, d))
 
 

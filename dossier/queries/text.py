@@ -254,14 +254,30 @@ def classified_references(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "documents").select("doc_id", reference_work(names).alias("r")).select("doc_id", "r.*")
 
 
-_WORDS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT::HUGEINT) AS s{i}" for i in range(4))
+_TREE = """entries AS (SELECT package_id, sha256(filename || '|' || sha256) AS h FROM docs),
+    leaves AS (SELECT package_id, substr(h, 1, 4) AS bucket, count(*) AS files, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM entries GROUP BY 1, 2),
+    branches AS (SELECT package_id, substr(bucket, 1, 2) AS bucket, sum(files) AS files, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS h FROM leaves GROUP BY 1, 2),
+    roots AS (SELECT package_id, sum(files)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS h FROM branches GROUP BY 1)"""
+
+
+@query(f"WITH {_TREE} SELECT package_id, bucket, files, h AS digest FROM leaves", "docs")
+def snapshot_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return T.snapshot_buckets(B.docs(spark, d), ["package_id"], [F.col("filename"), F.col("sha256")])
 
 
 @query(
-    f"""SELECT package_id, files, 'corpus_snapshot_' || substr(sha256(files || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3), 1, 32) AS corpus_snapshot_id
-    FROM (SELECT package_id, count(*) AS files, {_WORDS} FROM (SELECT package_id, sha256(filename || '|' || sha256) AS h FROM docs) GROUP BY 1)""",
+    """WITH entries AS (SELECT package_id, doc_id, sha256(filename || '|' || sha256) AS h, sha256(filename || '|' || CASE WHEN doc_id % 90 = 1 THEN '' ELSE sha256 END) AS n FROM docs)
+    SELECT DISTINCT package_id, bucket FROM (SELECT package_id, substr(h, 1, 4) AS bucket FROM entries WHERE doc_id % 90 IN (1, 2) UNION ALL SELECT package_id, substr(n, 1, 4) FROM entries WHERE doc_id % 90 = 1)""",
     "docs",
 )
+def changed_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """A later snapshot: some files have other content, some are gone."""
+    docs, parts = B.docs(spark, d), [F.col("filename"), F.col("sha256")]
+    later = docs.where("doc_id % 90 <> 2").withColumn("sha256", F.expr("CASE WHEN doc_id % 90 = 1 THEN '' ELSE sha256 END"))
+    return T.changed_buckets(T.snapshot_buckets(docs, ["package_id"], parts), T.snapshot_buckets(later, ["package_id"], parts), ["package_id"])
+
+
+@query(f"WITH {_TREE} SELECT package_id, files, 'corpus_snapshot_' || substr(sha256(files || '|' || h), 1, 32) AS corpus_snapshot_id FROM roots", "docs")
 def corpus_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return T.corpus_snapshot_id(B.docs(spark, d), ["package_id"], [F.col("filename"), F.col("sha256")])
 
