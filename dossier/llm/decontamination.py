@@ -6,10 +6,11 @@ split into budget + 1 pieces; an occurrence within the budget leaves a piece unc
 occurrences. Around the hits Myers' bit-parallel recurrence gives the smallest distance of the item to any stretch of the
 document; machine words of any length hold the item's column.
 
-Items with fewer words than ``WORDS_PER_ERROR`` have no error budget and name nothing by themselves (a one-word item would be
-"leaked" everywhere): they count only where they are the whole document. Items without words never match. In scripts without spaces
-a word is a whole sentence: items of few words in them are compared as sequences of characters, with one edit in ``UNITS_PER_ERROR``
-characters, and items with fewer count only as the whole document.
+A leak ends at the first end of the smallest distance; of the stretches that end there with it, the shortest is told, found by the same
+recurrence backwards from the end. Items with fewer words than ``WORDS_PER_ERROR`` have no error budget and are found word for word,
+wherever they stand. They name little by themselves (a one-word item is "leaked" everywhere), so a caller may ask for them only where they are
+the whole document. Items without words never match. In scripts without spaces a word is a whole sentence: items of few words in them
+are compared as sequences of characters, with one edit in ``UNITS_PER_ERROR`` characters.
 
 The index of the pieces goes to the tasks in blocks of items of at most ``BLOCK_BYTES``, a pass over the documents for each block, so
 the broadcast is bounded however many items there are. Documents are not shuffled. A passage in a third of all documents is verified in
@@ -41,8 +42,11 @@ BLOCK_BYTES = 16 << 20
 LEAK = "array<struct<item_id: long, distance: int, first_word: int, last_word: int>>"
 
 
-def myers(item: list[int], text: list[int], budget: int) -> tuple[int, int] | None:
-    """(distance, end) of the best stretch of ``text`` for ``item``, the first of equal ones; None beyond the budget."""
+def myers(item: list[int], text: list[int], budget: int, anchored: bool = False) -> tuple[int, int] | None:
+    """(distance, end) of the best stretch of ``text`` for ``item``, the first of equal ones; None beyond the budget.
+
+    The stretch may start anywhere, or at the first word of ``text`` if it is ``anchored``.
+    """
     places: dict[int, int] = defaultdict(int)
     for i, word in enumerate(item):
         places[word] |= 1 << i
@@ -59,7 +63,7 @@ def myers(item: list[int], text: list[int], budget: int) -> tuple[int, int] | No
             distance += 1
         elif down & top:
             distance -= 1
-        up, down = (up << 1) & all_ones, (down << 1) & all_ones
+        up, down = (up << 1 | anchored) & all_ones, (down << 1) & all_ones
         plus = down | (all_ones & ~(vertical | up))
         minus = up & vertical
         if distance <= budget and (best is None or distance < best[0]):
@@ -81,7 +85,7 @@ def unit_words(text: str) -> np.ndarray:
 class Pieces:
     """Items split into pieces, by piece length: sorted hashes, and for each the (item, offset) pairs that have it."""
 
-    def __init__(self, rows: list[tuple[int, str]], per_error: int = WORDS_PER_ERROR):
+    def __init__(self, rows: list[tuple[int, str]], per_error: int = WORDS_PER_ERROR, short: bool = True):
         texts = plain(pa.array([text for _, text in rows], pa.string()))
         w = words(texts, lower=True, apart=MARKS)
         hashes = word_hashes(w, 5)
@@ -91,15 +95,12 @@ class Pieces:
         long = set()
         if per_error == WORDS_PER_ERROR:
             long = {k for k, (_, text) in enumerate(rows) if not self.budgets[k] and len(UNSPACED.findall(text)) >= UNITS_PER_ERROR}
-        self.units = Pieces([(rows[k][0], units(rows[k][1])) for k in sorted(long)], UNITS_PER_ERROR) if long else None
-        self.whole: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        self.units = Pieces([(rows[k][0], units(rows[k][1])) for k in sorted(long)], UNITS_PER_ERROR, short) if long else None
+        self.short = short
         by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, item in enumerate(self.items):
             if not len(item) or k in long:
                 continue
-            if not self.budgets[k]:
-                self.whole[tuple(item.tolist())].append(k)
-                continue
             ends = np.linspace(0, len(item), self.budgets[k] + 2).astype(int)
             for begin, stop in zip(ends[:-1], ends[1:], strict=True):
                 _, value = windows(item[begin:stop], np.zeros(stop - begin, dtype=np.int64), int(stop - begin), 13)
@@ -131,16 +132,15 @@ class Pieces:
             for r, k, begin, stop in self._stretches(row, item, start):
                 begin = max(begin - self.budgets[k], first[r])
                 stop = min(stop + len(self.items[k]) + self.budgets[k], first[r + 1])
-                best = myers(self.items[k].tolist(), hashes[begin:stop].tolist(), self.budgets[k])
-                if best is not None:
-                    end = int(begin - first[r] + best[1])
-                    out[r].append({"item_id": self.ids[k], "distance": best[0], "first_word": max(0, end - len(self.items[k]) + 1), "last_word": end})
-        if self.whole:
-            longest = max(map(len, self.whole))
-            n = np.diff(first)
-            for r in np.flatnonzero((n > 0) & (n <= longest)):
-                for k in self.whole.get(tuple(hashes[first[r] : first[r + 1]].tolist()), ()):
-                    out[int(r)].append({"item_id": self.ids[k], "distance": 0, "first_word": 0, "last_word": int(n[r]) - 1})
+                item, text = self.items[k].tolist(), hashes[begin:stop].tolist()
+                best = myers(item, text, self.budgets[k])
+                if best is None:
+                    continue
+                # backwards from its end, the stretch that leaves the same distance ends where it starts
+                back = myers(item[::-1], text[best[1] :: -1], best[0], anchored=True)
+                leak = {"item_id": self.ids[k], "distance": best[0], "first_word": int(begin - first[r] + best[1] - back[1]), "last_word": int(begin - first[r] + best[1])}
+                if self.short or self.budgets[k] or len(item) == first[r + 1] - first[r]:
+                    out[r].append(leak)
         return out
 
     def _stretches(self, row, item, start) -> Iterator[tuple[int, int, int, int]]:
@@ -166,11 +166,14 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
             yield [(r["item_id"], r["text"]) for r in rows]
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFrame:
-    """``docs`` with the leaks found in each text: item, distance, first and last word. ``items`` holds (item_id, text)."""
+def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks", short: bool = True) -> DataFrame:
+    """``docs`` with the leaks found in each text: item, distance, first and last word. ``items`` holds (item_id, text).
+
+    Without ``short``, items that have no error budget count only where they are the whole document.
+    """
     marked = docs.withColumn(name, F.array().cast(LEAK))
     for rows in _blocks(items):
-        marked = _pass(marked, docs.sparkSession.sparkContext.broadcast(Pieces(rows)), name)
+        marked = _pass(marked, docs.sparkSession.sparkContext.broadcast(Pieces(rows, short=short)), name)
     return marked
 
 

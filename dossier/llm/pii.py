@@ -10,8 +10,9 @@ with N lines, n(e) lines that hold the entity e, n(t) that hold the term t and n
 
 is the share of the information of e that t gives away: 1 when t occurs with e only, about 0 for words that occur everywhere.
 In lines that hold e, terms of a disclosure of at least ``GENERALISE`` are replaced by a general word, and from ``REMOVE`` on
-taken out. Estimates need ``SUPPORT`` distinct lines with both, so lines that are copied do not count again. Lines without an
-entity are left alone, and base spans always stay.
+taken out. Estimates need ``SUPPORT`` distinct lines with both, so lines that are copied do not count again. Most values are rarer than
+that, so the estimate backs off: a value stands for itself, for what it shares with others (the domain, the network, the first digits) and for its
+kind, and a term that discloses any of the three is judged by the strongest. Lines without an entity are left alone, and base spans always stay.
 
 Everything is built-in expressions and joins. The patterns are written so that the matching engine neither recurses over
 long texts nor starts again inside a run of characters: a character that cannot belong to a match is first replaced by another
@@ -29,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.privacy import running_sums
 from dossier.plans.durable import durable
 from dossier.plans.sizing import checked_broadcast
 
@@ -48,13 +50,9 @@ def _matches(text: Column, pattern: str) -> Column:
     empty = F.array().cast("array<struct<start: int, end: int, hit: string>>")
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array_append(done["found"], F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))).alias("found"))
-
-    first = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(pairs, first, step, lambda done: done["found"])
+    ends = running_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])))
+    found = F.zip_with(hits, ends, lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
+    return F.when(F.size(hits) > 0, found).otherwise(empty)
 
 
 def _luhn(digits: Column) -> Column:
@@ -129,11 +127,8 @@ def _row_key() -> list[Column]:
 def _lines(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
     """(_id, _key, _line, _from): distinct lines with the code point at which they start."""
     parts = F.split("_text", "\n", -1)
-    starts = F.aggregate(
-        F.transform(parts, F.length), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.array_append(a["all"], a["at"]).alias("all")), lambda a: a["all"],
-    )
-    zipped = F.arrays_zip(parts.alias("line"), starts.alias("at"))
+    ends = running_sums(F.transform(parts, lambda p: F.length(p) + 1))
+    zipped = F.zip_with(parts, ends, lambda line, end: F.struct(line.alias("line"), (end - F.length(line) - 1).alias("at")))
     kept = F.filter(zipped, lambda z: wanted_line(z["line"]))
     return docs.select(*_row_key(), F.explode(kept).alias("_part")).select("_id", "_key", F.col("_part.line").alias("_line"), F.col("_part.at").alias("_from"))
 
@@ -150,12 +145,29 @@ def _terms(line: Column) -> Column:
 
 def _without(line: Column, spans: Column) -> Column:
     """The line with its spans blanked, character for character."""
-    return F.aggregate(spans, line, lambda text, s: F.overlay(text, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1))
+    # where spans of different kinds overlap, what the earlier ones reach counts
+    starts, ends = F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"])
+    reach = F.concat(F.array(F.lit(0)), running_max(ends))
+    gaps = F.zip_with(reach, F.concat(starts, F.array(F.length(line))), lambda a, b: F.struct(a.alias("from"), F.greatest(a, b).alias("to")))
+    before = F.concat(F.array(F.lit(0)), F.transform(gaps, lambda g: g["to"]))
+    pieces = F.zip_with(F.slice(before, F.lit(1), F.size(gaps)), gaps, lambda last, g: F.concat(F.repeat(F.lit(" "), g["from"] - last), F.substring(line, g["from"] + 1, g["to"] - g["from"])))
+    return F.array_join(pieces, "")
+
+
+def running_max(values: Column) -> Column:
+    """The largest of the first 1, 2, ... values: of a sorted list of few spans of a line."""
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(values, nothing, lambda s, v: F.array_append(s, F.greatest(v, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)))))
 
 
 def _values(kind: str) -> Column:
-    """The entities of a kind, named by it."""
-    return F.transform(f"_{kind}", lambda m: F.concat(F.lit(f"{kind}:"), m["hit"]))
+    """The entities of a kind, named by it: values, the part that a value shares with its neighbours, and the kind itself."""
+    part = {
+        "email": lambda hit: F.substring_index(hit, "@", -1), "ip": lambda hit: F.substring_index(hit, ".", 3),
+        "card": lambda hit: F.left(F.regexp_replace(hit, "[^0-9]", ""), F.lit(6)), "phone": lambda hit: F.left(F.regexp_replace(hit, "[^0-9]", ""), F.lit(4)),
+    }[kind]
+    names = lambda m: F.array(F.concat(F.lit(f"{kind}:"), m["hit"]), F.concat(F.lit(f"{kind}/"), part(m["hit"])), F.lit(kind))
+    return F.flatten(F.transform(f"_{kind}", names))
 
 
 def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -32,19 +32,32 @@ def _normal(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")))
 
 
-def brute(docs, items):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def brute(docs, items, short=True):
+    """(distance, first word, last word) of the best stretch of each document for each item, the first, then the shortest."""
     out = {}
     for d, text in docs:
         words = _normal(text)
         for i, item in items:
             wanted = _normal(item)
             budget = len(wanted) // decontamination.WORDS_PER_ERROR
-            if wanted and budget:
-                best = min(distances(wanted, words), default=99)
-                if best <= budget:
-                    out[d, i] = best
-            elif wanted and wanted == words:
-                out[d, i] = 0
+            if not wanted or not words or not (budget or short or wanted == words):
+                continue
+            found = distances(wanted, words)
+            best = min(found)
+            if best <= budget:
+                end = found.index(best)
+                starts = range(end, max(-1, end - len(wanted) - best), -1)
+                out[d, i] = best, next(s for s in starts if edits(wanted, words[s : end + 1]) == best), end
     return out
 
 
@@ -72,13 +85,28 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     docs += [(300, items[1][1]), (301, "x " + items[1][1]), (302, None), (303, ""), (304, ("filler " * 20_000) + items[12][1])]
     frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, leaks string, item_id int").repartition(4)
     table = spark.createDataFrame(items, "item_id long, text string")
-    expected = brute(docs, items)
-    for size in (decontamination.BLOCK_BYTES, 400):
+    for size, short in ((decontamination.BLOCK_BYTES, True), (400, False)):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
         got = {}
-        for r in decontamination.leaks(frame, table).collect():
-            got[r["doc_id"], r["item_id"]] = min(r["distance"], got.get((r["doc_id"], r["item_id"]), 99))
-        assert got == expected and len(got) > 100
+        for r in decontamination.with_leaks(frame.drop("leaks", "item_id"), table, short=short).selectExpr("doc_id", "inline(leaks)").collect():
+            key, leak = (r["doc_id"], r["item_id"]), (r["distance"], r["first_word"], r["last_word"])
+            if key not in got or (leak[0], leak[2]) < (got[key][0], got[key][2]):
+                got[key] = leak
+        assert got == brute(docs, items, short) and len(got) > 100
+
+
+def test_ends_of_leaks_and_neighbours(spark):
+    item = [f"w{i}" for i in range(15)]
+    cases = [
+        (["a", "b", *item[:4], "x", *item[4:9], "y", *item[9:]], (2, 2, 18)), (["a", *item[:5], *item[6:9], *item[10:]], (2, 1, 13)),
+        (item[2:], (2, 0, 12)), (["a", "b", "c", *item], (0, 3, 17)),
+    ]
+    rows = [(k, " ".join(words)) for k, (words, _) in enumerate(cases)] + [(9, " ".join([*item, "and", *item, *item]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = [(r["doc_id"], (r["distance"], r["first_word"], r["last_word"])) for r in decontamination.leaks(docs, items).collect()]
+    assert sorted(g for g in got if g[0] < 9) == [(k, want) for k, (_, want) in enumerate(cases)]
+    # an item that follows itself is told three times
+    assert sorted(leak for d, leak in got if d == 9) == [(0, 0, 14), (0, 16, 30), (0, 31, 45)]
 
 
 def test_rows_and_columns_are_kept(spark):
@@ -102,4 +130,4 @@ def test_items_in_scripts_without_spaces(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     items = spark.createDataFrame([(1, item), (2, "石头"), (3, "ก้อนหินในแม่น้ำเรียบและกลม")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["distance"], r["first_word"], r["last_word"]) for r in decontamination.leaks(frame, items).collect()}
-    assert got == {(1, 1, 0, 1, 2), (2, 1, 2, 2, 3), (3, 1, 0, 0, 1), (6, 2, 0, 0, 0)}
+    assert got == {(1, 1, 0, 1, 2), (2, 1, 2, 2, 3), (3, 1, 0, 0, 1), (5, 2, 0, 1, 1), (6, 2, 0, 0, 0)}
