@@ -38,9 +38,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
+    """Drop the documents that hold a benchmark item; items of fewer than five words count only as whole documents."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.with_leaks(_apart(docs, "_leaks"), items, "_leaks").where(F.size("_leaks") == 0).drop("_leaks").toDF(*docs.columns)
+    return decontamination.with_leaks(_apart(docs, "_leaks"), items, "_leaks", short=False).where(F.size("_leaks") == 0).drop("_leaks").toDF(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
