@@ -14,9 +14,10 @@ when their Jaccard index reaches t per cent, that is, when they differ in at mos
   remain, named segments pay for them with +1.
 * A bucket does not emit its pairs. Its hub is compared with its other sets. Relative to the hub h a set x is the
   set D(x) of shingles in one of them only, and two sets differ in as many shingles as D(x) and D(y) do. Unless both link with the hub,
-  sets of a hub that link share some of the first elements of D in any order, so a prefix filter over D finds their pairs. What
-  the hub lacks comes first: copies of one text with different edits, however many, meet in edits that they share and not in
-  the text itself.
+  sets of a hub that link share some of the first elements of D in any order, so a prefix filter over D finds their pairs. Where
+  a crowd is large, elements that few of its sets have in D come first (estimated on a sample of the crowd, which decides the order
+  and never the result): copies of one text with different edits, however many, meet in edits that they share and not in
+  the text itself, nor in the edits of the hub. Elements of one set alone are dropped before any join.
 * Candidate pairs whose counts in ``BINS`` bins already differ by more than H are dropped; the others are verified on the whole
   shingle sets; components join the links.
 
@@ -53,6 +54,11 @@ KEYS_HELD = 1 << 19
 BINS = 256
 #: Buckets from this size on are worth the one-deletion questions that replace them.
 LARGE_BUCKET = 32
+#: From this many sets on, the elements of a crowd are ordered by how many sets of about ``CROWD_SAMPLE`` hold them.
+LARGE_CROWD = 32
+CROWD_SAMPLE = 256
+#: Elements in a smaller part of the sample count as held by none, so a hub's list is at most so many average sets long.
+COMMON_PARTS = 32
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -328,11 +334,32 @@ def _with_sets(batches: Iterable[pa.RecordBatch], size: int, owner: str) -> Iter
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "shingles"]).filter(pa.array(right))
 
 
+def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, e): the shingles of the sets in the last column, a row each."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in batch.column(batch.num_columns - 1)]
+        if sets:
+            hub = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(np.concatenate(sets))], names=["a", "e"])
+
+
+def held_by(only: np.ndarray, missing: np.ndarray, sampled: int, common: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """How many of ``sampled`` sets of a crowd have the elements in their D, by the ascending ``common`` shingles and the sets that hold them.
+
+    A shingle that the hub has is in D of the sets that lack it.
+    """
+    holds = np.zeros(len(only), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, only), len(common) - 1)
+        holds = np.where(common[at] == only, sets[at], 0)
+    return np.where(missing, sampled - holds, holds)
+
+
 def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     names = ["a", "b", "a_size", "b_size", "linked", "d", "first"]
     for batch in batches:
         linked, d, first = [], [], []
-        for x, y, crowded in zip(*batch.columns[4:7], strict=True):
+        for x, y, crowded, sampled, common, sets in zip(*batch.columns[4:10], strict=True):
             x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
             only = np.setxor1d(x, y, assume_unique=True)
             both = (len(x) + len(y) - len(only)) // 2
@@ -341,7 +368,10 @@ def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             if crowded.as_py():
                 missing = np.isin(only, x, assume_unique=True)
                 take = int(allowed(percent, len(y), len(y) * 100 // percent)) + 1
-                first.append(np.concatenate([only[~missing], only[missing]])[:take].view(np.int64))
+                rank = np.zeros(len(only), dtype=np.int64)
+                if sampled.is_valid:
+                    rank = held_by(only.view(np.int64), missing, sampled.as_py(), common.values.to_numpy(), sets.values.to_numpy())
+                first.append(only[np.lexsort((only, missing, rank))][:take].view(np.int64))
             else:
                 first.append(())
         columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
@@ -382,17 +412,38 @@ class JaccardJoin:
         texts = self.docs.join(checked_broadcast(wanted), "doc_id").select(*rows.columns, "text")
         return texts.mapInArrow(lambda b: _with_sets(b, size, owner), f"{kinds}, shingles binary")
 
-    def _tested(self, pairs: DataFrame) -> DataFrame:
+    def _orders(self, pairs: DataFrame) -> DataFrame:
+        """(a, sampled, common, sets): of hubs with a large crowd, the shingles that many sets of a sample hold, ascending, and how many do.
+
+        A sample is small against its crowd, and what is listed of it is as long as ``COMMON_PARTS`` average sets at most.
+        """
+        crowds = pairs.groupBy("a").agg(F.count("*").alias("_m")).where(F.col("_m") >= LARGE_CROWD)
+        drawn = pairs.join(crowds, "a").where(F.pmod(F.xxhash64("b", "a"), F.col("_m")) < CROWD_SAMPLE)
+        drawn = durable(drawn.select("a", "b"))
+        sampled = drawn.groupBy("a").agg(F.count("*").alias("sampled"))
+        held = self._sets_of(drawn, "b").mapInArrow(_elements, "a long, e long").groupBy("a", "e").agg(F.count("*").alias("s")).where("s > 1")
+        listed = held.join(sampled, "a").where(F.col("s") * COMMON_PARTS >= F.col("sampled"))
+        lists = listed.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("e", "s"))).alias("_l"))
+        both = sampled.join(lists, "a", "left").select("a", "sampled", F.coalesce("_l", F.array().cast("array<struct<e:bigint,s:bigint>>")).alias("_l"))
+        return durable(both.select("a", "sampled", F.col("_l.e").alias("common"), F.col("_l.s").alias("sets")))
+
+    def _tested(self, pairs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
         """(a, b, a_size, b_size, linked, d, first): pairs verified on their whole sets, with the size of D(b) to the hub a.
 
         Where the hub is crowded, the first elements of D follow: as many as differ between linked sets, and one. They stand in an order
-        that all sets of the hub share: shingles that the hub lacks before those that the set lacks, by hash.
+        that all sets of the hub share: by ``orders`` those that fewer sets hold first, then shingles that the hub lacks before those that
+        the set lacks, by hash.
         """
         pairs = durable(pairs.select("a", "b", "a_size", "b_size", "crowded"))
         left = self._sets_of(pairs.select("a").distinct(), "a").withColumnRenamed("shingles", "_x")
         right = self._sets_of(pairs, "b").withColumnRenamed("shingles", "_y")
+        if orders is None:
+            none = F.lit(None).cast("array<long>")
+            left = left.withColumns({"sampled": F.lit(None).cast("long"), "common": none, "sets": none})
+        else:
+            left = left.join(orders, "a", "left")
         percent = self.percent
-        met = right.join(left, "a").select("a", "b", "a_size", "b_size", "_x", "_y", "crowded")
+        met = right.join(left, "a").select("a", "b", "a_size", "b_size", "_x", "_y", "crowded", "sampled", "common", "sets")
         kinds = "a long, b long, a_size long, b_size long, linked boolean, d long, first array<long>"
         return met.mapInArrow(lambda b: _verified(b, percent), kinds)
 
@@ -414,12 +465,15 @@ class JaccardJoin:
         pairs = durable(self._rated(star))
         crowded = pairs.groupBy("a").agg((F.count("*") > 1).alias("crowded"))
         needed = durable(pairs.join(crowded, "a").where("close or crowded"))
-        first = durable(self._tested(needed))
+        first = durable(self._tested(needed, self._orders(needed)))
         found = first.where("linked").select("a", "b").distinct()
         elements = self._first_elements(first)
+        # an element of one set alone, as most are, joins nothing
+        held = checked_broadcast(elements.groupBy("a", "e").agg(F.count("*").alias("_n")).where("_n > 1").select("a", "e"))
+        elements = durable(elements.join(held, ["a", "e"]))
         # sets that share an element are first compared with the one of the smallest D, which may join them at once
         nearest = F.min(F.struct("d", "b", "size", "linked"))
-        hub = elements.groupBy("a", "e").agg(nearest.alias("_h"), F.count("*").alias("_n")).where("_n > 1")
+        hub = elements.groupBy("a", "e").agg(nearest.alias("_h"))
         near = elements.join(hub, ["a", "e"]).where((F.col("b") != F.col("_h.b")) & ~(F.col("linked") & F.col("_h.linked")))
         near = near.where(self._sizes_fit(F.col("size"), F.col("_h.size"))).select(F.least("b", "_h.b").alias("a"), F.greatest("b", "_h.b").alias("b")).distinct()
         found = durable(found.unionByName(self._linked(near)).distinct())

@@ -130,3 +130,49 @@ def test_keys_of_a_very_large_set_name_its_segments():
     batch = jaccard._dealt(key, who, np.full(len(key), len(shingles)), (2 * less + 4 * (name + 1)).astype(np.uint32), 3)
     names = np.concatenate([jaccard.unpack_codes(c.as_py()) for c in batch.column(batch.schema.names.index("code"))]).astype(np.int64) // 4 - 1
     assert name.max() > 16_382 and (np.sort(names) == np.sort(name)).all()
+
+
+def _crowd(count, words, edits, seed):
+    """Loose copies of one text: few of them link, all of them share parts, and some share edits."""
+    rnd = random.Random(seed)
+    base, shared = [f"w{i}" for i in range(words)], [(rnd.randrange(words), f"s{i}") for i in range(40)]
+    for _ in range(count):
+        text = list(base)
+        for _ in range(rnd.randint(*edits)):
+            at, word = rnd.choice(shared) if rnd.random() < 0.3 else (rnd.randrange(words), f"x{rnd.randrange(10**6)}")
+            text[at] = word
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("sample", [256, 8])
+def test_crowd_of_loose_copies(spark, monkeypatch, sample):
+    """Whatever the sample says of the order, no link of a crowd without a common centre is lost."""
+    monkeypatch.setattr(jaccard, "CROWD_SAMPLE", sample)
+    texts = [*_crowd(700, 140, (1, 9), 3), *_crowd(150, 60, (0, 4), 4), *_crowd(200, 300, (4, 14), 5)]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert 50 < len({c for _, c in want.values()}) < len(rows) - 50
+    assert {i: (n, c) for i, n, c in _got(spark, rows)} == want
+
+
+def test_pairs_of_a_crowd_grow_with_its_sets(spark, monkeypatch):
+    """Copies whose edits are their own are told apart without comparing all of them; small crowds may compare all of theirs."""
+    asked = []
+    sharing = jaccard.JaccardJoin._sharing
+    monkeypatch.setattr(jaccard.JaccardJoin, "_sharing", lambda self, rows: (asked.append(sharing(self, rows).count()), sharing(self, rows))[1])
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        text = [f"w{k}" for k in range(144)]
+        for at in rnd.sample(range(0, 144, 4), 5):
+            text[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    assert {i: (n, c) for i, n, c in _got(spark, rows)} == brute(rows)
+    assert asked[0] <= jaccard.LARGE_CROWD * len(rows) // 2 < len(rows) ** 2 // 30
+
+
+def test_held_by_counts_sets_with_the_element_in_their_difference():
+    only, missing = np.array([-7, 2, 5, 9]), np.array([False, True, False, True])
+    got = jaccard.held_by(only, missing, 10, np.array([-7, 2, 8]), np.array([4, 9, 3]))
+    assert got.tolist() == [4, 1, 0, 10]
+    assert jaccard.held_by(only, missing, 10, np.array([], dtype=np.int64), np.array([], dtype=np.int64)).tolist() == [0, 10, 0, 10]
