@@ -56,7 +56,7 @@ BINS = 256
 LARGE_BUCKET = 32
 #: From this many sets on, the elements of a crowd are ordered by how many sets of about ``CROWD_SAMPLE`` hold them.
 LARGE_CROWD = 32
-CROWD_SAMPLE = 256
+CROWD_SAMPLE = 64
 #: Elements in a smaller part of the sample count as held by none, so a hub's list is at most so many average sets long.
 COMMON_PARTS = 32
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -401,16 +401,19 @@ class JaccardJoin:
         members = asked(found).select("bucket", "owner", "size", "asked")
         return members.groupBy("bucket", "owner").agg(F.first("size").alias("size"), F.max("asked").alias("asked"))
 
-    def _sets_of(self, rows: DataFrame, owner: str) -> DataFrame:
-        """``rows`` with the shingles of the sets that ``owner`` names, read from one document of each.
+    def _texts_of(self, rows: DataFrame, owner: str) -> DataFrame:
+        """``rows`` with the text of one document of each set that ``owner`` names; other texts of its id come along.
 
         Few rows are looked up while the documents are scanned, so no text is shuffled; many are joined by id.
         """
         stands = self.documents.where("doc_id is not null and n > 0").groupBy(F.col("h1").alias(owner), "h2").agg(F.min("doc_id").alias("doc_id"))
         wanted = rows.join(stands.select(owner, "doc_id"), owner)
+        return self.docs.join(checked_broadcast(wanted), "doc_id").select(*rows.columns, "text")
+
+    def _sets_of(self, rows: DataFrame, owner: str) -> DataFrame:
+        """``rows`` with the shingles of the sets that ``owner`` names."""
         size, kinds = self.size, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        texts = self.docs.join(checked_broadcast(wanted), "doc_id").select(*rows.columns, "text")
-        return texts.mapInArrow(lambda b: _with_sets(b, size, owner), f"{kinds}, shingles binary")
+        return self._texts_of(rows, owner).mapInArrow(lambda b: _with_sets(b, size, owner), f"{kinds}, shingles binary")
 
     def _orders(self, pairs: DataFrame) -> DataFrame:
         """(a, sampled, common, sets): of hubs with a large crowd, the shingles that many sets of a sample hold, ascending, and how many do.
@@ -421,11 +424,13 @@ class JaccardJoin:
         drawn = pairs.join(crowds, "a").where(F.pmod(F.xxhash64("b", "a"), F.col("_m")) < CROWD_SAMPLE)
         drawn = durable(drawn.select("a", "b"))
         sampled = drawn.groupBy("a").agg(F.count("*").alias("sampled"))
-        held = self._sets_of(drawn, "b").mapInArrow(_elements, "a long, e long").groupBy("a", "e").agg(F.count("*").alias("s")).where("s > 1")
+        size = self.size
+        shingles = self._texts_of(drawn, "b").mapInArrow(lambda b: _elements(_with_sets(b, size, "b")), "a long, e long")
+        held = shingles.groupBy("a", "e").agg(F.count("*").alias("s")).where("s > 1")
         listed = held.join(sampled, "a").where(F.col("s") * COMMON_PARTS >= F.col("sampled"))
         lists = listed.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("e", "s"))).alias("_l"))
         both = sampled.join(lists, "a", "left").select("a", "sampled", F.coalesce("_l", F.array().cast("array<struct<e:bigint,s:bigint>>")).alias("_l"))
-        return durable(both.select("a", "sampled", F.col("_l.e").alias("common"), F.col("_l.s").alias("sets")))
+        return durable(both.select("a", "sampled", F.col("_l.e").alias("common"), F.col("_l.s").cast("array<smallint>").alias("sets")))
 
     def _tested(self, pairs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
         """(a, b, a_size, b_size, linked, d, first): pairs verified on their whole sets, with the size of D(b) to the hub a.
@@ -438,8 +443,8 @@ class JaccardJoin:
         left = self._sets_of(pairs.select("a").distinct(), "a").withColumnRenamed("shingles", "_x")
         right = self._sets_of(pairs, "b").withColumnRenamed("shingles", "_y")
         if orders is None:
-            none = F.lit(None).cast("array<long>")
-            left = left.withColumns({"sampled": F.lit(None).cast("long"), "common": none, "sets": none})
+            none = F.lit(None)
+            left = left.withColumns({"sampled": none.cast("long"), "common": none.cast("array<long>"), "sets": none.cast("array<smallint>")})
         else:
             left = left.join(orders, "a", "left")
         percent = self.percent
@@ -469,8 +474,9 @@ class JaccardJoin:
         found = first.where("linked").select("a", "b").distinct()
         elements = self._first_elements(first)
         # an element of one set alone, as most are, joins nothing
-        held = checked_broadcast(elements.groupBy("a", "e").agg(F.count("*").alias("_n")).where("_n > 1").select("a", "e"))
-        elements = durable(elements.join(held, ["a", "e"]))
+        elements = elements.withColumn("_key", F.xxhash64("a", "e"))
+        held = checked_broadcast(elements.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+        elements = durable(elements.join(held, "_key").drop("_key"))
         # sets that share an element are first compared with the one of the smallest D, which may join them at once
         nearest = F.min(F.struct("d", "b", "size", "linked"))
         hub = elements.groupBy("a", "e").agg(nearest.alias("_h"))
