@@ -321,26 +321,25 @@ def asked(members: DataFrame) -> DataFrame:
     return rated.withColumn("asked", F.when(equal, ~plain_left_out & ~paid).otherwise(F.col("_paid"))).drop("_spent", "_extra", "_paid")
 
 
-def _with_sets(batches: Iterable[pa.RecordBatch], size: int, owner: str) -> Iterator[pa.RecordBatch]:
-    """The sets of the texts in the last column, where they are those that column ``owner`` names."""
-    for batch in batches:
-        texts, names = plain(batch.column(batch.num_columns - 1)), batch.schema.names[:-1]
-        wanted = batch.column(names.index(owner)).to_numpy()
-        for begin, stop in slices(texts):
-            shingles, edges, h1, _ = _sets(words(texts, begin, stop, lower=True), size)
-            right = h1 == wanted[begin:stop]
-            sets = pa.array([shingles[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-            columns = [*[c.slice(begin, stop - begin) for c in batch.columns[:-1]], sets]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "shingles"]).filter(pa.array(right))
+def _each_set(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The shingles and first hash of each text."""
+    texts = plain(column)
+    for begin, stop in slices(texts):
+        shingles, edges, h1, _ = _sets(words(texts, begin, stop, lower=True), size)
+        for k, h in enumerate(h1.tolist()):
+            yield shingles[edges[k] : edges[k + 1]], h
 
 
-def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, e): the shingles of the sets in the last column, a row each."""
+def _elements(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(a, e): the shingles of the texts in the last column that are of the sets ``b``, a row each."""
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in batch.column(batch.num_columns - 1)]
-        if sets:
-            hub = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(np.concatenate(sets))], names=["a", "e"])
+        hub, wanted, texts = batch.columns
+        for begin, stop in slices(plain(texts)):
+            rows = zip(hub[begin:stop].to_pylist(), wanted[begin:stop].to_pylist(), _each_set(texts[begin:stop], size), strict=True)
+            found = [(a, x) for a, b, (x, h) in rows if h == b]
+            if found:
+                owner = np.repeat(np.array([a for a, _ in found], dtype=np.int64), [len(x) for _, x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([x for _, x in found]).view(np.int64))], names=["a", "e"])
 
 
 def held_by(only: np.ndarray, missing: np.ndarray, sampled: int, common: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -355,12 +354,20 @@ def held_by(only: np.ndarray, missing: np.ndarray, sampled: int, common: np.ndar
     return np.where(missing, sampled - holds, holds)
 
 
-def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterable[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
     names = ["a", "b", "a_size", "b_size", "linked", "d", "first"]
     for batch in batches:
-        linked, d, first = [], [], []
-        for x, y, crowded, sampled, common, sets in zip(*batch.columns[4:10], strict=True):
-            x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+        if not batch.num_rows:
+            continue
+        # the text of a hub comes with each of its pairs and is read once
+        hubs = batch.column(4).dictionary_encode()
+        hub_sets = list(_each_set(hubs.dictionary, size))
+        right, linked, d, first = [], [], [], []
+        pairs = zip(hubs.indices.to_pylist(), _each_set(batch.column(5), size), *[c.to_pylist() for c in batch.columns[:2]], *batch.columns[6:10], strict=True)
+        for at, (y, hy), a, b, crowded, sampled, common, sets in pairs:
+            x, hx = hub_sets[at]
+            # other texts of the same id come along
+            right.append(hx == a and hy == b)
             only = np.setxor1d(x, y, assume_unique=True)
             both = (len(x) + len(y) - len(only)) // 2
             linked.append(100 * both >= percent * (both + len(only)))
@@ -375,7 +382,7 @@ def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             else:
                 first.append(())
         columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(right))
 
 
 def mark_of(text: str) -> Column:
@@ -393,13 +400,14 @@ class JaccardJoin:
         self.documents = durable(marked.mapInArrow(lambda b: _describe(b, size), "doc_id long, mark long, n long, h1 long, h2 long, bins binary"))
 
     def buckets(self) -> DataFrame:
-        """(bucket, owner, size, asked): the sets of each bucket."""
+        """(bucket, owner, asked): the sets of each bucket."""
         ranges = max(1, -(-text_bytes(self.docs) // RANGE_BYTES))
         size, percent = self.size, self.percent
         keys = self.docs.where("doc_id is not null").mapInArrow(lambda b: _keys(b, size, percent, ranges), KEYS)
         found = keys.groupBy("range").applyInArrow(lambda t: _buckets(t, percent), MEMBERS)
-        members = asked(found).select("bucket", "owner", "size", "asked")
-        return members.groupBy("bucket", "owner").agg(F.first("size").alias("size"), F.max("asked").alias("asked"))
+        # the rows of a set meet once, for what it asks and for its buckets
+        members = asked(found.drop("size").repartition("owner")).select("bucket", "owner", "asked")
+        return members.groupBy("bucket", "owner").agg(F.max("asked").alias("asked"))
 
     def _texts_of(self, rows: DataFrame, owner: str) -> DataFrame:
         """``rows`` with the text of one document of each set that ``owner`` names; other texts of its id come along.
@@ -410,11 +418,6 @@ class JaccardJoin:
         wanted = rows.join(stands.select(owner, "doc_id"), owner)
         return self.docs.join(checked_broadcast(wanted), "doc_id").select(*rows.columns, "text")
 
-    def _sets_of(self, rows: DataFrame, owner: str) -> DataFrame:
-        """``rows`` with the shingles of the sets that ``owner`` names."""
-        size, kinds = self.size, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return self._texts_of(rows, owner).mapInArrow(lambda b: _with_sets(b, size, owner), f"{kinds}, shingles binary")
-
     def _orders(self, pairs: DataFrame) -> DataFrame:
         """(a, sampled, common, sets): of hubs with a large crowd, the shingles that many sets of a sample hold, ascending, and how many do.
 
@@ -425,7 +428,8 @@ class JaccardJoin:
         drawn = durable(drawn.select("a", "b"))
         sampled = drawn.groupBy("a").agg(F.count("*").alias("sampled"))
         size = self.size
-        shingles = self._texts_of(drawn, "b").mapInArrow(lambda b: _elements(_with_sets(b, size, "b")), "a long, e long")
+        # texts are shorter than their shingles; where those of a crowd meet, most elements are counted before they are shuffled
+        shingles = self._texts_of(drawn, "b").repartition("a").mapInArrow(lambda b: _elements(b, size), "a long, e long")
         held = shingles.groupBy("a", "e").agg(F.count("*").alias("s")).where("s > 1")
         listed = held.join(sampled, "a").where(F.col("s") * COMMON_PARTS >= F.col("sampled"))
         lists = listed.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("e", "s"))).alias("_l"))
@@ -435,22 +439,24 @@ class JaccardJoin:
     def _tested(self, pairs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
         """(a, b, a_size, b_size, linked, d, first): pairs verified on their whole sets, with the size of D(b) to the hub a.
 
+        The texts meet and not the sets, which are longer and do not compress.
+
         Where the hub is crowded, the first elements of D follow: as many as differ between linked sets, and one. They stand in an order
         that all sets of the hub share: by ``orders`` those that fewer sets hold first, then shingles that the hub lacks before those that
         the set lacks, by hash.
         """
         pairs = durable(pairs.select("a", "b", "a_size", "b_size", "crowded"))
-        left = self._sets_of(pairs.select("a").distinct(), "a").withColumnRenamed("shingles", "_x")
-        right = self._sets_of(pairs, "b").withColumnRenamed("shingles", "_y")
+        left = self._texts_of(pairs.select("a").distinct(), "a").withColumnRenamed("text", "_x")
+        right = self._texts_of(pairs, "b").withColumnRenamed("text", "_y")
         if orders is None:
             none = F.lit(None)
             left = left.withColumns({"sampled": none.cast("long"), "common": none.cast("array<long>"), "sets": none.cast("array<smallint>")})
         else:
             left = left.join(orders, "a", "left")
-        percent = self.percent
+        percent, size = self.percent, self.size
         met = right.join(left, "a").select("a", "b", "a_size", "b_size", "_x", "_y", "crowded", "sampled", "common", "sets")
         kinds = "a long, b long, a_size long, b_size long, linked boolean, d long, first array<long>"
-        return met.mapInArrow(lambda b: _verified(b, percent), kinds)
+        return met.mapInArrow(lambda b: _verified(b, percent, size), kinds)
 
     def _rated(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with their sizes and whether they may link by their bins."""
@@ -474,13 +480,13 @@ class JaccardJoin:
         found = first.where("linked").select("a", "b").distinct()
         elements = self._first_elements(first)
         # an element of one set alone, as most are, joins nothing
-        elements = elements.withColumn("_key", F.xxhash64("a", "e"))
-        held = checked_broadcast(elements.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
-        elements = durable(elements.join(held, "_key").drop("_key"))
+        elements = elements.withColumn("_short", F.hash("at"))
+        held = checked_broadcast(elements.groupBy("_short").agg(F.count("*").alias("_n")).where("_n > 1").select("_short"))
+        elements = durable(elements.join(held, "_short").drop("_short"))
         # sets that share an element are first compared with the one of the smallest D, which may join them at once
         nearest = F.min(F.struct("d", "b", "size", "linked"))
-        hub = elements.groupBy("a", "e").agg(nearest.alias("_h"))
-        near = elements.join(hub, ["a", "e"]).where((F.col("b") != F.col("_h.b")) & ~(F.col("linked") & F.col("_h.linked")))
+        hub = elements.groupBy("at").agg(nearest.alias("_h"))
+        near = elements.join(hub, "at").where((F.col("b") != F.col("_h.b")) & ~(F.col("linked") & F.col("_h.linked")))
         near = near.where(self._sizes_fit(F.col("size"), F.col("_h.size"))).select(F.least("b", "_h.b").alias("a"), F.greatest("b", "_h.b").alias("b")).distinct()
         found = durable(found.unionByName(self._linked(near)).distinct())
         parts = connected_components(found).select(F.col("node").alias("b"), "component")
@@ -495,10 +501,13 @@ class JaccardJoin:
         return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
 
     def _first_elements(self, tested: DataFrame) -> DataFrame:
-        """The first elements of D, with their places, of the sets of each hub that does not link with all of them."""
+        """The first elements of D, with their places, of the sets of each hub that does not link with all of them.
+
+        ``at`` stands for the hub and the element; the few that agree by chance make candidates that fail.
+        """
         p, total = 100 - self.percent, 100 + self.percent
         open_hubs = tested.groupBy("a").agg(F.count("*").alias("_n"), F.min("linked").alias("_all"), F.max("b_size").alias("_most")).where("_n > 1 and not _all")
-        rows = tested.join(open_hubs, "a")
+        rows = tested.join(checked_broadcast(open_hubs.select("a", "_most")), "a")
         # linked sets differ in at most ``limit`` shingles, and so do the sizes of their D
         partner = F.least(F.col("_most"), F.floor(F.col("b_size") * 100 / self.percent))
         limit = F.floor((F.col("b_size") + partner) * p / total)
@@ -507,18 +516,19 @@ class JaccardJoin:
         beyond = F.when(F.col("b_size") > F.col("a_size"), F.floor((F.col("b_size") - F.col("a_size")) * p / total) + 1).otherwise(0)
         least = F.when(F.col("linked"), F.greatest(least, F.ceil((F.col("d") + 1 - beyond) / 2))).otherwise(least)
         taken = F.slice("first", F.lit(1), F.least(F.col("d"), limit + 1).cast("int"))
-        return rows.select("a", "b", F.col("b_size").alias("size"), "linked", "d", (F.col("d") - least + 1).alias("ask"), F.posexplode(taken).alias("place", "e")).withColumn("place", F.col("place") + 1)
+        exploded = rows.select("a", "b", F.col("b_size").alias("size"), "linked", "d", (F.col("d") - least + 1).alias("ask"), F.posexplode(taken).alias("place", "e"))
+        return exploded.withColumns({"place": F.col("place") + 1, "at": F.xxhash64("a", "e")}).drop("a", "e")
 
     def _sharing(self, shared: DataFrame) -> DataFrame:
         """Pairs of sets of one hub and different components that may link: a prefix filter over D."""
         p, total = 100 - self.percent, 100 + self.percent
-        x = shared.select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "size", "linked", "d", "place", "component")])
+        x = shared.select("at", *[F.col(c).alias(f"x_{c}") for c in ("b", "size", "linked", "d", "place", "component")])
         y = shared.where("place <= ask")
         need = F.ceil((F.col("d") + F.col("x_d") - F.floor((F.col("size") + F.col("x_size")) * p / total)) / 2)
         smaller = (F.col("d") < F.col("x_d")) | ((F.col("d") == F.col("x_d")) & (F.col("b") < F.col("x_b")))
         possible = 1 + F.least(F.col("d") - F.col("place"), F.col("x_d") - F.col("x_place")) >= need
         apart = F.col("component") != F.col("x_component")
-        met = y.join(x, ["a", "e"]).where(smaller & possible & apart & self._sizes_fit(F.col("size"), F.col("x_size")))
+        met = y.join(x, "at").where(smaller & possible & apart & self._sizes_fit(F.col("size"), F.col("x_size")))
         return met.select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
