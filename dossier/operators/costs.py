@@ -2,52 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.plans.sizing import checked_broadcast
+from dossier.plans.durable import durable
+from dossier.plans.sizing import BROADCAST_BYTES, HOT_GROUP_ROWS, checked_broadcast, measured_bytes, parts_for, split_hot
 
 PRICE_KEYS = ("cloud", "sku_name", "usage_unit")
+#: Rows are counted by so many buckets of keys to find frequent ones.
+KEY_BUCKETS = 65_536
 
 
-def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Usage joined to every price whose validity interval contains it.
+def _inside() -> Column:
+    return (F.col("usage_start_time") >= F.col("price_start_time")) & (
+        F.col("price_end_time").isNull() | (F.col("usage_end_time") <= F.col("price_end_time"))
+    )
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with PRICE_KEYS as one column, which a constant among them can't part from how rows are dealt out; null if one of them is."""
+    known = F.lit(True)
+    for key in PRICE_KEYS:
+        known = known & F.col(key).isNotNull()
+    return df.withColumn("_price", F.when(known, F.struct(*PRICE_KEYS)))
+
 
-    Equal keys are cloud, SKU and unit. The price list is broadcast when its measured size allows it, so usage
-    is read in place whatever the distribution of SKUs is; otherwise the equi-join shuffles.
+def _meet(
+    usage: DataFrame, prices: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], most: int = BROADCAST_BYTES, bound: int = HOT_GROUP_ROWS
+) -> DataFrame:
+    """``meet`` of usage and price list, which joins them on ``_price``.
+
+    The price list is broadcast when its measured size allows it, so usage is read in place whatever the distribution of SKUs is. Otherwise
+    both are partitioned by the keys, into tasks of a number of rows, and a task holds its part of the price list, not of the usage.
+    Usage of buckets of keys with more than ``bound`` rows, which are few, meets their prices in place.
     """
-    p = checked_broadcast(
-        prices.select(*PRICE_KEYS, "price_start_time", "price_end_time", "currency_code", F.col("pricing.effective_list.default").alias("unit_list_price"))
-    )
-    return (
-        usage.join(p, list(PRICE_KEYS))
-        .where(
-            (F.col("usage_start_time") >= F.col("price_start_time"))
-            & (F.col("price_end_time").isNull() | (F.col("usage_end_time") <= F.col("price_end_time")))
-        )
-        .drop("price_start_time", "price_end_time")
-        .withColumn("effective_list_cost", F.col("usage_quantity") * F.col("unit_list_price"))
-    )
+    bucket = F.pmod(F.xxhash64("_price"), F.lit(KEY_BUCKETS))
+    usage, p = _keyed(usage), durable(_keyed(prices).drop(*PRICE_KEYS))
+    if measured_bytes(p) <= most:
+        return meet(usage, F.broadcast(p))
+    parts = parts_for(usage)
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        return meet(rows.repartition(parts, "_price"), p.repartition(parts, "_price").hint("shuffle_hash"))
 
-def price_coverage(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    ordinary, hot = split_hot(usage.withColumn("_bucket", bucket), ["_bucket"], bound)
+    if hot is None:
+        return dealt(usage)
+    few = p.withColumn("_bucket", bucket).join(checked_broadcast(hot.select("_bucket").distinct()), "_bucket", "left_semi").drop("_bucket")
+    return dealt(ordinary.drop("_bucket")).unionByName(meet(hot.drop("_bucket"), checked_broadcast(few, most)))
+
+
+def price_usage(usage: DataFrame, prices: DataFrame, most: int = BROADCAST_BYTES, bound: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Usage joined to every price whose validity interval contains it; equal keys are cloud, SKU and unit."""
+    listed = prices.select(*PRICE_KEYS, "price_start_time", "price_end_time", "currency_code", F.col("pricing.effective_list.default").alias("unit_list_price"))
+    met = _meet(usage, listed, lambda u, p: u.join(p, "_price").where(_inside()).drop("_price", "price_start_time", "price_end_time"), most, bound)
+    return met.withColumn("effective_list_cost", F.col("usage_quantity") * F.col("unit_list_price"))
+
+
+def price_coverage(usage: DataFrame, prices: DataFrame, most: int = BROADCAST_BYTES, bound: int = HOT_GROUP_ROWS) -> DataFrame:
     """Usage rows per product by the number of prices that match them: none, one or several.
 
     Prices only depend on SKU and interval, so equal (keys, interval) usage is counted before it is priced.
     """
-    keys = [*PRICE_KEYS, "usage_start_time", "usage_end_time"]
-    grouped = usage.groupBy("billing_origin_product", *keys).agg(F.count(F.lit(1)).alias("rows"))
-    p = checked_broadcast(prices.select(*PRICE_KEYS, "price_start_time", "price_end_time"))
-    inside = (F.col("usage_start_time") >= F.col("price_start_time")) & (
-        F.col("price_end_time").isNull() | (F.col("usage_end_time") <= F.col("price_end_time"))
-    )
-    matched = (
-        grouped.join(p, list(PRICE_KEYS), "left")
-        .groupBy("billing_origin_product", *keys, "rows")
-        .agg(F.count_if(inside).alias("matches"))
-    )
+    keys = ["billing_origin_product", "_price", "usage_start_time", "usage_end_time"]
+
+    def meet(u: DataFrame, p: DataFrame) -> DataFrame:
+        grouped = u.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        return grouped.join(p, "_price", "left").groupBy(*keys, "rows").agg(F.count_if(_inside()).alias("matches"))
+
+    matched = _meet(usage.select(*PRICE_KEYS, *(k for k in keys if k != "_price")), prices.select(*PRICE_KEYS, "price_start_time", "price_end_time"), meet, most, bound)
     return matched.groupBy("billing_origin_product").agg(
         F.coalesce(F.sum(F.when(F.col("matches") == 0, F.col("rows"))), F.lit(0)).cast("long").alias("unpriced"),
         F.coalesce(F.sum(F.when(F.col("matches") == 1, F.col("rows"))), F.lit(0)).cast("long").alias("priced_once"),

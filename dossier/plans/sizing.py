@@ -11,6 +11,9 @@ from dossier.plans.durable import durable
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_GROUP_ROWS = 1_000_000
+TASK_ROWS = 200_000
+#: Up to so many partitions a shuffle writes without holding rows back in memory.
+MOST_PARTS = 200
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -58,3 +61,9 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(parts, *keys)
+
+
+def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """So many partitions that one has about ``rows`` rows; MOST_PARTS, or what shuffles have, are the most."""
+    most = max(MOST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(most, -(-df.count() // rows)))
