@@ -22,7 +22,8 @@ from dossier.functions.text import (
 )
 from dossier.plans.containment import containing
 from dossier.plans.durable import durable
-from dossier.plans.sizing import checked_broadcast, spread_by
+from dossier.plans.postings import postings, score_batches
+from dossier.plans.sizing import checked_broadcast, measured_bytes, spread_by
 
 # Weights of a matched query term, a matched expansion term and the whole query found as one phrase.
 TERM_WEIGHT, EXPANSION_WEIGHT, PHRASE_WEIGHT = 10, 4, 20
@@ -158,11 +159,54 @@ def _read(passages: DataFrame, stop: Sequence[str], *keys: str) -> DataFrame:
     return text.withColumn("_t", label_tokens(F.col("_norm"), 3, stop))
 
 
-def _pairs(text: DataFrame, terms: DataFrame, asked: DataFrame | None = None, excluded: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
-    """Passages joined to the queries of which they hold an asked term, scored where the passages lie.
+#: Query lists of up to so many bytes are held by every task; longer ones are joined.
+LISTED_BYTES = 16 * 1024 * 1024
+_ORDER = (("document_id", False), ("passage_order", True), ("passage_id", False))
+
+
+def _pairs(
+    text: DataFrame, terms: DataFrame, asked: DataFrame | None = None, excluded: DataFrame | None = None, within: DataFrame | None = None,
+    best: int | None = None, by_package: bool = False, words: bool = True, listed_bytes: int | None = None,
+) -> DataFrame:
+    """Passages and the queries of which they hold an asked term, scored where the passages lie.
 
     ``text``: see ``_read``. ``asked``: (query_id, term), some of ``terms``; all of them if None. ``excluded`` and ``within``: (query_id, package_id)
-    that are left out, or the only ones looked at. A pair meets once for each asked term that it
+    that are left out, or the only ones looked at. ``best``: how many of a query, or of a query and package, are wanted; more may be returned,
+    those wanted are among them. ``words``: with the own and the expanded terms in common. No pair is shuffled. Lists of queries of a
+    measured size are held by the tasks, which add up the points of all pairs of a batch; longer lists are joined.
+    """
+    terms = durable(terms)
+    lists = [terms, *(durable(x) for x in (asked, excluded, within) if x is not None)]
+    if not _short(lists, listed_bytes) or (excluded is not None and within is not None):
+        met = _joined_pairs(text, terms, asked, excluded, within)
+        return met if words else met.drop("_own", "_wide")
+    rest = iter(lists[1:])
+    asked, excluded, within = (None if x is None else next(rest) for x in (asked, excluded, within))
+    named = within if excluded is None else excluded
+    p = postings(
+        terms.select("query_id", "term", "expanded", "_phrase").collect(), asked and asked.select("query_id", "term").collect(),
+        None if named is None else named.select("query_id", "package_id").collect(), within is not None,
+    )
+    columns = [c for c in text.columns if c not in ("_norm", "_t")]
+    kinds = {f.name: f.dataType.simpleString() for f in text.schema.fields}
+    schema = ", ".join(["query_id string", *(f"{c} {kinds[c]}" for c in columns), "lexical_score long", *(["_own array<string>", "_wide array<string>"] if words else [])])
+    order = [k for k in _ORDER if k[0] in columns]
+    weights = (TERM_WEIGHT, EXPANSION_WEIGHT, PHRASE_WEIGHT)
+
+    def scored(batches):
+        return score_batches(batches, p, columns, weights, words, best, by_package, order)
+
+    return text.mapInArrow(scored, schema)
+
+
+def _short(lists: Sequence[DataFrame], listed_bytes: int | None = None) -> bool:
+    return sum(map(measured_bytes, lists)) <= (LISTED_BYTES if listed_bytes is None else listed_bytes)
+
+
+def _joined_pairs(text: DataFrame, terms: DataFrame, asked: DataFrame | None, excluded: DataFrame | None, within: DataFrame | None) -> DataFrame:
+    """Passages joined to the queries of which they hold an asked term, scored where the passages lie.
+
+    See ``_pairs``. A pair meets once for each asked term that it
     shares and is kept at the first of them, so that nothing has to be brought together: no pair is shuffled.
     """
     asked = terms.select("query_id", "term") if asked is None else asked
@@ -197,7 +241,7 @@ def lexical_scores(
     ``queries``: query_id, query_text. ``excluded``: query_id, package_id of packages that a query must not find.
     """
     keys = ["document_id", "passage_order", *(["package_id"] if excluded is not None else [])]
-    return _pairs(_read(passages, stop, *keys), _query_terms(queries, expansions, stop), excluded=excluded).drop("_own", "_wide")
+    return _pairs(_read(passages, stop, *keys), _query_terms(queries, expansions, stop), excluded=excluded, words=False)
 
 
 def _reach(text: DataFrame, terms: DataFrame) -> DataFrame:
@@ -221,35 +265,42 @@ def lexical_retrieve(
     max_chars: int | None = None,
     stop: Sequence[str] = TAXONOMY_STOP_WORDS,
     excluded: DataFrame | None = None,
+    listed_bytes: int | None = None,
 ) -> DataFrame:
     """The ``k`` best passages of each query; ``max_chars`` ends the list where a prompt has no more room.
 
-    ``passages``: document_id, passage_id, passage_order, passage_text and further columns. First the passages that hold one of the rarer terms of
-    a query are scored; the k-th best of them is a bound that the result reaches. Terms so frequent that all of them and the whole
+    ``passages``: document_id, passage_id, passage_order, passage_text and further columns. Queries whose lists are short (see ``_pairs``) are answered
+    in one walk over the passages. Otherwise the passages that hold one of the rarer terms of a query are scored first; the k-th best of them is a bound that the result reaches. Terms so frequent that all of them and the whole
     phrase together stay below the bound need not be looked for: a passage is scored only if it holds a term that can still reach it. Queries
     whose rarer terms were enough are done, the others look for the rest. Pairs are scored in the task of their passage, which sends
     on the ``k`` best of each query.
     """
     keys = ["document_id", "passage_order", *(["package_id"] if excluded is not None else [])]
     text = _read(passages, stop, *keys)
-    terms = _reach(text, _query_terms(queries, expansions, stop))
+    terms = _query_terms(queries, expansions, stop)
+    excluded = None if excluded is None else durable(excluded)
     order = [F.desc("lexical_score"), "document_id", F.asc_nulls_last("passage_order"), "passage_id"]
 
-    def best(asked: DataFrame, of: DataFrame) -> DataFrame:
+    def best(asked: DataFrame | None, of: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-        return _pairs(text, of, asked.select("query_id", "term"), excluded).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-
-    # the rarer half of the points, never none of them
-    rarer = F.col("_rarer") * 2 < F.col("_rarer") + F.col("_rest")
-    hits = durable(best(terms.where(rarer), terms))
-    bound = hits.where(F.col("rank") == k).select("query_id", F.col("lexical_score").alias("_bound"))
-    needed = terms.join(checked_broadcast(bound), "query_id", "left").where(F.col("_rest") + PHRASE_WEIGHT >= F.coalesce("_bound", F.lit(0)))
-    unfinished = durable(needed.where(~rarer).select("query_id").distinct())
-    if not unfinished.isEmpty():
-        unfinished = checked_broadcast(unfinished)
-        of = terms.join(unfinished, "query_id", "left_semi")
-        more = best(needed.join(unfinished, "query_id", "left_semi"), of)
-        hits = durable(hits.join(unfinished, "query_id", "left_anti").unionByName(more.select(*hits.columns)))
+        met = _pairs(text, of, asked and asked.select("query_id", "term"), excluded, best=k, listed_bytes=listed_bytes)
+        return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    if _short([terms, *([] if excluded is None else [excluded])], listed_bytes):
+        hits = durable(best(None, terms))
+    else:
+        terms = _reach(text, terms)
+        # the rarer half of the points, never none of them
+        rarer = F.col("_rarer") * 2 < F.col("_rarer") + F.col("_rest")
+        hits = durable(best(terms.where(rarer), terms))
+        bound = hits.where(F.col("rank") == k).select("query_id", F.col("lexical_score").alias("_bound"))
+        needed = terms.join(checked_broadcast(bound), "query_id", "left").where(F.col("_rest") + PHRASE_WEIGHT >= F.coalesce("_bound", F.lit(0)))
+        unfinished = durable(needed.where(~rarer).select("query_id").distinct())
+        if not unfinished.isEmpty():
+            unfinished = checked_broadcast(unfinished)
+            of = terms.join(unfinished, "query_id", "left_semi")
+            more = best(needed.join(unfinished, "query_id", "left_semi"), of)
+            hits = durable(hits.join(unfinished, "query_id", "left_anti").unionByName(more.select(*hits.columns)))
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = hits.withColumn("cumulative_chars", F.sum("chars").over(running))
     if max_chars is not None:
@@ -516,13 +567,14 @@ def _case_text(passages: DataFrame, *keys: str) -> DataFrame:
     return _read(passages.where(F.col("package_id").isNotNull()), CASE_STOP_WORDS, "package_id", *keys)
 
 
-def case_pairs(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def case_pairs(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """Every (analysis, passage) pair that shares a term, with its lexical score, in the passage's task.
 
-    ``excluded``: query_id (the analysis), package_id. Passages of no package are left out.
+    ``excluded``: query_id (the analysis), package_id. Passages of no package are left out. ``best``: a task passes on at least so many of each
+    analysis and package, and need not pass on more.
     """
     text = _case_text(passages, "document_id", "passage_order", "page_start", "page_end")
-    return _pairs(text, _case_terms(concepts), excluded=excluded).drop("_own", "_wide").withColumnRenamed("query_id", "analysis_id")
+    return _pairs(text, _case_terms(concepts), excluded=excluded, best=best, by_package=True, words=False).withColumnRenamed("query_id", "analysis_id")
 
 
 def phrase_counts(text: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -606,7 +658,7 @@ def similar_cases(
     by_analysis = Window.partitionBy("analysis_id")
     # packages that agree in all keys so far share a place
     open_ = durable(packages.withColumn("_place", F.rank().over(by_analysis.orderBy(*order))).where(F.col("_place") <= k).drop("_place"))
-    met = _pairs(text, terms, within=open_.select(F.col("analysis_id").alias("query_id"), "package_id"))
+    met = _pairs(text, terms, within=open_.select(F.col("analysis_id").alias("query_id"), "package_id"), best=1, by_package=True, words=False)
     top = met.groupBy(F.col("query_id").alias("analysis_id"), "package_id").agg(F.max("lexical_score").alias("max_passage_score"))
     rank = F.row_number().over(by_analysis.orderBy(*order, F.desc("max_passage_score"), "package_id"))
     return (

@@ -280,7 +280,7 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_evidence(R.case_pairs(B.passages(spark, d), _focus(spark, d), _own(spark, d)), B.docs(spark, d), n=4)
+    return R.top_evidence(R.case_pairs(B.passages(spark, d), _focus(spark, d), _own(spark, d), best=4), B.docs(spark, d), n=4)
 
 
 @query(
