@@ -577,27 +577,29 @@ def case_pairs(passages: DataFrame, concepts: DataFrame, excluded: DataFrame | N
     return _pairs(text, _case_terms(concepts), excluded=excluded, best=best, by_package=True, words=False).withColumnRenamed("query_id", "analysis_id")
 
 
-def phrase_counts(text: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(package_id, _phrase, _t, passages): how many passages of a package contain a phrase.
+def phrase_counts(text: DataFrame, named: DataFrame, lists: DataFrame) -> DataFrame:
+    """(package_id, _phrase, analysis_id, passages): how many passages of a package contain a phrase.
 
-    ``text``: see ``_case_text``. Passages that hold a word of the phrase are counted together and have no ``_t``; where the phrase is only a part of
-    longer words, or has no word that counts, passages are counted by their terms.
-    """
-    held = containing(text, "_norm", phrases, "_phrase")
-    sure = F.arrays_overlap("_t", label_tokens(F.col("_phrase"), 3, CASE_STOP_WORDS))
-    unsure = F.when(~F.coalesce(sure, F.lit(False)), F.col("_t"))
-    return durable(held.groupBy("package_id", "_phrase", unsure.alias("_t")).agg(F.count(F.lit(1)).alias("passages")))
-
-
-def _by_analysis(counted: DataFrame, named: DataFrame, lists: DataFrame) -> DataFrame:
-    """Counts of ``phrase_counts`` for the analyses that have the phrase, of passages that share a term with the analysis.
-
-    ``named``: analysis_id, _phrase and further columns. A word of the phrase is a term of the analysis; other passages are compared by their terms.
+    ``text``: see ``_case_text``. ``named``: analysis_id, _phrase. ``lists``: analysis_id, _terms. Passages that hold a word of the phrase share it
+    with every analysis and are counted together, without ``analysis_id``; where the phrase is only a part of longer words, or has no word that
+    counts, passages are compared with the terms of its analyses where they lie.
     """
+    asking = named.distinct().join(lists, "analysis_id").groupBy("_phrase").agg(F.collect_list(F.struct("analysis_id", "_terms")).alias("_by"))
+    held = containing(text, "_norm", named, "_phrase")
+    sure = F.coalesce(F.arrays_overlap("_t", label_tokens(F.col("_phrase"), 3, CASE_STOP_WORDS)), F.lit(False))
+    kind = named.schema["analysis_id"].dataType
+    sharing = F.transform(F.filter("_by", lambda a: F.arrays_overlap(a["_terms"], F.col("_t"))), lambda a: a["analysis_id"])
+    by = F.when(sure, F.array(F.lit(None).cast(kind))).otherwise(sharing)
+    rows = held.join(checked_broadcast(asking), "_phrase").select("package_id", "_phrase", F.explode(by).alias("analysis_id"))
+    return durable(rows.groupBy("package_id", "_phrase", "analysis_id").agg(F.count(F.lit(1)).alias("passages")))
+
+
+def _by_analysis(counted: DataFrame, named: DataFrame) -> DataFrame:
+    """Counts of ``phrase_counts`` for the analyses that have the phrase. ``named``: analysis_id, _phrase and further columns."""
     named = checked_broadcast(named)
     columns = ["package_id", "passages", *named.columns]
-    compared = counted.where("_t is not null").join(named, "_phrase").join(lists, "analysis_id").where(F.arrays_overlap("_t", "_terms"))
-    return counted.where("_t is null").join(named, "_phrase").select(*columns).unionByName(compared.select(*columns))
+    sure = counted.where("analysis_id is null").drop("analysis_id").join(named, "_phrase")
+    return sure.select(*columns).unionByName(counted.where("analysis_id is not null").join(named, ["analysis_id", "_phrase"]).select(*columns))
 
 
 def package_index(text: DataFrame, terms: DataFrame) -> DataFrame:
@@ -630,9 +632,9 @@ def similar_cases(
     def allowed(rows: DataFrame) -> DataFrame:
         return rows if own is None else rows.join(own, pair, "left_anti")
 
-    counted = phrase_counts(text, labels.select("_phrase").unionByName(queries.select("_phrase")))
+    counted = phrase_counts(text, labels.select("analysis_id", "_phrase").unionByName(queries.select("analysis_id", "_phrase")), lists)
     by_concept = durable(
-        allowed(_by_analysis(counted, labels, lists)).groupBy(*pair).agg(
+        allowed(_by_analysis(counted, labels)).groupBy(*pair).agg(
             F.sum(F.col("weight") * F.col("passages")).alias("matched_concept_weight"), F.array_sort(F.collect_set("label")).alias("matched_concepts")
         )
     )
@@ -642,7 +644,7 @@ def similar_cases(
     zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
     index = package_index(text, terms).join(checked_broadcast(rated), "term")
     rows = index.select(*pair, "term", (TERM_WEIGHT * F.col("passages")).alias("_points"), (F.col("weight") * F.col("passages")).alias("_terms"))
-    whole = _by_analysis(counted, queries, lists)
+    whole = _by_analysis(counted, queries)
     rows = allowed(rows.unionByName(whole.select(*pair, F.lit(None).cast("string").alias("term"), (PHRASE_WEIGHT * F.col("passages")).alias("_points"), zero.alias("_terms"))))
     weight = F.coalesce("matched_concept_weight", zero)
     rows = rows.join(checked_broadcast(by_concept), pair, "left").join(checked_broadcast(floor), "analysis_id", "left").where(weight >= F.coalesce("_floor", zero))
@@ -688,6 +690,7 @@ def top_evidence(pairs: DataFrame, documents: DataFrame, *, n: int) -> DataFrame
 
 def similar_case_violations(candidates: DataFrame, evidence: DataFrame, passages: DataFrame, own: DataFrame) -> DataFrame:
     """(analysis_id, rule, key): repeated or missing ranks, own packages and evidence that does not exist."""
+    candidates = durable(candidates)
     ranks = candidates.groupBy("analysis_id").agg(
         F.count(F.lit(1)).alias("_n"), F.countDistinct("rank").alias("_d"), F.min("rank").alias("_lo"), F.max("rank").alias("_hi")
     )
