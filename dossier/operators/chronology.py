@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -276,30 +277,40 @@ def timeline_conflicts(projected: DataFrame) -> DataFrame:
     return projected.select("analysis_id", F.explode(kinds).alias("conflict_type"), "node_id")
 
 
+#: Events of small analyses that are ordered in one call.
+BUCKET_ROWS = 20_000
 _PRIORITY = ["_sequence", "_minutes", "_audio", "_label", "node_id"]
 
 
 def _order_per_group(events: DataFrame, links: DataFrame) -> DataFrame:
+    """Analyses are ordered in buckets of some BUCKET_ROWS events, because a call of a task costs more than a small analysis."""
+
     def order(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if nodes.empty:
-            return pd.DataFrame({"analysis_id": [], "node_id": [], "sequence_position": [], "in_cycle": []})
-        nodes = nodes.sort_values(_PRIORITY)
-        ranks = {n: i for i, n in enumerate(nodes["node_id"])}
-        done, held = _topological(ranks, list(zip(edges["source_node_id"], edges["target_node_id"])))
-        return pd.DataFrame(
-            {
-                "analysis_id": nodes["analysis_id"].iloc[0],
-                "node_id": done + held,
-                "sequence_position": range(1, len(ranks) + 1),
-                "in_cycle": [False] * len(done) + [True] * len(held),
-            }
-        )
+        linked: dict[object, list[tuple]] = {}
+        for analysis, source, target in zip(edges["_analysis"], edges["source_node_id"], edges["target_node_id"]):
+            linked.setdefault(analysis, []).append((source, target))
+        nodes = nodes.sort_values(["analysis_id", *_PRIORITY])
+        columns: dict[str, list] = {"analysis_id": [], "node_id": [], "sequence_position": [], "in_cycle": []}
+        for analysis, rows in groupby(zip(nodes["analysis_id"], nodes["node_id"]), key=lambda r: r[0]):
+            ranks = {n: i for i, (_, n) in enumerate(rows)}
+            done, held = _topological(ranks, linked.get(analysis, []))
+            columns["analysis_id"] += [analysis] * len(ranks)
+            columns["node_id"] += done + held
+            columns["sequence_position"] += range(1, len(ranks) + 1)
+            columns["in_cycle"] += [False] * len(done) + [True] * len(held)
+        return pd.DataFrame(columns)
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = f"analysis_id {kinds['analysis_id']}, node_id {kinds['node_id']}, sequence_position long, in_cycle boolean"
-    nodes = events.select("analysis_id", *_PRIORITY)
-    ends = links.select(F.col("analysis_id").alias("_analysis"), "source_node_id", "target_node_id")
-    return nodes.groupBy("analysis_id").cogroup(ends.groupBy("_analysis")).applyInPandas(order, schema)
+    buckets = max(1, -(-events.count() // BUCKET_ROWS))
+
+    def bucket(analysis: str) -> Column:
+        return F.pmod(F.xxhash64(analysis), F.lit(buckets)).alias("_bucket")
+
+    # events of no analysis have no place
+    nodes = events.where("analysis_id is not null").select(bucket("analysis_id"), "analysis_id", *_PRIORITY)
+    ends = links.select(bucket("analysis_id"), F.col("analysis_id").alias("_analysis"), "source_node_id", "target_node_id")
+    return nodes.groupBy("_bucket").cogroup(ends.groupBy("_bucket")).applyInPandas(order, schema)
 
 
 def _order_hot(events: DataFrame, links: DataFrame, bound: int) -> DataFrame:
