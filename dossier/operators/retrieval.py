@@ -23,6 +23,7 @@ from dossier.functions.text import (
 from dossier.plans.containment import containing
 from dossier.plans.durable import durable
 from dossier.plans.postings import postings, score_batches
+from dossier.plans.runs import relation_batches
 from dossier.plans.sizing import checked_broadcast, measured_bytes, spread_by
 
 # Weights of a matched query term, a matched expansion term and the whole query found as one phrase.
@@ -382,6 +383,14 @@ RELATION_CUES = (
 )
 
 
+# Roles whose terms a cue relates.
+RELATION_ROLES = ("SUBJECT_FACTOR", "OBJECT_EVENT")
+_HITS = (
+    "array<struct<query_id:string, requested_relationship:string, relation_cue:string, relation_direction:string, cue_position:bigint, "
+    "subject_term:string, object_term:string>>"
+)
+
+
 def _sentences(passages: DataFrame) -> DataFrame:
     return passages.select(
         "passage_id", "document_id", F.posexplode(F.split(F.col("passage_text"), r"(?<=[.!?])\s+")).alias("sentence_index", "evidence_text")
@@ -421,27 +430,49 @@ def _cue_places(words: Column, cues: Sequence[tuple[str, str, str]]) -> Column:
 
 
 def governed_relationship_query(
-    passages: DataFrame, queries: DataFrame, terms: DataFrame, cues: Sequence[tuple[str, str, str]] = RELATION_CUES
+    passages: DataFrame, queries: DataFrame, terms: DataFrame, cues: Sequence[tuple[str, str, str]] = RELATION_CUES, listed_bytes: int | None = None
 ) -> DataFrame:
     """Sentences in which a subject term, a relation cue and an object term follow each other.
 
     ``queries``: query_id, relationship. ``terms``: query_id, role (SUBJECT_FACTOR, OBJECT_EVENT), term of any number of words.
     For every place of a cue the nearest term before it and the nearest term after it are taken (counted in words, then
     the longer, then the first term), so a place gives at most one row per query. FORWARD cues read subject - cue -
-    object, REVERSE cues the other way. Sentences meet the terms that they contain and find places and distances where they lie;
-    only the nearest terms are brought together, and the sentences are read again for the rows found.
+    object, REVERSE cues the other way. A task reads a sentence once for all terms and settles its places there (``plans.runs``); lists of terms
+    above ``listed_bytes`` are joined.
     """
-    # Sentences without any cue are dropped before anything is joined.
+    # Sentences without any cue are dropped before anything else.
     norm = normalise_label(F.col("evidence_text"))
-    spaced = _sentences(passages).select("passage_id", "document_id", "sentence_index", _spaced(norm).alias("_spaced"))
-    sentences = spaced.where(F.rlike("_spaced", F.lit("|".join(rf" \Q{c}\E " for _, c, _ in cues))))
-    ids = ["passage_id", "document_id", "sentence_index"]
-    wanted = checked_broadcast(
-        terms.join(queries, "query_id").where(F.col("role").isin("SUBJECT_FACTOR", "OBJECT_EVENT")).select(
+    sentences = _sentences(passages).withColumn("_spaced", _spaced(norm)).where(F.rlike("_spaced", F.lit("|".join(rf" \Q{c}\E " for _, c, _ in cues))))
+    wanted = durable(
+        terms.join(queries, "query_id").where(F.col("role").isin(*RELATION_ROLES)).select(
             "query_id", "relationship", "role", "term", _spaced(normalise_label(F.col("term"))).alias("_run")
         ).where(F.trim("_run") != "").distinct()
     )
-    met = containing(sentences, "_spaced", wanted.select("_run"), "_run")
+    result = ["query_id", "requested_relationship", "passage_id", "document_id", "sentence_index", "subject_term", "relation_cue", "cue_position", "relation_direction", "object_term", "evidence_text"]
+    if _short([wanted], listed_bytes):
+        asked = [tuple(r) for r in wanted.where("relationship IS NOT NULL").withColumn("_run", F.trim("_run")).collect()]
+        read = sentences.where(F.col("passage_id").isNotNull()).select(
+            "passage_id", "document_id", F.col("sentence_index").cast("long").alias("sentence_index"), "evidence_text", F.split(F.trim("_spaced"), " ").alias("_w")
+        )
+        columns = ["passage_id", "document_id", "sentence_index", "evidence_text"]
+
+        def related(batches):
+            return relation_batches(batches, asked, cues, columns, RELATION_ROLES)
+
+        hits = read.mapInArrow(related, f"passage_id string, document_id string, sentence_index long, evidence_text string, _hits {_HITS}")
+        # the text of a sentence is digested once for all its rows
+        rows = hits.withColumn("evidence_text_sha256", F.sha2("evidence_text", 256)).select(*columns, "evidence_text_sha256", F.inline("_hits"))
+        return rows.select(*result, "evidence_text_sha256")
+    return _joined_relationships(passages, sentences, wanted, cues).withColumn("evidence_text_sha256", F.sha2("evidence_text", 256)).select(*result, "evidence_text_sha256")
+
+
+def _joined_relationships(passages: DataFrame, sentences: DataFrame, wanted: DataFrame, cues: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """See ``governed_relationship_query``. Sentences meet the terms that they contain and find places and distances where they lie;
+    only the nearest terms are brought together, and the sentences are read again for the rows found.
+    """
+    ids = ["passage_id", "document_id", "sentence_index"]
+    wanted = checked_broadcast(wanted)
+    met = containing(sentences.select(*ids, "_spaced"), "_spaced", wanted.select("_run"), "_run")
     # places of cues and of the term are found once for a sentence and a term, and then serve all its queries
     words, run = F.split(F.trim("_spaced"), " "), F.split(F.trim("_run"), " ")
     length = F.size("_words")
@@ -478,7 +509,6 @@ def governed_relationship_query(
         "relation_direction",
         F.col("_object.term").alias("object_term"),
         "evidence_text",
-        F.sha2("evidence_text", 256).alias("evidence_text_sha256"),
     )
 
 
