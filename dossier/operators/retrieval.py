@@ -23,7 +23,7 @@ from dossier.functions.text import (
 from dossier.plans.containment import containing
 from dossier.plans.durable import durable
 from dossier.plans.postings import postings, score_batches
-from dossier.plans.runs import relation_batches
+from dossier.plans.runs import relation_batches, role_batches
 from dossier.plans.sizing import checked_broadcast, measured_bytes, spread_by
 
 # Weights of a matched query term, a matched expansion term and the whole query found as one phrase.
@@ -520,30 +520,60 @@ def role_matches(passages: DataFrame, terms: DataFrame) -> DataFrame:
     return met.join(wanted, "_run").select("query_id", "role", "term", "package_id", "document_id", "passage_id")
 
 
-def role_coverage_retrieve(passages: DataFrame, terms: DataFrame) -> DataFrame:
+def role_coverage_retrieve(passages: DataFrame, terms: DataFrame, listed_bytes: int | None = None) -> DataFrame:
     """Matching passages of packages in which every role of the query occurs.
 
     Returns query, package, document, passage, the number of matched roles, whether the passage alone has all
     roles, and the matched terms as ``role=term`` strings. The matches of one passage are bounded by the terms of the query.
+
+    Passages are read twice, for the roles of packages and for the rows (``plans.runs``): matches are settled where the passage lies, and only those of
+    repeated keys are brought together. Lists of terms above ``listed_bytes`` are joined.
     """
     keys = ["query_id", "package_id", "document_id", "passage_id"]
-    per_passage = durable(role_matches(passages, terms).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("role", "term"))).alias("_hits")))
+    wanted = durable(terms.select("query_id", "role", "term", normalise_label(F.col("term")).alias("_run")).where(F.col("_run") != "").distinct())
     roles = terms.where(F.length(normalise_label(F.col("term"))) > 0).groupBy("query_id").agg(F.countDistinct("role").alias("roles"))
-    found = F.array_distinct(F.transform("_hits", lambda t: t["role"]))
+    if _short([wanted], listed_bytes):
+        asked = [tuple(r) for r in wanted.where("query_id IS NOT NULL").collect()]
+        read = passages.where(F.col("package_id").isNotNull()).select(*keys[1:], F.split(normalise_label(F.col("passage_text")), " ").alias("_w"))
+
+        def by_package(batches):
+            return role_batches(batches, asked, (), True)
+
+        def by_passage(batches):
+            return role_batches(batches, asked, keys[1:], False)
+
+        found = read.select("package_id", "_w").mapInArrow(by_package, "query_id string, package_id string, role string")
+        schema = ", ".join(f"{k} string" for k in keys) + ", _roles array<string>, _labels array<string>"
+        key = F.xxhash64(*keys[1:])
+        # keys that come again are known by their hash; a passage that only shares the hash is grouped, too
+        again = checked_broadcast(read.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+        if again.isEmpty():
+            matched = read.mapInArrow(by_passage, schema)
+        else:
+            keyed = read.withColumn("_key", key)
+            matched = keyed.join(again, "_key", "left_anti").select(*read.columns).mapInArrow(by_passage, schema).unionByName(
+                keyed.join(again, "_key", "left_semi").select(*read.columns).mapInArrow(by_passage, schema).groupBy(*keys).agg(
+                    F.array_distinct(F.flatten(F.collect_list("_roles"))).alias("_roles"), F.array_sort(F.flatten(F.collect_list("_labels"))).alias("_labels")
+                )
+            )
+    else:
+        label = F.concat_ws("=", "role", "term")
+        matched = durable(
+            role_matches(passages, terms).groupBy(*keys).agg(
+                F.array_distinct(F.transform(F.collect_list(F.struct("role")), lambda t: t["role"])).alias("_roles"), F.array_sort(F.collect_list(label)).alias("_labels")
+            )
+        )
+        found = matched.select("query_id", "package_id", F.explode("_roles").alias("role"))
     complete = (
-        per_passage.select("query_id", "package_id", F.explode(found).alias("role"))
-        .distinct()
+        found.distinct()
         .groupBy("query_id", "package_id")
         .agg(F.count(F.lit(1)).alias("_n"))
         .join(roles, "query_id")
         .where(F.col("_n") == F.col("roles"))
         .select("query_id", "package_id", "roles")
     )
-    kept = per_passage.join(checked_broadcast(complete), ["query_id", "package_id"]).withColumn("matched_roles", F.size(found).cast("long"))
-    return kept.select(
-        *keys, "matched_roles", (F.col("matched_roles") == F.col("roles")).alias("all_roles_in_passage"),
-        F.array_join(F.array_sort(F.transform("_hits", lambda t: F.concat_ws("=", t["role"], t["term"]))), "; ").alias("matched_terms"),
-    )
+    kept = matched.join(checked_broadcast(complete), ["query_id", "package_id"]).withColumn("matched_roles", F.size("_roles").cast("long"))
+    return kept.select(*keys, "matched_roles", (F.col("matched_roles") == F.col("roles")).alias("all_roles_in_passage"), F.array_join("_labels", "; ").alias("matched_terms"))
 
 
 # --- similar cases ----------------------------------------------------------------------------------------

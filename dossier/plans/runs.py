@@ -102,6 +102,50 @@ def _nested(values: pa.Array | pa.StructArray, starts: np.ndarray) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
 
 
+def role_batches(
+    batches: Iterator[pa.RecordBatch], wanted: Sequence[tuple], columns: Sequence[str], by_package: bool
+) -> Iterator[pa.RecordBatch]:
+    """``wanted``: (query_id, role, term, run). Per query and row that holds a run of it: ``columns``, the distinct roles and the terms as sorted ``role=term``.
+
+    With ``by_package``: (query_id, package_id, role) alone, each once per batch.
+    """
+    runs = Runs(w[3] for w in wanted)
+    queries, roles = list(dict.fromkeys(w[0] for w in wanted)), list(dict.fromkeys(w[1] for w in wanted))
+    texts = ["=".join(x for x in w[1:3] if x is not None) for w in wanted]
+    labels = sorted(set(texts), key=lambda t: t.encode())
+    query, role, label = ({x: i for i, x in enumerate(of)} for of in (queries, roles, labels))
+    asked = Asked(runs, [(w[3], query[w[0]], role[w[1]], label[t], i) for i, (w, t) in enumerate(zip(wanted, texts, strict=True))])
+    names, role_names, label_names = (pa.array(x, pa.string()) for x in (queries, roles, labels))
+    for batch in batches if wanted else ():
+        row, _, run = runs.found(batch.column("_w"))
+        # each run once for a row
+        pair = np.unique(row * max(1, len(runs.listed)) + run)
+        row, run = pair // max(1, len(runs.listed)), pair % max(1, len(runs.listed))
+        many = np.bincount(row, weights=asked.many[run], minlength=len(batch)).astype(np.int64)
+        begins = np.searchsorted(row, np.arange(len(batch) + 1))
+        package = batch.column("package_id").dictionary_encode() if by_package else None
+        for low, high in _steps(many):
+            at, entry = asked.of(run[begins[low]:begins[high]])
+            r, (q, o, t, i) = row[begins[low]:begins[high]][at], asked.values[entry].T.reshape(4, -1)
+            if by_package:
+                none = len(package.dictionary)
+                code = np.asarray(package.indices.fill_null(none)).astype(np.int64)[r]
+                key = np.unique((code * len(queries) + q) * len(roles) + o)
+                code, q, o = key // len(roles) // len(queries), key // len(roles) % len(queries), key % len(roles)
+                known = pa.array(np.where(code == none, 0, code), mask=code == none)
+                yield pa.RecordBatch.from_pydict({"query_id": names.take(pa.array(q)), "package_id": package.dictionary.take(known), "role": role_names.take(pa.array(o))})
+                continue
+            by = np.lexsort((i, t, q, r))
+            r, q, o, t = r[by], q[by], o[by], t[by]
+            starts = np.flatnonzero(_firsts(r, q))
+            group = np.cumsum(_firsts(r, q)) - 1 if len(r) else r
+            told = np.unique(group * len(roles) + o)
+            role_starts = np.searchsorted(told // len(roles), np.arange(len(starts)))
+            out = {"query_id": names.take(pa.array(q[starts]))} | {c: batch.column(c).take(pa.array(r[starts])) for c in columns}
+            out |= {"_roles": _nested(role_names.take(pa.array(told % len(roles))), role_starts), "_labels": _nested(label_names.take(pa.array(t)), starts)}
+            yield pa.RecordBatch.from_pydict(out)
+
+
 def relation_batches(
     batches: Iterator[pa.RecordBatch], wanted: Sequence[tuple], cues: Sequence[tuple[str, str, str]], columns: Sequence[str], roles: tuple[str, str]
 ) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Relations settled where a text lies equal brute force and the joined form, and bring no matches together."""
+"""Relations and roles settled where a text lies equal brute force and the joined form, and bring no matches together."""
 
 from __future__ import annotations
 
@@ -75,6 +75,36 @@ def test_relations_equal_brute_force(spark, listed):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("listed", [None, 0])
+def test_roles_equal_brute_force(spark, listed):
+    rows, passages = _passages(spark)
+    terms = [(q, role, t) for q, role, t in _terms()] + [("q1", "CONTEXT", "ab"), ("q2", "CONTEXT", "nowhere")]
+    held, wanted = {}, set(terms)
+    roles = {q: {r for p, r, t in wanted if p == q and _norm(t)} for q in {t[0] for t in wanted} - {None}}
+    for package, document, passage, text in rows:
+        words = _norm(text).split(" ")
+        for q, role, term in wanted if package else ():
+            if q and _norm(term) and _places(words, _norm(term).split(" ")):
+                held.setdefault((q, package, document, passage), []).append((role, term))
+    in_package = {}
+    for (q, package, *_), hits in held.items():
+        in_package.setdefault((q, package), set()).update(r for r, _ in hits)
+    expected = Counter(
+        (*k, len({r for r, _ in h}), {r for r, _ in h} == roles[k[0]], "; ".join(sorted("=".join(x) for x in h)))
+        for k, h in held.items() if in_package[k[:2]] == roles[k[0]]
+    )
+    found = R.role_coverage_retrieve(passages, spark.createDataFrame(terms, "query_id string, role string, term string"), listed)
+    assert _counted(found, found.columns) == expected and len(expected) > 50
+
+
+def test_role_matches_are_not_brought_together(spark):
+    rows, passages = _passages(spark)
+    terms = spark.createDataFrame(_terms(), "query_id string, role string, term string")
+    found = R.role_coverage_retrieve(passages.dropDuplicates(["passage_id"]), terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "MapInArrow" in plan
+
+
 def test_a_long_sentence_keeps_all_its_hits(spark):
     text = " ".join(["ab and cd"] * 6_000)
     passages = spark.createDataFrame([("k", "d", "p", text)], "package_id string, document_id string, passage_id string, passage_text string")
