@@ -53,13 +53,13 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by keys for work that costs more than its bytes suggest.
+def spread_by(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """Partition by keys for work that costs more than its bytes suggest, into ``least`` partitions or more.
 
     The number of partitions is given, because adaptive execution would merge small partitions of long work.
     """
     spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(least, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(parts, *keys)
 
 
