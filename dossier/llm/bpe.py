@@ -6,7 +6,8 @@ rank is found by a scan, its boundary deleted, and only the two neighbouring ran
 ``SCAN_PARTS`` parts keep the ranks in a heap, because scans of a long list cost the square of its length; the order
 of merges (smallest rank, then leftmost) is the same.
 
-Nothing is shuffled. A worker holds the vocabulary and two bounded tables of pieces, the current and the one before.
+Nothing is shuffled. A task holds the vocabulary, two bounded tables of pieces (the current and the one before) and the ids of about
+``SLICE_BYTES`` of text; the tables go when it ends, since the worker lives on and serves other stages.
 Null texts are encoded as empty ones: no ids. Null or repeated ``doc_id`` and further columns do not matter, one row
 comes out for each row that goes in.
 """
@@ -25,8 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from dossier.llm.words import bounded
+
 SCAN_PARTS = 64
-CACHED_PIECES = 400_000
+CACHED_PIECES = 100_000
 CACHED_CHARS = 64
 BITS = 20
 MASK = (1 << BITS) - 1
@@ -135,6 +138,10 @@ class BytePairs:
             self.pieces[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the tables of pieces."""
+        self.pieces, self.earlier = {}, {}
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -158,16 +165,20 @@ def tokenizer(path: str) -> BytePairs:
     return BytePairs(path)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): the ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
-        for batch in batches:
-            ids = [model.encode(text.as_py() or "") for text in batch.column(1)]
+def encoded_batches(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids, decoded) of batches (doc_id, text), by parts of about ``SLICE_BYTES`` of text."""
+    model = tokenizer(path)
+    try:
+        for part in itertools.chain.from_iterable(bounded(batch, 1) for batch in batches):
+            ids = [model.encode(text.as_py() or "") for text in part.column(1)]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             texts = pa.array(map(model.decode, ids), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary()), texts], names=["doc_id", "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary()), texts], names=["doc_id", "n_tokens", "ids", "decoded"])
+    finally:
+        model.forget()
+
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): the ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: encoded_batches(b, path), f"doc_id {kind}, n_tokens long, ids binary, decoded string")

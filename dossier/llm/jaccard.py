@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.packing import pack, text_bytes, unpack
-from dossier.llm.words import Words, mix, plain, slices, windows, word_hashes, words
+from dossier.llm.words import Words, bounded, mix, plain, slices, windows, word_hashes, words
 from dossier.plans.components import connected_components
 from dossier.plans.durable import durable
-from dossier.plans.sizing import checked_broadcast
+from dossier.plans.sizing import arrow_rows, checked_broadcast
 
 SHINGLE = 4
 PERCENT = 85
@@ -59,6 +60,9 @@ LARGE_CROWD = 32
 CROWD_SAMPLE = 64
 #: Elements in a smaller part of the sample count as held by none, so a hub's list is at most so many average sets long.
 COMMON_PARTS = 32
+#: Pairs come with both texts and the list of their hub, so a batch has few; they are verified by parts with about so much text on one side.
+PAIR_ROWS = 1000
+VERIFIED_BYTES = 2 << 20
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -355,34 +359,37 @@ def held_by(only: np.ndarray, missing: np.ndarray, sampled: int, common: np.ndar
 
 
 def _verified(batches: Iterable[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Pairs by parts of a batch, since their sets and first elements take more room than their texts; nothing of a part is held after it."""
+    parts = chain.from_iterable(map(lambda b: bounded(b, 5, VERIFIED_BYTES), batches))
+    yield from map(lambda part: _verified_part(part, percent, size), parts)
+
+
+def _verified_part(batch: pa.RecordBatch, percent: int, size: int) -> pa.RecordBatch:
     names = ["a", "b", "a_size", "b_size", "linked", "d", "first"]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # the text of a hub comes with each of its pairs and is read once
-        hubs = batch.column(4).dictionary_encode()
-        hub_sets = list(_each_set(hubs.dictionary, size))
-        right, linked, d, first = [], [], [], []
-        pairs = zip(hubs.indices.to_pylist(), _each_set(batch.column(5), size), *[c.to_pylist() for c in batch.columns[:2]], *batch.columns[6:10], strict=True)
-        for at, (y, hy), a, b, crowded, sampled, common, sets in pairs:
-            x, hx = hub_sets[at]
-            # other texts of the same id come along
-            right.append(hx == a and hy == b)
-            only = np.setxor1d(x, y, assume_unique=True)
-            both = (len(x) + len(y) - len(only)) // 2
-            linked.append(100 * both >= percent * (both + len(only)))
-            d.append(len(only))
-            if crowded.as_py():
-                missing = np.isin(only, x, assume_unique=True)
-                take = int(allowed(percent, len(y), len(y) * 100 // percent)) + 1
-                rank = np.zeros(len(only), dtype=np.int64)
-                if sampled.is_valid:
-                    rank = held_by(only.view(np.int64), missing, sampled.as_py(), common.values.to_numpy(), sets.values.to_numpy())
-                first.append(only[np.lexsort((only, missing, rank))][:take].view(np.int64))
-            else:
-                first.append(())
-        columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(right))
+    # the text of a hub comes with each of its pairs and is read once
+    hubs = batch.column(4).dictionary_encode()
+    hub_sets = list(_each_set(hubs.dictionary, size))
+    right, linked, d, first = [], [], [], []
+    pairs = zip(hubs.indices.to_pylist(), _each_set(batch.column(5), size), *[c.to_pylist() for c in batch.columns[:2]], *batch.columns[6:10], strict=True)
+    for at, (y, hy), a, b, crowded, sampled, common, sets in pairs:
+        x, hx = hub_sets[at]
+        # other texts of the same id come along
+        right.append(hx == a and hy == b)
+        only = np.setxor1d(x, y, assume_unique=True)
+        both = (len(x) + len(y) - len(only)) // 2
+        linked.append(100 * both >= percent * (both + len(only)))
+        d.append(len(only))
+        if crowded.as_py():
+            missing = np.isin(only, x, assume_unique=True)
+            take = int(allowed(percent, len(y), len(y) * 100 // percent)) + 1
+            rank = np.zeros(len(only), dtype=np.int64)
+            if sampled.is_valid:
+                rank = held_by(only.view(np.int64), missing, sampled.as_py(), common.values.to_numpy(), sets.values.to_numpy())
+            first.append(only[np.lexsort((only, missing, rank))][:take].view(np.int64))
+        else:
+            first.append(())
+    columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(right))
 
 
 def mark_of(text: str) -> Column:
@@ -469,6 +476,10 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """(a, b): links between sets, named by their first hash, that connect all sets that links connect."""
         members = durable(self.buckets())
+        with arrow_rows(members.sparkSession, PAIR_ROWS):
+            return durable(self._links(members))
+
+    def _links(self, members: DataFrame) -> DataFrame:
         # a bucket that nobody asks has no hub
         hub = F.min(F.struct(F.xxhash64("owner"), F.col("owner"))).alias("_hub")
         hubs = members.where("asked").groupBy("bucket").agg(hub).select("bucket", F.col("_hub.owner").alias("a"))

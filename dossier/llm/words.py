@@ -62,6 +62,12 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], dtype=kind, count=texts.offset + len(texts) + 1)[texts.offset :].astype(np.int64)
 
 
+def bounded(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` whose texts of a column have about ``limit`` bytes together, without copying them; a longer text makes a part of its own."""
+    for begin, stop in slices(plain(batch.column(column)), limit):
+        yield batch.slice(begin, stop - begin)
+
+
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array of strings without nulls: a null text has no words, as an empty one."""
     if isinstance(column, pa.ChunkedArray):

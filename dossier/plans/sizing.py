@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.plans.durable import durable
@@ -63,6 +64,19 @@ def spread_by(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the actions inside: of wide rows, Spark's own number of rows fills a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    # none or less stands for no bound
+    spark.conf.set(name, str(min(rows, int(before)) if before and int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
     """So many partitions that one has about ``rows`` rows; MOST_PARTS, or what shuffles have, are the most."""
     most = max(MOST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

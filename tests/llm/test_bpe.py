@@ -4,6 +4,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -51,3 +52,17 @@ def test_frame_keeps_every_row(spark):
     assert len(got) == len(rows)
     assert {(r["doc_id"], r["n_tokens"], r["decoded"]) for r in got} == {(1, 2, "one two"), (None, 0, ""), (3, 0, ""), (4, 3, "a<|endoftext|>b")}
     assert bpe.encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_a_task_holds_parts_of_a_batch_and_leaves_no_pieces_behind(library):
+    """The worker lives on and serves other stages, whose memory the tables of pieces would take."""
+    rnd = random.Random(3)
+    texts = [None, "", *(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(40_000)) for _ in range(12)), "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(bpe.encoded_batches([batch, batch.slice(0, 0)], PATH))
+    assert len(parts) > 2
+    rows = [r for part in parts for r in part.to_pylist()]
+    assert [(r["doc_id"], r["decoded"]) for r in rows] == [(i, t or "") for i, t in enumerate(texts)]
+    assert [r["n_tokens"] for r in rows] == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    model = bpe.tokenizer(PATH)
+    assert not model.pieces and not model.earlier

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dossier.llm import jaccard
@@ -176,3 +177,41 @@ def test_held_by_counts_sets_with_the_element_in_their_difference():
     got = jaccard.held_by(only, missing, 10, np.array([-7, 2, 8]), np.array([4, 9, 3]))
     assert got.tolist() == [4, 1, 0, 10]
     assert jaccard.held_by(only, missing, 10, np.array([], dtype=np.int64), np.array([], dtype=np.int64)).tolist() == [0, 10, 0, 10]
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.mark.parametrize("before", [None, "200", "0"])
+def test_pairs_come_in_small_batches(spark, monkeypatch, before):
+    """Pairs carry two texts each, so a batch of Spark's own 10,000 rows takes hundreds of MB of a worker and of its executor."""
+    seen, tested = [], jaccard.JaccardJoin._tested
+    monkeypatch.setattr(jaccard.JaccardJoin, "_tested", lambda self, *a: (seen.append(spark.conf.get(ARROW_ROWS)), tested(self, *a))[1])
+    if before is not None:
+        spark.conf.set(ARROW_ROWS, before)
+    try:
+        rows = list(enumerate(_crowd(60, 60, (0, 4), 4)))
+        assert {i: (n, c) for i, n, c in _got(spark, rows)} == brute(rows)
+        assert spark.conf.get(ARROW_ROWS, None) == before
+    finally:
+        spark.conf.unset(ARROW_ROWS)
+    assert len(seen) > 1 and set(seen) == {"200" if before == "200" else str(jaccard.PAIR_ROWS)}
+
+
+def test_pairs_are_verified_by_parts(monkeypatch):
+    """The sets of a batch are not held together, and a part ends where it may within the pairs of a hub."""
+    texts = list(_crowd(120, 200, (1, 9), 6))
+    held = [h for _, h in jaccard._each_set(pa.array(texts), 4)]
+    n = len(texts)
+    columns = [
+        pa.array([held[0]] * n), pa.array([*held[:-1], 5]), pa.array([197] * n), pa.array([197] * n), pa.array([texts[0]] * n), pa.array(texts), pa.array([k % 3 > 0 for k in range(n)]),
+        pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.list_(pa.int64())), pa.array([None] * n, pa.list_(pa.int16())),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "a_size", "b_size", "_x", "_y", "crowded", "sampled", "common", "sets"])
+    monkeypatch.setattr(jaccard, "VERIFIED_BYTES", 1 << 30)
+    whole = list(jaccard._verified([batch], 85, 4))
+    monkeypatch.setattr(jaccard, "VERIFIED_BYTES", 5_000)
+    parts = list(jaccard._verified([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)], 85, 4))
+    assert len(whole) == 1 and len(parts) > 20
+    assert [r for part in parts for r in part.to_pylist()] == whole[0].to_pylist()
+    assert whole[0].num_rows == n - 1
