@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from dossier.llm.packing import pack, text_bytes, unpack
 from dossier.llm.words import Words, bounded, mix, plain, slices, windows, word_hashes, words
 from dossier.plans.components import connected_components
-from dossier.plans.durable import durable
+from dossier.plans.durable import durable, forget, short_lived
 from dossier.plans.sizing import arrow_rows, checked_broadcast
 
 SHINGLE = 4
@@ -63,6 +63,8 @@ COMMON_PARTS = 32
 #: Pairs come with both texts and the list of their hub, so a batch has few; they are verified by parts with about so much text on one side.
 PAIR_ROWS = 1000
 VERIFIED_BYTES = 2 << 20
+#: A list of elements takes twice its measured size or more where it is built for a broadcast, in the driver and each executor.
+ELEMENT_BYTES = 16 << 20
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -474,35 +476,53 @@ class JaccardJoin:
         return met.mapInArrow(lambda b: _close(b, percent), "a long, b long, a_size long, b_size long, close boolean")
 
     def links(self) -> DataFrame:
-        """(a, b): links between sets, named by their first hash, that connect all sets that links connect."""
-        members = durable(self.buckets())
-        with arrow_rows(members.sparkSession, PAIR_ROWS):
-            return durable(self._links(members))
+        """(a, b): links between sets, named by their first hash, that connect all sets that links connect.
 
-    def _links(self, members: DataFrame) -> DataFrame:
+        What a step shuffled or wrote goes before the next one starts, so the disk holds one step and not all of them.
+        """
+        spark = self.docs.sparkSession
+        with arrow_rows(spark, PAIR_ROWS), short_lived(spark):
+            needed = self._needed()
+            forget(spark)
+            first = durable(self._tested(needed, self._orders(needed)))
+            del needed
+            forget(spark)
+            found = durable(first.where("linked").select("a", "b").distinct())
+            elements = self._shared_elements(first)
+            del first
+            forget(spark)
+            found = durable(found.unionByName(self._linked(self._near(elements))).distinct())
+            parts = connected_components(found).select(F.col("node").alias("b"), "component")
+            named = elements.join(parts, "b", "left").withColumn("component", F.coalesce("component", "b"))
+            pairs = durable(self._sharing(named))
+            del elements, parts, named
+            forget(spark)
+            return durable(found.unionByName(self._linked(pairs)).distinct())
+
+    def _needed(self) -> DataFrame:
+        """Pairs of a hub and a set that shares a bucket with it: those that may link, and all of a hub of several."""
+        members = durable(self.buckets())
         # a bucket that nobody asks has no hub
         hub = F.min(F.struct(F.xxhash64("owner"), F.col("owner"))).alias("_hub")
         hubs = members.where("asked").groupBy("bucket").agg(hub).select("bucket", F.col("_hub.owner").alias("a"))
         star = members.join(hubs, "bucket").where("owner != a").select("a", F.col("owner").alias("b")).distinct()
         pairs = durable(self._rated(star))
         crowded = pairs.groupBy("a").agg((F.count("*") > 1).alias("crowded"))
-        needed = durable(pairs.join(crowded, "a").where("close or crowded"))
-        first = durable(self._tested(needed, self._orders(needed)))
-        found = first.where("linked").select("a", "b").distinct()
-        elements = self._first_elements(first)
-        # an element of one set alone, as most are, joins nothing
-        elements = elements.withColumn("_short", F.hash("at"))
-        held = checked_broadcast(elements.groupBy("_short").agg(F.count("*").alias("_n")).where("_n > 1").select("_short"))
-        elements = durable(elements.join(held, "_short").drop("_short"))
-        # sets that share an element are first compared with the one of the smallest D, which may join them at once
+        return durable(pairs.join(crowded, "a").where("close or crowded"))
+
+    def _shared_elements(self, first: DataFrame) -> DataFrame:
+        """The first elements without those of one set alone: as most are, they join nothing."""
+        elements = self._first_elements(first).withColumn("_short", F.hash("at"))
+        held = checked_broadcast(elements.groupBy("_short").agg(F.count("*").alias("_n")).where("_n > 1").select("_short"), ELEMENT_BYTES)
+        return durable(elements.join(held, "_short").drop("_short"))
+
+    def _near(self, elements: DataFrame) -> DataFrame:
+        """Sets that share an element, each with the one of the smallest D, which may join them at once."""
         nearest = F.min(F.struct("d", "b", "size", "linked"))
         hub = elements.groupBy("at").agg(nearest.alias("_h"))
         near = elements.join(hub, "at").where((F.col("b") != F.col("_h.b")) & ~(F.col("linked") & F.col("_h.linked")))
-        near = near.where(self._sizes_fit(F.col("size"), F.col("_h.size"))).select(F.least("b", "_h.b").alias("a"), F.greatest("b", "_h.b").alias("b")).distinct()
-        found = durable(found.unionByName(self._linked(near)).distinct())
-        parts = connected_components(found).select(F.col("node").alias("b"), "component")
-        named = elements.join(parts, "b", "left").withColumn("component", F.coalesce("component", "b"))
-        return found.unionByName(self._linked(self._sharing(named))).distinct()
+        near = near.where(self._sizes_fit(F.col("size"), F.col("_h.size")))
+        return near.select(F.least("b", "_h.b").alias("a"), F.greatest("b", "_h.b").alias("b")).distinct()
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         close = self._rated(pairs).where("close").withColumn("crowded", F.lit(False))
@@ -544,7 +564,9 @@ class JaccardJoin:
 
     def classes(self) -> DataFrame:
         """(doc_id, mark, n_shingles, component_id) of every document."""
-        parts = connected_components(self.links()).select(F.col("node").alias("h1"), "component")
+        links = self.links()
+        with short_lived(self.docs.sparkSession):
+            parts = connected_components(links).select(F.col("node").alias("h1"), "component")
         stands = self.documents.where("doc_id is not null and n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
         named = stands.join(parts, "h1", "left")
         linked = F.struct("component", F.lit(0).cast("long").alias("h2"))

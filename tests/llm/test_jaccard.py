@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -215,3 +217,40 @@ def test_pairs_are_verified_by_parts(monkeypatch):
     assert len(whole) == 1 and len(parts) > 20
     assert [r for part in parts for r in part.to_pylist()] == whole[0].to_pylist()
     assert whole[0].num_rows == n - 1
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in map(os.path.basename, files.split("\n")) if f.startswith("shuffle_")}
+
+
+def _left(spark, before):
+    """Shuffle files besides ``before``; they go a moment after their step."""
+    for _ in range(40):
+        if not (now := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return now
+
+
+def test_steps_leave_no_shuffle_files(spark, monkeypatch):
+    """What a step shuffled is deleted before the next one starts, not when the driver happens to collect its garbage."""
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, old, seen, tested = _shuffle_files(spark), spark.conf.get(conf, None), [], jaccard.JaccardJoin._tested
+    monkeypatch.setattr(jaccard.JaccardJoin, "_tested", lambda self, *a: (seen.append(_left(spark, before)), tested(self, *a))[1])
+    rows = list(enumerate([*_crowd(60, 60, (0, 4), 4), *_crowd(60, 200, (6, 12), 7)]))
+    links = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).links()
+    seen.append(_left(spark, before))
+    # a stage that Spark gives up may write its files after the step
+    assert len(seen) > 3 and max(map(len, seen)) <= 40, seen
+    assert links.count() > 0
+    assert {i: (n, c) for i, n, c in _got(spark, rows)} == brute(rows)
+    assert spark.conf.get(conf, None) == old
+
+
+def test_forget_deletes_what_nobody_holds(spark):
+    before = _shuffle_files(spark)
+    kept = jaccard.durable(spark.range(50).repartition(3).groupBy("id").count())
+    assert _shuffle_files(spark) - before
+    jaccard.forget(spark)
+    assert not _left(spark, before) and kept.count() == 50
